@@ -23,11 +23,12 @@ _OUTSIDE = re.compile(
     "[^\\x09-\\x0d\\x20-\\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏЀ-ҁҊ-ԯ"
     "‐-‧‰-⁞₠-₿、。ぁ-ゖァ-ヺ一-龥가-힣]"
 )
-#: How the two files cut a text (letters are ``[^\W\d_]`` inside the blocks above).
-_BYTE_CUT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_WORD_CUT = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-龥가-힣"
+#: How the two files cut a text, with the letters and digits of the blocks above.
+_BYTE_CUT = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
+_WORD_CUT = re.compile(rf"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9{_LETTER}]+")
 #: Entries that a worker keeps; the cache starts anew beyond it, so its memory is bounded.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
 #: Longer pre-tokens are encoded each time, so that entries stay small.
 CACHE_LENGTH = 64
 
@@ -40,7 +41,11 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
-_LETTERS = _byte_letters()
+_LETTERS = dict(enumerate(_byte_letters()))
+
+
+def _letters(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_LETTERS)
 
 
 class _Cache(dict):
@@ -51,8 +56,7 @@ class _Cache(dict):
         self._tokenize = model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
-        letters = "".join([_LETTERS[b] for b in piece.encode()])
-        ids = array("I", [t.id for t in self._tokenize(letters)]).tobytes()
+        ids = array("I", [t.id for t in self._tokenize(_letters(piece))]).tobytes()
         if len(piece) <= CACHE_LENGTH:
             self[piece] = ids
         return ids
@@ -100,7 +104,7 @@ class PieceTokenizer:
 
     def count(self, piece: str) -> int:
         """Ids of one pre-token, as ``pieces`` gives it."""
-        return len(self.library.model.tokenize("".join([_LETTERS[b] for b in piece.encode()])))
+        return len(self.library.model.tokenize(_letters(piece)))
 
 
 @lru_cache(maxsize=4)
