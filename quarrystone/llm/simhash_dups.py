@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import written
@@ -74,13 +74,16 @@ def ball(fp: Column, bits: int = BITS) -> Column:
 
 
 def links(values: DataFrame, fp_col: str = "fp") -> DataFrame:
-    """Verified links (lo, hi) among distinct fingerprints at RADIUS or fewer bits; they connect what all pairs would."""
-    met = values.select(F.col(fp_col).alias("fp"), F.explode(ball(F.col(fp_col))).alias("variant"))
-    lowest = met.groupBy("variant").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n"))
-    # a group of two is its own link; only larger groups go back to their members
-    two = lowest.where("n = 2").select("lo", "hi")
-    more = met.join(lowest.where("n > 2").select("variant", "lo"), "variant").where("fp > lo").select("lo", F.col("fp").alias("hi"))
-    return two.unionByName(more).distinct().where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= RADIUS)
+    """Verified links (lo, hi) among distinct fingerprints at RADIUS or fewer bits; they connect what all pairs would.
+
+    One shuffle, by variant; a variant's group holds at most BITS + 1 distinct fingerprints.
+    """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = values.select(F.col(fp_col).alias("fp")).repartition(parts)  # each row becomes 65 here
+    met = spread.select("fp", F.explode(ball(F.col("fp"))).alias("variant"))
+    lowest = F.min("fp").over(Window.partitionBy("variant"))
+    found = met.withColumn("lo", lowest).where("fp > lo").select("lo", F.col("fp").alias("hi")).distinct()
+    return found.where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= RADIUS)
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
