@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def interval_days(interval: Column, custom: Column) -> Column:
     """1, 7, 30 or 365; else the custom days, at least 1, and 30 where they are missing or no number."""
-    days = F.when(F.coalesce(custom, F.lit("")) == "", F.lit(30)).otherwise(F.coalesce(F.greatest(F.expr("1"), custom.try_cast("int")), F.lit(30)))
+    days = F.when(F.coalesce(custom, F.lit("")) == "", F.lit(30)).otherwise(F.greatest(F.lit(1), F.coalesce(custom.try_cast("int"), F.lit(30))))
     return F.when(interval == "daily", 1).when(interval == "weekly", 7).when(interval == "monthly", 30).when(interval == "yearly", 365).otherwise(days)
 
 

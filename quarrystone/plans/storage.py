@@ -200,3 +200,39 @@ _put(
     """ select s.id as site_id, s.owner_id, act.j as active_job, case when act.j is not null then 'site_active' when s.id * 1000000000 > if(rep.quota is null, null, greatest(0, rep.quota - used - reserved)) then 'quota' else 'admit' end as decision
     from sites s left join (select site_id, min(id) as j from jobs where status = 'running' group by site_id) act on act.site_id = s.id left join rep on rep.owner_id = s.owner_id""",
 )
+
+
+@query("select id, case when id % 4 = 0 then 'digest mismatch' when id % 4 = 1 then 'path' end as problem from assets", ("assets",))
+def src4_object_store(a: Archive):
+    from ..sources.files import object_store
+
+    k = F.col("id") % 4
+    path = F.concat(F.substring("digest", 1, 2), F.when(k == 1, F.lit("/x/")).otherwise(F.lit("/")), F.col("digest"))
+    found = F.when(k == 0, F.concat(F.lit("0"), F.substring("digest", 2, 63))).otherwise(F.col("digest"))
+    rows = a.assets.select("id", path.alias("path"), "bytes", F.when(k == 0, F.lit("none")).otherwise(found).alias("digest"))
+    return object_store(rows).select("id", "problem")
+
+
+@query()
+def snk10_warc_records(a: Archive):
+    from ..sources.packages import warc_records
+
+    date = F.lit("2024-01-01T00:00:00Z")
+    pages = a.snapshots.select(F.col("id").alias("seq"), F.col("final_url").alias("url"), date.alias("date"), F.lit(200).alias("status"), "content_type", "body")
+    assets = a.assets.select((F.col("id") + 1_000_000_000).alias("seq"), F.concat(F.lit("https://site.test/a"), (F.col("id") % 100).cast("string")).alias("url"), date.alias("date"), F.lit(200).alias("status"), "content_type", "body")
+    return warc_records(pages, assets).select("seq", F.length("record").alias("n_bytes"), F.sha2("record", 256).alias("sha256"))
+
+
+@query("""select '{"action":"' || event_type || '","id":' || event_id || '}' as value from events""")
+def snk15_log_lines(a: Archive):
+    from ..sources.files import log_lines
+
+    return log_lines(a.activity.select("id", "action"))
+
+
+@query("select page_id as old_id, 'snap_' || left(sha256('x' || page_id), 20) as id, 'private' as visibility, '/snapshots/snap_' || left(sha256('x' || page_id), 20) || '/asset/a1' as body from pages")
+def snk13_imported(a: Archive):
+    from ..sources.packages import imported
+
+    rows = a.raw("pages").select(F.col("page_id").alias("id"), F.concat(F.lit("/snapshots/"), F.col("page_id").cast("string"), F.lit("/asset/a1")).alias("body"))
+    return imported(rows, "x").select("old_id", "id", "visibility", "body")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 
 def limited(events: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
@@ -77,7 +77,7 @@ class Limiter(StatefulProcessor):
 def limited_stream(events: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
     """The limiter on a stream; needs the RocksDB state store."""
     timed = events.select(F.col(key).cast("string").alias("key"), "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"))
-    kind = StructType([StructField("key", StringType()), StructField("id", LongType()), StructField("allowed", StringType())])
+    kind = StructType([StructField("key", StringType()), StructField("id", LongType()), StructField("allowed", BooleanType())])
     return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=Limiter(limit, seconds), outputStructType=kind, outputMode="Append", timeMode="None")
 
 
