@@ -5,13 +5,13 @@ text around it. So pieces are counted once for each distinct pre-token of the co
 a document's count is the sum over its pre-tokens of frequency times pieces. No ids of any
 document are made.
 
-Documents go in *blocks* of bounded size. A block sends one row for each of its distinct
-pre-tokens, not one for each pre-token of each document, and its documents' frequencies
-as one compressed sparse matrix:
+Documents go in *blocks* of bounded size. A block sends its distinct pre-tokens, not those of each
+document, in compressed lists, one for each bucket of their hash, and its documents'
+frequencies as one compressed sparse matrix:
 
-    documents -> blocks -> shuffle by pre-token -> count once -> shuffle by block -> sum
+    documents -> blocks -> shuffle by bucket -> count once -> shuffle by block -> sum
 
-A pre-token that every document holds makes one row a block, so no key is hot.
+A pre-token that every document holds is one entry a block, so no bucket is hot.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,14 +30,17 @@ from pyspark.sql import functions as F
 from .tokens import tokenizer
 
 #: A block ends when its texts reach so many characters or its documents so many.
-BLOCK_CHARS, BLOCK_DOCS = 12_000_000, 20_000
-_BLOCK = "block string, piece string, place int, pieces long, matrix binary"
+BLOCK_CHARS, BLOCK_DOCS = 16_000_000, 20_000
+#: Distinct pre-tokens that a task remembers; beyond it some are counted again.
+REMEMBERED = 1_000_000
+_ROWS = "bucket int, block long, is_matrix boolean, data binary"
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
+    """Arrays by name, their bytes in planes, which compress better apart."""
     head = json.dumps({k: [str(v.dtype), len(v)] for k, v in arrays.items()}).encode()
-    body = len(head).to_bytes(4, "little") + head + b"".join(v.tobytes() for v in arrays.values())
-    return zstandard.ZstdCompressor(level=3).compress(body)
+    planes = [np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes() if len(v) else b"" for v in arrays.values()]
+    return zstandard.ZstdCompressor(level=3).compress(len(head).to_bytes(4, "little") + head + b"".join(planes))
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
@@ -44,8 +48,10 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
     at = 4 + int.from_bytes(body[:4], "little")
     out = {}
     for k, (kind, n) in json.loads(body[4:at]).items():
-        out[k] = np.frombuffer(body, kind, n, at)
-        at += out[k].nbytes
+        size = np.dtype(kind).itemsize * n
+        planes = np.frombuffer(body, np.uint8, size, at).reshape(-1, n) if n else np.zeros((1, 0), np.uint8)
+        out[k] = np.ascontiguousarray(planes.T).view(kind).ravel() if n else np.zeros(0, kind)
+        at += size
     return out
 
 
@@ -79,69 +85,91 @@ class _Block:
     def full(self) -> bool:
         return self.chars >= BLOCK_CHARS or len(self.ids) >= BLOCK_DOCS
 
-    def rows(self, name: str) -> Iterator[pa.RecordBatch]:
-        none = [-1 if i is None else i for i in self.ids]
+    def rows(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The matrix, then the pre-tokens with their places, a row a bucket."""
+        cols = np.concatenate(self.cols)
+        starts = np.array(self.ends[:-1])[np.diff(self.ends) > 0]
+        steps = np.diff(cols, prepend=np.uint32(0))  # ascending within a document; wraps around between documents
+        steps[starts] = cols[starts]
         matrix = _pack(
-            ids=np.array(none, "<i8"), null=np.array([i is None for i in self.ids], "u1"),
+            ids=np.array([-1 if i is None else i for i in self.ids], "<i8"), null=np.array([i is None for i in self.ids], "u1"),
             sizes=np.array(self.sizes, "<i8"), direct=np.array(self.direct, "<i8"), ends=np.array(self.ends, "<i8"),
-            cols=np.concatenate(self.cols), counts=np.concatenate(self.counts),
+            steps=steps, counts=np.concatenate(self.counts),
         )
-        yield _batch([name], [None], [-1], [None], [matrix])
-        pieces = list(self.places)
-        for i in range(0, len(pieces), 50_000):
-            part = pieces[i : i + 50_000]
-            n = len(part)
-            yield _batch([name] * n, part, range(i, i + n), [None] * n, [None] * n)
+        yield _batch([block % buckets], [block], [True], [matrix])
+        raw = [p.encode() for p in self.places]
+        of = np.fromiter((xxhash.xxh32_intdigest(p) % buckets for p in raw), np.int64, len(raw))
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            places = order[edges[k] : edges[k + 1]]
+            part = sorted((raw[i], i) for i in places.tolist())
+            text = b"".join(p for p, _ in part)
+            data = _pack(lengths=np.array([len(p) for p, _ in part], "<u4"), places=np.array([i for _, i in part], "<u4"), text=np.frombuffer(text, "u1"))
+            yield _batch([k], [block], [False], [data])
 
 
-def _batch(block, piece, place, pieces, matrix) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(block, pa.string()), pa.array(piece, pa.string()), pa.array(place, pa.int32()), pa.array(pieces, pa.int64()), pa.array(matrix, pa.binary())],
-        ["block", "piece", "place", "pieces", "matrix"],
-    )
+def _batch(bucket, block, is_matrix, data) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(is_matrix, pa.bool_()), pa.array(data, pa.binary())], ["bucket", "block", "is_matrix", "data"])
 
 
-def _blocks(path: str):
+def _blocks(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, made, block = tokenizer(path), TaskContext.get().partitionId(), 0, _Block()
+        tok, name, block = tokenizer(path), TaskContext.get().partitionId() << 24, _Block()
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 block.add(key, text or "", tok)
                 if block.full():
-                    yield from block.rows(f"{part}.{made}")
-                    made, block = made + 1, _Block()
+                    yield from block.rows(name, buckets)
+                    name, block = name + 1, _Block()
         if block.ids:
-            yield from block.rows(f"{part}.{made}")
+            yield from block.rows(name, buckets)
 
     return run
 
 
 def _count_once(path: str):
-    """Rows arrive sorted by pre-token: each distinct one is counted when it first appears."""
+    """All rows of a bucket are in one task, which counts each distinct pre-token when it first meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, last, n = tokenizer(path), None, None
+        tok, known = tokenizer(path), {}
         for b in batches:
-            counts = []
-            for piece in b.column(1).to_pylist():
-                if piece is not None and piece != last:
-                    last, n = piece, tok.count(piece)
-                counts.append(None if piece is None else n)
-            none = pa.nulls(len(counts), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), none, b.column(2), pa.array(counts, pa.int64()), b.column(4)], b.schema.names)
+            for bucket, block, is_matrix, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not is_matrix:
+                    m = _unpack(data)
+                    ends = np.cumsum(m["lengths"]).tolist()
+                    text, counts, at = m["text"].tobytes(), [], 0
+                    for end in ends:
+                        piece = text[at:end]
+                        at = end
+                        n = known.get(piece)
+                        if n is None:
+                            n = known[piece] = tok.count(piece.decode())
+                        counts.append(n)
+                    data = _pack(places=m["places"], pieces=np.array(counts, "<u4"))
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                yield _batch([bucket], [block], [is_matrix], [data])
 
     return run
 
 
 def _sums(t: pa.Table) -> pa.Table:
     """One block: frequencies times pieces, summed over each document's pre-tokens."""
-    place, pieces = t.column("place").to_numpy(), t.column("pieces").fill_null(0).to_numpy()
-    head = int(np.flatnonzero(place < 0)[0])
-    m = _unpack(t.column("matrix")[head].as_py())
-    each = np.zeros(max(1, int(place.max()) + 1), np.int64)
-    each[place[place >= 0]] = pieces[place >= 0]
-    run = np.concatenate([[0], np.cumsum(each[m["cols"]] * m["counts"], dtype=np.int64)])
-    tokens = run[m["ends"][1:]] - run[m["ends"][:-1]] + m["direct"]
+    lists, m = [], None
+    for is_matrix, data in zip(t.column("is_matrix").to_pylist(), t.column("data").to_pylist(), strict=True):
+        if is_matrix:
+            m = _unpack(data)
+        else:
+            lists.append(_unpack(data))
+    each = np.zeros(1 + max((int(x["places"].max()) for x in lists), default=0), np.int64)
+    for x in lists:
+        each[x["places"]] = x["pieces"]
+    ends, steps = m["ends"], m["steps"].astype(np.int64)
+    run = np.concatenate([[0], np.cumsum(steps)])
+    cols = run[1:] - np.repeat(run[ends[:-1]], np.diff(ends))  # steps add up anew in each document
+    total = np.concatenate([[0], np.cumsum(each[cols] * m["counts"], dtype=np.int64)])
+    tokens = total[ends[1:]] - total[ends[:-1]] + m["direct"]
     ids = pa.array(m["ids"], mask=m["null"].astype(bool))
     return pa.table({"doc_id": ids, "n_bytes": pa.array(m["sizes"], pa.int64()), "n_tokens": pa.array(tokens, pa.int64())})
 
@@ -155,8 +183,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     text count as the library takes them by default, as one token each.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = two.mapInArrow(_blocks(tokenizer_path), _BLOCK)
-    # the matrix rows have no pre-token; they are dealt by their block
-    dealt = blocks.repartition(F.coalesce("piece", F.concat(F.lit("\x00"), "block"))).sortWithinPartitions("piece")
-    counted = dealt.mapInArrow(_count_once(tokenizer_path), _BLOCK).drop("piece")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # several a task, for even tasks
+    blocks = two.mapInArrow(_blocks(tokenizer_path, buckets), _ROWS)
+    counted = blocks.repartition("bucket").mapInArrow(_count_once(tokenizer_path), _ROWS)
     return counted.groupBy("block").applyInArrow(lambda t: _sums(t), "doc_id long, n_bytes long, n_tokens long")
