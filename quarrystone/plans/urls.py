@@ -196,9 +196,9 @@ def str2_initials(a: Archive):
     return a.users.select("id", text.initials(F.col("name")).alias("initials"))
 
 
-@query("""select page_id, replace(replace(replace(replace(replace(left(html, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped from pages""")
+@query("""select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped from pages""")
 def str3_escaped(a: Archive):
-    return a.raw("pages").select("page_id", text.escape_html(F.substring("html", 1, 500)).alias("escaped"))
+    return a.raw("pages").select("page_id", text.escape_html(F.col("html")).alias("escaped"))
 
 
 @query(
