@@ -127,3 +127,25 @@ def quality_status(problems: Column, warnings: Column) -> Column:
 def absolute_assets(page: Column, origin: str) -> Column:
     """Root-relative addresses of stored assets made absolute."""
     return F.regexp_replace(page, r"""(["'(=])(/snapshots/[A-Za-z0-9_-]+/asset/)""", "$1" + origin.rstrip("/") + "$2")
+
+
+#: What a replayed page may load: its own copies, nothing by scripts, nothing sent.
+REPLAY_RULES = {
+    "default-src": "'self' data: blob:", "img-src": "'self' data: blob:", "style-src": "'self' 'unsafe-inline' data: blob:", "script-src": "'none'", "font-src": "'self' data: blob:",
+    "media-src": "'self' data: blob:", "connect-src": "'none'", "form-action": "'none'", "frame-src": "'self'",
+}
+
+
+def replay_document(page: Column, base: Column) -> Column:
+    """A page without tracker frames and its own content rules, with one base address and the rules of a replay.
+
+    Layout repairs for single themes are left out.
+    """
+    rules = "; ".join(f"{k} {v}" for k, v in REPLAY_RULES.items()) + ";"
+    out = F.regexp_replace(page, r"""(?is)<iframe\b[^>]*\bsrc\s*=\s*["'][^"']*googletagmanager\.com[^"']*["'][^>]*>.*?</iframe>""", "")
+    out = F.regexp_replace(out, r"""(?i)<meta[^>]+http-equiv=["']?content-security-policy["']?[^>]*>""", "")
+    out = F.regexp_replace(out, r"(?is)<base\b[^>]*>", "")
+    safe = F.replace(F.replace(base, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    head = F.concat(F.lit('<base href="'), safe, F.lit(f'"><meta http-equiv="Content-Security-Policy" content="{rules}">'))
+    at = F.length(F.regexp_extract(out, r"(?is)^(.*?<head\b[^>]*>)", 1))  # 0 where there is no head
+    return F.concat(F.substring(out, F.lit(1), at), head, F.substring(out, at + 1, F.length(out)))

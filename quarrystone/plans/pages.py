@@ -129,3 +129,21 @@ def str7_image_types(a: Archive):
     k = F.col("doc_id") % 4
     head = F.when(k == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(k == 1, F.lit("GIF89a").cast("binary")).when(k == 2, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.lit("none").cast("binary"))
     return a.raw("documents").select("doc_id", text.image_type(F.concat(head, F.substring("text", 1, 20).cast("binary"))).alias("kind"))
+
+
+@query(
+    """select page_id, left(html, p + 5) || '<base href="' || replace(url, '&', '&amp;') || '"><meta http-equiv="Content-Security-Policy" content="RULES">' || substr(html, p + 6) as page
+    from (select page_id, url, html, instr(html, '<head>') as p from pages)""".replace("RULES", ("; ".join(f"{k} {v}" for k, v in html.REPLAY_RULES.items()) + ";").replace("'", "''"))
+)
+def htm16_replay_documents(a: Archive):
+    trackers = F.lit('<iframe src="https://www.googletagmanager.com/ns.html?id=1"></iframe><base href="/old/"><meta http-equiv="Content-Security-Policy" content="x">')
+    return a.raw("pages").select("page_id", html.replay_document(F.concat(F.col("html"), trackers), F.col("url")).alias("page"))
+
+
+@query("select page_id, 'https://a.test/i/' || page_id || '.png 1x, https://a.test/j.png 2x' as rewritten from pages")
+def htm9_srcsets(a: Archive):
+    @F.pandas_udf("string")
+    def absolute(values):
+        return values.map(lambda v: html_kernels.srcset(v, "https://a.test/x", lambda u: u))
+
+    return a.raw("pages").select("page_id", absolute(F.concat(F.lit("/i/"), F.col("page_id").cast("string"), F.lit(".png 1x, ,/j.png  2x"))).alias("rewritten"))

@@ -151,3 +151,27 @@ def test_files(spark, tmp_path):
     (root / name[:2] / ("0" * 64)).write_bytes(body)
     rows = files.object_store(files.inventory(spark, str(root), contents=True)).collect()
     assert sorted((r["problem"] or "") for r in rows) == ["", "path"]
+
+
+def test_bodies_manifests_and_lines(spark, tmp_path):
+    kept = spark.createDataFrame([("a/1", bytearray(b"abcdef"))], "path string, body binary")
+    rows = spark.createDataFrame([(1, "a/1"), (2, "gone"), (3, "../a/1"), (4, "/a/1")], "id int, file string")
+    got = {r["id"]: bytes(r["body"]) for r in files.bodies(rows, kept, 4).collect()}
+    assert got == {1: b"abcd", 2: b"", 3: b"", 4: b""}
+    snapshots = spark.createDataFrame([(1, "r", "https://a/", "0" * 64, 3)], "id long, run_id string, source_url string, digest string, bytes long")
+    assets = spark.createDataFrame([(7, 1, "1" * 64, 5)], "id long, snapshot_id long, digest string, bytes long")
+    row = objects.manifests(snapshots, assets).withColumn("ok", objects.valid_manifest(F.col("pages"), F.col("resources"))).first()
+    assert row["ok"] and json.loads(row["payload"])["pages"][0]["digest"].startswith("sha256:")
+    (tmp_path / "m.json").write_text(json.dumps({"payload": json.loads(row["payload"]), "signature": {"key": "k"}}))
+    assert files.read_manifests(spark, str(tmp_path / "m.json")).select("payload.run_id").first()["run_id"] == "r"
+    line = files.log_lines(spark.createDataFrame([("x", 1)], "b string, a int")).first()["value"]
+    assert line == '{"a":1,"b":"x"}'
+
+
+def test_renumbering(spark):
+    from quarrystone.operators import upkeep
+
+    rows = spark.createDataFrame([(1, 1, "asset_001", "text/css"), (2, 1, "asset_001", "image/png"), (3, 1, "asset_004", "image/png")], "id int, snapshot_id int, asset_id string, content_type string")
+    assert [r["new_id"] for r in upkeep.renumbered(rows).orderBy("id").collect()] == ["asset_001", "asset_005", "asset_004"]
+    means = {(r["asset_id"], r["kind"]): r["means"] for r in upkeep.preferred(rows).collect()}
+    assert means[("asset_001", "css")] == "asset_001" and means[("asset_001", "image")] == "asset_005"
