@@ -90,19 +90,22 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, root: the smallest node that each node of ``edges`` (lo, hi) is connected with.
 
     Alternating star contraction: each round links every node's larger neighbours, then its
-    smaller ones, to the smallest node around; a logarithmic number of rounds, each written to the
-    shared folder. No node's neighbours are collected.
+    smaller ones, to the smallest node around; a logarithmic number of rounds. No node's neighbours are
+    collected. Both sides of each join are tables in the shared folder, so that where a node has a large share
+    of all edges, adaptive execution can split its partition.
     """
     edges = written(edges.select("lo", "hi").where("lo <> hi").distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = both.groupBy(F.col("lo").alias("node")).agg(F.least(F.min("hi"), F.first("lo")).alias("m"))
-        large = both.join(least, both.lo == least.node).where("hi > lo").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
-        down = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
-        small = large.join(down, large.hi == down.node).select(F.col("m").alias("a"), F.col("lo").alias("b"))
-        small = small.where("a <> b").unionByName(down.select(F.col("m").alias("a"), F.col("node").alias("b")))
-        edges = written(small.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+        around = both.groupBy(F.col("lo").alias("node")).agg(F.min("hi").alias("m"))
+        least = written(around.select("node", F.least("node", "m").alias("m")), "least")
+        up = edges.join(least, edges["lo"] == least["node"]).select(F.col("m").alias("lo"), "hi")
+        large = written(up.where("lo <> hi").distinct(), "large")
+        down = written(large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")), "down")
+        small = large.join(down, large["hi"] == down["node"]).select(F.col("m").alias("a"), F.col("lo").alias("b")).where("a <> b")
+        found = small.unionByName(down.select(F.col("m").alias("a"), F.col("node").alias("b")))
+        edges = written(found.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if state == before:
             break
