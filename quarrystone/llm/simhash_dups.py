@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,8 +136,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
 
 #: Shingle words, least Jaccard similarity, fingerprints of a document and bits of each.
 WORDS, SIMILARITY, TABLES, TABLE_BITS = 5, 0.8, 6, 32
-#: Ids up to so many are broadcast when texts of candidates are read; beyond it they are joined by a shuffle.
+#: Candidates that differ in more of all TABLES x TABLE_BITS bits are not verified: of 8428 pairs at the
+#: least similarity or above that were measured, one in a thousand did.
+MOST_BITS = 26
+#: Ids up to so many are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of a representative that one task verifies.
+MEMBERS_TOGETHER = 10_000
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,52 +159,109 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "key", "sig", "n_words"])
 
 
-def _sets(k: int):
+def checked_broadcast(ids: DataFrame) -> DataFrame:
+    """``ids`` to be broadcast if they are few; else as they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def candidates(sketches: DataFrame) -> DataFrame:
+    """Pairs (rep, doc_id): in each table, a ball's members with its representative, if their fingerprints are near.
+
+    One shuffle by variant serves the group's aggregate and its members. The representative is the least
+    id after a table's own bits are flipped, so tables choose different ones.
+    """
+    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables = F.flatten(F.transform("sig", lambda fp, t: F.transform(ball(fp, TABLE_BITS), lambda v: F.shiftleft(t.cast("long"), TABLE_BITS) + v)))
+    met = sketches.repartition(parts).select("doc_id", F.explode(tables).alias("variant")).repartition(parts, "variant")
+    flip = F.xxhash64(F.shiftright("variant", TABLE_BITS))
+    order = F.col("doc_id").bitwiseXOR(flip)
+    groups = met.groupBy("variant").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most")
+    pairs = met.join(groups.hint("merge"), "variant").select(F.col("least").bitwiseXOR(flip).alias("rep"), "doc_id").where("rep <> doc_id").distinct()
+    of = lambda name, sig, n: sketches.select(F.col("doc_id").alias(name), F.col("sig").alias(sig), F.col("n_words").alias(n))
+    both = pairs.join(of("rep", "a", "m"), "rep").join(of("doc_id", "b", "n"), "doc_id")
+    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, x: z + x)
+    return both.where((differ <= MOST_BITS) & (F.least("m", "n") >= 0.5 * F.greatest("m", "n"))).select("rep", "doc_id")
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """A sorted set of 32-bit numbers as compressed steps."""
+    steps = np.diff(hashes, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _send(k: int):
+    """A document's set of shingles to each representative that it is compared with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for text in b.column(1).to_pylist():
+            rows = []
+            for key, text, goals in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 found = set(shingles(words_of(text or ""), k))
-                sets.append(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                data = _packed(np.unique(np.fromiter((xxhash.xxh32_intdigest(s, SEED) for s in found), np.uint32, len(found))))
+                rows += [(g["rep"], g["salt"], key != g["rep"], key, data) for g in goals]
+                if len(rows) >= 2000:
+                    yield _sent(rows)
+                    rows = []
+            if rows:
+                yield _sent(rows)
 
     return run
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Pairs (lo, hi) of ids to be verified: in each table, members of a ball with the ball's representative."""
-    tables = F.flatten(F.transform("sig", lambda fp, t: F.transform(ball(fp, TABLE_BITS), lambda v: F.shiftleft(t.cast("long"), TABLE_BITS) + v)))
-    met = sketches.select("doc_id", F.explode(tables).alias("variant"))
-    # another order of ids in each table, so that a group has several representatives
-    rank = F.struct(F.xxhash64("doc_id", F.shiftright("variant", TABLE_BITS)).alias("h"), F.col("doc_id").alias("id"))
-    groups = met.groupBy("variant").agg(F.min(rank)["id"].alias("rep"), F.max(rank)["id"].alias("last"), F.count("*").alias("n")).where("n > 1")
-    two = groups.where("n = 2").select(F.col("rep").alias("a"), F.col("last").alias("b"))
-    more = met.join(groups.where("n > 2").select("variant", "rep", "last"), "variant").select("doc_id", F.explode(F.array("rep", "last")).alias("b")).select(F.col("doc_id").alias("a"), "b")
-    return two.unionByName(more).where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["rep", "salt", "member", "doc_id", "shingles"])
+
+
+def _verify(similarity: float):
+    """Rows sorted by representative, its own set first: each member's set is compared with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict = {}
+        for b in batches:
+            lo, hi = [], []
+            for rep, salt, member, key, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                hashes = _unpacked(data)
+                if not member:
+                    own = {(rep, salt): hashes}
+                elif (base := own.get((rep, salt))) is not None:
+                    shared = len(np.intersect1d(base, hashes, assume_unique=True))
+                    if shared >= similarity * (len(base) + len(hashes) - shared):
+                        lo.append(min(rep, key))
+                        hi.append(max(rep, key))
+            yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["lo", "hi"])
+
+    return run
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents joined by links of Jaccard similarity on k-word shingles.
 
     Candidates are texts of which one of TABLES 32-bit fingerprints of the set of words meets in a
-    ball; each is verified on its exact shingle sets. Texts with the same words are one class. Null and
-    empty texts, which have no words, are one class too. Rows with a null id are left out, for
-    lack of a name. Empty table: no rows. Other columns are neither read nor returned.
+    ball; each is verified on the sets of its shingles' 32-bit hashes. Texts with the same words are one
+    class. Null and empty texts, which have no words, are one class too. Rows with a null id are left
+    out, for lack of a name; an id is taken to name one text. Empty table: no rows. Other columns are
+    neither read nor returned.
     """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     prints = written(two.mapInArrow(_sketches, "doc_id long, key string, sig array<long>, n_words long"), "sketches")
     classes = written(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("n_words").alias("n_words")), "classes")
-    named = classes.where("n_words > 0").select(F.col("first").alias("doc_id"), "sig", "n_words")
-    pairs = written(candidates(named), "pairs")
-    ids = pairs.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = two.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(_sets(k), "doc_id long, shingles array<long>"), "shingles")
-    a, b = sets.select(F.col("doc_id").alias("lo"), F.col("shingles").alias("a")), sets.select(F.col("doc_id").alias("hi"), F.col("shingles").alias("b"))
-    both = pairs.join(a, "lo").where(F.size("a") > 0).join(b, "hi")
-    both = both.where(F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")))
-    shared = F.size(F.array_intersect("a", "b"))
-    found = both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("lo", "hi")
+    pairs = written(candidates(classes.where("n_words > 0").select(F.col("first").alias("doc_id"), "sig", "n_words")), "pairs")
+    # a representative with many members is compared with them in several tasks, and sends its set to each
+    salts = pairs.groupBy("rep").agg((F.lit(1) + F.floor(F.count("*") / MEMBERS_TOGETHER)).cast("int").alias("salts"))
+    member = pairs.join(salts, "rep").select("doc_id", "rep", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
+    itself = salts.select(F.col("rep").alias("doc_id"), "rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    goals = written(member.unionByName(itself).groupBy("doc_id").agg(F.collect_list(F.struct("rep", "salt")).alias("goals")), "goals")
+    sent = two.join(checked_broadcast(goals), "doc_id").select("doc_id", "text", "goals").mapInArrow(_send(k), "rep long, salt int, member boolean, doc_id long, shingles binary")
+    sorted_ = sent.repartition(parts, "rep", "salt").sortWithinPartitions("rep", "salt", "member")
+    found = sorted_.mapInArrow(_verify(similarity), "lo long, hi long")
     joined = components(found)
     of_class = classes.join(joined, classes["first"] == joined["node"], "left").select("key", F.coalesce("root", "first").alias("component_id"))
     return prints.join(of_class, "key").select("doc_id", "component_id")
@@ -211,7 +274,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     groups = written(similar_groups(docs, similarity, id_col=id_col, text_col=text_col), "groups")
     extra = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.join(extra, id_col, "left_anti").select(*docs.columns)
+    out = docs.join(checked_broadcast(extra), id_col, "left_anti").select(*docs.columns)
     if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.where(F.col(id_col).isNull()).unionByName(out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
     return out
