@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from ..sources.shared import checkpointed
 
 #: Bounds of page sizes and of the alert threshold.
 PAGE_MOST, RECENT_MOST, ATTEMPTS_MOST, STREAK_LEAST, STREAK_MOST = 200, 500, 1000, 2, 20
@@ -73,9 +74,11 @@ def failure_streaks(jobs: DataFrame, threshold: int = 3) -> DataFrame:
     done = jobs.where("status <> 'running'").select("site_id", "id", "created_at", bad.alias("bad"))
     last_good = done.where(~F.col("bad")).groupBy("site_id").agg(F.max(F.struct("created_at", "id")).alias("good"))
     streak = done.where("bad").join(last_good, "site_id", "left").where(F.col("good").isNull() | (F.struct("created_at", "id") > F.col("good")))
-    n = Window.partitionBy("site_id").orderBy("created_at", "id")
-    ordered = streak.withColumn("n", F.row_number().over(n))
-    return ordered.groupBy("site_id").agg(F.count("*").alias("failures"), F.max_by("id", "n").alias("latest_id"), F.max(F.when(F.col("n") == least, F.col("id"))).alias("alert_id")).where(F.col("failures") >= least)
+    counts = streak.groupBy("site_id").agg(F.count("*").alias("failures"), F.max_by("id", F.struct("created_at", "id")).alias("latest_id"))
+    # the rank is cut at the threshold before the shuffle, so a site with many jobs sends few
+    ranked = streak.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("created_at", "id"))).where(F.col("n") <= least)
+    alerts = ranked.where(F.col("n") == least).select("site_id", F.col("id").alias("alert_id"))
+    return counts.where(F.col("failures") >= least).join(alerts, "site_id")
 
 
 def numbered_attempts(attempts: DataFrame) -> DataFrame:
@@ -137,14 +140,14 @@ def retry_seeds(jobs: DataFrame, attempts: DataFrame, most: int = 500) -> DataFr
 def retry_lineage(jobs: DataFrame, most: int = 16) -> DataFrame:
     """id, root, generation: each job's first ancestor by retries, at most ``most`` levels."""
     link = jobs.select("id", "retry_of")
-    level = link.select("id", F.col("retry_of").alias("up"), F.lit(0).alias("generation"), F.col("id").alias("root"))
+    level = checkpointed(link.select("id", F.col("retry_of").alias("up"), F.lit(0).alias("generation"), F.col("id").alias("root")))
     for _ in range(most):
         open_ = level.where("up is not null")
         if open_.isEmpty():
             break
         up = link.select(F.col("id").alias("root2"), F.col("retry_of").alias("next"))
         joined = level.join(up, level["up"] == up["root2"], "left")
-        level = joined.select("id", F.when(F.col("root2").isNotNull(), F.col("next")).alias("up"), (F.col("generation") + F.when(F.col("root2").isNotNull(), 1).otherwise(0)).alias("generation"), F.coalesce("root2", "root").alias("root"))
+        level = checkpointed(joined.select("id", F.when(F.col("root2").isNotNull(), F.col("next")).alias("up"), (F.col("generation") + F.when(F.col("root2").isNotNull(), 1).otherwise(0)).alias("generation"), F.coalesce("root2", "root").alias("root")))
     return level.select("id", "root", "generation")
 
 

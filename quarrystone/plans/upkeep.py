@@ -402,3 +402,75 @@ def grf4_reused_snapshots(a: Archive):
 def sch1_changed_sites(a: Archive):
     digests = a.sites.select(F.col("id").alias("site_id"), F.lit("a").alias("last_digest"), F.when(F.col("id") % 2 == 0, "b").otherwise("a").alias("current_digest"))
     return policy.schedule(a.sites, F.lit("2024-06-01").cast("timestamp_ntz"), 1 << 30, digests).select("id", "next_at")
+
+
+@query(
+    """select (select count(*) from assets where snapshot_id not in (select id from snapshots)) as orphaned, (select count(*) from snapshots where id not in (select snapshot_id from assets)) as without_assets,
+    (select count(*) from assets where bytes = 0) as empty, (select count(*) from assets where snapshot_id not in (select id from snapshots)) = 0 and (select count(*) from assets where bytes = 0) = 0 as ok""",
+    ("assets", "snapshots"),
+)
+def int1_inspection(a: Archive):
+    keys = a.snapshots.select(F.col("id").alias("snapshot_id"))
+    orphaned = a.assets.select("snapshot_id").join(keys, "snapshot_id", "left_anti").agg(F.count("*").alias("orphaned"))
+    bare = keys.join(a.assets.select("snapshot_id"), "snapshot_id", "left_anti").agg(F.count("*").alias("without_assets"))
+    empty = a.assets.agg(F.count_if(F.col("bytes") == 0).alias("empty"))
+    return orphaned.crossJoin(bare).crossJoin(empty).withColumn("ok", (F.col("orphaned") == 0) & (F.col("empty") == 0))  # single rows
+
+
+@query("select digest, min(id) as first_id, count(*) as n, list_sort(list_distinct(list(folder))) as folders from assets group by digest", ("assets",))
+def snk8_asset_index(a: Archive):
+    return a.assets.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.array_sort(F.collect_set("folder")).alias("folders"))
+
+
+@query("select t.id, s.site_id, si.name from assets t join snapshots s on s.id = t.snapshot_id join sites si on si.id = s.site_id", ("assets", "snapshots", "sites"))
+def jn13_asset_sites(a: Archive):
+    s = a.snapshots.select(F.col("id").alias("snapshot_id"), "site_id")
+    return a.assets.select("id", "snapshot_id").join(s, "snapshot_id").join(a.sites.select(F.col("id").alias("site_id"), "name"), "site_id").select("id", "site_id", "name")
+
+
+@query("select id, coalesce(used + reserved + 1000000 > quota, false) as refused, greatest(0, quota - used - reserved) * if(quota is null, null, 1) as available from (select id, quota, id * 10000000000 as used, id * 5000000000 as reserved from users)", ("users",))
+def msc4_assert_available(a: Archive):
+    from ..operators.quota import quota_columns
+
+    used, reserved = F.col("id") * 10_000_000_000, F.col("id") * 5_000_000_000
+    cols = quota_columns(F.col("quota"), used, reserved)
+    return a.users.select("id", F.coalesce(used + reserved + 1_000_000 > F.col("quota"), F.lit(False)).alias("refused"), cols["available"].alias("available"))
+
+
+@query("select id, greatest(1, least(32, id % 50 - 5)) as slots, id % 50 - 5 between 1 and 32 as valid from sites", ("sites",))
+def msc5_scheduler_settings(a: Archive):
+    n = F.col("id") % 50 - 5
+    return a.sites.select("id", F.greatest(F.lit(1), F.least(F.lit(32), n)).alias("slots"), n.between(1, 32).alias("valid"))
+
+
+@query("select id, greatest(0, least(5, id % 9 - 2)) as depth, greatest(1, least(500, id % 700)) as pages from sites", ("sites",))
+def msc15_form_clamps(a: Archive):
+    bounded = lambda c, low, high: F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return a.sites.select("id", bounded(F.col("id") % 9 - 2, 0, 5).alias("depth"), bounded(F.col("id") % 700, 1, 500).alias("pages"))
+
+
+@query("select id, digest from assets where snapshot_id = 5 order by id limit 1", ("assets",))
+def msc16_first_asset(a: Archive):
+    return a.assets.where("snapshot_id = 5").select("id", "digest").orderBy("id").limit(1)
+
+
+@query("select count(*) = 0 as open from users", ("users",))
+def msc17_registration_open(a: Archive):
+    return a.users.agg((F.count("*") == 0).alias("open"))
+
+
+@query("select s.id, count(j.id) as jobs, count(j.id) filter (j.status = 'complete') as complete from sites s left join jobs j on j.site_id = s.id where s.visibility = 'public' group by s.id", ("sites", "jobs"))
+def msc11_exportable_sites(a: Archive):
+    n = a.jobs.groupBy(F.col("site_id").alias("id")).agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "complete").alias("complete"))
+    rows = a.sites.where("visibility = 'public'").select("id").join(n, "id", "left")
+    return rows.select("id", F.coalesce("jobs", F.lit(0)).alias("jobs"), F.coalesce("complete", F.lit(0)).alias("complete"))
+
+
+@query("select event_id as id, contains(lower(props), lower('_%')) as hit from events")
+def str8_literal_wildcards(a: Archive):
+    return a.activity.select("id", text.contains_any("_%", F.col("detail")).alias("hit"))
+
+
+@query("select id, url is not null and regexp_matches(url, '^https://www\\.[^/]+\\.test/$') as live from sites", ("sites",))
+def url12_history_urls(a: Archive):
+    return a.sites.select("id", urls.archive_history_url(F.col("url")).startswith("https://web.archive.org/web/*/https://www.").alias("live"))

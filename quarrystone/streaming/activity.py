@@ -5,34 +5,47 @@ Streams need event time as TIMESTAMP; every function takes a streaming or a batc
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 
+def _limit(limit: int, span: int):
+    """Rows sorted by key and time: only the times of the last events let through are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = object(), deque()
+        for b in batches:
+            allowed = []
+            for key, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key != last:
+                    last, kept = key, deque()
+                while kept and kept[0] <= t - span:
+                    kept.popleft()
+                allowed.append(len(kept) < limit)
+                if allowed[-1]:
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(allowed, pa.bool_())], ["key", "id", "allowed"])
+
+    return run
+
+
 def limited(events: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
     """key, id, allowed: an event is let through if fewer than ``limit`` were in the ``seconds`` before it.
 
-    Only those let through count; one exactly ``seconds`` old does not. A fold over a key's events keeps
-    no more than the last ``limit`` times. Keys are users or addresses, whose events within a
-    batch one row can hold.
+    Only those let through count; one exactly ``seconds`` old does not. Each verdict depends on those before, so a
+    key's events pass one task in order, which holds no more than ``limit`` times of them.
     """
-    rows = events.select(key, F.struct(F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"), F.col("id")).alias("e"))
-    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("all"))
-    span = seconds * 1_000_000
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("out"))
-
-    def step(acc, e):
-        live = F.filter(acc["kept"], lambda t: t > e["t"] - span)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(e["t"]))).otherwise(live).alias("kept"), F.concat(acc["out"], F.array(F.struct(e["id"].alias("id"), ok.alias("allowed")))).alias("out"))
-
-    folded = lists.select(key, F.aggregate("all", start, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select(key, F.explode("out").alias("o")).select(key, "o.id", "o.allowed")
+    rows = events.select(F.col(key).alias("key"), "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"))
+    sorted_ = rows.repartition("key").sortWithinPartitions("key", "t", "id")
+    kind = StructType([rows.schema["key"], rows.schema["id"], StructField("allowed", BooleanType())])
+    return sorted_.mapInArrow(_limit(limit, seconds * 1_000_000), kind).withColumnRenamed("key", key)
 
 
 def tumbling(events: DataFrame, minutes: int = 60, late: str = "2 hours") -> DataFrame:
