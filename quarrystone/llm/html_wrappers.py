@@ -48,6 +48,8 @@ BOILER_WORDS = set(
 HEAD_WORDS = set("header masthead topbar".split())
 MAIN_WORDS = set("article articlebody body-text content entry main maincontent post postbody story".split())
 MAX_DEPTH = 120
+#: Pages on which a text must be the same to count as template.
+CONSTANT = 3
 #: Hosts that a partition keeps at a time, shares of a host's wrappers that are aligned apart.
 HOSTS_HELD, SHARES = 500, 16
 #: Wrappers up to so many bytes together are broadcast; more are joined with salted pages.
@@ -141,10 +143,13 @@ def parse(page: str) -> list:
 # ---- wrappers: an element is {s, o, r, k}, a group {s: "()", ...}, a slot {s: "#", o, r, c, n, t, a}
 
 
+def _constant(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()
+
+
 def _item(node: list) -> dict:
     if node[0] is None:
-        c = hashlib.blake2b(node[1].encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()
-        return {"s": "#", "o": 0, "r": 0, "c": c, "n": 1, "t": len(node[1]), "a": node[2]}
+        return {"s": "#", "o": 0, "r": 0, "c": _constant(node[1]), "n": 1, "t": len(node[1]), "a": node[2]}
     return {"s": node[0], "o": 0, "r": 0, "k": align([], [_item(x) for x in node[1]], False)}
 
 
@@ -231,14 +236,25 @@ def infer(pages: list[str]) -> dict:
 # ---- what a wrapper's elements are
 
 
+#: Parts of class names that say something about other elements than their own.
+STATES = set("has no with without is not hide show open closed enabled disabled status active count".split())
+
+
 def _words(signature: str) -> set[str]:
-    return {w.lower() for w in _WORD.findall(signature.split(" ", 1)[1])} if " " in signature else set()
+    """Words of classes and ids, without those of names that only tell of a state, like ``has-sidebar``."""
+    out: set[str] = set()
+    for name in signature.split(" ")[1:]:
+        words = [w.lower() for w in _WORD.findall(name)]
+        if not STATES & set(words):
+            out.update(words)
+    return out
 
 
 def _is_boiler(signature: str, inside: bool) -> bool:
-    tag, words = signature.split(" ", 1)[0], _words(signature)
-    if tag in ("article", "main") and not words & {"comment", "comments", "reply", "related", "ad", "promo", "sponsored"}:
-        return False
+    tag, *names = signature.split(" ")
+    if tag in ("article", "main"):  # these are boilerplate only by a whole name
+        return bool(BOILER_WORDS & {n.lower() for n in names})
+    words = _words(signature)
     if tag in BOILER_TAGS or words & BOILER_WORDS:
         return True
     return not inside and (tag == "header" or bool(words & HEAD_WORDS))
@@ -248,13 +264,33 @@ def _flat(items: list[dict]) -> list[dict]:
     return [x for i in items for x in (_flat(i["k"]) if i["s"] == "()" else [i])]
 
 
-def judge(wrapper: dict) -> dict:
-    """Marks elements of the wrapper: ``d`` dropped, ``m`` the article (there may be several)."""
+def _slots(x: dict, inside: bool = False) -> Iterator[tuple[dict, bool]]:
+    """Text slots of a wrapper, each with whether it lies in an article element."""
+    here = inside or x["s"].split(" ", 1)[0] in ("article", "main")
+    for k in _flat(x["k"]):
+        if k["s"] == "#":
+            yield k, here
+        else:
+            yield from _slots(k, here)
+
+
+def judge(wrapper: dict, several: bool = True) -> dict:
+    """Marks parts of the wrapper: ``d`` dropped, ``m`` the article (there may be several).
+
+    Text that never varies over CONSTANT pages or more belongs to the template, unless it lies in an
+    article element or the template would then outweigh what varies. ``several`` False: one page alone tells
+    nothing about that.
+    """
+    weights = {True: 0, False: 0}
+    for x, _ in _slots(wrapper):
+        weights[x["c"] is not None] += x["t"]
+    templates = several and weights[True] < weights[False]
 
     def weigh(x: dict, inside: bool) -> tuple[int, int]:
         """Characters that count for the article, and all of the element's characters in links."""
         if x["s"] == "#":
-            return x["t"] - x["a"], x["a"]
+            x["d"] = int(templates and not inside and x["c"] is not None and x["n"] >= CONSTANT)
+            return (0 if x["d"] else x["t"] - x["a"]), x["a"]
         here = inside or x["s"].split(" ", 1)[0] in ("article", "main")
         x["d"] = int(_is_boiler(x["s"], inside))
         text = linked = 0
@@ -311,13 +347,14 @@ def blocks(tree: list, wrapper: dict | None) -> list[str]:
         here = inside or node[0].split(" ", 1)[0] in ("article", "main")
         items, at = _flat(lead["k"]) if lead else [], 0
         for child in node[1]:
+            name = child[0] or "#"
+            hit = next((i for i in (*range(at, len(items)), *range(at)) if items[i]["s"] == name), None)
+            item = None if hit is None else items[hit]
+            at = at if hit is None else hit
             if child[0] is None:
-                if taking:
+                if taking and not (item and item["d"] and _constant(child[1]) == item["c"]):
                     out.append(child[1])
                 continue
-            hit = next((i for i in (*range(at, len(items)), *range(at)) if items[i]["s"] == child[0]), None)
-            item = None if hit is None else items[hit]
-            at = at if hit is None else hit
             if item["d"] if item else _is_boiler(child[0], here):
                 continue
             walk(child, item, taking or bool(item and item.get("m")), here)
@@ -331,7 +368,7 @@ def extract(page: str, wrapper: dict | None) -> str:
     tree = parse(page)
     found = blocks(tree, wrapper) if wrapper else []
     if not found:
-        found = blocks(tree, judge(_item(tree)))
+        found = blocks(tree, judge(_item(tree), several=False))
     return "\n".join(found)
 
 

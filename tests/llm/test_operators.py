@@ -477,6 +477,17 @@ def test_wrappers(spark, small):
     assert html_wrappers.extract("", None) == "" and html_wrappers.extract("<p>a<br>b < c <div unfinished", None) == "a b < c"
 
 
+def test_wrappers_tell_template_text_from_articles():
+    bare = [f"<body><table><tr><td><a href=1>Home</a></td><td><a href=2>News</a></td></tr></table><div><h2>Head {n}</h2><p>Body text of page {n}, several words long.</p></div><div>Copyright 2020 Example</div></body>" for n in range(4)]
+    wrapper = html_wrappers.judge(html_wrappers.infer(bare))
+    assert html_wrappers.extract(bare[1], wrapper) == "Head 1\nBody text of page 1, several words long."
+    copies = html_wrappers.judge(html_wrappers.infer([bare[0]] * 5))  # nothing varies, so nothing is template
+    assert html_wrappers.extract(bare[0], copies).startswith("Head 0\nBody text")
+    named = '<article class="post comment-open has-sidebar"><header><h1>T</h1></header><div class="entry-content"><p>P</p><div class="share-buttons">Share</div></div><footer>x</footer></article><div class="author">bio</div>'
+    assert html_wrappers.extract(named, None) == "T\nP"
+    assert html_wrappers.extract('<div class="content no-sidebar"><p>Text of it</p></div><div id="sidebar-right">S</div><article class="comment">c</article>', None) == "Text of it"
+
+
 def test_alignment_infers_repeats_and_options():
     seq = lambda *tags: [{"s": t, "o": 0, "r": 0, "k": []} for t in tags]
     show = lambda items: " ".join(f"({show(i['k'])})+" if i["s"] == "()" else i["s"] + "+" * i["r"] + "?" * i["o"] for i in items)
