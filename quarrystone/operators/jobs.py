@@ -97,7 +97,7 @@ def operations_summary(jobs: DataFrame, attempts: DataFrame, assets: DataFrame)
 
 
 def frontier_counts(attempts: DataFrame) -> DataFrame:
-    """State and outcome counts of each job; both share one map in the reference's records."""
+    """Outcome counts of each job and the number of attempts that are done."""
     return attempts.groupBy("job_id").agg(F.count("*").alias("done"), *(F.count_if(F.col("status") == s).alias(s) for s in ("captured", "failed", "skipped")))
 
 
