@@ -41,3 +41,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all that ``written`` and ``fresh_path`` have left in the shared folder; no frame of them can be read after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarrystone")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
