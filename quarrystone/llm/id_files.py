@@ -6,8 +6,8 @@ each frame its compressed size, its decompressed size and the low 32 bits of the
 content. Any zstandard reader reads the files whole; a reader that knows the table
 decompresses only the documents it is asked for and checks each against its own checksum.
 
-Documents are written in ascending id, a range of ids a file. Rows travel as compressed frames, and a file is put in place by a rename, so a task that runs
-again writes the same file again.
+Documents are written in ascending id, a range of ids a file. A file is put in place by a rename, so a task
+that runs again writes the same file again.
 """
 
 from __future__ import annotations
@@ -32,18 +32,11 @@ from .tokens import tokenizer
 
 #: Fixed values of zstandard's seekable format, and an own skippable frame for the index.
 _SKIP_SEEK, _SKIP_INDEX, _SEEK_MAGIC, _CHECKSUMS = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
-#: Token ids that a file holds, about.
-FILE_IDS = 16_000_000
-_FRAMES = "doc_id long, n long, frame binary, checksum long"
+#: Bytes of text that a file stands for, about; larger files suit larger clusters.
+FILE_BYTES = 28_000_000
 _NULL = -(1 << 63)
 
 
-def compress(ids: bytes, level: int = 3) -> bytes:
-    """One frame; a 32-bit id is split in planes of bytes, which compress better apart."""
-    planes = np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True).compress(planes)
-
-
 def _file_system(path: str):
     """Any store that pyarrow knows by its address; plain paths are the local, shared one."""
     if "://" in path or path.startswith("file:"):
@@ -59,12 +52,17 @@ class Writer:
         self.temp = f"{self.path}.{uuid.uuid4().hex}"
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.out = self.fs.open_output_stream(self.temp)
+        self.compressor = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
         self.entries, self.index = [], []
 
-    def add(self, doc_id: int | None, n: int, frame: bytes, checksum: int) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> int:
+        """A frame for one document's little-endian 32-bit ids; their planes of bytes compress better apart."""
+        planes, n = np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes(), len(ids) // 4
+        frame = self.compressor.compress(planes)
         self.out.write(frame)
-        self.entries.append(struct.pack("<III", len(frame), 4 * n, checksum))
+        self.entries.append(struct.pack("<III", len(frame), len(planes), xxhash.xxh64_intdigest(planes) & 0xFFFFFFFF))
         self.index.append(struct.pack("<qI", _NULL if doc_id is None else doc_id, n))
+        return n
 
     def close(self) -> int:
         body = b"".join(self.index)
@@ -117,59 +115,35 @@ class Reader:
                 yield d, self.ids(i)
 
 
-def _encode(path: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                counts, frames, sums = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = tok.encode(text or "") + end
-                    frame = compress(ids)
-                    counts.append(len(ids) // 4)
-                    frames.append(frame)
-                    sums.append(xxhash.xxh64_intdigest(np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()) & 0xFFFFFFFF)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary()), pa.array(sums, pa.int64())],
-                    ["doc_id", "n", "frame", "checksum"],
-                )
-
-    return run
-
-
-def _write(folder: str):
-    """Rows of a range, sorted; one file a partition, none if it is empty."""
+def _write(folder: str, path: str, end_id: int):
+    """Texts of a range of ids, sorted: encodes and writes them, one file a partition, none if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
         writer, file, tokens = None, TaskContext.get().partitionId(), 0
-        path = f"{folder}/{file:08d}.zst"
+        target = f"{folder}/{file:08d}.zst"
         for b in batches:
-            for key, n, frame, checksum in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                writer = writer or Writer(path)
-                writer.add(key, n, frame, checksum)
-                tokens += n
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                writer = writer or Writer(target)
+                tokens += writer.add(key, tok.encode(text or "") + end)
         if writer:
-            yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "path": [path], "docs": [writer.close()], "tokens": [tokens]})
+            yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "path": [target], "docs": [writer.close()], "tokens": [tokens]})
 
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns their manifest: file, path, docs, tokens, base (ids before it).
 
-    Documents go in ascending id; a null id comes first, rows that share an id by length, then
-    frame. Null and empty texts hold the end id alone. Empty table: no files. Other columns
-    are neither read nor returned.
+    Documents go in ascending id; a null id comes first, rows that share an id by text. Null and empty
+    texts hold the end id alone. Empty table: no files. Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # written, since finding the ranges reads the rows as well: texts are encoded once
-    frames = written(two.mapInArrow(_encode(tokenizer_path, end_id), _FRAMES), "frames")
-    total = frames.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("frame")]
-    dealt = frames.repartitionByRange(max(1, round(total / file_ids)), order[0]).sortWithinPartitions(*order)
-    manifest = written(dealt.mapInArrow(_write(folder), "file int, path string, docs long, tokens long"), "manifest")
+    total = two.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = two.repartitionByRange(max(1, round(total / file_bytes)), first).sortWithinPartitions(first, F.col("text").asc_nulls_first())
+    manifest = written(dealt.mapInArrow(_write(folder, tokenizer_path, end_id), "file int, path string, docs long, tokens long"), "manifest")
     each = manifest.select("file", "tokens").toPandas().sort_values("file")  # a row a file
     each["base"] = each["tokens"].cumsum() - each["tokens"]
     base = spark.createDataFrame(each[["file", "base"]].astype({"file": "int32", "base": "int64"}), "file int, base long")

@@ -330,7 +330,7 @@ def test_near_copies(spark, odd, none):
 
 def test_id_files(spark, tmp_path, docs, texts, odd, none):
     lib = Tokenizer.from_file(WORDS)
-    manifest = id_files.write_ids(docs, WORDS, str(tmp_path / "ids"), file_ids=60_000)
+    manifest = id_files.write_ids(docs, WORDS, str(tmp_path / "ids"), file_bytes=150_000)
     rows = id_files.read_ids(manifest).orderBy("doc_id").collect()
     assert manifest.count() > 1
     at = 0
