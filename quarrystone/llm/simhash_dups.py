@@ -165,19 +165,16 @@ def checked_broadcast(ids: DataFrame) -> DataFrame:
 
 
 def candidates(sketches: DataFrame) -> DataFrame:
-    """Pairs (rep, doc_id): in each table, a ball's members with its two representatives, if their fingerprints are near.
+    """Pairs (rep, doc_id): in each table, a ball's members with its representative, if their fingerprints are near.
 
-    One shuffle by variant serves the group's aggregate and its members. Representatives are the least and the
-    largest id after a table's own bits are flipped, so tables choose different ones.
+    One shuffle by variant serves the group's aggregate and its members. The representative is the least id, in
+    every table and ball alike, so that balls of one group of copies mostly share theirs.
     """
     parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tables = F.flatten(F.transform("sig", lambda fp, t: F.transform(ball(fp, TABLE_BITS), lambda v: F.shiftleft(t.cast("long"), TABLE_BITS) + v)))
     met = sketches.repartition(parts).select("doc_id", F.explode(tables).alias("variant")).repartition(parts, "variant")
-    flip = F.xxhash64(F.shiftright("variant", TABLE_BITS))
-    order = F.col("doc_id").bitwiseXOR(flip)
-    groups = met.groupBy("variant").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most")
-    ends = F.explode(F.array("least", "most")).alias("end")
-    pairs = met.join(groups.hint("merge"), "variant").select("variant", "doc_id", ends).select(F.col("end").bitwiseXOR(flip).alias("rep"), "doc_id").where("rep <> doc_id").distinct()
+    groups = met.groupBy("variant").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+    pairs = met.join(groups.hint("merge"), "variant").where("rep < doc_id").select("rep", "doc_id").distinct()
     of = lambda name, sig, n: sketches.select(F.col("doc_id").alias(name), F.col("sig").alias(sig), F.col("n_words").alias(n))
     both = pairs.join(of("rep", "a", "m"), "rep").join(of("doc_id", "b", "n"), "doc_id")
     differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, x: z + x)
