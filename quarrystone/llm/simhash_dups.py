@@ -9,6 +9,7 @@ connection, and no group's pairs are spelled out. Links are deduplicated and ver
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,9 +137,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
 
 #: Shingle words, least Jaccard similarity, fingerprints of a document and bits of each.
 WORDS, SIMILARITY, TABLES, TABLE_BITS = 5, 0.8, 6, 32
-#: Candidates that differ in more of all TABLES x TABLE_BITS bits are not verified: of 8428 pairs at the
-#: least similarity or above that were measured, one in a thousand did.
+#: Candidates of the fingerprints that differ in more of all TABLES x TABLE_BITS bits are left to the shared shingles.
 MOST_BITS = 26
+#: One document in so many, and the least of them that a shingle is in to count as common; at most so many count.
+#: They only order shingles; which pairs are found depends on no order.
+COMMON_OF, COMMON_IN, COMMON_MOST = 16, 3, 1_000_000
+#: Pairs of a shingle's documents that are looked at together.
+PAIRS_TOGETHER = 4_000_000
 #: Ids up to so many are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a representative that one task verifies.
@@ -192,6 +197,12 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
+def _hashes(text: str | None, k: int) -> np.ndarray:
+    """The sorted set of a text's shingles as 32-bit hashes."""
+    found = set(shingles(words_of(text or ""), k))
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s, SEED) for s in found), np.uint32, len(found)))
+
+
 def _send(k: int):
     """A document's set of shingles to each representative that it is compared with."""
 
@@ -199,8 +210,7 @@ def _send(k: int):
         for b in batches:
             rows = []
             for key, text, goals in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found = set(shingles(words_of(text or ""), k))
-                data = _packed(np.unique(np.fromiter((xxhash.xxh32_intdigest(s, SEED) for s in found), np.uint32, len(found))))
+                data = _packed(_hashes(text, k))
                 rows += [(g["rep"], g["salt"], key != g["rep"], key, data) for g in goals]
                 if len(rows) >= 2000:
                     yield _sent(rows)
@@ -237,30 +247,141 @@ def _verify(similarity: float):
     return run
 
 
+def _verified(two: DataFrame, pairs: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Links (lo, hi) among ``pairs`` (rep, doc_id): those of which the sets of shingles are similar."""
+    parts = int(two.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a representative with many members is compared with them in several tasks, and sends its set to each
+    salts = pairs.groupBy("rep").agg((F.lit(1) + F.floor(F.count("*") / MEMBERS_TOGETHER)).cast("int").alias("salts"))
+    member = pairs.join(salts, "rep").select("doc_id", "rep", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
+    itself = salts.select(F.col("rep").alias("doc_id"), "rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    goals = written(member.unionByName(itself).groupBy("doc_id").agg(F.collect_list(F.struct("rep", "salt")).alias("goals")), "goals")
+    sent = two.join(checked_broadcast(goals), "doc_id").select("doc_id", "text", "goals").mapInArrow(_send(k), "rep long, salt int, member boolean, doc_id long, shingles binary")
+    sorted_ = sent.repartition(parts, "rep", "salt").sortWithinPartitions("rep", "salt", "member")
+    return written(sorted_.mapInArrow(_verify(similarity), "lo long, hi long"), "links")
+
+
+def _all_shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(text, k).astype(np.int64))], ["shingle"])
+
+    return run
+
+
+def _prefixes(similarity: float, k: int, common: np.ndarray):
+    """A document's first shingles, the common ones ordered last: so many that a similar set shares one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            held = 0
+            for key, text, root in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                hashes = _hashes(text, k)
+                n = len(hashes)
+                if not n:
+                    continue
+                last = np.isin(hashes, common)
+                first = np.concatenate([hashes[~last], hashes[last]])[: n - math.ceil(similarity * n - 1e-9) + 1]
+                m = len(first)
+                rows.append((first.astype(np.int64), np.full(m, key), np.full(m, root), np.full(m, n), n - np.arange(m)))
+                held += m
+                if held >= 100_000:
+                    yield _stacked(rows, _PREFIX)
+                    rows, held = [], 0
+            if rows:
+                yield _stacked(rows, _PREFIX)
+
+    return run
+
+
+_PREFIX, _PAIR = ["shingle", "doc_id", "root", "n", "rest"], ["rep", "doc_id"]
+
+
+def _stacked(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in zip(*rows, strict=True)], names)
+
+
+def _meet(similarity: float):
+    """Rows sorted by shingle: pairs of its documents that may be similar and aren't connected yet.
+
+    ``rest`` shingles are left from this one on, and no more can be shared if it is the first that is.
+    """
+
+    def pairs_of(key, root, n, rest) -> Iterator[pa.RecordBatch]:
+        step = max(1, PAIRS_TOGETHER // len(key))
+        for at in range(0, len(key), step):
+            one = slice(at, at + step)
+            least = similarity / (1 + similarity) * (n[one, None] + n[None, :]) - 1e-6
+            hit = (key[one, None] < key[None, :]) & (root[one, None] != root[None, :]) & (np.minimum(rest[one, None], rest[None, :]) >= least)
+            i, j = np.nonzero(hit)
+            if len(i):
+                yield _stacked([(key[at + i], key[j])], _PAIR)
+
+    def groups(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not len(held[0]):
+            return
+        starts = np.flatnonzero(np.diff(held[0], prepend=held[0][0] - 1))
+        ends = np.append(starts[1:], len(held[0]))
+        for g in np.flatnonzero(np.minimum.reduceat(held[2], starts) != np.maximum.reduceat(held[2], starts)):
+            yield from pairs_of(*(c[starts[g] : ends[g]] for c in held[1:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []  # batches from the start of the last shingle on
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if not len(cols[0]):
+                continue
+            kept.append(cols)
+            if cols[0][-1] != kept[0][0][0]:
+                whole = [np.concatenate(c) for c in zip(*kept, strict=True)]
+                cut = np.searchsorted(whole[0], whole[0][-1])
+                yield from groups([c[:cut] for c in whole])
+                kept = [[c[cut:] for c in whole]]
+        if kept:
+            yield from groups([np.concatenate(c) for c in zip(*kept, strict=True)])
+
+    return run
+
+
+def shared_shingles(two: DataFrame, roots: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Pairs (rep, doc_id) not connected yet, among which are all whose sets of shingles are similar.
+
+    In any one order of the shingles, two sets of similarity s or more have one in common among the first
+    (1 - s) n + 1 of each. Common shingles come last, so that few documents meet at one. ``roots``
+    (doc_id, root) holds what is connected; a null root leaves a document out.
+    """
+    spark = two.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = two.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_OF)) == 0).select("text").mapInArrow(_all_shingles(k), "shingle long")
+    often = sample.groupBy("shingle").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "shingle").limit(COMMON_MOST)
+    common = np.sort(often.select("shingle").toArrow()["shingle"].to_numpy().astype(np.uint32))
+    known = two.join(checked_broadcast(roots.withColumn("known", F.lit(True))), "doc_id", "left").where("known is null or root is not null")
+    rows = known.select("doc_id", "text", F.coalesce("root", "doc_id").alias("root")).mapInArrow(_prefixes(similarity, k, common), "shingle long, doc_id long, root long, n long, rest long")
+    met = rows.repartition(parts, "shingle").sortWithinPartitions("shingle")
+    return met.mapInArrow(_meet(similarity), "rep long, doc_id long").distinct()
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents joined by links of Jaccard similarity on k-word shingles.
 
-    Candidates are texts of which one of TABLES 32-bit fingerprints of the set of words meets in a
-    ball; each is verified on the sets of its shingles' 32-bit hashes. Texts with the same words are one
+    First candidates are texts of which one of TABLES 32-bit fingerprints of the set of words meets in a
+    ball; they connect most copies. All other pairs that can be similar meet at a shared shingle. Each is
+    verified on the sets of its shingles' 32-bit hashes. Texts with the same words are one
     class. Null and empty texts, which have no words, are one class too. Rows with a null id are left
     out, for lack of a name; an id is taken to name one text. Empty table: no rows. Other columns are
     neither read nor returned.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     prints = written(two.mapInArrow(_sketches, "doc_id long, key string, sig array<long>, n_words long"), "sketches")
     classes = written(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("n_words").alias("n_words")), "classes")
     pairs = written(candidates(classes.where("n_words > 0").select(F.col("first").alias("doc_id"), "sig", "n_words")), "pairs")
-    # a representative with many members is compared with them in several tasks, and sends its set to each
-    salts = pairs.groupBy("rep").agg((F.lit(1) + F.floor(F.count("*") / MEMBERS_TOGETHER)).cast("int").alias("salts"))
-    member = pairs.join(salts, "rep").select("doc_id", "rep", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
-    itself = salts.select(F.col("rep").alias("doc_id"), "rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    goals = written(member.unionByName(itself).groupBy("doc_id").agg(F.collect_list(F.struct("rep", "salt")).alias("goals")), "goals")
-    sent = two.join(checked_broadcast(goals), "doc_id").select("doc_id", "text", "goals").mapInArrow(_send(k), "rep long, salt int, member boolean, doc_id long, shingles binary")
-    sorted_ = sent.repartition(parts, "rep", "salt").sortWithinPartitions("rep", "salt", "member")
-    found = sorted_.mapInArrow(_verify(similarity), "lo long, hi long")
-    joined = components(found)
+    links_ = _verified(two, pairs, similarity, k)
+    connected = written(components(links_), "connected")
+    copies = prints.join(classes.select("key", "first"), "key").where("doc_id <> first").select("doc_id", F.lit(None).cast("long").alias("root")).distinct()
+    roots = written(connected.select(F.col("node").alias("doc_id"), "root").unionByName(copies), "roots")
+    more = written(shared_shingles(two, roots, similarity, k), "more-pairs")
+    joined = components(links_.unionByName(_verified(two, more, similarity, k)))
     of_class = classes.join(joined, classes["first"] == joined["node"], "left").select("key", F.coalesce("root", "first").alias("component_id"))
     return prints.join(of_class, "key").select("doc_id", "component_id")
 

@@ -328,6 +328,26 @@ def test_near_copies(spark, odd, none):
     assert simhash_dups.keep_one(none).count() == 0
 
 
+def test_near_copies_that_differ_by_one_block(spark, monkeypatch):
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(900)]
+    rows = []
+    for g in range(120):
+        base = r.choices(words, k=r.randint(60, 300))
+        n = len(base)
+        other = base[: n - int(n * r.uniform(0.1, 0.19))] if g % 2 else base + r.choices(words, k=int(n * r.uniform(0.1, 0.19)))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    sets = {i: set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for i, t in rows}
+    like = [len(sets[2 * g] & sets[2 * g + 1]) >= 0.8 * len(sets[2 * g] | sets[2 * g + 1]) for g in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(like) > 90
+    for common_in, together in ((simhash_dups.COMMON_IN, simhash_dups.PAIRS_TOGETHER), (1, 2)):  # any order of shingles
+        monkeypatch.setattr(simhash_dups, "COMMON_IN", common_in)
+        monkeypatch.setattr(simhash_dups, "PAIRS_TOGETHER", together)
+        got = {x["doc_id"]: x["component_id"] for x in simhash_dups.similar_groups(table).collect()}
+        assert [got[2 * g + 1] == 2 * g for g in range(120)] == like and all(got[2 * g] == 2 * g for g in range(120))
+
+
 def test_id_files(spark, tmp_path, docs, texts, odd, none):
     lib = Tokenizer.from_file(WORDS)
     manifest = id_files.write_ids(docs, WORDS, str(tmp_path / "ids"), file_bytes=150_000)
