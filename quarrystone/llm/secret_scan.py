@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models of random against ordinary strings.
 
 Two first-order Markov models over the characters of tokens, one of random strings and one of
-ordinary identifiers, are trained from labelled samples. A candidate is a maximal run of
-token characters of MIN_LENGTH or more that holds a letter and a digit; it is a secret when
+ordinary identifiers, are trained from labelled samples. A candidate is any stretch of
+MIN_LENGTH token characters or more, wherever it lies in a run of such; it is a secret when
 the log-likelihood ratio of the models, per character, exceeds a threshold that is set on
-held-out labelled samples.
+held-out labelled samples, and it holds a letter.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_LENGTH = 20
+_SEPARATORS = "+/_=-"
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 #: False alarms among held-out ordinary samples that the threshold may allow.
 ALARM_RATE = 0.001
@@ -64,6 +66,26 @@ class CharModels:
                 at, n = i, n + 1
         return total / n if n else -math.inf
 
+    def sums(self, s: str) -> np.ndarray:
+        """The ratio summed up to each place of a run; separators after separators, as in rulers, speak against it."""
+        at, steps, before = len(ALPHABET), [0.0], False
+        for c in s:
+            i, sep = _INDEX[c], c in _SEPARATORS
+            x = self.ratio[at][i]
+            steps.append(-abs(x) if sep and before else x)
+            at, before = i, sep
+        return np.cumsum(steps)
+
+    def best(self, s: str) -> float:
+        """The greatest mean ratio of a run's stretches of MIN_LENGTH characters or more; of a shorter run, its mean."""
+        c = self.sums(s)
+        return max(float((c[w:] - c[:-w]).max()) / w for w in _widths(len(s))) if s else -math.inf
+
+
+def _widths(n: int) -> range:
+    """Lengths of stretches to look at: a longer one consists of some of these, and one of them has no lower mean."""
+    return range(MIN_LENGTH, min(2 * MIN_LENGTH, n + 1)) if n >= MIN_LENGTH else range(n, n + 1)
+
 
 _INDEX = {c: i for i, c in enumerate(ALPHABET)}
 
@@ -87,7 +109,7 @@ def labelled_samples(seed: int = 17, n: int = SAMPLES) -> list[tuple[str, int]]:
 def train(samples: DataFrame) -> CharModels:
     """Models from labelled rows (``sample`` string, ``label`` 1 random or 0 ordinary).
 
-    A fifth of the samples, by hash, is held out and sets the threshold: the least score that
+    A fifth of the samples, by hash, is held out and sets the threshold: the least score of a best stretch that
     at most ALARM_RATE of the held-out ordinary samples reach. Null samples and labels are left
     out. What comes to the driver is bounded: pair counts of the alphabet, and score quantiles
     of at most ``SAMPLES`` held-out rows a class.
@@ -104,7 +126,7 @@ def train(samples: DataFrame) -> CharModels:
     ratio = tuple(tuple(x - y for x, y in zip(p, q, strict=True)) for p, q in zip(logs[1], logs[0], strict=True))
     model = CharModels(ratio, 0.0)
     held = rows.where("held and label = 0").orderBy(F.xxhash64("sample"), "sample").limit(SAMPLES).collect()
-    scores = sorted((model.score(r["sample"]) for r in held), reverse=True)
+    scores = sorted((model.best("".join(c for c in r["sample"] if c in _INDEX)) for r in held), reverse=True)
     return CharModels(ratio, max(0.0, scores[int(len(scores) * ALARM_RATE)] if scores else 0.0))
 
 
@@ -125,13 +147,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _stretches(s: str, models: CharModels) -> list[tuple[int, int]]:
+    """The whole run if it is above the threshold, else what stretches above it cover, up to the next separators, without ends that speak against it."""
+    c = models.sums(s)
+    c = c - models.threshold * np.arange(len(c))
+    if c[-1] > 0:
+        return [(0, len(s))] if any(x.isalpha() for x in s) else []
+    edges = np.zeros(len(c) + 1, np.int64)
+    for w in _widths(len(s)):
+        at = np.flatnonzero(c[w:] - c[:-w] > 0)
+        edges[at] += 1
+        edges[at + w] -= 1
+    covered = np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0)
+    out: list[tuple[int, int]] = []
+    reach = 2 * MIN_LENGTH
+    for lo, hi in zip(np.flatnonzero(covered == 1).tolist(), np.flatnonzero(covered == -1).tolist(), strict=True):
+        # ends within reach of the cover's, with the greatest sum between them
+        ends = np.arange(max(lo + 1, hi - reach), hi + 1)
+        low = np.minimum.accumulate(c[lo : min(lo + reach, hi)])
+        b = int(ends[np.argmax(c[ends] - low[np.minimum(ends - lo, len(low)) - 1])])
+        a = lo + int(np.argmin(c[lo : min(lo + reach, b)]))
+        while a and s[a - 1] not in _SEPARATORS:
+            a -= 1
+        while b < len(s) and s[b] not in _SEPARATORS:
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return [(a, b) for a, b in out if any(x.isalpha() for x in s[a:b])]
+
+
 def model_spans(text: str, models: CharModels) -> list[tuple[str, int, int]]:
-    out = []
-    for m in _RUN.finditer(text):
-        s = m.group()
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and models.score(s) > models.threshold:
-            out.append(("markov", m.start(), m.end()))
-    return out
+    return [("markov", m.start() + a, m.start() + b) for m in _RUN.finditer(text) for a, b in _stretches(m.group(), models)]
 
 
 def spans_of(text: str, models: CharModels) -> list[tuple[str, int, int]]:

@@ -189,6 +189,29 @@ def test_secret_scan(spark, odd, none, docs, texts):
     assert clean.columns == odd.columns and clean.count() == len(ODD)
 
 
+def test_secrets_without_digits_and_in_paths(spark):
+    models, r = secret_scan.default_models(spark), random.Random(11)
+    letters, more = secret_scan.ALPHABET[:52], secret_scan.ALPHABET[:62]
+    for kind, size, before, after in (
+        (letters, 32, "", ""), (letters[:26], 32, "", ""), (letters[26:], 32, "", ""), (more, 20, "", ""), (more, 20, "static/assets/build/module/client/", ""),
+        (more, 32, "config/service/account/session/", "/default/settings/template/file"), (more, 32, "key_", "_of_the_service_account"),
+    ):
+        whole = 0
+        for _ in range(200):
+            key = "".join(r.choices(kind, k=size))
+            text = f"see {before}{key}{after} there"
+            at = text.index(key)
+            whole += any(a <= at and b >= at + size for _, a, b in secret_scan.spans_of(text, models))
+        assert whole >= 190, (size, before)
+    two = ["".join(r.choices(more, k=32)) for _ in range(2)]
+    path = "/configuration/service/account/session/default/settings/template/content/document/"
+    text = f"{two[0]}{path}{path}{two[1]}"
+    left = secret_scan.redacted(text, secret_scan.spans_of(text, models), "#")
+    assert not any(k in left for k in two) and "settings" in left
+    for plain in ("Title" + "-" * 40, "=" * 50, "1" * 40, "static/assets/build/module/client/index", "_".join(["a"] + [""] * 30), "configuration-of-the-service-account"):
+        assert secret_scan.model_spans(plain, models) == [], plain
+
+
 def packed_right(rows, lib, texts):
     bins = collections.defaultdict(list)
     for r in rows:
