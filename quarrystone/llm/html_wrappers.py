@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from ._shared import written
 
 #: Elements whose content is no text, elements without content, elements inside a line.
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|audio|video|head"
+#: Those of RAW run to the page's end when unclosed; those of CLOSED are then read as if their tags weren't there.
+RAW, CLOSED = "script|style|iframe|textarea|title", "noscript|template|svg|select|object|canvas|audio|video"
+CLOSED_TAGS = set(CLOSED.split("|"))
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -56,10 +58,12 @@ HOSTS_HELD, SHARES = 500, 16
 BROADCAST_BYTES, SALTS = 32 << 20, 32
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z",
     re.S | re.I,
 )
+_CLOSED = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)({CLOSED})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
+_OPTIONS = re.compile(r"(?:\s*</?(?:option|optgroup)\b[^>]*>[^<]*)*", re.I)
 _ATTR = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -74,6 +78,24 @@ def _signature(tag: str, attrs: str) -> str:
     return " ".join([tag, *sorted(set(words))[:8]])
 
 
+def _ends(page: str) -> dict[int, int]:
+    """Where each element of CLOSED that has an end tag starts and ends."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in _CLOSED.finditer(page):
+        if not m[3]:
+            continue
+        starts = open_.setdefault(m[3].lower(), [])
+        if m[2]:
+            if starts:
+                out[starts.pop()] = m.end()
+        elif m[3].lower() == "svg" and m[4].endswith("/"):
+            out[m.start()] = m.end()
+        else:
+            starts.append(m.start())
+    return out
+
+
 def parse(page: str) -> list:
     """The tree of a page's block elements; inline elements only join or part text."""
     root = ["body", []]
@@ -98,7 +120,8 @@ def parse(page: str) -> list:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    ends = None
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             part = page[at : m.start()]
             buf.append(part)
@@ -111,6 +134,14 @@ def parse(page: str) -> list:
                 buf.append(" ")
             continue
         tag = tag.lower()
+        if tag in CLOSED_TAGS:
+            buf.append(" ")
+            if not end:
+                ends = _ends(page) if ends is None else ends
+                at = max(at, ends.get(m.start(), at))
+                if tag == "select" and m.start() not in ends:
+                    at = _OPTIONS.match(page, at).end()
+            continue
         if tag in INLINE:
             if tag == "a":
                 link = 0 if end else 1
@@ -118,7 +149,7 @@ def parse(page: str) -> list:
                 buf.append(" ")
             continue
         flush()
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             continue
         if end:
             close({tag}, {"body"})

@@ -531,6 +531,15 @@ def test_wrappers_tell_template_text_from_articles():
     assert html_wrappers.extract('<div class="content no-sidebar"><p>Text of it</p></div><div id="sidebar-right">S</div><article class="comment">c</article>', None) == "Text of it"
 
 
+def test_unclosed_elements_cut_nothing_off():
+    body = "<article><h1>Head</h1><p>Text of it.</p></article>"
+    for start in ("<head><title>T</title><body>", "<head><title>T</title><meta charset=x><script>var a</script>", "<svg><path d=x>", "<noscript>", "<select><option>A<option>B", "<object data=x>", "<video src=x>", "<svg/>", "<audio-player>", "<head><title>T</title></head><body><noscript>No</noscript><svg><text>S</text></svg><object>O<object>I</object>O</object>"):
+        assert html_wrappers.extract(start + body, None) == "Head\nText of it.", start
+    assert html_wrappers.extract(body + "<script>var a = '<p>x</p>'", None) == "Head\nText of it."
+    assert html_wrappers.extract("<svg><path>" + body + "<svg><text>S</text></svg>", None) == "Head\nText of it."
+
+
+
 def test_alignment_infers_repeats_and_options():
     seq = lambda *tags: [{"s": t, "o": 0, "r": 0, "k": []} for t in tags]
     show = lambda items: " ".join(f"({show(i['k'])})+" if i["s"] == "()" else i["s"] + "+" * i["r"] + "?" * i["o"] for i in items)
