@@ -338,23 +338,23 @@ def judge(wrapper: dict, several: bool = True) -> dict:
     wrapper["d"] = 0
     found: dict[str, list[dict]] = {"article": [], "main": [], "words": []}
 
-    def search(x: dict) -> None:
+    def search(x: dict, within: frozenset = frozenset()) -> None:
         if x["s"] == "#" or x["d"] or not x["w"]:
             return
         tag, words = x["s"].split(" ", 1)[0], _words(x["s"]) | set(x["s"].lower().split()[1:])
         kind = "article" if tag == "article" or "articlebody" in words else "main" if tag == "main" or (x is not wrapper and "main" in words) else "words" if words & MAIN_WORDS else None
-        if kind:
+        if kind and kind not in within:
             found[kind].append(x)
         if kind != "article":
             for k in _flat(x["k"]):
-                search(k)
+                search(k, within | {kind})
 
     search(wrapper)
     total = max(1, wrapper["w"])
     for kind, least in (("article", 0.0), ("main", 0.2), ("words", 0.5)):
         weight = sum(x["w"] for x in found[kind])
         if found[kind] and weight > least * total:
-            chosen = found[kind] if kind == "article" else [max(found[kind], key=lambda x: x["w"])]
+            chosen = found[kind]  # none lies in another
             break
     else:
         node = wrapper

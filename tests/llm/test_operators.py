@@ -540,6 +540,14 @@ def test_unclosed_elements_cut_nothing_off():
 
 
 
+def test_all_parts_of_a_split_article_stay():
+    split = [f"<body><div class=content><p>First part of page {n}, some words.</p></div><div class=ad>Buy {n}</div><div class=content><div class=entry><p>Second part of {n}, more.</p></div></div><footer>F</footer></body>" for n in range(4)]
+    wrapper = html_wrappers.judge(html_wrappers.infer(split))
+    for w in (wrapper, None):
+        assert html_wrappers.extract(split[2], w) == "First part of page 2, some words.\nSecond part of 2, more."
+
+
+
 def test_alignment_infers_repeats_and_options():
     seq = lambda *tags: [{"s": t, "o": 0, "r": 0, "k": []} for t in tags]
     show = lambda items: " ".join(f"({show(i['k'])})+" if i["s"] == "()" else i["s"] + "+" * i["r"] + "?" * i["o"] for i in items)
