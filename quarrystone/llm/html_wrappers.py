@@ -75,7 +75,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 def _signature(tag: str, attrs: str) -> str:
     """Tag, then class, id, role and itemprop words without digits."""
     words = [x for a in _ATTR.findall(attrs) for x in re.sub(r"\d+", "", " ".join(a[1:])).split()]
-    return " ".join([tag, *sorted(set(words))[:8]])
+    return " ".join([tag, *sorted(set(words))])
 
 
 def _ends(page: str) -> dict[int, int]:

@@ -548,6 +548,13 @@ def test_all_parts_of_a_split_article_stay():
 
 
 
+def test_names_late_in_the_alphabet_count():
+    many = "aa bb cc dd ee ff gg hh ii"
+    page = f'<div class="{many} sidebar">Side</div><div class="{many} story"><p>Text of the story</p><div class="{many} share">Share</div></div><div class="{many} zz">Other</div>'
+    assert html_wrappers.extract(page, None) == "Text of the story"
+
+
+
 def test_alignment_infers_repeats_and_options():
     seq = lambda *tags: [{"s": t, "o": 0, "r": 0, "k": []} for t in tags]
     show = lambda items: " ".join(f"({show(i['k'])})+" if i["s"] == "()" else i["s"] + "+" * i["r"] + "?" * i["o"] for i in items)
