@@ -19,6 +19,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,8 +51,10 @@ BOILER_WORDS = set(
 HEAD_WORDS = set("header masthead topbar".split())
 MAIN_WORDS = set("article articlebody body-text content entry main maincontent post postbody story".split())
 MAX_DEPTH = 120
-#: Pages on which a text must be the same to count as template.
-CONSTANT = 3
+#: Distinct pages, and share of the host's, on which a text must be the same to count as template.
+CONSTANT, MOSTLY = 3, 0.5
+#: Copied pages up to so many are broadcast.
+BROADCAST_COPIES = 1_000_000
 #: Hosts that a partition keeps at a time, shares of a host's wrappers that are aligned apart.
 HOSTS_HELD, SHARES = 500, 16
 #: Wrappers up to so many bytes together are broadcast; more are joined with salted pages.
@@ -171,23 +174,24 @@ def parse(page: str) -> list:
     return root
 
 
-# ---- wrappers: an element is {s, o, r, k}, a group {s: "()", ...}, a slot {s: "#", o, r, c, n, t, a}
+# ---- wrappers: an element is {s, o, r, k}, a group {s: "()", ...}, a slot {s: "#", o, r, c, n, e, t, a}; n and e count
+# distinct pages, of the wrapper and of what is being aligned with it; a page of which there are k copies counts 1 / k
 
 
 def _constant(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()
 
 
-def _item(node: list) -> dict:
+def _item(node: list, weight: float = 1.0) -> dict:
     if node[0] is None:
-        return {"s": "#", "o": 0, "r": 0, "c": _constant(node[1]), "n": 1, "t": len(node[1]), "a": node[2]}
-    return {"s": node[0], "o": 0, "r": 0, "k": align([], [_item(x) for x in node[1]], False)}
+        return {"s": "#", "o": 0, "r": 0, "c": _constant(node[1]), "n": 0, "e": weight, "t": len(node[1]), "a": node[2]}
+    return {"s": node[0], "o": 0, "r": 0, "k": align([], [_item(x, weight) for x in node[1]], False)}
 
 
 def _merged(x: dict, y: dict) -> dict:
     out = {"s": x["s"], "o": x["o"] | y["o"], "r": x["r"] | y["r"]}
     if x["s"] == "#":
-        return out | {"c": x["c"] if x["c"] == y["c"] else None, "n": x["n"] + y["n"], "t": x["t"] + y["t"], "a": x["a"] + y["a"]}
+        return out | {"c": x["c"] if x["c"] == y["c"] else None, "n": max(x["n"], y["n"]), "e": max(x["e"], y["e"]), "t": x["t"] + y["t"], "a": x["a"] + y["a"]}
     return out | {"k": align(x["k"], y["k"])}
 
 
@@ -255,12 +259,33 @@ def align(a: list[dict], b: list[dict], optional: bool = True) -> list[dict]:
     return out
 
 
+def _counted(x: dict, fresh: bool = False) -> dict:
+    """All counts moved to ``n``, or to ``e`` for a wrapper that is to be aligned with another."""
+    if x["s"] == "#":
+        both = round(x["n"] + x["e"], 9)
+        x["n"], x["e"] = (0, both) if fresh else (both, 0)
+    else:
+        for k in x["k"]:
+            _counted(k, fresh)
+    return x
+
+
+def _together(wrapper: dict | None, one: dict) -> dict:
+    """A wrapper with a page's or, counted afresh, another's; ``p`` is the number of distinct pages."""
+    if wrapper is None:
+        return _counted(one)
+    return _counted(_merged(wrapper, one)) | {"p": wrapper["p"] + one["p"]}
+
+
+def _page(page: str, weight: float) -> dict:
+    return _item(parse(page), weight) | {"p": weight}
+
+
 def infer(pages: list[str]) -> dict:
     """The wrapper of some pages, aligned in the order given."""
-    wrapper = None
+    wrapper, copies = None, Counter(pages)
     for page in pages:
-        one = _item(parse(page))
-        wrapper = one if wrapper is None else _merged(wrapper, one)
+        wrapper = _together(wrapper, _page(page, 1 / copies[page]))
     return wrapper
 
 
@@ -308,7 +333,7 @@ def _slots(x: dict, inside: bool = False) -> Iterator[tuple[dict, bool]]:
 def judge(wrapper: dict, several: bool = True) -> dict:
     """Marks parts of the wrapper: ``d`` dropped, ``m`` the article (there may be several).
 
-    Text that never varies over CONSTANT pages or more belongs to the template, unless it lies in an
+    Text that never varies over CONSTANT distinct pages or more, and MOSTLY of the host's, belongs to the template, unless it lies in an
     article element or the template would then outweigh what varies. ``several`` False: one page alone tells
     nothing about that.
     """
@@ -316,11 +341,12 @@ def judge(wrapper: dict, several: bool = True) -> dict:
     for x, _ in _slots(wrapper):
         weights[x["c"] is not None] += x["t"]
     templates = several and weights[True] < weights[False]
+    least = max(CONSTANT, MOSTLY * wrapper.get("p", 1)) - 1e-6
 
     def weigh(x: dict, inside: bool) -> tuple[int, int]:
         """Characters that count for the article, and all of the element's characters in links."""
         if x["s"] == "#":
-            x["d"] = int(templates and not inside and x["c"] is not None and x["n"] >= CONSTANT)
+            x["d"] = int(templates and not inside and x["c"] is not None and x["n"] >= least)
             return (0 if x["d"] else x["t"] - x["a"]), x["a"]
         here = inside or x["s"].split(" ", 1)[0] in ("article", "main")
         x["d"] = int(_is_boiler(x["s"], inside))
@@ -351,9 +377,9 @@ def judge(wrapper: dict, several: bool = True) -> dict:
 
     search(wrapper)
     total = max(1, wrapper["w"])
-    for kind, least in (("article", 0.0), ("main", 0.2), ("words", 0.5)):
+    for kind, share in (("article", 0.0), ("main", 0.2), ("words", 0.5)):
         weight = sum(x["w"] for x in found[kind])
-        if found[kind] and weight > least * total:
+        if found[kind] and weight > share * total:
             chosen = found[kind]  # none lies in another
             break
     else:
@@ -414,9 +440,8 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"host": pa.array(list(held), pa.string()), "share": pa.array([share] * len(held), pa.int32()), "wrapper": pa.array([json.dumps(w) for w in held.values()], pa.string())})
 
     for b in batches:
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            one = _item(parse(page or ""))
-            held[host] = _merged(held[host], one) if host in held else one
+        for host, page, weight in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            held[host] = _together(held.get(host), _page(page or "", weight))
             if len(held) >= HOSTS_HELD:
                 yield leave()
                 held.clear()
@@ -428,8 +453,7 @@ def _aligned(last: bool):
     def run(d: pd.DataFrame) -> pd.DataFrame:
         wrapper = None
         for text in sorted(d["wrapper"]):
-            one = json.loads(text)
-            wrapper = one if wrapper is None else _merged(wrapper, one)
+            wrapper = _together(wrapper, _counted(json.loads(text), True))
         return pd.DataFrame({"host": d["host"][:1], "share": 0, "wrapper": [json.dumps(judge(wrapper) if last else wrapper)]})
 
     return run
@@ -438,7 +462,10 @@ def _aligned(last: bool):
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, share, wrapper (JSON) from rows of host and html."""
     kind = "host string, share int, wrapper string"
-    partial = pages.mapInArrow(_partial, kind)
+    keyed = pages.select("host", "html", F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("digest"))
+    copies = written(keyed.groupBy("host", "digest").agg((1 / F.count("*")).alias("weight")).where("weight < 1"), "copies")
+    weighed = keyed.join(F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies, ["host", "digest"], "left")
+    partial = weighed.select("host", "html", F.coalesce("weight", F.lit(1.0)).alias("weight")).mapInArrow(_partial, kind)
     shares = partial.groupBy("host", "share").applyInPandas(lambda d: _aligned(False)(d), kind)
     return shares.groupBy("host").applyInPandas(lambda d: _aligned(True)(d), kind)
 

@@ -555,6 +555,19 @@ def test_names_late_in_the_alphabet_count():
 
 
 
+def test_copies_and_rare_texts_are_no_template(spark):
+    make = lambda n, extra="": f"<body><div>Site name</div><div><h2>Head {n}</h2><p>Body text of page {n}, several words long.</p>{extra}</div></body>"
+    quote = "<blockquote>A quote of this page alone</blockquote>"
+    pages = [make(0, quote)] * 4 + [make(n) for n in range(1, 6)]
+    want = "Head 0\nBody text of page 0, several words long.\nA quote of this page alone"
+    assert html_wrappers.extract(pages[0], html_wrappers.judge(html_wrappers.infer(pages))) == want
+    rare = [make(n, quote if n < 3 else "") for n in range(12)]
+    assert html_wrappers.extract(rare[0], html_wrappers.judge(html_wrappers.infer(rare))) == want
+    rows = spark.createDataFrame([(i, "http://h/", x) for i, x in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html_wrappers.main_text(rows).collect()}
+    assert [got[i] for i in range(4)] == [want] * 4 and got[4] == "Head 1\nBody text of page 1, several words long."
+
+
 def test_alignment_infers_repeats_and_options():
     seq = lambda *tags: [{"s": t, "o": 0, "r": 0, "k": []} for t in tags]
     show = lambda items: " ".join(f"({show(i['k'])})+" if i["s"] == "()" else i["s"] + "+" * i["r"] + "?" * i["o"] for i in items)
