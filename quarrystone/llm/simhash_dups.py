@@ -269,6 +269,13 @@ def _all_shingles(k: int):
     return run
 
 
+def _among(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted ``common``, looked up one by one, as it may be far longer."""
+    if not len(common):
+        return np.zeros(len(hashes), bool)
+    return common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+
+
 def _prefixes(similarity: float, k: int, common: np.ndarray):
     """A document's first shingles, the common ones ordered last: so many that a similar set shares one of them."""
 
@@ -281,7 +288,7 @@ def _prefixes(similarity: float, k: int, common: np.ndarray):
                 n = len(hashes)
                 if not n:
                     continue
-                last = np.isin(hashes, common)
+                last = _among(hashes, common)
                 first = np.concatenate([hashes[~last], hashes[last]])[: n - math.ceil(similarity * n - 1e-9) + 1]
                 m = len(first)
                 rows.append((first.astype(np.int64), np.full(m, key), np.full(m, root), np.full(m, n), n - np.arange(m)))
