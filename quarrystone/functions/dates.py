@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,13 @@ def valid_clock(text: Column) -> Column:
     return F.btrim(text).rlike(r"^(?:[01]\d|2[0-3]):[0-5]\d\z")
 
 
+def valid_zone(name: Column) -> Column:
+    """Whether the time-zone database of this Python knows the name; a missing one means UTC."""
+    known = sorted(zoneinfo.available_timezones())
+    trimmed = F.btrim(F.coalesce(name, F.lit("")))
+    return (trimmed == "") | trimmed.isin(known)
+
+
 def window_open(now: Column, start: str | None, end: str | None, zone: str = "UTC") -> Column:
     """Whether the capture window is open: no ends, always; one end, never; equal ends, always; it may span midnight."""
     if not start and not end:

@@ -124,6 +124,21 @@ def quality_status(problems: Column, warnings: Column) -> Column:
     return F.when(problems > 0, "problems").when(warnings > 0, "warnings").otherwise("complete")
 
 
+def quality_label(status: Column) -> Column:
+    return F.when(status.isin("complete", "warnings", "problems"), F.initcap(status)).otherwise("Unknown")
+
+
+def quality_facts(assets: Column, remote: Column, missing: Column, bare: Column) -> Column:
+    """One line of what a quality report counts."""
+    counts = ((assets, "local assets"), (remote, "remote dependencies"), (missing, "missing local resources"), (bare, "images without a source"))
+    return F.array_join(F.array(*(F.concat(n.cast("string"), F.lit(f" {what}")) for n, what in counts)), " · ")
+
+
+def has_relation(rel: Column, relations: tuple[str, ...] = ASSET_RELATIONS) -> Column:
+    """Whether any of a link's relations is among ``relations``, whatever their case."""
+    return F.arrays_overlap(F.split(F.lower(F.btrim(rel)), r"\s+"), F.array(*map(F.lit, relations)))
+
+
 def absolute_assets(page: Column, origin: str) -> Column:
     """Root-relative addresses of stored assets made absolute."""
     return F.regexp_replace(page, r"""(["'(=])(/snapshots/[A-Za-z0-9_-]+/asset/)""", "$1" + origin.rstrip("/") + "$2")

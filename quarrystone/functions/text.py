@@ -82,6 +82,11 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": "false"})
 
 
+def exact_keys(json: Column, keys: list[str]) -> Column:
+    """Whether a JSON object has these keys and no others."""
+    return F.coalesce(F.array_sort(F.json_object_keys(json)) == F.array(*map(F.lit, sorted(keys))), F.lit(False))
+
+
 def contains_any(needle: str, *cols: Column) -> Column:
     """Substring search over several columns, the needle trimmed, in lower case and at most 200 long."""
     q = needle.strip().lower()[:200]

@@ -1,40 +1,15 @@
-"""URL functions with percent-decoding and full reference resolution, as Arrow-batched UDFs."""
+"""Reference resolution, address blocks and robots rules by the standard library, as Arrow-batched UDFs."""
 
 from __future__ import annotations
 
 import ipaddress
-import re
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import urljoin
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from .urls import TRACKING_KEYS
-
-
-def canonical_one(url: str | None, mode: str = "normalize") -> str | None:
-    """Pairs are decoded, tracking keys left out, the rest sorted and encoded again."""
-    if url is None:
-        return None
-    p = urlsplit(url)
-    q = p.query
-    if mode == "drop":
-        q = ""
-    elif mode == "normalize" and q:
-        names = [(k, v) for k, v in parse_qsl(q, keep_blank_values=True) if not (k.lower() in TRACKING_KEYS or k.lower().startswith("utm_"))]
-        q = urlencode(sorted(names))
-    return urlunsplit((p.scheme.lower(), p.netloc.lower(), p.path or "/", q, ""))
-
-
-def canonical(mode: str = "normalize"):
-    @F.pandas_udf(StringType())
-    def run(urls: pd.Series) -> pd.Series:
-        return urls.map(lambda u: canonical_one(u, mode), na_action="ignore")
-
-    return run
-
 
 @F.pandas_udf(StringType())
 def join(base: pd.Series, href: pd.Series) -> pd.Series:
@@ -42,29 +17,6 @@ def join(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or h is None else urljoin(b, h.strip()) for b, h in zip(base, href, strict=True)])
 
 
-def reason_one(text: str | None, most: int = 240) -> str:
-    """One line without query values and credentials of the addresses in it."""
-    line = re.sub(r"\s+", " ", str(text or "Unknown error")).strip()
-    return re.sub(r"https?://[^\s<>\"']+", lambda m: redacted_one(m[0]) or "redacted URL", line, flags=re.I)[:most]
-
-
-def redacted_one(url: str) -> str | None:
-    p = urlsplit(url)
-    if p.scheme not in ("http", "https"):
-        return url[:500]
-    try:
-        port = f":{p.port}" if p.port else ""
-    except ValueError:
-        port = ""
-    names = [(k, "redacted") for k, _ in parse_qsl(p.query, keep_blank_values=True)]
-    return urlunsplit((p.scheme, (p.hostname or "") + port, p.path, urlencode(names), ""))[:1000]
-
-
-@F.pandas_udf(StringType())
-def safe_reason(texts: pd.Series) -> pd.Series:
-    return texts.map(reason_one)
-
-
 def address_verdict(address: str, private_allowed: bool = False) -> str:
     """``blocked``, ``private`` (blocked unless allowed) or ``allowed`` for a resolved address."""
     try:

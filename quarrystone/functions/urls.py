@@ -1,7 +1,8 @@
-"""URL functions as built-in expressions; kernels with full percent-decoding are in ``url_kernels``.
+"""URL functions as built-in expressions; full reference resolution is in ``url_kernels``.
 
 An address is cut by one pattern into scheme, authority, path, query and fragment, as RFC 3986
-does, so nothing raises on odd input.
+does, so nothing raises on odd input. Queries are read as forms write them: ``+`` and percent
+escapes are decoded before names are compared, and encoded again afterwards.
 """
 
 from __future__ import annotations
@@ -72,8 +73,8 @@ def replay_link_key(url: Column) -> Column:
 def canonical_url(url: Column, mode: str = "normalize") -> Column:
     """Lower-case scheme and authority, a path at least, no fragment; the query kept, sorted or dropped.
 
-    Sorting leaves out tracking keys and pairs without a name and orders pairs as they are written;
-    ``url_kernels.canonical`` decodes them first.
+    Sorting leaves out tracking keys and empty pairs and orders pairs as they are written;
+    ``canonical_decoded`` decodes them first.
     """
     if mode == "drop":
         q = F.lit("")
@@ -114,16 +115,62 @@ def site_name(url: Column) -> Column:
     return F.substring(F.regexp_replace(host, r"^www\.", ""), 1, 160)
 
 
+def decoded(value: Column) -> Column:
+    """A name or value of a query in plain text; a percent sign that starts no escape stands for itself."""
+    return F.url_decode(F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def encoded(value: Column) -> Column:
+    """The inverse of ``decoded``: letters, digits and ``_.-~`` stay, a space becomes ``+``."""
+    return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def query_pairs(url: Column) -> Column:
+    """The query's decoded (key, value) structs in order; a bare name has an empty value."""
+    written = F.filter(F.split(query(url), "&"), lambda p: p != "")
+    value = lambda p: F.when(p.contains("="), F.substring(p, F.locate("=", p) + 1, F.length(p))).otherwise("")
+    return F.transform(written, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("key"), decoded(value(p)).alias("value")))
+
+
+def _query_of(pairs: Column) -> Column:
+    return F.array_join(F.transform(pairs, lambda p: F.concat(encoded(p["key"]), F.lit("="), encoded(p["value"]))), "&")
+
+
+def form_fields(body: Column) -> Column:
+    """The fields of a form as a map; of a repeated field the last value counts, and fields without a value none."""
+    pairs = F.filter(query_pairs(F.concat(F.lit("?"), F.regexp_replace(body, "#", "%23"))), lambda p: p["value"] != "")
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
+
+
+def canonical_decoded(url: Column) -> Column:
+    """``canonical_url`` with pairs compared and sorted as they read, then encoded in one way."""
+    key = lambda p: F.lower(p["key"])
+    kept = F.filter(query_pairs(url), lambda p: ~key(p).isin(*TRACKING_KEYS) & ~key(p).startswith("utm_"))
+    return _join(scheme(url), F.lower(netloc(url)), _path_or_slash(url), _query_of(F.array_sort(kept)))
+
+
 def diagnostic_url(url: Column) -> Column:
     """Without credentials and fragment, query values redacted, at most 1000 characters; other text at most 500."""
-    port = F.regexp_extract(netloc(url), r":(\d+)$", 1)
-    host = F.concat(hostname(url), F.when(port == "", F.lit("")).otherwise(F.concat(F.lit(":"), port)))
-    pairs = F.filter(F.split(query(url), "&"), lambda p: p != "")
-    q = F.array_join(F.transform(pairs, lambda p: F.concat(F.substring_index(p, "=", 1), F.lit("=redacted"))), "&")
-    clean = F.substring(_join(scheme(url), host, path(url), q), 1, 1000)
+    port = F.regexp_extract(netloc(url), r":(\d{1,9})$", 1).try_cast("int")
+    host = F.concat(hostname(url), F.when(port.between(1, 65535), F.concat(F.lit(":"), port.cast("string"))).otherwise(F.lit("")))
+    names = F.transform(query_pairs(url), lambda p: F.struct(p["key"].alias("key"), F.lit("redacted").alias("value")))
+    clean = F.substring(_join(scheme(url), host, path(url), _query_of(names)), 1, 1000)
     return F.when(url.isNull() | (url == ""), F.lit(None)).when(scheme(url).isin("http", "https"), clean).otherwise(F.substring(url, 1, 500))
 
 
+_ADDRESS = r"(?i)https?://[^\s<>\"']+"
+
+
+def safe_reason(text: Column, most: int = 240) -> Column:
+    """A failure's text on one line, every address in it as ``diagnostic_url`` shows it."""
+    given = F.when(F.coalesce(text, F.lit("")) == "", F.lit("Unknown error")).otherwise(text)
+    line = F.trim(F.regexp_replace(given, r"(?U)[\s\x1c-\x1f]+", " "))
+    around, addresses = F.split(line, _ADDRESS, -1), F.regexp_extract_all(line, F.lit(_ADDRESS), F.lit(0))
+    told = F.concat(F.transform(addresses, diagnostic_url), F.array(F.lit("")))  # a text more than addresses
+    return F.substring(F.array_join(F.zip_with(around, told, lambda a, b: F.concat(a, b)), ""), 1, most)
+
+
 def split_patterns(value: Column) -> Column:
     """Patterns between commas and line ends, trimmed, empty ones left out."""
     return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[,\n\r]"), lambda p: F.btrim(p, F.lit(" \t"))), lambda p: p != "")
@@ -161,6 +208,35 @@ def is_web(url: Column) -> Column:
     return F.coalesce(scheme(url).isin("http", "https") & (netloc(url) != ""), F.lit(False))
 
 
+def outbound_problem(url: Column) -> Column:
+    """Why an address may not be fetched, by its form alone: scheme, credentials or port; null if it may."""
+    port = F.regexp_extract(netloc(url), r"^(?:.*@)?(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    return (
+        F.when(~F.coalesce(scheme(url).isin("http", "https") & (hostname(url) != ""), F.lit(False)), "scheme").when(netloc(url).contains("@"), "credentials")
+        .when((port != "") & (~port.rlike(r"^\d{1,5}$") | (port.try_cast("int") > 65535)), "port")
+    )
+
+
+def redirects_allowed(chain: Column) -> Column:
+    """Every hop of a redirect must pass the outbound policy anew."""
+    return F.forall(chain, lambda hop: outbound_problem(hop).isNull())
+
+
+#: Usual endings of content types.
+ENDINGS = {
+    "application/javascript": ".js", "application/json": ".json", "application/pdf": ".pdf", "font/woff2": ".woff2", "image/gif": ".gif", "image/jpeg": ".jpg",
+    "image/png": ".png", "image/svg+xml": ".svg", "image/webp": ".webp", "text/css": ".css", "text/html": ".html", "text/javascript": ".js", "text/plain": ".txt",
+}
+
+
+def asset_extension(url: Column, content_type: Column) -> Column:
+    """The path's ending if it has at most 8 characters, else the content type's, else ``.bin``."""
+    own = F.regexp_extract(path(url), r"[^/](\.[^./]{1,7})/*$", 1)
+    kind = F.lower(F.btrim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    usual = F.try_element_at(F.create_map(*(F.lit(x) for kv in ENDINGS.items() for x in kv)), kind)
+    return F.when(own != "", own).otherwise(F.coalesce(usual, F.lit(".bin")))
+
+
 def archive_capture_url(timestamp: Column, url: Column) -> Column:
     return F.concat(F.lit("https://web.archive.org/web/"), timestamp, F.lit("id_/"), url)
 

@@ -31,7 +31,7 @@ def url2_canonical(a: Archive):
 
 @query(f"select page_id, {_url(_SORTED)} as canonical from pages")
 def url2_canonical_decoded(a: Archive):
-    return a.raw("pages").select("page_id", url_kernels.canonical()(F.col("url")).alias("canonical"))
+    return a.raw("pages").select("page_id", urls.canonical_decoded(F.col("url")).alias("canonical"))
 
 
 @query(f"""select page_id, {_url("''")} as canonical from pages""")
@@ -66,10 +66,14 @@ def url8_diagnostic(a: Archive):
     return a.raw("pages").select("page_id", urls.diagnostic_url(F.col("url")).alias("safe"))
 
 
-@query()
+@query(
+    f"""select page_id, left('failed at ' || {_SCHEME} || '://' || lower({_N}) || {_PATH} || if({_Q} = '', '', '?' || array_to_string(list_transform(string_split({_Q}, '&'), lambda p: split_part(p, '=', 1) || '=redacted'), '&'))
+    || ' and ' || lower(regexp_extract(url, '^([^:]*)', 1)) || '://' || lower({_N}) || '/p?token=redacted twice', 240) as reason from pages"""
+)
 def url9_safe_reasons(a: Archive):
-    reason = F.concat(F.lit("failed  at\n"), F.col("url"), F.lit(" twice"))
-    return a.raw("pages").select("page_id", url_kernels.safe_reason(reason).alias("reason"))
+    secret = F.concat(F.regexp_replace("url", "^(https?)://([^/]*).*$", "$1://me:pw@$2"), F.lit("/p?token=abc"))
+    reason = F.concat(F.lit("failed  at\n"), F.col("url"), F.lit(" \t and "), secret, F.lit(" twice"))
+    return a.raw("pages").select("page_id", urls.safe_reason(reason).alias("reason"))
 
 
 @query(f"select page_id, {_SCHEME} in ('http', 'https') and {_N} <> '' as ok from pages")
@@ -102,10 +106,39 @@ def flt13_same_host(a: Archive):
     return a.raw("pages").where(urls.host_key(F.col("url")) == "thther.example.org").select("page_id")
 
 
-@query()
+#: Blocks of the IPv4 address space that are never fetched, and those that are private.
+_BLOCKED, _PRIVATE = ("0.0.0.0/32", "127.0.0.0/8", "169.254.0.0/16", "224.0.0.0/4", "240.0.0.0/4"), (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24",
+)
+
+
+def _in_blocks(blocks) -> str:
+    """Whether the number n lies in one of the blocks."""
+    tests = []
+    for b in blocks:
+        base, bits = b.split("/")
+        size = 1 << 32 - int(bits)
+        low = sum(int(x) << 8 * (3 - i) for i, x in enumerate(base.split(".")))
+        tests.append(f"n between {low} and {low + size - 1}")
+    return "(" + " or ".join(tests) + ")"
+
+
+_ODD = "('0x' || substr(h, 1, 2))::int % 4 = 0"
+
+
+@query(
+    f"""select id, address, case when {_in_blocks(_BLOCKED)} then 'blocked' when {_in_blocks(_PRIVATE)} then 'private' else 'allowed' end as verdict from (
+    select id, o[1] || '.' || o[2] || '.' || o[3] || '.' || o[4] as address, o[1]::bigint * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] as n from (
+    select id, list_transform([if({_ODD}, '0x' || (array['0a', '64', '7f', 'a9', 'ac', 'c0', 'c6', 'cb'])[('0x' || substr(h, 3, 2))::int % 8 + 1], '0x' || substr(h, 3, 2)), if({_ODD}, '0x' || (array['40', '10', 'fe', 'a8', '00', '12', '33'])[('0x' || substr(h, 5, 2))::int % 7 + 1], '0x' || substr(h, 5, 2)),
+      if({_ODD}, '0x' || (array['00', '02', '64', '71'])[('0x' || substr(h, 7, 2))::int % 4 + 1], '0x' || substr(h, 7, 2)), '0x' || substr(h, 9, 2)], lambda x: x::int) as o from (select id, sha256(url) as h from sites)))""",
+    ("sites",),
+)
 def flt15_outbound(a: Archive):
-    octet = lambda n: (F.col("id") * n % 256).cast("string")
-    address = F.concat_ws(".", octet(1), octet(7), octet(13), octet(3))
+    # addresses from digests of the sites' own; a quarter of them is moved near the special blocks
+    h = F.sha2("url", 256)
+    byte = lambda k: F.conv(F.substring(h, k, 2), 16, 10).cast("int")
+    near = lambda k, *values: F.when(byte(1) % 4 == 0, F.element_at(F.array(*map(F.lit, values)), byte(k) % len(values) + 1)).otherwise(byte(k)).cast("string")
+    address = F.concat_ws(".", near(3, 10, 100, 127, 169, 172, 192, 198, 203), near(5, 64, 16, 254, 168, 0, 18, 51), near(7, 0, 2, 100, 113), byte(9).cast("string"))
     return a.sites.select("id", address.alias("address")).withColumn("verdict", url_kernels.outbound_verdict()(F.col("address")))
 
 
@@ -177,13 +210,16 @@ def sch2_size_ceiling(a: Archive):
     return a.sites.select("id", policy.size_ceiling(F.col("id") % 60, F.lit(8 << 20), F.lit(4 << 20), F.col("id") % 130).alias("ceiling"))
 
 
-@query("select id, greatest(1.0, least(120.0, id::double - 20)) as delay, if(id % 3 = 0, 'owner_override', 'respect') as robots, case id % 4 when 0 then 'preserve' when 1 then 'drop' else 'normalize' end as query_mode from sites", ("sites",))
+@query(
+    """select c_custkey as id, greatest(1.0, least(120.0, c_acctbal / 50)) as delay, greatest(5.0, least(120.0, c_acctbal / 10)) as timeout, if(c_mktsegment = 'BUILDING', 'owner_override', 'respect') as robots,
+    case c_mktsegment when 'HOUSEHOLD' then 'drop' when 'FURNITURE' then 'preserve' else 'normalize' end as query_mode from customer"""
+)
 def sch3_policy_clamps(a: Archive):
-    k = F.col("id")
-    robots = F.when(k % 3 == 0, "OWNER_override").otherwise("nonsense")
-    mode = F.when(k % 4 == 0, "preserve").when(k % 4 == 1, "Drop").otherwise("x")
-    clean = policy.normalized(k.cast("double") - 20, F.lit(999.0), robots, mode)
-    return a.sites.select("id", clean["delay"].alias("delay"), clean["robots"].alias("robots"), clean["query_mode"].alias("query_mode"))
+    rows = a.raw("customer")
+    robots = F.replace("c_mktsegment", F.lit("BUILDING"), F.lit("Owner_Override"))
+    mode = F.replace(F.replace("c_mktsegment", F.lit("HOUSEHOLD"), F.lit("Drop")), F.lit("FURNITURE"), F.lit("PRESERVE"))
+    clean = policy.normalized(F.col("c_acctbal") / 50, F.col("c_acctbal") / 10, robots, mode)
+    return rows.select(F.col("c_custkey").alias("id"), *(clean[k].alias(k) for k in ("delay", "timeout", "robots", "query_mode")))
 
 
 @query("select id, case when bytes < 1024 then bytes || ' B' when bytes < 1048576 then printf('%.1f KB', bytes / 1024.0) else printf('%.1f MB', bytes / 1048576.0) end as size from assets", ("assets",))

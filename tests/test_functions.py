@@ -1,5 +1,7 @@
 import datetime
 import fnmatch
+import random
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,13 +27,27 @@ def test_canonical_url(spark):
     assert one(spark, urls.canonical_url(F.col("u")), u=u) == "https://example.com/news?a=1&b=2"
     assert one(spark, urls.canonical_url(F.col("u"), "drop"), u="https://example.com/news?a=1") == "https://example.com/news"
     assert one(spark, urls.canonical_url(F.col("u"), "preserve"), u="HTTP://A.b?x=2&x=1") == "http://a.b/?x=2&x=1"
-    assert url_kernels.canonical_one(u) == "https://example.com/news?a=1&b=2"
-    assert url_kernels.canonical_one("http://a/?b=%20&a%20=0&a=1&bare") == "http://a/?a=1&a+=0&b=+&bare="
+    read = lambda u: one(spark, urls.canonical_decoded(F.col("u")), u=u)
+    assert read(u) == "https://example.com/news?a=1&b=2"
+    assert read("http://a/?b=%20&a%20=0&a=1&bare") == "http://a/?a=1&a+=0&b=+&bare="
+    assert read("http://a/?x=%zz&~=*&%75tm_x=1&é=ü&a=b=c&=v") == "http://a/?=v&a=b%3Dc&x=%25zz&~=%2A&%C3%A9=%C3%BC"
+
+
+def test_queries_read_and_written_as_forms(spark):
+    pool = ["a", "B", "%20", "+", "%", "%4", "%41", "=", "&", "~", "*", "é", "%C3%BC", "/", "?", ".", "-", "utm_x", "gclid", ";", "日"]
+    r = random.Random(1)
+    made = ["http://h/p?" + "".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(made)), "i int, u string")
+    for got in rows.select("u", urls.query_pairs(F.col("u")).alias("pairs"), urls.canonical_decoded(F.col("u")).alias("c")).collect():
+        want = urllib.parse.parse_qsl(got["u"].partition("?")[2], keep_blank_values=True)
+        assert [tuple(p) for p in got["pairs"]] == want, got["u"]
+        kept = [p for p in want if p[0].lower() not in urls.TRACKING_KEYS and p[0][:4].lower() != "utm_"]
+        assert got["c"].partition("?")[2] == urllib.parse.urlencode(sorted(kept)), got["u"]
 
 
 def test_native_and_decoded_canonical_agree_on_simple_queries(spark, small):
     rows = spark.read.parquet(f"{small}/pages.parquet")
-    assert rows.where(urls.canonical_url(F.col("url")) != url_kernels.canonical()(F.col("url"))).count() == 0
+    assert rows.where(urls.canonical_url(F.col("url")) != urls.canonical_decoded(F.col("url"))).count() == 0
 
 
 def test_policy_globs(spark):
@@ -56,8 +72,6 @@ def test_url_parts(spark):
 
 
 def test_references(spark):
-    import urllib.parse
-
     base = "https://a.test/dir/page?x=1"
     for h in ("/root", "//b.test/x", "https://c.test/", "?q=2", ""):
         assert one(spark, urls.join_simple(F.col("b"), F.col("h")), b=base, h=h) == urllib.parse.urljoin(base, h), h
@@ -65,8 +79,11 @@ def test_references(spark):
         assert one(spark, url_kernels.join(F.col("b"), F.col("h")), b=base, h=h) == urllib.parse.urljoin(base, h)
 
 
-def test_reasons_and_addresses():
-    assert url_kernels.reason_one("a \n b https://u:p@x.test/?k=v") == "a b https://x.test/?k=redacted"
+def test_reasons_and_addresses(spark):
+    read = lambda t: one(spark, urls.safe_reason(F.col("t")), t=t)
+    assert read("a \n b https://u:p@x.test/?k=v") == "a b https://x.test/?k=redacted"
+    assert read("") == "Unknown error" and read("x" * 300) == "x" * 240
+    assert read("HTTP://A.b:080/c?d=1&e#f, http://x.test:99999/ and <https://y/?q q>") == "http://a.b:80/c?d=redacted&e=redacted http://x.test/ and <https://y/?q=redacted q>"
     verdicts = [url_kernels.address_verdict(a) for a in ("10.0.0.8", "100.64.0.8", "127.0.0.1", "169.254.169.254", "::1", "8.8.8.8", "x")]
     assert verdicts == ["private", "private", "blocked", "blocked", "blocked", "allowed", "blocked"]
     assert url_kernels.address_verdict("10.0.0.8", True) == "allowed"
