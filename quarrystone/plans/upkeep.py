@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, html, html_kernels, text, urls
-from ..operators import compare, policy, upkeep
+from ..operators import compare, crawl, objects, policy, upkeep
 from ..sources.tables import Archive
 from .registry import query
 
@@ -42,10 +42,15 @@ def flt14_followed(a: Archive):
     return a.raw("pages").select("page_id", urls.followed(F.element_at(kinds, (F.col("page_id") % 7 + 1).cast("int"))).alias("follow"))
 
 
-@query("select page_id, true as ok, page_id % 2 = 0 as redirect_ok from pages")
+_HOPS = "case when contains(u, '://m.') then 'credentials' when contains(u, '.net/') then 'port' when not regexp_matches(u, '^https?://[^/]') then 'scheme' end"
+
+
+@query(f"""select page_id, {_HOPS.replace('u,', 'url,')} as first_problem, {_HOPS.replace('u,', 'url,')} is null and starts_with(url, 'https') as allowed from pages""")
 def flt16_redirects(a: Archive):
-    chain = F.when(F.col("page_id") % 2 == 0, F.lit("https://b.test/")).otherwise(F.lit("ftp://b.test/"))
-    return a.raw("pages").select("page_id", urls.is_web(F.col("url")).alias("ok"), (urls.is_web(F.col("url")) & urls.is_web(chain)).alias("redirect_ok"))
+    # hosts below m. ask for a password, those in .net name a port that doesn't exist, and plain pages lead on to another scheme
+    odd = F.replace(F.replace("url", F.lit("://m."), F.lit("://me:pw@m.")), F.lit(".net/"), F.lit(".net:99999/"))
+    chain = F.array(odd, F.regexp_replace("url", "^http:", "ftp:"), F.lit("https://a.test/"))
+    return a.raw("pages").select("page_id", urls.outbound_problem(odd).alias("first_problem"), urls.redirects_allowed(chain).alias("allowed"))
 
 
 @query("select distinct s.run_id from snapshots s where s.run_id in (select run_id from jobs where status <> 'running')", ("snapshots", "jobs"))
@@ -110,13 +115,15 @@ def jn21_asset_lookup(a: Archive):
 
 @query(
     """select coalesce(l.key, r.key) as key, case when l.key is null then 'added' when r.key is null then 'removed' when l.d = r.d then 'unchanged' else 'changed' end as change
-    from (select folder || ' :: ' || id % 300 as key, arg_max(digest, id) as d from assets where id % 2 = 0 group by key) l full join (select folder || ' :: ' || id % 300 as key, arg_max(digest, id) as d from assets where id % 3 = 0 group by key) r on l.key = r.key""",
+    from (select folder || ' :: ' || bytes as key, arg_max(digest, id) as d from assets where id in (select doc_id from labels where quality = 1) group by key) l
+    full join (select folder || ' :: ' || bytes as key, arg_max(digest, id) as d from assets where id not in (select doc_id from labels where quality = 1) group by key) r on l.key = r.key""",
     ("assets",),
 )
 def jn16_resource_diff(a: Archive):
-    key = F.concat(F.col("folder"), F.lit(" :: "), (F.col("id") % 300).cast("string"))
-    side = lambda p: compare.keyed(a.assets.where(p), key, F.col("digest"))
-    return compare.changes(side("id % 2 = 0"), side("id % 3 = 0"))
+    # one capture holds the documents judged good, the other all the rest
+    good = a.raw("labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    side = lambda how: compare.keyed(a.assets.join(good, "id", how), F.concat_ws(" :: ", "folder", F.col("bytes").cast("string")), F.col("digest"))
+    return compare.changes(side("left_semi"), side("left_anti"))
 
 
 @query("select job_id, url, max(n) + 1 as next_number from (select job_id, url, row_number() over (partition by job_id, url order by id) as n from attempts) group by job_id, url", ("attempts",))
@@ -214,9 +221,10 @@ def srt12_runs_for_import(a: Archive):
     return runs.select("site_id", "run_id", F.row_number().over(Window.partitionBy("site_id").orderBy("t", "run_id")).alias("place"))
 
 
-@query("select distinct digest from assets where id % 5 = 0", ("assets",))
+@query("select digest from snapshots union select t.digest from assets t join snapshots s on s.id = t.snapshot_id", ("assets", "snapshots"))
 def set4_protected_digests(a: Archive):
-    return a.assets.where("id % 5 = 0").select("digest").distinct()
+    made = objects.manifests(a.snapshots, a.assets)
+    return objects.protected(made.where(objects.valid_manifest(F.col("pages"), F.col("resources"))))
 
 
 @query("select (select sum(bytes) from snapshots)::bigint + (select sum(bytes) from assets)::bigint as used", ("snapshots", "assets"))
@@ -225,32 +233,35 @@ def set5_total_usage(a: Archive):
     return both.agg(F.sum("bytes").alias("used"))
 
 
-@query("select page_id, page_id % 3 <> 0 as loads from pages")
+@query(
+    """select page_id, len(list_intersect(list_filter(string_split_regex(lower(trim(array_to_string(regexp_extract_all(html, '<a href="/([^"]*)"', 1), ' '))), '\\s+'), lambda x: x <> ''), ['the', 'de', 'para', 'nicht', 'und'])) > 0 as loads
+    from pages"""
+)
 def set6_link_relations(a: Archive):
-    rel = F.when(F.col("page_id") % 3 == 0, "next nofollow").when(F.col("page_id") % 3 == 1, "alternate Stylesheet").otherwise("icon")
-    return a.raw("pages").select("page_id", F.arrays_overlap(F.split(F.lower(rel), r"\s+"), F.array(*map(F.lit, html.ASSET_RELATIONS))).alias("loads"))
+    rel = F.array_join(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1)), " ")
+    return a.raw("pages").select("page_id", html.has_relation(rel, ("the", "de", "para", "nicht", "und")).alias("loads"))
 
 
-@query("select event_id as id, event_id % 2 = 0 as exact from events")
+@query("select event_id as id, value <= 5 as exact, list_sort(json_keys(if(value > 5, replace(props, '}', ', \"value\": 1}'), props))) = ['k', 'value'] as both from events")
 def set7_exact_keys(a: Archive):
-    json = F.when(F.col("id") % 2 == 0, '{"payload":1,"signature":2}').otherwise('{"payload":1,"signature":2,"x":3}')
-    return a.activity.select("id", (F.array_sort(F.json_object_keys(json)) == F.array(F.lit("payload"), F.lit("signature"))).alias("exact"))
+    json = F.when(F.col("value") > 5, F.replace("detail", F.lit("}"), F.lit(', "value": 1}'))).otherwise(F.col("detail"))
+    return a.activity.select("id", text.exact_keys(json, ["k"]).alias("exact"), text.exact_keys(json, ["value", "k"]).alias("both"))
 
 
-@query("select id, case id % 3 when 0 then '.css' when 1 then '.png' else '.bin' end as ext from assets", ("assets",))
+@query(
+    """select id, if(contains(seg, '.'), '.' || split_part(seg, '.', -1), if(content_type = 'application/json', '.json', '.html')) as ext from (
+    select id, content_type, string_split(rtrim(split_part(split_part(regexp_replace(source_url, '^https?://[^/?#]*', ''), '#', 1), '?', 1), '/'), '/')[-1] as seg from snapshots)""",
+    ("snapshots",),
+)
 def url13_asset_extensions(a: Archive):
-    k = F.col("id") % 3
-    url = F.when(k == 0, "https://a/x.css?v=1").otherwise("https://a/none")
-    found = F.regexp_extract(urls.path(url), r"(\.[^./]{1,7})$", 1)
-    by_type = F.element_at(F.create_map(F.lit("image/png"), F.lit(".png"), F.lit("text/css"), F.lit(".css")), F.when(k == 1, "image/png").otherwise("unknown/x"))
-    return a.assets.select("id", F.when(found != "", found).otherwise(F.coalesce(by_type, F.lit(".bin"))).alias("ext"))
+    return a.snapshots.select("id", urls.asset_extension(F.col("source_url"), F.col("content_type")).alias("ext"))
 
 
-@query("select id, case id % 3 when 0 then '/sites/' || id else '/dashboard' end as target from sites", ("sites",))
+@query("""select page_id, '/' || regexp_replace(url, '^https?://[^/]*/', '') as local, '/dashboard' as other, if(starts_with(url, 'https'), '/' || split_part(url, '/', 3), '/dashboard') as mixed from pages""")
 def url14_local_returns(a: Archive):
-    k = F.col("id").cast("string")
-    raw = F.when(F.col("id") % 3 == 0, F.concat(F.lit("/sites/"), k)).when(F.col("id") % 3 == 1, F.concat(F.lit("//evil/"), k)).otherwise(F.lit("https://evil/"))
-    return a.sites.select("id", urls.local_return(raw).alias("target"))
+    inside = F.regexp_replace("url", "^https?://[^/]*", " ")
+    mixed = F.concat(F.when(F.col("url").startswith("https"), F.lit("/")).otherwise(F.lit("//")), F.split_part("url", F.lit("/"), F.lit(3)))
+    return a.raw("pages").select("page_id", urls.local_return(inside).alias("local"), urls.local_return(F.col("url")).alias("other"), urls.local_return(mixed).alias("mixed"))
 
 
 @query("select id, ['/a' || id, '/b'] as patterns from sites", ("sites",))
@@ -264,9 +275,13 @@ def url6_joined(a: Archive):
     return rows.select("page_id", urls.join_simple(F.col("url"), F.concat(F.lit("/x/"), F.col("page_id").cast("string"))).alias("target"))
 
 
-@query("select id, id % 100 as number from assets", ("assets",))
+_SEGMENT = "string_split(split_part(split_part(url, '#', 1), '?', 1), '/')[-1]"
+
+
+@query(f"select page_id, if(regexp_full_match({_SEGMENT}, '[0-9]+'), {_SEGMENT}::bigint, null) as number from pages")
 def str5_asset_numbers(a: Archive):
-    return a.assets.select("id", text.asset_number(F.concat(F.lit("asset_"), F.lpad((F.col("id") % 100).cast("string"), 3, "0"))).alias("number"))
+    last = F.element_at(F.split(urls.path(F.col("url")), "/"), -1)
+    return a.raw("pages").select("page_id", text.asset_number(F.concat(F.lit("asset_"), last)).alias("number"))
 
 
 @query("select doc_id, sha256(text) as digest from documents")
@@ -279,10 +294,14 @@ def dt9_durations(a: Archive):
     return a.activity.groupBy("actor_id").agg(F.min("created_at").alias("first_at"), F.date_trunc("second", F.max("created_at")).cast("timestamp_ntz").alias("last_at"), F.sum(F.expr("div(unix_micros(cast(created_at as timestamp)), 1000000)")).alias("seconds"))
 
 
-@query("select id, id % 24 || ':30' as clock, id % 24 >= 10 as valid from jobs", ("jobs",))
+@query(
+    """select id, hour(created_at) || ':' || minute(created_at) as clock, hour(created_at) >= 10 and minute(created_at) >= 10 as valid_clock, 'Etc/GMT-' || hour(created_at) as zone, hour(created_at) <= 14 as valid_zone from activity""",
+    ("activity",),
+)
 def dt8_valid_clocks(a: Archive):
-    clock = F.concat((F.col("id") % 24).cast("string"), F.lit(":30"))
-    return a.jobs.select("id", clock.alias("clock"), dates.valid_clock(clock).alias("valid"))
+    clock = F.concat(F.hour("created_at").cast("string"), F.lit(":"), F.minute("created_at").cast("string"))
+    zone = F.concat(F.lit("Etc/GMT-"), F.hour("created_at").cast("string"))
+    return a.activity.select("id", clock.alias("clock"), dates.valid_clock(clock).alias("valid_clock"), zone.alias("zone"), dates.valid_zone(zone).alias("valid_zone"))
 
 
 @query(r"select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) as body from pages")
@@ -291,18 +310,6 @@ def htm3_visible_without_templates(a: Archive):
     return a.raw("pages").select("page_id", html.visible_text(page, templates=True).alias("body"))
 
 
-@query("select page_id, if(page_id % 2 = 0, 'menu' || page_id || '.html', null) as frame from pages")
-def htm7_first_frames(a: Archive):
-    page = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<frameset><FRAME name=a src='menu"), F.col("page_id").cast("string"), F.lit(".html'><frame src=\"c.html\">"))).otherwise(F.col("html"))
-    return a.raw("pages").select("page_id", html.first_frame(page).alias("frame"))
-
-
-@query("select id, case when id % 7 = 0 then 'Problems' when id % 3 = 0 then 'Warnings' else 'Complete' end as label from snapshots", ("snapshots",))
-def htm19_quality_labels(a: Archive):
-    status = html.quality_status(F.when(F.col("id") % 7 == 0, 1).otherwise(0), F.when(F.col("id") % 3 == 0, 1).otherwise(0))
-    return a.snapshots.select("id", F.initcap(status).alias("label"))
-
-
 @query("select id as snapshot_id, 'evidence_' || k as id, if(k = 'screenshot', 'image/png', 'application/pdf') as content_type from snapshots, (select unnest(['screenshot', 'pdf']) as k)", ("snapshots",))
 def htm20_evidence(a: Archive):
     kinds = F.explode(F.array(F.lit("screenshot"), F.lit("pdf"))).alias("k")
@@ -310,10 +317,20 @@ def htm20_evidence(a: Archive):
     return rows.select("snapshot_id", F.concat(F.lit("evidence_"), F.col("k")).alias("id"), F.when(F.col("k") == "screenshot", "image/png").otherwise("application/pdf").alias("content_type"))
 
 
-@query("select job_id, url, 0 as depth from attempts where status = 'failed' group by job_id, url having job_id % 3 = 0", ("attempts",))
+@query(
+    """select j.id as job_id, u.url, if(u.url is null, 'no starting address is permitted', null) as problem from jobs j left join (
+      select job_id, url from (select job_id, url, row_number() over (partition by job_id order by first) as n from (
+        select j.id as job_id, lower(t.url) as url, min(t.id) as first from jobs j join attempts t on t.job_id = j.retry_of where t.status = 'failed' group by all)) where n <= 2 and not contains(url, '/p1')
+      union all select id, 'https://site.test/home' from jobs where kind <> 'scheduled' and (retry_of is null or retry_of not in (select job_id from attempts where status = 'failed'))) u on u.job_id = j.id""",
+    ("jobs", "attempts"),
+)
 def grf2_seeds(a: Archive):
-    seeds = a.attempts.where("status = 'failed' and job_id % 3 = 0").select("job_id", "url").distinct()
-    return seeds.select("job_id", "url", F.lit(0).alias("depth"))
+    # scheduled jobs start at their site's own address, which is of another host than the one crawled
+    start = F.when(F.col("kind") == "scheduled", F.concat(F.lit("https://site-"), F.col("site_id").cast("string"), F.lit(".test/")))
+    jobs = a.jobs.select(F.col("id").alias("job_id"), F.col("retry_of").alias("retried"), start.alias("start_url"), F.lit("HTTPS://www.Site.test/home?a=1").alias("site_url"))
+    failed = a.attempts.where("status = 'failed'").select(F.col("job_id").alias("retried"), F.upper(F.substring("url", 1, 5)).alias("scheme"), F.col("url"), F.col("id").alias("pos"))
+    failed = failed.select("retried", F.concat("scheme", F.substring("url", 6, 1000)).alias("url"), "pos")
+    return crawl.seeds(jobs, failed, 2, "drop", [], ["/p1*"]).select("job_id", F.regexp_replace("url", r"//www\.", "//").alias("url"), "problem")
 
 
 @query("select id, status, if(id % 4 = 0 and status = 'running', true, false) as cancel_requested from jobs", ("jobs",))
@@ -331,14 +348,18 @@ def msc14_deeper(a: Archive):
     return upkeep.deeper(a.snapshots, F.col("id") % 7, F.col("id") % 90).select("id", "depth", "max_pages")
 
 
-@query("select event_id as id, event_id % 5 + 2 as ok, if(event_id % 2 = 0, 3, 0)::bigint as failed, 120 as kept, (80 + event_id % 50 + 60 - 120)::int as cut from events")
+@query(
+    """select actor_id, count(*) filter (action = 'click') as clicks, count(*) filter (action = 'error') as errors, least(120, count(*)) as kept, greatest(0, count(*) - 120) as cut,
+    arg_min(id, (if(isodow(created_at) < 4, 0, 1), id)) as first_item from activity group by actor_id""",
+    ("activity",),
+)
 def msc7_merged_diagnostics(a: Archive):
-    k = F.col("id")
-    one = F.create_map(F.lit("ok"), k % 5, F.lit("failed"), F.when(k % 2 == 0, 3).otherwise(-4).cast("long"))
-    two = F.create_map(F.lit("ok"), F.lit(2).cast("long"))
-    counts = upkeep.merged_counts(one, two)
-    items, cut = upkeep.merged_items(F.sequence(F.lit(1), (80 + k % 50).cast("int")), F.sequence(F.lit(1), F.lit(60)))
-    return a.activity.select("id", counts["ok"].alias("ok"), counts["failed"].alias("failed"), F.size(items).alias("kept"), cut.alias("cut"))
+    # two records of each actor, from the first and the second half of the week
+    rows = a.activity.select("actor_id", "id", "action", (F.weekday("created_at") >= 3).alias("late"))
+    return upkeep.merged_records(rows, "actor_id", "late", "action", "id").select(
+        "actor_id", F.coalesce(F.col("counts")["click"], F.lit(0)).alias("clicks"), F.coalesce(F.col("counts")["error"], F.lit(0)).alias("errors"),
+        F.size("items").cast("long").alias("kept"), "cut", F.col("items")[0].alias("first_item"),
+    )
 
 
 @query("select id, sha256('job_' || id) as opaque from jobs", ("jobs",))
@@ -357,10 +378,17 @@ def msc18_quota_labels(a: Archive):
     return a.users.select("id", F.when(F.col("quota").isNull(), "Unlimited").otherwise(text.human_size(F.col("quota"))).alias("shown"))
 
 
-@query("select id, case when delay <= 2 then 5.0 else delay end as delay, case when pages = 80 then 25 else pages end as pages from (select id, (id % 6)::double as delay, (id % 90) as pages from sites)", ("sites",))
+@query(
+    """select s.id, if(c_acctbal / 1000 <= 2, 5.0, c_acctbal / 1000) as delay, if(s.id % 100 = 80, 25, s.id % 100) as pages,
+    coalesce(j.last + to_days(case interval when 'daily' then 1 when 'weekly' then 7 when 'monthly' then 30 else 365 end), s.next_at) as next_at
+    from sites s join customer c on c.c_custkey = s.id left join (select site_id, max(finished_at) as last from jobs group by site_id) j on j.site_id = s.id""",
+    ("sites", "jobs"),
+)
 def msc6_migrated_policies(a: Archive):
-    delay, pages = (F.col("id") % 6).cast("double"), F.col("id") % 90
-    return a.sites.select("id", F.when(delay <= 2, 5.0).otherwise(delay).alias("delay"), F.when(pages == 80, 25).otherwise(pages).alias("pages"))
+    old = a.raw("customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("delay"), (F.col("c_custkey") % 100).alias("pages"))
+    last = a.jobs.groupBy(F.col("site_id").alias("id")).agg(F.max("finished_at").alias("last"))
+    rows = a.sites.select("id", "interval", "next_at").join(old, "id").join(last, "id", "left")
+    return policy.migrated(rows).select("id", "delay", "pages", "next_at")
 
 
 @query("select s.run_id, count(*) as pages from snapshots s where s.run_id in (select run_id from jobs where status = 'complete') group by s.run_id", ("snapshots", "jobs"))
@@ -369,27 +397,44 @@ def int6_runs_without_manifest(a: Archive):
     return a.snapshots.join(done, "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("pages"))
 
 
-@query("select id, if(id % 100 < 10, ['disk'], []) || if(id % 3 = 0, ['failures'], []) as alerts from sites", ("sites",))
+@query(
+    """select u.id, list_concat(if(coalesce(used, 0) * 100.0 > 5000000000 * 90.0 / 100, ['disk'], []), if(coalesce(broken, 0) > 0, ['failures'], [])) as alerts from users u
+    left join (select s.owner_id, sum(j.reserved) as used from jobs j join sites s on s.id = j.site_id where j.status = 'complete' group by s.owner_id) k on k.owner_id = u.id
+    left join (select s.owner_id, count(*) as broken from (select site_id, arg_max(status, (created_at, id)) as status from jobs group by site_id) j join sites s on s.id = j.site_id where j.status = 'error' group by s.owner_id) b on b.owner_id = u.id""",
+    ("users", "sites", "jobs"),
+)
 def ops1_alerts(a: Archive):
-    alerts = upkeep.operations_check(F.col("id") % 100, F.lit(100), 10.0, F.when(F.col("id") % 3 == 0, 1).otherwise(0))
-    return a.sites.select("id", alerts.alias("alerts"))
+    owned = a.sites.select(F.col("id").alias("site_id"), "owner_id")
+    used = a.jobs.where("status = 'complete'").groupBy("site_id").agg(F.sum("reserved").alias("n")).join(owned, "site_id").groupBy("owner_id").agg(F.sum("n").alias("used"))
+    latest = a.jobs.groupBy("site_id").agg(F.max_by("status", F.struct("created_at", "id")).alias("status")).where("status = 'error'")
+    broken = latest.join(owned, "site_id").groupBy("owner_id").agg(F.count("*").alias("broken"))
+    rows = a.users.select(F.col("id").alias("owner_id")).join(used, "owner_id", "left").join(broken, "owner_id", "left")
+    room = 50_000_000
+    alerts = upkeep.operations_check(room - F.coalesce("used", F.lit(0)), F.lit(room), 10.0, F.coalesce("broken", F.lit(0)))
+    return rows.select(F.col("owner_id").alias("id"), alerts.alias("alerts"))
 
 
-@query()
+@query(
+    """select page_id, '@import "https://a.test/local/' || l[1] || '"; ' || array_to_string(list_transform(l, lambda x: 'a{background:url("https://a.test/local/' || x || '")}'), '') as style
+    from (select page_id, list_transform(list_filter(regexp_extract_all(html, '<a href="/([^"]*)"', 1), lambda x: x <> ''), lambda x: x) as l from pages) where len(l) > 0"""
+)
 def htm10_rewritten_styles(a: Archive):
     @F.pandas_udf("string")
     def rewritten(bodies):
-        return bodies.map(lambda b: html_kernels.css(f"a{{background:url(x.png)}}{b}", "https://a.test/", lambda u: "/local/" + u.rsplit("/", 1)[-1]), na_action="ignore")
+        return bodies.map(lambda b: html_kernels.css(b, "https://a.test/x/", lambda u: u.replace("a.test/", "a.test/local/")), na_action="ignore")
 
-    return a.assets.where("content_type = 'text/css'").select("id", rewritten(F.col("body")).alias("body"))
+    names = F.filter(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1)), lambda x: x != "")
+    style = F.concat(F.lit("@import '/"), F.col("names")[0], F.lit("'; "), F.array_join(F.transform("names", lambda x: F.concat(F.lit("a{background:url( /"), x, F.lit(")}"))), ""))
+    return a.raw("pages").select("page_id", names.alias("names")).where(F.size("names") > 0).select("page_id", rewritten(style).alias("style"))
 
 
-@query()
+@query("select job_id, url from attempts group by job_id, url having bool_or(status = 'captured') or not regexp_matches(url, '^https?://[^/]+/p1')", ("attempts",))
 def grf3_allowed_frontier(a: Archive):
     from ..functions.url_kernels import robots_allowed
 
-    tried = a.attempts.select("job_id", "url").distinct()
-    return tried.where(robots_allowed("User-agent: *\nDisallow: /p1")(F.col("url")))
+    tried = a.attempts.groupBy("job_id", "url").agg(F.bool_or(F.col("status") == "captured").alias("kept"))
+    allowed = robots_allowed("User-agent: *\nDisallow: /p1")(F.col("url"))  # a page that is already kept isn't asked for
+    return tried.withColumn("allowed", allowed).where("kept or allowed").select("job_id", "url")
 
 
 @query("select a.job_id, count(*) as reused from attempts a join snapshots s on s.id = a.snapshot_id where a.status = 'captured' group by a.job_id", ("attempts", "snapshots"))
@@ -449,9 +494,9 @@ def msc15_form_clamps(a: Archive):
     return a.sites.select("id", bounded(F.col("id") % 9 - 2, 0, 5).alias("depth"), bounded(F.col("id") % 700, 1, 500).alias("pages"))
 
 
-@query("select id, digest from assets where snapshot_id = 5 order by id limit 1", ("assets",))
+@query("select id, digest from assets where snapshot_id = 4 order by id limit 1", ("assets",))
 def msc16_first_asset(a: Archive):
-    return a.assets.where("snapshot_id = 5").select("id", "digest").orderBy("id").limit(1)
+    return a.assets.where("snapshot_id = 4").select("id", "digest").orderBy("id").limit(1)
 
 
 @query("select count(*) = 0 as open from users", ("users",))

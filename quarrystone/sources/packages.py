@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.objects import inventory_diff, unsafe_path
+from .stores import file_system
 
 
 def _member(tar: tarfile.TarFile, name: str, body: bytes) -> dict:
@@ -57,6 +58,70 @@ def write_package(path: str, product: str, kind: str, about: dict, snapshots: Da
     return {"files": len(files), "pages": len(pages), "assets": len(stored)}
 
 
+_MADE = "package string, path string, files int, pages int, assets int"
+
+
+def _pack(folder: str, product: str, kind: str):
+    """Rows sorted by package, pages before assets: a tar.gz for each package, written as rows come."""
+    root, form = f"{product}-{kind}", f"{product}-{kind}-v1"
+
+    def close(state: dict) -> pa.RecordBatch:
+        archive = json.dumps({"format": form, "package": state["package"], "snapshots": state["pages"]}, sort_keys=True, indent=2)
+        state["files"].append(_member(state["tar"], f"{root}/archive.json", archive.encode()))
+        _member(state["tar"], f"{root}/manifest.json", json.dumps({"format": form, "files": sorted(state["files"], key=lambda f: f["path"])}, sort_keys=True, indent=2).encode())
+        state["tar"].close()
+        state["out"].close()
+        state["store"].move(state["temp"], state["path"])
+        sizes = [len(state["files"]), len(state["pages"]), len(state["files"]) - len(state["pages"]) - 1]
+        return pa.RecordBatch.from_pydict({"package": [state["package"]], "path": [state["target"]], **{k: pa.array([n], pa.int32()) for k, n in zip(("files", "pages", "assets"), sizes, strict=True)}})
+
+    def begin(package: str) -> dict:
+        store, base = file_system(folder)
+        store.create_dir(base, recursive=True)
+        path = f"{base}/{package}.tar.gz"
+        temp = f"{path}.{uuid.uuid4().hex}.part"
+        out = store.open_output_stream(temp)
+        return {"package": package, "store": store, "target": f"{folder}/{package}.tar.gz", "path": path, "temp": temp, "out": out, "tar": tarfile.open(fileobj=out, mode="w|gz"), "files": [], "pages": []}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for b in batches:
+            for package, asset, name, about, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if state is None or state["package"] != package:
+                    if state:
+                        yield close(state)
+                    state = begin(package)
+                where = f"payload/{'assets' if asset else 'pages'}/{name}"
+                state["files"].append(_member(state["tar"], f"{root}/{where}", body or b""))
+                if not asset:
+                    page = json.loads(about)
+                    refs = [r | {"package_path": f"payload/assets/{r['digest']}"} for r in page.pop("assets", [])]
+                    state["pages"].append(page | {"package_path": where, "assets": refs})
+        if state:
+            yield close(state)
+
+    return run
+
+
+def write_packages(folder: str, product: str, kind: str, snapshots: DataFrame, assets: DataFrame) -> DataFrame:
+    """Writes a package for each value of ``package`` and returns package, path, files, pages, assets.
+
+    ``snapshots`` holds package, id, body and more; ``assets`` snapshot_id, id, digest, body. An asset is stored once in a package.
+    Packages are written by many tasks side by side, each row by row; a package is put in place by a rename.
+    """
+    refs = assets.groupBy("snapshot_id").agg(F.sort_array(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), "digest"))).alias("assets"))
+    others = [c for c in snapshots.columns if c not in ("package", "body")]
+    rows = snapshots.join(refs, snapshots["id"] == refs["snapshot_id"], "left")
+    about = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in others), F.coalesce("assets", F.array().cast(refs.schema["assets"].dataType)).alias("assets")))
+    pages = rows.select("package", F.lit(False).alias("asset"), F.col("id").cast("string").alias("name"), about.alias("about"), F.col("body").cast("binary").alias("body"))
+    mine = assets.join(snapshots.select("package", F.col("id").alias("snapshot_id")), "snapshot_id")
+    once = mine.groupBy("package", F.col("digest").alias("name")).agg(F.first(F.col("body").cast("binary")).alias("body"))
+    stored = once.select("package", F.lit(True).alias("asset"), "name", F.lit(None).cast("string").alias("about"), "body")
+    parts = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pages.unionByName(stored).repartition(parts, "package").sortWithinPartitions("package", "asset", "name")
+    return dealt.mapInArrow(_pack(folder, product, kind), _MADE)
+
+
 _ENTRY = "package string, path string, bytes long, digest string, safe boolean, body binary"
 
 

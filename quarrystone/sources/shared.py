@@ -1,14 +1,41 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables and files in it that go when the application ends."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, one under the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which Hadoop deletes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/quarrystone/{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+    return path
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A path that nothing else uses."""
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder of ``spark.checkpoint.dir``; where it is unset, as in tests, under the warehouse."""
+    """``df.checkpoint()`` in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -16,8 +16,8 @@ VIEWS_SQL = {
     "sites": "select c_custkey as id, c_nationkey::bigint as owner_id, c_name as name, 'https://www.' || lower(replace(c_name, '#', '-')) || '.test/' as url, if(c_mktsegment in ('BUILDING', 'MACHINERY'), 'private', 'public') as visibility, (array['daily','weekly','monthly','yearly'])[(c_custkey % 4 + 1)::int] as interval, if(c_custkey % 5 = 0, null, timestamp '2024-01-01' + to_days((c_custkey % 400)::int)) as next_at, c_custkey % 9 = 0 as paused from customer",
     "jobs": "select o_orderkey as id, o_custkey as site_id, (o_orderkey % 30)::bigint as actor_id, case when o_orderkey % 11 = 0 then 'interrupted' when o_orderstatus = 'F' then 'complete' when o_orderstatus = 'O' then 'error' else 'running' end as status, case substr(o_orderpriority, 1, 1) when '1' then 'retry' when '2' then 'scheduled' else 'live' end as kind, 'run_' || (o_orderkey // 3) as run_id, o_orderdate as created_at, case when o_orderstatus = 'P' then null else o_orderdate + to_seconds((o_orderkey % 5000)::int) end as finished_at, (o_orderkey % 4)::bigint as failed, (o_orderkey % 7)::bigint as captured, cast(floor(o_totalprice) as bigint) as reserved, if(o_orderstatus = 'O', 'HTTP 50' || (o_orderkey % 5) || ' 100% missing', null) as error, if(o_orderkey % 8 = 1, o_orderkey - 1, null) as retry_of, o_orderkey % 13 = 0 as auto_resume from orders",
     "attempts": "select ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey as id, l_orderkey as job_id, 'https://site.test/p' || (l_partkey % 50) as url, case l_returnflag when 'R' then 'failed' when 'A' then 'captured' else 'skipped' end as status, l_suppkey as snapshot_id, (l_linenumber % 4)::bigint as depth, cast(l_quantity as bigint) as bytes, l_shipdate as started_at from lineitem",
-    "snapshots": "select page_id as id, page_id % 100 + 1 as site_id, 'run_' || (page_id % 40) as run_id, url as source_url, url as final_url, if(page_id % 17 = 0, 'wayback', 'live') as kind, if(page_id % 10 = 0, 'application/json', 'text/html; charset=utf-8') as content_type, strlen(html)::bigint as bytes, sha256(html) as digest, timestamp '2024-01-01' + to_hours(page_id::int) as created_at, html as body from pages",
-    "assets": "select doc_id as id, doc_id % 250 as snapshot_id, source as folder, if(doc_id % 3 = 0, 'text/css', if(doc_id % 3 = 1, 'image/png', 'application/javascript')) as content_type, strlen(text)::bigint as bytes, sha256(text) as digest, text as body from documents",
+    "snapshots": "select page_id as id, page_id % 100 + 1 as site_id, 'run_' || (page_id // 25) as run_id, url as source_url, url as final_url, if(page_id % 17 = 0, 'wayback', 'live') as kind, if(page_id % 10 = 0, 'application/json', 'text/html; charset=utf-8') as content_type, strlen(html)::bigint as bytes, sha256(html) as digest, timestamp '2024-01-01' + to_hours(page_id::int) as created_at, html as body from pages",
+    "assets": "select doc_id as id, doc_id // 7 * 2 as snapshot_id, source as folder, if(doc_id % 3 = 0, 'text/css', if(doc_id % 3 = 1, 'image/png', 'application/javascript')) as content_type, strlen(text)::bigint as bytes, sha256(text) as digest, text as body from documents",
     "activity": "select event_id as id, user_id as actor_id, event_type as action, props as detail, ts as created_at, value from events",
 }
 
@@ -82,7 +82,7 @@ class Archive:
     def snapshots(self) -> DataFrame:
         k = F.col("page_id")
         return self.raw("pages").select(
-            k.alias("id"), (k % 100 + 1).alias("site_id"), F.concat(F.lit("run_"), (k % 40).cast("string")).alias("run_id"), F.col("url").alias("source_url"), F.col("url").alias("final_url"),
+            k.alias("id"), (k % 100 + 1).alias("site_id"), F.concat(F.lit("run_"), F.expr("page_id div 25").cast("string")).alias("run_id"), F.col("url").alias("source_url"), F.col("url").alias("final_url"),
             F.when(k % 17 == 0, "wayback").otherwise("live").alias("kind"), F.when(k % 10 == 0, "application/json").otherwise("text/html; charset=utf-8").alias("content_type"),
             F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("digest"),
             (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=k.cast("int"))).alias("created_at"), F.col("html").alias("body"),
@@ -92,7 +92,7 @@ class Archive:
     def assets(self) -> DataFrame:
         k = F.col("doc_id")
         return self.raw("documents").select(
-            k.alias("id"), (k % 250).alias("snapshot_id"), F.col("source").alias("folder"),
+            k.alias("id"), F.expr("doc_id div 7 * 2").alias("snapshot_id"), F.col("source").alias("folder"),
             F.when(k % 3 == 0, "text/css").when(k % 3 == 1, "image/png").otherwise("application/javascript").alias("content_type"),
             F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"), F.col("text").alias("body"),
         )

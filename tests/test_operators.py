@@ -17,10 +17,36 @@ EDGES = [("r", 0, "a"), ("r", 1, "b"), ("r", 2, "a"), ("a", 0, "c"), ("a", 1, "r
     [(3, 100, [], "r:0 a:1 b:1 c:2 d:2 e:3"), (1, 100, [], "r:0 a:1 b:1"), (3, 4, [], "r:0 a:1 b:1 c:2"), (3, 100, ["b"], "r:0 a:1 b:1 c:2 e:3"), (0, 100, [], "r:0")],
 )
 def test_crawl(spark, depth, cap, failed, expected):
-    edges, seeds = spark.createDataFrame(EDGES, "src string, pos int, dst string"), spark.createDataFrame([(0, "r")], "pos int, url string")
+    edges, starts = spark.createDataFrame(EDGES, "src string, pos int, dst string"), spark.createDataFrame([(1, 0, "r"), (2, 0, "nowhere"), (2, 1, "r")], "job int, pos int, url string")
     bad = spark.createDataFrame([(f,) for f in failed], "url string") if failed else None
-    rows = crawl.crawl(edges, seeds, depth, cap, bad).orderBy("rank").collect()
-    assert " ".join(f"{r['url']}:{r['depth']}" for r in rows) == expected
+    rows = crawl.crawl(edges, starts, depth, cap, bad).orderBy("rank").collect()
+    assert " ".join(f"{r['url']}:{r['depth']}" for r in rows if r["job"] == 1) == expected
+    other = [(r["url"], r["rank"]) for r in rows if r["job"] == 2]  # each job has its own queue and cap
+    assert other[:2] == [("nowhere", 1), ("r", 2)] and [k for _, k in other] == list(range(1, len(other) + 1)) and len(other) <= cap
+
+
+def test_seeds(spark):
+    jobs = spark.createDataFrame([(1, 9, None, "https://www.a.test/"), (2, None, "HTTPS://a.test/start?q=1#x", "https://a.test/"), (3, None, None, "https://a.test"), (4, None, "https://b.test/", "https://a.test/"), (5, 8, None, "https://a.test/no/")], "job_id int, retried int, start_url string, site_url string")
+    failed = spark.createDataFrame([(9, "https://a.test/late", 5), (9, "https://a.test/x.png", 1), (9, "https://a.test/one", 2), (9, "https://a.test/one", 3), (7, "https://a.test/other", 1)], "retried int, url string, pos int")
+    got = sorted((r["job_id"], r["url"], r["problem"]) for r in crawl.seeds(jobs, failed, 2, "drop", [], ["/no/*"]).collect())
+    none = "no starting address is permitted"
+    assert got == [(1, "https://a.test/one", None), (2, "https://a.test/start", None), (3, "https://a.test/", None), (4, None, none), (5, None, none)]
+
+
+def test_outbound_forms(spark):
+    from quarrystone.functions import urls
+
+    rows = spark.createDataFrame([(u,) for u in ("https://a.b/", "ftp://a.b/", "https:///x", "https://u@a.b/", "https://a.b:65536/", "https://a.b:x/", "http://[::1]:80/", "a.b")], "u string")
+    assert [r[0] for r in rows.select(urls.outbound_problem(F.col("u"))).collect()] == [None, "scheme", "scheme", "credentials", "port", "port", None, "scheme"]
+
+
+def test_merged_records(spark):
+    from quarrystone.operators import upkeep
+
+    rows = [(1, i, "ok" if i % 3 else "failed", i % 2 == 0) for i in range(300)] + [(2, 5, "ok", True)]
+    got = {r["k"]: r for r in upkeep.merged_records(spark.createDataFrame(rows, "k int, id int, kind string, late boolean"), "k", "late", "kind", "id").collect()}
+    assert got[1]["items"] == list(range(1, 240, 2)) and got[1]["cut"] == 180 and got[1]["counts"] == {"ok": 200, "failed": 100}
+    assert got[2]["items"] == [5] and got[2]["cut"] == 0 and got[2]["counts"] == {"ok": 1}
 
 
 def job_rows(spark, states):
@@ -175,3 +201,41 @@ def test_renumbering(spark):
     assert [r["new_id"] for r in upkeep.renumbered(rows).orderBy("id").collect()] == ["asset_001", "asset_005", "asset_004"]
     means = {(r["asset_id"], r["kind"]): r["means"] for r in upkeep.preferred(rows).collect()}
     assert means[("asset_001", "css")] == "asset_001" and means[("asset_001", "image")] == "asset_005"
+
+
+def test_write_packages(spark, tmp_path):
+    kind = "package string, id string, source_url string, body string"
+    pages = spark.createDataFrame([("x", "p1", "https://a/", "one"), ("x", "p2", "https://a/2", None), ("y", "p3", "https://b/", "three")], kind)
+    assets = spark.createDataFrame([("p1", "a1", "css"), ("p2", "a1", "css"), ("p3", "a1", "css"), ("gone", "a9", "none")], "snapshot_id string, id string, body string").withColumn("digest", F.sha2("body", 256))
+    made = packages.write_packages(str(tmp_path), "own", "site", pages, assets).orderBy("package").collect()
+    assert [(r["package"], r["files"], r["pages"], r["assets"]) for r in made] == [("x", 4, 2, 1), ("y", 3, 1, 1)]
+    members = packages.read_packages(spark, f"{tmp_path}/*.tar.gz")
+    assert packages.verify(members).count() == 0 and sorted(p.name for p in tmp_path.iterdir()) == ["x.tar.gz", "y.tar.gz"]
+    empty = packages.write_packages(str(tmp_path / "none"), "own", "site", pages.where("false"), assets)
+    assert empty.count() == 0
+
+
+def test_settings_and_envelopes(spark):
+    lines = spark.createDataFrame([(x,) for x in ("A_1=x=y", "  # note", "", "\tB = 2 ", "1A=x", "=x", "no", "é=")], "value string")
+    got = [(r["name"], r["value"], r["problem"]) for r in files.settings(lines).collect()]
+    bad = (None, None, "invalid entry")
+    assert got == [("A_1", "x=y", None), bad, bad, bad, bad, ("é", "", None)]
+    good = {"schema": "s1", "algorithm": "Ed25519", "key_id": "k", "payload": {"a": 1}, "signature": "A" * 86}
+    cases = [good, good | {"x": 1}, {k: v for k, v in good.items() if k != "schema"}, good | {"schema": "s2"}, good | {"key_id": "z"}, good | {"payload": [1]}, good | {"signature": "A"}]
+    rows = spark.createDataFrame([(json.dumps(c),) for c in cases] + [("no json",)], "j string")
+    found = [r[0] for r in rows.select(objects.envelope_problem(F.col("j"), "s1", F.lit("k"))).collect()]
+    assert found == [None, "fields", "fields", "version", "key", "payload", "signature", "fields"]
+
+
+def test_forms(spark):
+    from quarrystone.functions import urls
+
+    rows = spark.createDataFrame([("a=1&b=&a=2&c=%C3%A9+x&d",), ("",), ("x=#1",)], "b string")
+    assert [r[0] for r in rows.select(urls.form_fields(F.col("b"))).collect()] == [{"a": "2", "c": "é x"}, {}, {"x": "#1"}]
+
+
+def test_stored_objects_are_put_once(spark, tmp_path):
+    rows = spark.createDataFrame([("one",), ("one",), ("two",)], "body string").withColumn("digest", F.sha2("body", 256))
+    assert files.put_objects(rows, str(tmp_path)).count() == 2 and files.put_objects(rows, f"file:{tmp_path}").count() == 2
+    found = files.object_store(files.inventory(spark, str(tmp_path), contents=True)).collect()
+    assert sorted(bytes(r["body"]) for r in found) == [b"one", b"two"] and all(r["problem"] is None for r in found)
