@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.shared import delete, fresh_folder, own_folder
+
+#: Bytes that a broadcast may have, by the measure of ``checked_broadcast``.
+BROADCAST_BYTES = 16 << 20
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,30 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the session names none, as in tests on one machine, a folder under
-    the warehouse directory is used and set, so that ``checkpoint()`` works too.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/quarrystone/{label}-{uuid.uuid4().hex}"
+    """A path in this application's part of the shared folder that nothing else uses."""
+    path = fresh_folder(spark, label)
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` computed once, stored as Parquet in the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs no recomputation of what lies before.
+    Cuts the lineage: a lost executor costs no recomputation of what lies before. The table goes at the end of the
+    innermost ``scratch`` around it, else when the application ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
@@ -43,7 +40,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``written`` and ``fresh_path`` left within it; frames of these can't be read after."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def keep(spark: SparkSession, label: str) -> str:
+    """A fresh path that outlives the innermost ``scratch``."""
+    inner = _scopes.pop() if _scopes else None
+    try:
+        return fresh_path(spark, label)
+    finally:
+        if inner is not None:
+            _scopes.append(inner)
+
+
+def checked_broadcast(df: DataFrame, width=None) -> DataFrame:
+    """``df`` to be broadcast if its rows' widths (bytes; by default 64 a row) add up to BROADCAST_BYTES at most; else as it is, joined by a shuffle."""
+    size = df.agg(F.coalesce(F.sum(F.lit(64) if width is None else width), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def forget(spark: SparkSession) -> None:
-    """Deletes all that ``written`` and ``fresh_path`` have left in the shared folder; no frame of them can be read after."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarrystone")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all that this application has left in the shared folder; no frame of it can be read after."""
+    delete(spark, own_folder(spark))
