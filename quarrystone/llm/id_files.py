@@ -20,13 +20,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stores import file_system
 from ._shared import fresh_path, written
 from .tokens import tokenizer
 
@@ -34,21 +34,16 @@ from .tokens import tokenizer
 _SKIP_SEEK, _SKIP_INDEX, _SEEK_MAGIC, _CHECKSUMS = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
 #: Bytes of text that a file stands for, about; larger files suit larger clusters.
 FILE_BYTES = 28_000_000
+#: Files whose token counts one task adds up; their sums, a row a block, are added up in one place.
+BLOCK_FILES = 4096
 _NULL = -(1 << 63)
 
 
-def _file_system(path: str):
-    """Any store that pyarrow knows by its address; plain paths are the local, shared one."""
-    if "://" in path or path.startswith("file:"):
-        return pyarrow.fs.FileSystem.from_uri(path if not path.startswith("file:/") or path.startswith("file:///") else "file://" + path[5:])
-    return pyarrow.fs.LocalFileSystem(), path
-
-
 class Writer:
     """Collects one file; ``close`` puts it in place in one step."""
 
     def __init__(self, path: str):
-        self.fs, self.path = _file_system(path)
+        self.fs, self.path = file_system(path)
         self.temp = f"{self.path}.{uuid.uuid4().hex}"
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.out = self.fs.open_output_stream(self.temp)
@@ -80,7 +75,7 @@ class Reader:
     """Random access to one file's documents."""
 
     def __init__(self, path: str):
-        fs, inner = _file_system(path)
+        fs, inner = file_system(path)
         self.file = fs.open_input_file(inner)
         size = self.file.size()
         n, flags, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
@@ -144,10 +139,17 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1
     first = F.col("doc_id").asc_nulls_first()
     dealt = two.repartitionByRange(max(1, round(total / file_bytes)), first).sortWithinPartitions(first, F.col("text").asc_nulls_first())
     manifest = written(dealt.mapInArrow(_write(folder, tokenizer_path, end_id), "file int, path string, docs long, tokens long"), "manifest")
-    each = manifest.select("file", "tokens").toPandas().sort_values("file")  # a row a file
-    each["base"] = each["tokens"].cumsum() - each["tokens"]
-    base = spark.createDataFrame(each[["file", "base"]].astype({"file": "int32", "base": "int64"}), "file int, base long")
-    return manifest.join(base, "file")
+    return with_base(manifest)
+
+
+def with_base(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with ``base``, the ids in all files before each: within blocks of files, and over the blocks' sums."""
+    blocked = manifest.withColumn("_block", F.expr(f"file div {BLOCK_FILES}"))
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = blocked.groupBy("_block").agg(F.sum("tokens").alias("tokens"))
+    starts = sums.select("_block", before(Window.orderBy("_block")).alias("_start"))  # one row for BLOCK_FILES files
+    inside = blocked.withColumn("_at", before(Window.partitionBy("_block").orderBy("file")))
+    return inside.join(starts, "_block").withColumn("base", F.col("_start") + F.col("_at")).drop("_block", "_start", "_at")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +167,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids of every document, from the files of a manifest."""
-    return manifest.select("path", "base").repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    """doc_id, start, n_tokens, ids_crc32, ids of every document, from the files of a manifest.
+
+    Files are dealt by ranges of their numbers to a task each, or several a task where there are many more files than
+    shuffle partitions; each is read frame by frame.
+    """
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(manifest.count(), 8 * parts))
+    return manifest.repartitionByRange(tasks, "file").select("path", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str) -> DataFrame:
