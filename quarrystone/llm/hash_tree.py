@@ -4,15 +4,19 @@ The tree has regions, racks and shards with weights; a node's weight is the sum
 leaves'. A document descends from the root: at each level every child draws
 -ln(u) / weight from a hash of document and child, and the least draw wins, so children are
 chosen in proportion to weight. A draw depends on its own child alone: where weights change,
-documents move only into or out of the subtrees in which they change. A further shard is added
-as a subtree of its own, so no other node's weight changes and it takes documents only
-into itself.
+documents move only into or out of the subtrees in which they change.
 
-Everything is built-in functions; the draws need no shuffle.
+A number of shards has one tree: the first INITIAL shards fill regular regions, and each further
+one is a region of its own, so no other node's weight changes and it takes documents only
+into itself, however often a tree grows.
+
+Everything is built-in functions; the draws need no shuffle, and their plan has the same size for any
+number of nodes.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ._shared import written
 
-#: Racks of a region and shards of a rack in the regular part of a tree.
-RACKS, PER_RACK = 3, 4
+#: Racks of a region and shards of a rack in the regular part of a tree, and how many shards that part holds at most.
+RACKS, PER_RACK, INITIAL = 3, 4, 24
 
 
 @dataclass(frozen=True)
@@ -42,21 +46,24 @@ class Node:
         return [s for c in self.children for s in c.shards] if self.children else [self.shard]
 
 
-def regular_tree(shards: int, racks: int = RACKS, per_rack: int = PER_RACK, weights: dict[int, float] | None = None) -> Node:
-    """Regions of racks x per_rack shards; what is left over fills a smaller last region."""
+def regular_tree(shards: int, racks: int = RACKS, per_rack: int = PER_RACK, weights: dict[int, float] | None = None, initial: int = INITIAL) -> Node:
+    """The tree of so many shards: regions of racks x per_rack up to ``initial``, then a region for each further shard.
+
+    Equal to the tree of ``initial`` shards grown one by one. Below ``initial`` what is left over fills a smaller last region.
+    """
     weights, size = weights or {}, racks * per_rack
     if shards < 1:
         raise ValueError("a tree needs a shard")
+    leaf = lambda s: Node(f"shard{s}", shard=s, own=weights.get(s, 1.0))
     regions = []
-    for lo in range(0, shards, size):
-        part = range(lo, min(lo + size, shards))
-        regions.append(
-            Node(f"region{lo // size}", tuple(
-                Node(f"region{lo // size}/rack{k}", tuple(Node(f"shard{s}", shard=s, own=weights.get(s, 1.0)) for s in part[k * per_rack : (k + 1) * per_rack]))
-                for k in range(-(-len(part) // per_rack))
-            ))
-        )
-    return Node("root", tuple(regions))
+    for lo in range(0, min(shards, initial), size):
+        part = range(lo, min(lo + size, shards, initial))
+        name = f"region{lo // size}"
+        regions.append(Node(name, tuple(Node(f"{name}/rack{k}", tuple(map(leaf, part[k * per_rack : (k + 1) * per_rack]))) for k in range(-(-len(part) // per_rack)))))
+    tree = Node("root", tuple(regions))
+    for s in range(initial, shards):
+        tree = grown(tree, weights.get(s, 1.0))
+    return tree
 
 
 def grown(tree: Node, weight: float = 1.0) -> Node:
@@ -66,35 +73,55 @@ def grown(tree: Node, weight: float = 1.0) -> Node:
     return Node(tree.name, (*tree.children, Node(f"region+{s}", (Node(f"region+{s}/rack0", (leaf,)),))))
 
 
-def _draw(key: Column, node: Node) -> Column:
-    """-ln(u) / weight with u in (0, 1) from 53 bits of a hash of document and node."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node.name)), 11).cast("double")
-    return -F.ln((bits + 0.5) / F.lit(float(1 << 53))) / F.lit(float(node.weight))
+def _levels(tree: Node) -> list[list[tuple[list[tuple[str, float]], int]]]:
+    """For each level and node: its children (name, weight), and the place of the first of them on the level below.
+
+    Children without weight take nothing and are left out; a leaf above the lowest level is its own only child.
+    """
+    levels, nodes = [], [tree]
+    while any(n.children for n in nodes):
+        rows, below = [], []
+        for n in nodes:
+            kids = [c for c in n.children if c.weight > 0] if n.children else [n]
+            rows.append(([(c.name, c.weight) for c in kids], len(below)))
+            below += kids
+        levels.append(rows)
+        nodes = below
+    return [*levels, [([(str(n.shard), 1.0)], n.shard) for n in nodes]]
+
+
+def _pick(key: Column, node: Column, rows: list[tuple[list[tuple[str, float]], int]]) -> Column:
+    """The place of the drawn child of the node at ``node``, on the level below: -ln(u) / weight is least, u in (0, 1) from 53 bits."""
+    names = F.element_at(F.array(*(F.array(*(F.lit(c) for c, _ in kids)) for kids, _ in rows)), node + 1)
+    weights = F.element_at(F.array(*(F.array(*(F.lit(float(w)) for _, w in kids)) for kids, _ in rows)), node + 1)
+    first = F.element_at(F.array(*(F.lit(at) for _, at in rows)), node + 1)
+    unit = lambda name: (F.shiftrightunsigned(F.xxhash64(key, name), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    draws = F.zip_with(names, weights, lambda name, w: -F.ln(unit(name)) / w)
+    return first + F.array_position(draws, F.array_min(draws)).cast("int") - 1
 
 
 def assign(docs: DataFrame, tree: Node, shard_col: str = "shard", id_col: str = "doc_id") -> DataFrame:
     """``docs``, all rows and columns, with the shard of each row's id.
 
     Level by level: the region is drawn first, then the rack among that region's racks, then
-    the shard among that rack's. A null id is a key of its own. No shuffle.
+    the shard among that rack's. A null id is a key of its own. A column that is already called ``shard_col`` is kept as
+    ``<shard_col>_before``, with as many underscores more as it takes. No shuffle.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    name = f"_{shard_col}_node"
-    level, out = [tree], docs.withColumn(name, F.lit(0))
-    while any(n.children for n in level):
-        below, chain = [], F
-        for i, n in enumerate(level):
-            kids = [c for c in n.children if c.weight > 0] if n.children else [n]
-            first = len(below)
-            below += kids
-            if len(kids) == 1:
-                pick = F.lit(first)
-            else:
-                pick = F.array_min(F.array(*(F.struct(_draw(key, c).alias("draw"), F.lit(first + j).alias("at")) for j, c in enumerate(kids))))["at"]
-            chain = chain.when(F.col(name) == i, pick)
-        out = out.withColumn(name, chain)
-        level = below
-    return out.withColumn(shard_col, F.element_at(F.array(*(F.lit(n.shard) for n in level)), F.col(name) + 1).cast("int")).drop(name)
+    out, kept = docs, f"{shard_col}_before"
+    if shard_col in docs.columns:
+        while kept in docs.columns:
+            kept += "_"
+        out = docs.withColumnRenamed(shard_col, kept)
+    key = F.coalesce(F.col(kept if id_col == shard_col else id_col).cast("string"), F.lit("null"))
+    *levels, leaves = _levels(tree)
+    node = F.lit(0)
+    for i, rows in enumerate(levels):
+        name = f"_{uuid.uuid4().hex}"  # a level is a column, so that a draw is made once
+        out = out.withColumn(name, _pick(key, node, rows))
+        out, node = (out.drop(last) if i else out), F.col(name)
+        last = name
+    out = out.withColumn(shard_col, F.element_at(F.array(*(F.lit(s) for _, s in leaves)), node + 1).cast("int"))
+    return out.drop(last) if levels else out
 
 
 def number(rows: DataFrame, order: list[str], shard_col: str = "shard", slot_col: str = "slot", parts: int | None = None) -> DataFrame:
@@ -105,13 +132,14 @@ def number(rows: DataFrame, order: list[str], shard_col: str = "shard", slot_col
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy(shard_col, "_range").count()
-    before = Window.partitionBy(shard_col).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(shard_col, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    local = Window.partitionBy(shard_col, "_range").orderBy(*order)
-    numbered = ranged.withColumn("_local", F.row_number().over(local) - 1).join(bases, [shard_col, "_range"])
-    return numbered.withColumn(slot_col, F.col("_base") + F.col("_local")).drop("_base", "_local", "_range")
+    part, base, local = (f"_{uuid.uuid4().hex}" for _ in range(3))  # no clash with any column
+    ranged = written(rows.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(shard_col, part).count()
+    before = Window.partitionBy(shard_col).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(shard_col, part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy(shard_col, part).orderBy(*order)
+    numbered = ranged.withColumn(local, F.row_number().over(within) - 1).join(bases, [shard_col, part])
+    return numbered.withColumn(slot_col, F.col(base) + F.col(local)).drop(part, base, local)
 
 
 def write_shards(docs: DataFrame, tree: Node, path: str, files_per_shard: int = 8, id_col: str = "doc_id") -> None:
