@@ -2,8 +2,9 @@
 
 Each rule is a score, higher is worse, with a fixed grid of cutoffs. For a stratum, a rule and a
 cutoff, the labelled good documents say how many would be rejected wrongly. The cutoff is
-valid if the exact binomial tail P(Bin(n, RISK) <= wrong) is at most the error level: then the
-share of good documents that it rejects is at most RISK, with confidence. Cutoffs of a rule are
+valid if the exact binomial tail P(Bin(n, SHARE) <= wrong) is at most the error level: then the
+share of good documents that it rejects is at most SHARE, with confidence. The rules share RISK, so what
+all of them together reject of a stratum's good documents is at most RISK. Cutoffs of a rule are
 tested from the loosest on and end at the first that fails, which needs no correction; over
 rules and strata the level is divided (Bonferroni), so all guarantees hold together with
 probability 1 - ERROR. Of the valid cutoffs the one that rejects the most bad documents that earlier
@@ -25,7 +26,7 @@ from ._shared import written
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "[#*$%&|<>]"
 #: Least words of a document, and most per cent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Share of good documents of a stratum that one rule may reject, and probability that any guarantee fails.
+#: Share of good documents of a stratum that all rules together may reject, and probability that any guarantee fails.
 RISK, ERROR = 0.02, 0.1
 #: Languages that are strata of their own; all others share one.
 STRATA = ("de", "en", "es", "fr")
@@ -36,7 +37,11 @@ RULES = {
     "repeat_share": (0.45, 0.4, 0.35, 0.3, 0.25, 0.2),
     "chars_per_word": (24.0, 18.0, 14.0, 12.0, 10.0),
 }
-LEVEL = ERROR / (len(RULES) * (len(STRATA) + 1))
+#: A rule's part of the risk, and the error level of a rule's tests in a stratum.
+SHARE, LEVEL = RISK / len(RULES), ERROR / (len(RULES) * (len(STRATA) + 1))
+
+
+_MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_lines", "_text", "_words", "_rows", "_windows", "_sorted")
 
 
 def _repeated() -> Column:
@@ -61,9 +66,9 @@ def _place(entry: Column) -> Column:
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs``' other columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and _lines.
 
-    The text column is dropped. Sorting within a row keeps a very long text at n log n.
+    The text column is dropped, and extra columns of these names give way. Sorting within a row keeps a very long text at n log n.
     """
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, *_MADE)]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     inner = F.btrim(text, F.lit(SPACES))
     split = docs.select(
@@ -102,7 +107,7 @@ def stratum(lang: Column) -> Column:
     return F.when(lang.isin(*STRATA), lang).otherwise(F.lit("other"))
 
 
-def tail(n: Column, k: Column, risk: float = RISK) -> Column:
+def tail(n: Column, k: Column, risk: float = SHARE) -> Column:
     """P(Bin(n, risk) <= k), exact, summed in logarithms; 1 where k exceeds the mean."""
     first = n * F.lit(math.log1p(-risk))
     odds = math.log(risk) - math.log1p(-risk)
