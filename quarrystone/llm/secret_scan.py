@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models of random against ordinary strings.
 
 Two first-order Markov models over the characters of tokens, one of random strings and one of
-ordinary identifiers, are trained from labelled samples. A candidate is any stretch of
-MIN_LENGTH token characters or more, wherever it lies in a run of such; it is a secret when
-the log-likelihood ratio of the models, per character, exceeds a threshold that is set on
-held-out labelled samples, and it holds a letter.
+ordinary identifiers, are trained from labelled samples: a table of the caller's, or strings made here, to which
+identifiers are added that are made of the words of documents labelled good, so that the ordinary model knows
+the corpus' languages. A candidate is any stretch of MIN_LENGTH token characters or more, wherever it
+lies in a run of such; it is a secret when the log-likelihood ratio of the models, per character,
+exceeds a threshold between the two classes' held-out samples, and it holds a letter.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_LENGTH = 20
 _SEPARATORS = "+/_=-"
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
-#: False alarms among held-out ordinary samples that the threshold may allow.
-ALARM_RATE = 0.001
-#: Labelled samples of each class that the default training set holds.
-SAMPLES = 4000
+#: Shares of held-out ordinary samples above the threshold, and of random ones below it, between which it is laid.
+ALARM_RATE, MISS_RATE = 0.001, 0.01
+#: Labelled samples of each class that the default training set holds, and documents whose words join it, at most.
+SAMPLES, WORD_DOCS = 4000, 2000
 #: Words of ordinary identifiers.
 VOCABULARY = """
 account action address admin alert array async backup batch binary block board bool branch buffer build bundle button cache call
@@ -109,10 +110,10 @@ def labelled_samples(seed: int = 17, n: int = SAMPLES) -> list[tuple[str, int]]:
 def train(samples: DataFrame) -> CharModels:
     """Models from labelled rows (``sample`` string, ``label`` 1 random or 0 ordinary).
 
-    A fifth of the samples, by hash, is held out and sets the threshold: the least score of a best stretch that
-    at most ALARM_RATE of the held-out ordinary samples reach. Null samples and labels are left
-    out. What comes to the driver is bounded: pair counts of the alphabet, and score quantiles
-    of at most ``SAMPLES`` held-out rows a class.
+    A fifth of the samples, by hash, is held out and sets the threshold, halfway between the score of a best stretch that
+    ALARM_RATE of the ordinary ones reach and the one that MISS_RATE of the random ones don't; where these cross, the first
+    holds, and with no held-out sample of a class the other's alone. Null samples and labels are left
+    out. What comes to the driver is bounded: pair counts of the alphabet, and at most ``SAMPLES`` held-out rows a class.
     """
     rows = samples.where("sample is not null and label in (0, 1)").select("sample", F.col("label").cast("int").alias("label"), (F.pmod(F.xxhash64("sample"), F.lit(5)) == 0).alias("held"))
     chars = F.filter(F.split("sample", ""), lambda c: F.lit(ALPHABET).contains(c) & (c != ""))
@@ -125,15 +126,47 @@ def train(samples: DataFrame) -> CharModels:
     logs = [[[math.log(x / sum(row)) for x in row] for row in one] for one in seen]
     ratio = tuple(tuple(x - y for x, y in zip(p, q, strict=True)) for p, q in zip(logs[1], logs[0], strict=True))
     model = CharModels(ratio, 0.0)
-    held = rows.where("held and label = 0").orderBy(F.xxhash64("sample"), "sample").limit(SAMPLES).collect()
-    scores = sorted((model.best("".join(c for c in r["sample"] if c in _INDEX)) for r in held), reverse=True)
-    return CharModels(ratio, max(0.0, scores[int(len(scores) * ALARM_RATE)] if scores else 0.0))
+
+    def held(label: int) -> list[float]:
+        kept = rows.where(f"held and label = {label}").orderBy(F.xxhash64("sample"), "sample").limit(SAMPLES).collect()
+        texts = ("".join(c for c in r["sample"] if c in _INDEX) for r in kept)
+        return sorted(model.best(t) for t in texts if len(t) >= MIN_LENGTH)
+
+    ordinary, random_ = held(0), held(1)
+    alarm = ordinary[-1 - int(len(ordinary) * ALARM_RATE)] if ordinary else None
+    miss = random_[int(len(random_) * MISS_RATE)] if random_ else None
+    known = [x for x in (alarm, miss) if x is not None]
+    between = max(alarm, (alarm + miss) / 2) if len(known) == 2 else known[0] if known else 0.0
+    return CharModels(ratio, between)
+
+
+def identifiers_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Ordinary samples (sample, label 0) from words of documents labelled good: three or more words in a row, joined as identifiers are.
+
+    At most WORD_DOCS documents, those of the least hash; words of 2 to 15 letters of the alphabet. No such documents: no rows.
+    """
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    some = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(good, "_id")
+    texts = some.orderBy(F.xxhash64("_id"), "_id").limit(WORD_DOCS).select("_text")
+    words = F.filter(F.split("_text", r"[^A-Za-z]+"), lambda w: F.length(w).between(2, 15))
+    rows = texts.select(words.alias("w"))
+    four = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.slice("w", i * 4 + 1, 4)), lambda p: F.size(p) == 4)
+    parts = rows.where("size(w) > 0").select(F.posexplode(four).alias("i", "p"))
+    joined = F.when(F.col("i") % 3 == 0, F.array_join("p", "_")).when(F.col("i") % 3 == 1, F.array_join("p", "")).otherwise(F.lower(F.array_join("p", "-")))
+    return parts.select(joined.alias("sample"), F.lit(0).alias("label")).where(F.length("sample") >= MIN_LENGTH)
 
 
 def default_models(spark: SparkSession) -> CharModels:
+    """Models from the strings made here alone."""
     return train(spark.createDataFrame(labelled_samples(), "sample string, label int"))
 
 
+def models_for(docs: DataFrame, labels: DataFrame) -> CharModels:
+    """Models from the strings made here and identifiers of the words of documents that ``labels`` calls good."""
+    made = docs.sparkSession.createDataFrame(labelled_samples(), "sample string, label int")
+    return train(made.unionByName(identifiers_of(docs, labels)))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the three base kinds: kind, start, end, each kind's matches leftmost and apart."""
     out = []
