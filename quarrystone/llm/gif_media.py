@@ -255,19 +255,32 @@ _READ_DDL = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
     "frames array<struct<left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,transparent:int,histogram:array<int>>>"
 )
-#: Rows that leave a worker at once; a batch of media is never larger than some long texts.
-_OUT_ROWS = 256
+#: Rows and bytes of media that leave a worker at once; a single stream may be larger.
+_OUT_ROWS, _OUT_BYTES = 256, 16 << 20
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches that end at _OUT_ROWS rows or _OUT_BYTES of media, whose bytes are in column ``size`` or are its length."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += row[size] if isinstance(row[size], int) else len(row[size])
+        if len(held) >= _OUT_ROWS or total >= _OUT_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, total = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, _OUT_ROWS):
-            part, rows = b.slice(i, _OUT_ROWS), []
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                body = (text or "").encode("utf-8", "surrogatepass")
+    def rows():
+        for b in batches:
+            for key, text in zip(b.column(0), b.column(1), strict=True):
+                body = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 size = max(ROW, -(-len(body) // ROW) * ROW)
-                rows.append((key, len(body), encode_gif(body.ljust(size, bytes([PAD])))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STORED, strict=True)], schema=_STORED)
+                yield key.as_py(), len(body), encode_gif(body.ljust(size, bytes([PAD])))
+
+    return _batches(rows(), _STORED, 2)
 
 
 def read_media(media: bytes) -> tuple[bytes, list[dict], str]:
@@ -283,13 +296,14 @@ def read_media(media: bytes) -> tuple[bytes, list[dict], str]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for key, n, media in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            payload, frames, feature = read_media(media)
-            rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, frames))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
+    def rows():
+        for b in batches:
+            for key, n, one in zip(*(b.column(i) for i in range(3)), strict=True):
+                media = one.as_py()
+                payload, frames, feature = read_media(media)
+                yield key.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, frames
+
+    return _batches(rows(), _READ, 5)
 
 
 def gif_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,7 +317,7 @@ def gif_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def gif_features(media: DataFrame) -> DataFrame:
-    """Decodes a media column: digests, feature string and the timed frames with their histograms."""
+    """Decodes a media column: digests, feature string and ``frames``, the timed frames with their colour histograms."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, _READ_DDL)
 
 
