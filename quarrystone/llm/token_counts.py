@@ -68,10 +68,8 @@ class _Block:
         for part, special in tok.spans(text):
             if special:
                 direct += 1
-            elif (pieces := tok.pieces(part)) is None:  # characters on which only the library is asked
-                direct += len(tok.library.encode(part, add_special_tokens=False).ids)
             else:
-                found += pieces
+                found += tok.pieces(part)
         at = np.fromiter((places.setdefault(p, len(places)) for p in found), np.uint32, len(found))
         cols, counts = np.unique(at, return_counts=True)
         self.ids.append(key)
