@@ -33,13 +33,13 @@ def quality_sql() -> str:
         """lab as (select doc_id, min(quality) = 1 as good from labels where quality in (0, 1) group by doc_id)""",
         """h0 as (select g.*, good, true as leftover from g join lab using (doc_id) where not base_failed)""",
     ]
-    log1, odds = math.log1p(-q.RISK), math.log(q.RISK) - math.log1p(-q.RISK)
+    log1, odds = math.log1p(-q.SHARE), math.log(q.SHARE) - math.log1p(-q.SHARE)
     for i, (rule, cutoffs) in enumerate(q.RULES.items()):
         grid = ", ".join(f"({j}, {c}::double)" for j, c in enumerate(cutoffs))
         ctes += [
             f"""c{i} as (select stratum, "at", cutoff, count(*) filter (good) as n, count(*) filter (good and {rule} > cutoff) as wrong,
                   count(*) filter (not good and leftover and {rule} > cutoff) as rght from h{i}, (values {grid}) v("at", cutoff) group by all)""",
-            f"""p{i} as (select *, case when wrong > n * {q.RISK} then 1.0 else (select sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * {odds} + n * {log1}))
+            f"""p{i} as (select *, case when wrong > n * {q.SHARE} then 1.0 else (select sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * {odds} + n * {log1}))
                   from range(0, wrong + 1) t(k)) end <= {q.LEVEL} as ok from c{i} where n > 0 or wrong = 0)""",
             f"""e{i} as (select stratum, min("at") filter (not ok) as stop from p{i} group by stratum)""",
             f"""t{i} as (select stratum, arg_max(cutoff, rght * 1000 - "at") as cutoff from p{i} join e{i} using (stratum)
@@ -58,25 +58,28 @@ def mixing_sql(targets: mixing.Targets | None = None) -> str:
     """The raking as a chain of window sums over the cells."""
     t = targets or mixing.Targets()
     cols = ("source", "lang", "topic")
-    topic = " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '{n}'" for n, p in mixing.TOPICS)
+    marks = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}')) as c{i}" for i, (_, p) in enumerate(mixing.TOPICS))
+    most = "greatest(" + ", ".join(f"c{i}" for i in range(len(mixing.TOPICS))) + ")"
+    topic = " ".join(f"when c{i} = {most} then '{n}'" for i, (n, _) in enumerate(mixing.TOPICS))
     ctes = [
-        rf"""d as (select doc_id, source, lang, case {topic} else '{mixing.PROSE}' end as topic,
-              len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents)"""
+        rf"""c as (select doc_id, source, lang, {marks}, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents)""",
+        f"""d as (select doc_id, source, lang, n_tokens, case when {most} = 0 or {most} * {mixing.WORDS_A_MARK} < n_tokens then '{mixing.PROSE}' {topic} end as topic from c)""",
     ]
     named = [f"case when {c} in ({', '.join(repr(n) for n in names[:-1])}) then {c} else 'other' end" for c, names in zip(cols, t.names(), strict=True)]
     ctes.append(f"x as (select *, {named[0]} as s, {named[1]} as l, {named[2]} as t from d)")
     ctes.append("tot as (select greatest(sum(n_tokens), 1)::double as total from x)")
-    ctes.append("q0 as (select s, l, t, sum(n_tokens) / any_value(total) as m, sum(n_tokens) / any_value(total) as v from x, tot group by s, l, t having sum(n_tokens) > 0)")
+    ctes.append("q0 as materialized (select s, l, t, sum(n_tokens) / any_value(total) as m, 1::double as f from x, tot group by s, l, t having sum(n_tokens) > 0)")
     for k, names, weights in zip("slt", t.names(), t.weights(), strict=True):
         rows = ", ".join(f"('{n}', {w}::double)" for n, w in zip(names, weights, strict=True))
-        ctes.append(f"g{k} as (select name, w / sum(w) over () as w from (values {rows}) v(name, w) where name in (select {k} from q0))")
+        ctes.append(f"o{k} as (select {k} as name, sum(m) as o from q0 group by {k})")
+        ctes.append(f"g{k} as materialized (select name, w * pow(o, {t.temper}) / sum(w * pow(o, {t.temper})) over () as w from (values {rows}) v(name, w) join o{k} using (name))")
     n = 0
     for _ in range(mixing.ROUNDS):
         for k in "slt":
-            ctes.append(f"q{n + 1} as (select s, l, t, m, coalesce(v * w / nullif(sum(v) over (partition by {k}), 0), 0) as v from q{n} join g{k} on name = {k})")
+            ctes.append(f"q{n + 1} as materialized (select s, l, t, m, coalesce(least({mixing.MOST}, f * (w * {t.budget} / nullif(sum(m * least(1, f)) over (partition by {k}), 0))), 0) as f from q{n} join g{k} on name = {k})")
             n += 1
     # the budget: halving, as a recursive query over the two ends
-    ctes.append(f"r as materialized (select s, l, t, m, v / m as y from q{n})")
+    ctes.append(f"r as materialized (select s, l, t, m, f as y from q{n})")
     ctes.append(
         f"""h(i, lo, hi) as (select 0, -30::double, 30::double union all
               select i + 1, if(kept < {t.budget}, (lo + hi) / 2, lo), if(kept < {t.budget}, hi, (lo + hi) / 2)

@@ -25,7 +25,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_media.store_and_read(table(spark, sf_dir, "documents")).drop("frames")
+    return gif_media.store_and_read(table(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = secret_scan.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    scanned = secret_scan.scan(docs, secret_scan.models_for(docs, table(spark, sf_dir, "labels")))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return scanned.select("doc_id", of("assign"), of("access"), of("hex"), "base_sha256", text.alias("spans"))
