@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import checked_broadcast, keep, scratch, written
 
 SEED, BITS, RADIUS, SHINGLE = 42, 64, 2, 3
 
@@ -92,26 +92,29 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, root: the smallest node that each node of ``edges`` (lo, hi) is connected with.
 
     Alternating star contraction: each round links every node's larger neighbours, then its
-    smaller ones, to the smallest node around; a logarithmic number of rounds. No node's neighbours are
+    smaller ones, to the smallest node around; a logarithmic number of rounds, until only stars are left. No node's neighbours are
     collected. Both sides of each join are tables in the shared folder, so that where a node has a large share
-    of all edges, adaptive execution can split its partition.
+    of all edges, adaptive execution can split its partition. A round's tables go when the next has begun.
     """
+    spark = edges.sparkSession
     edges = written(edges.select("lo", "hi").where("lo <> hi").distinct(), "edges")
-    before = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        around = both.groupBy(F.col("lo").alias("node")).agg(F.min("hi").alias("m"))
-        least = written(around.select("node", F.least("node", "m").alias("m")), "least")
-        up = edges.join(least, edges["lo"] == least["node"]).select(F.col("m").alias("lo"), "hi")
-        large = written(up.where("lo <> hi").distinct(), "large")
-        down = written(large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")), "down")
-        small = large.join(down, large["hi"] == down["node"]).select(F.col("m").alias("a"), F.col("lo").alias("b")).where("a <> b")
-        found = small.unionByName(down.select(F.col("m").alias("a"), F.col("node").alias("b")))
-        edges = written(found.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if state == before:
+        # stars: each larger node has one smaller one, which is no larger one itself
+        ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("n")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("n")).distinct())
+        if ends.groupBy("node").agg(F.sum("n").alias("above"), F.count("*").alias("n")).where("above > 1 or (above = 1 and n > 1)").isEmpty():
             break
-        before = state
+        path = keep(spark, "edges")
+        with scratch(spark):
+            both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
+            around = both.groupBy(F.col("lo").alias("node")).agg(F.min("hi").alias("m"))
+            least = written(around.select("node", F.least("node", "m").alias("m")), "least")
+            up = edges.join(least, edges["lo"] == least["node"]).select(F.col("m").alias("lo"), "hi")
+            large = written(up.where("lo <> hi").distinct(), "large")
+            down = written(large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")), "down")
+            small = large.join(down, large["hi"] == down["node"]).select(F.col("m").alias("a"), F.col("lo").alias("b")).where("a <> b")
+            found = small.unionByName(down.select(F.col("m").alias("a"), F.col("node").alias("b")))
+            found.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct().write.option("compression", "zstd").parquet(path)
+        edges = spark.read.schema(edges.schema).parquet(path)
     else:
         raise RuntimeError(f"not connected after {rounds} rounds")
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
@@ -135,55 +138,62 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
 
 # ---- near copies by similarity of five-word shingles
 
-#: Shingle words, least Jaccard similarity, fingerprints of a document and bits of each.
-WORDS, SIMILARITY, TABLES, TABLE_BITS = 5, 0.8, 6, 32
-#: Candidates of the fingerprints that differ in more of all TABLES x TABLE_BITS bits are left to the shared shingles.
-MOST_BITS = 26
+#: Shingle words, least Jaccard similarity, fingerprints of a document and least bits of each.
+WORDS, SIMILARITY, TABLES, TABLE_BITS = 5, 0.8, 4, 32
+#: Candidates of the fingerprints that differ in a larger share of all their bits are left to the shared shingles.
+MOST_DIFFER = 0.14
 #: One document in so many, and the least of them that a shingle is in to count as common; at most so many count.
 #: They only order shingles; which pairs are found depends on no order.
 COMMON_OF, COMMON_IN, COMMON_MOST = 16, 3, 1_000_000
-#: Pairs of a shingle's documents that are looked at together.
-PAIRS_TOGETHER = 4_000_000
-#: Ids up to so many are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Members of a representative that one task verifies.
-MEMBERS_TOGETHER = 10_000
+#: Documents of a shingle that meet in one place, and pairs that are looked at together.
+MEET_TOGETHER, PAIRS_TOGETHER = 2000, 4_000_000
+#: Least members of a representative that one task verifies, and representatives that one row of a document names.
+MEMBERS_TOGETHER, GOALS_TOGETHER = 100, 1000
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of the word sequence, and TABLES fingerprints of the set of words, each with its own seed."""
-    digest = xxhash.xxh64_intdigest
-    for b in batches:
-        keys, sigs, sizes = [], [], []
-        for text in b.column(1).to_pylist():
-            words = words_of(text or "")
-            distinct = list(set(words))
-            keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-            sigs.append([fingerprint(np.fromiter((digest(w, 1000 + t) for w in distinct), np.uint64, len(distinct))) & 0xFFFFFFFF for t in range(TABLES)])
-            sizes.append(len(words))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "key", "sig", "n_words"])
+def table_bits(documents: int) -> int:
+    """Bits of a fingerprint, so many that unrelated documents seldom meet in a ball, whatever the corpus' size."""
+    return min(BITS, max(TABLE_BITS, math.ceil(math.log2(max(2, documents))) + 14))
 
 
-def checked_broadcast(ids: DataFrame) -> DataFrame:
-    """``ids`` to be broadcast if they are few; else as they are."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _sketches(bits: int):
+    """Digest of the word sequence, and TABLES fingerprints of the set of words, cut from long hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long_ = TABLES * bits // 8  # bytes of a word's hash that are used
+        mask = (1 << bits) - 1
+        for b in batches:
+            keys, sigs, sizes = [], [], []
+            for text in b.column(1).to_pylist():
+                words = words_of(text or "")
+                distinct = set(words)
+                keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                raw = b"".join([b"".join([xxhash.xxh3_128_digest(w, seed) for seed in range(-(-long_ // 16))])[:long_] for w in distinct])
+                ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(distinct), long_), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if distinct else np.zeros(8 * long_, np.int64)
+                whole = int.from_bytes(np.packbits(2 * ones > len(distinct), bitorder="little").tobytes(), "little")
+                parts = [whole >> t * bits & mask for t in range(TABLES)]
+                sigs.append([p - (1 << 64) if p >> 63 else p for p in parts])
+                sizes.append(len(words))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "key", "sig", "n_words"])
 
-def candidates(sketches: DataFrame) -> DataFrame:
+    return run
+
+
+def candidates(sketches: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
     """Pairs (rep, doc_id): in each table, a ball's members with its representative, if their fingerprints are near.
 
     One shuffle by variant serves the group's aggregate and its members. The representative is the least id, in
     every table and ball alike, so that balls of one group of copies mostly share theirs.
     """
     parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tables = F.flatten(F.transform("sig", lambda fp, t: F.transform(ball(fp, TABLE_BITS), lambda v: F.shiftleft(t.cast("long"), TABLE_BITS) + v)))
+    tables = F.flatten(F.transform("sig", lambda fp, t: F.transform(ball(fp, bits), lambda v: F.xxhash64(t, v))))
     met = sketches.repartition(parts).select("doc_id", F.explode(tables).alias("variant")).repartition(parts, "variant")
     groups = met.groupBy("variant").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
     pairs = met.join(groups.hint("merge"), "variant").where("rep < doc_id").select("rep", "doc_id").distinct()
-    of = lambda name, sig, n: sketches.select(F.col("doc_id").alias(name), F.col("sig").alias(sig), F.col("n_words").alias(n))
-    both = pairs.join(of("rep", "a", "m"), "rep").join(of("doc_id", "b", "n"), "doc_id")
+    of = lambda name, sig: sketches.select(F.col("doc_id").alias(name), F.col("sig").alias(sig))
+    both = pairs.join(of("rep", "a"), "rep").join(of("doc_id", "b"), "doc_id")
     differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, x: z + x)
-    return both.where((differ <= MOST_BITS) & (F.least("m", "n") >= 0.5 * F.greatest("m", "n"))).select("rep", "doc_id")
+    return both.where(differ <= MOST_DIFFER * TABLES * bits).select("rep", "doc_id")
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -198,9 +208,14 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _hashes(text: str | None, k: int) -> np.ndarray:
-    """The sorted set of a text's shingles as 32-bit hashes."""
+    """The sorted set of a text's shingles as 64-bit hashes."""
     found = set(shingles(words_of(text or ""), k))
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s, SEED) for s in found), np.uint32, len(found)))
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The sorted set of their low 32 bits, enough to compare two documents."""
+    return np.unique(hashes.astype(np.uint32))
 
 
 def _send(k: int):
@@ -210,7 +225,7 @@ def _send(k: int):
         for b in batches:
             rows = []
             for key, text, goals in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                data = _packed(_hashes(text, k))
+                data = _packed(_short(_hashes(text, k)))
                 rows += [(g["rep"], g["salt"], key != g["rep"], key, data) for g in goals]
                 if len(rows) >= 2000:
                     yield _sent(rows)
@@ -248,14 +263,21 @@ def _verify(similarity: float):
 
 
 def _verified(two: DataFrame, pairs: DataFrame, similarity: float, k: int) -> DataFrame:
-    """Links (lo, hi) among ``pairs`` (rep, doc_id): those of which the sets of shingles are similar."""
+    """Links (lo, hi) among ``pairs`` (rep, doc_id): those of which the sets of shingles are similar.
+
+    A representative with many members is compared with them in several tasks, and sends its set to each; a document
+    with many representatives is read several times. So neither is ever gathered in one place.
+    """
     parts = int(two.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a representative with many members is compared with them in several tasks, and sends its set to each
-    salts = pairs.groupBy("rep").agg((F.lit(1) + F.floor(F.count("*") / MEMBERS_TOGETHER)).cast("int").alias("salts"))
+    together = max(MEMBERS_TOGETHER, pairs.count() // (8 * parts))
+    salts = pairs.groupBy("rep").agg((F.lit(1) + F.floor(F.count("*") / together)).cast("int").alias("salts"))
     member = pairs.join(salts, "rep").select("doc_id", "rep", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
     itself = salts.select(F.col("rep").alias("doc_id"), "rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    goals = written(member.unionByName(itself).groupBy("doc_id").agg(F.collect_list(F.struct("rep", "salt")).alias("goals")), "goals")
-    sent = two.join(checked_broadcast(goals), "doc_id").select("doc_id", "text", "goals").mapInArrow(_send(k), "rep long, salt int, member boolean, doc_id long, shingles binary")
+    each = written(member.unionByName(itself), "goals")
+    reads = each.groupBy("doc_id").agg((F.lit(1) + F.floor(F.count("*") / GOALS_TOGETHER)).alias("reads"))
+    dealt = each.join(reads, "doc_id").withColumn("read", F.pmod(F.xxhash64("rep", "salt"), F.col("reads")))
+    goals = written(dealt.groupBy("doc_id", "read").agg(F.collect_list(F.struct("rep", "salt")).alias("goals")).drop("read"), "goals")
+    sent = two.join(checked_broadcast(goals, F.lit(64) + 48 * F.size("goals")), "doc_id").select("doc_id", "text", "goals").mapInArrow(_send(k), "rep long, salt int, member boolean, doc_id long, shingles binary")
     sorted_ = sent.repartition(parts, "rep", "salt").sortWithinPartitions("rep", "salt", "member")
     return written(sorted_.mapInArrow(_verify(similarity), "lo long, hi long"), "links")
 
@@ -264,7 +286,7 @@ def _all_shingles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes(text, k).astype(np.int64))], ["shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(text, k).view(np.int64))], ["shingle"])
 
     return run
 
@@ -291,7 +313,7 @@ def _prefixes(similarity: float, k: int, common: np.ndarray):
                 last = _among(hashes, common)
                 first = np.concatenate([hashes[~last], hashes[last]])[: n - math.ceil(similarity * n - 1e-9) + 1]
                 m = len(first)
-                rows.append((first.astype(np.int64), np.full(m, key), np.full(m, root), np.full(m, n), n - np.arange(m)))
+                rows.append((first.view(np.int64), np.full(m, key), np.full(m, root), np.full(m, n), n - np.arange(m)))
                 held += m
                 if held >= 100_000:
                     yield _stacked(rows, _PREFIX)
@@ -310,39 +332,46 @@ def _stacked(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _meet(similarity: float):
-    """Rows sorted by shingle: pairs of its documents that may be similar and aren't connected yet.
+    """Rows sorted by shingle and cell: pairs of documents there that may be similar and aren't connected yet.
 
-    ``rest`` shingles are left from this one on, and no more can be shared if it is the first that is.
+    ``rest`` shingles are left from this one on, and no more can be shared if it is the first that is. Within a
+    cell either all documents are compared (side -1), or those of different sides.
     """
 
-    def pairs_of(key, root, n, rest) -> Iterator[pa.RecordBatch]:
+    def pairs_of(side, key, root, n, rest) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(root, kind="stable")
+        side, key, root, n, rest = side[order], key[order], root[order], n[order], rest[order]
+        largest = root[np.argmax(np.searchsorted(root, root, "right") - np.searchsorted(root, root))]  # its members need no comparison with each other
+        rows = np.flatnonzero(root != largest)
         step = max(1, PAIRS_TOGETHER // len(key))
-        for at in range(0, len(key), step):
-            one = slice(at, at + step)
+        for at in range(0, len(rows), step):
+            one = rows[at : at + step]
             least = similarity / (1 + similarity) * (n[one, None] + n[None, :]) - 1e-6
-            hit = (key[one, None] < key[None, :]) & (root[one, None] != root[None, :]) & (np.minimum(rest[one, None], rest[None, :]) >= least)
+            hit = (root[one, None] != root[None, :]) & (np.minimum(rest[one, None], rest[None, :]) >= least) & ((side[one, None] != side[None, :]) | (side[one, None] < 0))
             i, j = np.nonzero(hit)
             if len(i):
-                yield _stacked([(key[at + i], key[j])], _PAIR)
+                a, b = key[one[i]], key[j]
+                yield _stacked([(np.minimum(a, b), np.maximum(a, b))], _PAIR)
 
     def groups(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not len(held[0]):
             return
-        starts = np.flatnonzero(np.diff(held[0], prepend=held[0][0] - 1))
+        starts = np.flatnonzero((np.diff(held[0], prepend=held[0][0] - 1) != 0) | (np.diff(held[1], prepend=held[1][0]) != 0))
         ends = np.append(starts[1:], len(held[0]))
-        for g in np.flatnonzero(np.minimum.reduceat(held[2], starts) != np.maximum.reduceat(held[2], starts)):
-            yield from pairs_of(*(c[starts[g] : ends[g]] for c in held[1:]))
+        for g in np.flatnonzero(np.minimum.reduceat(held[4], starts) != np.maximum.reduceat(held[4], starts)):
+            yield from pairs_of(*(c[starts[g] : ends[g]] for c in held[2:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[np.ndarray]] = []  # batches from the start of the last shingle on
+        kept: list[list[np.ndarray]] = []  # batches from the start of the last shingle's last cell on
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if not len(cols[0]):
                 continue
             kept.append(cols)
-            if cols[0][-1] != kept[0][0][0]:
+            if (cols[0][-1], cols[1][-1]) != (kept[0][0][0], kept[0][1][0]):
                 whole = [np.concatenate(c) for c in zip(*kept, strict=True)]
-                cut = np.searchsorted(whole[0], whole[0][-1])
+                low = np.searchsorted(whole[0], whole[0][-1])
+                cut = low + np.searchsorted(whole[1][low:], whole[1][-1])
                 yield from groups([c[:cut] for c in whole])
                 kept = [[c[cut:] for c in whole]]
         if kept:
@@ -351,6 +380,29 @@ def _meet(similarity: float):
     return run
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows (shingle, doc_id, root, n, rest) of shingles in which documents of several roots meet, with ``cell`` and ``side``.
+
+    A shingle of MEET_TOGETHER rows or fewer is one cell. Of a larger one the most frequent root's rows and all
+    others are dealt to blocks, the first to be compared with every block of the others, those with each other; a
+    cell holds two blocks.
+    """
+    roots = rows.groupBy("shingle", "root").agg(F.count("*").alias("c"))
+    met = roots.groupBy("shingle").agg(F.sum("c").alias("c"), F.max("c").alias("most"), F.max_by("root", "c").alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    live = written(met.select("shingle", "c", "most", "top"), "live")
+    kept = rows.join(checked_broadcast(live), "shingle")
+    blocks = lambda c: F.ceil(c / MEET_TOGETHER).cast("int")
+    a, b = blocks(F.col("most")), blocks(F.col("c") - F.col("most"))
+    here = F.pmod(F.xxhash64("doc_id"), F.when(F.col("root") == F.col("top"), a).otherwise(b)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    spot = lambda cell, side: F.struct(cell.cast("long").alias("cell"), side.cast("long").alias("side"))
+    with_others = F.transform(upto(b), lambda j: spot(here * b + j, F.lit(0)))
+    with_top = F.transform(upto(a), lambda i: spot(i * b + here, F.lit(1)))
+    each_other = F.transform(upto(b), lambda j: spot(a * b + F.least(here, j) * b + F.greatest(here, j), F.when(here == j, -1).otherwise(here)))
+    spots = F.when(F.col("c") <= MEET_TOGETHER, F.array(spot(F.lit(0), F.lit(-1)))).when(F.col("root") == F.col("top"), with_others).otherwise(F.concat(with_top, each_other))
+    return kept.select("shingle", F.explode(spots).alias("s"), "doc_id", "root", "n", "rest").select("shingle", "s.cell", "s.side", "doc_id", "root", "n", "rest")
+
+
 def shared_shingles(two: DataFrame, roots: DataFrame, similarity: float, k: int) -> DataFrame:
     """Pairs (rep, doc_id) not connected yet, among which are all whose sets of shingles are similar.
 
@@ -362,33 +414,36 @@ def shared_shingles(two: DataFrame, roots: DataFrame, similarity: float, k: int)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sample = two.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_OF)) == 0).select("text").mapInArrow(_all_shingles(k), "shingle long")
     often = sample.groupBy("shingle").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "shingle").limit(COMMON_MOST)
-    common = np.sort(often.select("shingle").toArrow()["shingle"].to_numpy().astype(np.uint32))
+    common = np.sort(often.select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64))
     known = two.join(checked_broadcast(roots.withColumn("known", F.lit(True))), "doc_id", "left").where("known is null or root is not null")
-    rows = known.select("doc_id", "text", F.coalesce("root", "doc_id").alias("root")).mapInArrow(_prefixes(similarity, k, common), "shingle long, doc_id long, root long, n long, rest long")
-    met = rows.repartition(parts, "shingle").sortWithinPartitions("shingle")
+    kind = "shingle long, doc_id long, root long, n long, rest long"
+    rows = written(known.select("doc_id", "text", F.coalesce("root", "doc_id").alias("root")).mapInArrow(_prefixes(similarity, k, common), kind), "prefixes")
+    met = _cells(rows).repartition(parts, "shingle", "cell").sortWithinPartitions("shingle", "cell")
     return met.mapInArrow(_meet(similarity), "rep long, doc_id long").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents joined by links of Jaccard similarity on k-word shingles.
 
-    First candidates are texts of which one of TABLES 32-bit fingerprints of the set of words meets in a
+    First candidates are texts of which one of TABLES fingerprints of the set of words meets in a
     ball; they connect most copies. All other pairs that can be similar meet at a shared shingle. Each is
-    verified on the sets of its shingles' 32-bit hashes. Texts with the same words are one
+    verified on the sets of its shingles' hashes. Texts with the same words are one
     class. Null and empty texts, which have no words, are one class too. Rows with a null id are left
     out, for lack of a name; an id is taken to name one text. Empty table: no rows. Other columns are
     neither read nor returned.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    prints = written(two.mapInArrow(_sketches, "doc_id long, key string, sig array<long>, n_words long"), "sketches")
+    bits = table_bits(two.count())
+    prints = written(two.mapInArrow(_sketches(bits), "doc_id long, key string, sig array<long>, n_words long"), "sketches")
     classes = written(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("n_words").alias("n_words")), "classes")
-    pairs = written(candidates(classes.where("n_words > 0").select(F.col("first").alias("doc_id"), "sig", "n_words")), "pairs")
+    pairs = written(candidates(classes.where("n_words > 0").select(F.col("first").alias("doc_id"), "sig"), bits), "pairs")
     links_ = _verified(two, pairs, similarity, k)
     connected = written(components(links_), "connected")
     copies = prints.join(classes.select("key", "first"), "key").where("doc_id <> first").select("doc_id", F.lit(None).cast("long").alias("root")).distinct()
     roots = written(connected.select(F.col("node").alias("doc_id"), "root").unionByName(copies), "roots")
     more = written(shared_shingles(two, roots, similarity, k), "more-pairs")
-    joined = components(links_.unionByName(_verified(two, more, similarity, k)))
+    again = connected.select(F.col("root").alias("lo"), F.col("node").alias("hi")).where("lo <> hi")  # stars stand for the links known before
+    joined = components(again.unionByName(_verified(two, more, similarity, k)))
     of_class = classes.join(joined, classes["first"] == joined["node"], "left").select("key", F.coalesce("root", "first").alias("component_id"))
     return prints.join(of_class, "key").select("doc_id", "component_id")
 
