@@ -63,6 +63,10 @@ def test_tokenizer_gives_the_library_ids(path, texts):
     made += ["a<|endoftext|>b<|startoftext|> c", "<|endoftext|>", "It's WE'LL they're 12 345 'tis", "\n\n  x  "]
     for t in [*made, *list(texts.values())[:60]]:
         assert own.encode(t) == ids_of(lib, t).tobytes(), repr(t)
+    other = ["Ελληνικά κείμενα 12", "نص عربي قصير", "हिन्दी पाठ १२३", "emoji 😀👍🏽 and ﬁ ligature x²", "עברית", "ไทย", "a\u0301b \u200d\ufeff", "İstanbul ĲSSEL ẞ"]
+    for t in [*other, " ".join(other), "<|endoftext|>".join(other)]:
+        assert own.encode(t) == ids_of(lib, t).tobytes(), repr(t)
+        assert sum(own.count(p) for part, special in own.spans(t) if not special for p in own.pieces(part)) == len(ids_of(lib, t)) - t.count("<|endoftext|>")
 
 
 def test_token_counts(docs, texts, odd, none):
@@ -189,6 +193,51 @@ def test_secret_scan(spark, odd, none, docs, texts):
     assert clean.columns == odd.columns and clean.count() == len(ODD)
 
 
+def test_threshold_lies_between_held_out_classes(spark, docs, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    models = secret_scan.models_for(docs, labels)
+    held = secret_scan.labelled_samples(seed=123, n=2000)
+    alarms = [s for s, k in held if not k and models.best(s) > models.threshold]
+    found = [s for s, k in held if k and models.best(s) > models.threshold]
+    assert len(alarms) <= 6 and len(found) >= 0.98 * sum(k for _, k in held)
+    # words of texts that the models have not seen, joined as names are
+    unseen = docs.join(labels.where("quality = 1"), "doc_id", "left_anti").select("text").collect()
+    r, names = random.Random(3), []
+    for x in unseen:
+        words = [w for w in re.findall("[A-Za-z]+", x["text"] or "") if 2 <= len(w) <= 15]
+        names += ["_".join(r.choices(words, k=5)) for _ in range(5) if len(words) > 20]
+    wrong = [n for n in names if len(n) >= 20 and secret_scan.model_spans(n, models)]
+    assert len(names) > 50 and len(wrong) <= 0.02 * len(names), wrong[:5]
+    keys = ["".join(r.choices(secret_scan.ALPHABET[:62], k=32)) for _ in range(300)]
+    assert sum(bool(secret_scan.model_spans(f"see {k} there", models)) for k in keys) >= 295
+    one = secret_scan.train(spark.createDataFrame([("abcabcabcabcabcabcabcabc", 0), (None, 1), ("x", None)], "sample string, label int"))
+    assert isinstance(one.threshold, float)
+    assert secret_scan.identifiers_of(docs.where("false"), labels).count() == 0
+
+
+def brute_best(s, models):
+    """The best mean of any stretch of MIN_LENGTH or more, by trying all."""
+    c = models.sums(s).tolist()
+    least = min(secret_scan.MIN_LENGTH, len(s))
+    return max((c[j] - c[i]) / (j - i) for i in range(len(s)) for j in range(i + least, len(s) + 1))
+
+
+def test_model_spans_against_all_stretches(spark):
+    models, r = secret_scan.default_models(spark), random.Random(12)
+    for _ in range(150):
+        parts = ["".join(r.choices(secret_scan.ALPHABET, k=r.randint(1, 40))) if r.random() < 0.4 else r.choice(secret_scan.VOCABULARY) for _ in range(r.randint(1, 6))]
+        s = r.choice("_-/").join(parts)[:150]
+        assert math.isclose(models.best(s), brute_best(s, models), abs_tol=1e-9)
+        spans = secret_scan.model_spans(s, models)
+        if len(s) < secret_scan.MIN_LENGTH:
+            assert spans == []
+            continue
+        hot = brute_best(s, models) > models.threshold and any(c.isalpha() for c in s)
+        assert bool(spans) <= hot and (not hot or spans or not any(c.isalpha() for c in s) or brute_best(s, models) - models.threshold < 0.5)
+        # every stretch above the threshold lies in a span, as far as it speaks for itself
+        assert all(b - a >= 1 and 0 <= a < b <= len(s) for _, a, b in spans) and all(x[2] <= y[1] for x, y in zip(spans, spans[1:], strict=False))
+
+
 def test_secrets_without_digits_and_in_paths(spark):
     models, r = secret_scan.default_models(spark), random.Random(11)
     letters, more = secret_scan.ALPHABET[:52], secret_scan.ALPHABET[:62]
@@ -371,11 +420,59 @@ def test_near_copies_that_differ_by_one_block(spark, monkeypatch):
         assert [got[2 * g + 1] == 2 * g for g in range(120)] == like and all(got[2 * g] == 2 * g for g in range(120))
 
 
+def test_texts_that_repeat_are_near_copies(spark):
+    r = random.Random(13)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(400)]
+    base = " ".join(r.choices(words, k=250))
+    rows = [(1, base), (2, " ".join([base] * 3)), (3, " ".join(r.choices(words, k=250)))]
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dups.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("together, most", [(2000, 0.14), (7, 0.14), (3, -1.0)])
+def test_groups_of_near_copies_against_all_pairs(spark, monkeypatch, together, most):
+    """A large group in which copies differ from each other at random, a passage that all share, and cells of a few rows; -1: shared shingles alone."""
+    monkeypatch.setattr(simhash_dups, "MEET_TOGETHER", together)
+    monkeypatch.setattr(simhash_dups, "MOST_DIFFER", most)
+    monkeypatch.setattr(simhash_dups, "MEMBERS_TOGETHER", 3)
+    monkeypatch.setattr(simhash_dups, "GOALS_TOGETHER", 2)
+    r = random.Random(14)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(500)]
+    shared, rows = r.choices(words, k=60), []
+    base = r.choices(words, k=120)
+    for i in range(70):
+        copy = list(base)
+        for at in r.sample(range(len(copy)), r.randint(0, 7)):
+            copy[at] = r.choice(words)
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(shared + r.choices(words, k=r.choice((8, 60))))) for i in range(50)]
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    keys = [i for i, _ in rows]
+    want = [keys[k] for k in brute_components(keys, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dups.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i] for i in keys] == want and len(set(want)) < len(keys)
+
+
+def test_long_fingerprints(spark, monkeypatch):
+    assert simhash_dups.table_bits(10**9) == 44 and simhash_dups.table_bits(0) == 32
+    monkeypatch.setattr(simhash_dups, "TABLE_BITS", 64)
+    r = random.Random(15)
+    rows = [(i, " ".join(r.choices("abcdefghijklmnop", k=40))) for i in range(20)]
+    rows += [(100 + i, t + " extra") for i, t in rows]
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dups.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == got[i] for i in range(20))
+
+
 def test_id_files(spark, tmp_path, docs, texts, odd, none):
     lib = Tokenizer.from_file(WORDS)
     manifest = id_files.write_ids(docs, WORDS, str(tmp_path / "ids"), file_bytes=150_000)
     rows = id_files.read_ids(manifest).orderBy("doc_id").collect()
     assert manifest.count() > 1
+    reads = id_files.read_ids(manifest).rdd.getNumPartitions()
+    assert reads == manifest.count()  # a task a file
+    parts = spark.createDataFrame([(f, f % 7 + 1) for f in range(10_000)], "file int, tokens long")
+    sums = {r["file"]: r["base"] for r in id_files.with_base(parts).collect()}
+    assert all(sums[f + 1] == sums[f] + f % 7 + 1 for f in range(9_999)) and sums[0] == 0
     at = 0
     for r, i in zip(rows, sorted(texts), strict=True):
         ids = ids_of(lib, texts[i])
@@ -427,12 +524,35 @@ def test_hash_tree(spark, odd, none):
         return xxhash.xxh64_intdigest(name.encode(), seed=xxhash.xxh64_intdigest(str(key).encode(), seed=42))
 
     assert [r["shard"] for r in rows[:300]] == [brute(r["doc_id"], tree) for r in rows[:300]]
-    placed = hash_tree.number(hash_tree.assign(odd.drop("shard"), tree), ["doc_id"]).collect()
+    assert [r["w"] for r in rows[:300]] == [brute(r["doc_id"], heavy) for r in rows[:300]]
+    assert hash_tree.regular_tree(25) == more and hash_tree.regular_tree(28) == hash_tree.grown(hash_tree.grown(hash_tree.regular_tree(26)))
+    placed = hash_tree.assign(odd.withColumn("shard_before", F.lit(1)), tree)
+    assert set(placed.columns) == {*odd.columns, "shard_before", "shard_before_"} and {r["shard_before_"] for r in placed.collect()} == {"s"}
+    assert hash_tree.assign(odd, hash_tree.regular_tree(1)).where("shard <> 0").count() == 0
+    clash = odd.withColumns({"_range": F.lit(1), "_base": F.lit(2), "_local": F.lit(3)})
+    placed = hash_tree.number(hash_tree.assign(clash, tree), ["doc_id"]).collect()
     by = collections.defaultdict(list)
     for r in placed:
         by[r["shard"]].append(r["slot"])
     assert len(placed) == len(ODD) and all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert hash_tree.number(hash_tree.assign(none.drop("shard"), tree), ["doc_id"]).count() == 0
+    assert hash_tree.number(hash_tree.assign(none, tree), ["doc_id"]).count() == 0
+
+
+def test_trees_grow_step_by_step(spark):
+    keys = spark.range(4000).withColumnRenamed("id", "doc_id")
+    out = keys
+    for n in range(24, 29):
+        out = hash_tree.assign(out, hash_tree.regular_tree(n), f"s{n}")
+    rows = out.collect()
+    for n in range(25, 29):  # a further shard takes rows only into itself
+        moved = [r for r in rows if r[f"s{n}"] != r[f"s{n - 1}"]]
+        assert moved and {r[f"s{n}"] for r in moved} == {n - 1}
+
+
+def test_many_shards_in_a_small_plan(spark):
+    tree = hash_tree.regular_tree(1000, initial=1000)
+    found = collections.Counter(r["shard"] for r in hash_tree.assign(spark.range(20_000).withColumnRenamed("id", "doc_id"), tree).collect())
+    assert len(found) == 1000 and max(found.values()) < 60
 
 
 def test_write_shards(spark, tmp_path, docs):
@@ -464,33 +584,93 @@ def test_quality_features(spark, odd, none):
     assert quality_rules.judge(none, labels).count() == 0 and quality_rules.judge(odd, labels.where("false")).count() == len(ODD)
 
 
+def exact_tail(n, k, p):
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+
 def test_binomial_tail(spark):
-    for n, k in ((100, 0), (300, 2), (1000, 12), (50_000, 900)):
+    for n, k in ((100, 0), (300, 1), (1000, 3), (50_000, 200)):
         got = spark.range(1).select(quality_rules.tail(F.lit(n).cast("long"), F.lit(k).cast("long")).alias("p")).first()["p"]
-        p = quality_rules.RISK
-        want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
-        assert math.isclose(got, want, rel_tol=1e-6)
+        assert math.isclose(got, exact_tail(n, k, quality_rules.SHARE), rel_tol=1e-6)
+
+
+LABELLED = "stratum string, good boolean, base_failed boolean, n_words long, n_symbols long, n_dup_lines long, _lines long, n_repeat_words long, word_chars long"
+
+
+def brute_cutoffs(rows):
+    """Rule by rule and stratum by stratum, straight from the definition."""
+    score = {"symbols_per_word": lambda r: r[4] / r[3], "dup_line_share": lambda r: r[5] / r[6], "repeat_share": lambda r: r[7] / r[3], "chars_per_word": lambda r: r[8] / r[3]}
+    found, gone = {}, set()
+    for rule, cutoffs in quality_rules.RULES.items():
+        found[rule] = {}
+        for name in {r[0] for r in rows}:
+            mine = [(i, r) for i, r in enumerate(rows) if r[0] == name and not r[2]]
+            good, best = [r for _, r in mine if r[1]], (0, None)
+            for c in cutoffs:
+                wrong = sum(score[rule](r) > c for r in good)
+                if wrong > len(good) * quality_rules.SHARE or exact_tail(len(good), wrong, quality_rules.SHARE) > quality_rules.LEVEL:
+                    break
+                right = sum(score[rule](r) > c for i, r in mine if not r[1] and i not in gone)
+                best = max(best, (right, c), key=lambda x: x[0])
+            if best[1] is not None:
+                found[rule][name] = best[1]
+        gone |= {i for i, r in enumerate(rows) if not r[1] and score[rule](r) > found[rule].get(r[0], math.inf)}
+    return found
 
 
 def test_cutoffs_bound_the_risk(spark):
     r = random.Random(8)
     rows = []
-    for i in range(6000):  # good documents have few symbols, one in a hundred many; bad ones have many
-        good = r.random() < 0.7
-        share = r.choice((0.0, 0.01)) if good and r.random() > 0.01 else 1.2
-        rows.append(("en", good, False, 100, int(100 * share), 0, 5, 0, 500))
-    cols = "stratum string, good boolean, base_failed boolean, n_words long, n_symbols long, n_dup_lines long, _lines long, n_repeat_words long, word_chars long"
-    cutoffs = quality_rules.choose_cutoffs(spark.createDataFrame(rows, cols))
-    assert cutoffs["symbols_per_word"] == {"en": 1.0} and not any(cutoffs[k] for k in cutoffs if k != "symbols_per_word")
-    few = quality_rules.choose_cutoffs(spark.createDataFrame(rows[:150], cols))
+    for i in range(9000):  # strata differ in what good documents look like; some have too few of them
+        name = r.choice(("en", "en", "en", "de", "de", "fr", "es") if i % 30 else ("other",))
+        good = r.random() < 0.75
+        odd = r.random() < (0.001 if good else 0.5)
+        rows.append((name, good, i % 50 == 0, 100, int(100 * r.choice((0.6, 1.2, 3.0) if odd else (0.0, 0.05 if name == "en" else 0.3))), r.choice((6, 9)) if odd else r.choice((0, 1)), 10, r.choice((0, 30, 44)) if odd else r.choice((0, 10)), r.choice((500, 900, 1500)) if odd else 500))
+    cutoffs = quality_rules.choose_cutoffs(spark.createDataFrame(rows, LABELLED))
+    assert cutoffs == brute_cutoffs(rows)
+    decided = {(k, s) for k, by in cutoffs.items() for s in by}
+    assert len({s for _, s in decided}) >= 2 and len({k for k, _ in decided}) >= 2 and "other" not in {s for _, s in decided}
+    fresh = [x for x in rows if x[0] == "en" and x[1] and not x[2]]
+    over = lambda x: any(v > cutoffs[k].get("en", math.inf) for k, v in zip(quality_rules.RULES, (x[4] / x[3], x[5] / x[6], x[7] / x[3], x[8] / x[3]), strict=True))
+    assert sum(map(over, fresh)) <= quality_rules.RISK * len(fresh)  # all rules together
+    few = quality_rules.choose_cutoffs(spark.createDataFrame(rows[:300], LABELLED))
     assert not any(few.values())  # too few labels for any guarantee
 
 
+def brute_raking(rows, t):
+    """Cells' probabilities by loops over plain numbers; rows of (source, lang, topic, tokens)."""
+    total = sum(x[3] for x in rows)
+    named = [n for n in t.names()]
+    cat = lambda x: tuple(v if v in names else "other" for v, names in zip(x, named, strict=True))
+    mass = collections.Counter()
+    for x in rows:
+        mass[cat(x[:3])] += x[3] / total
+    mass = {c: m for c, m in mass.items() if m > 0}
+    wish = []
+    for axis, (names, weights) in enumerate(zip(named, t.weights(), strict=True)):
+        seen = {n: sum(m for c, m in mass.items() if c[axis] == n) for n in names}
+        raw = {n: w * seen[n] ** t.temper for n, w in zip(names, weights, strict=True) if seen[n]}
+        wish.append({n: w / sum(raw.values()) for n, w in raw.items()})
+    f = dict.fromkeys(mass, 1.0)
+    for _ in range(mixing.ROUNDS):
+        for axis in range(3):
+            given = collections.Counter()
+            for c, m in mass.items():
+                given[c[axis]] += m * min(1.0, f[c])
+            f = {c: min(mixing.MOST, f[c] * wish[axis][c[axis]] * t.budget / given[c[axis]]) if given[c[axis]] else 0.0 for c in f}
+    lo, hi = -30.0, 30.0
+    for _ in range(mixing.HALVINGS):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(m * min(1.0, math.exp(mid) * f[c]) for c, m in mass.items()) < t.budget else (lo, mid)
+    return {c: min(1.0, math.exp((lo + hi) / 2) * f[c]) for c in f}, wish
+
+
 def test_mixing(spark, odd, none, docs):
     t = mixing.Targets(source={"a": 1, "b": 1, "other": 2}, lang={"en": 3, "other": 1}, topic={"prose": 1, "figures": 1, "other": 1}, budget=0.2)
     r = random.Random(9)
-    rows = [(i, "word " * r.randint(1, 50) + ("7" if r.random() < 0.2 else ""), r.choice("abcd"), r.choice(("en", "fr"))) for i in range(3000)]
-    got = mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), t).collect()
+    rows = [(i, "word " * r.randint(1, 24) + ("7" if r.random() < 0.2 else ""), r.choice("abcd"), r.choice(("en", "fr"))) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.sample(table, t).collect()
     total = sum(x["n_tokens"] for x in got)
     kept = sum(x["n_tokens"] * x["keep_prob"] for x in got)
     assert math.isclose(kept / total, 0.2, abs_tol=1e-6)
@@ -499,7 +679,32 @@ def test_mixing(spark, odd, none, docs):
             assert math.isclose(sum(x["n_tokens"] * x["keep_prob"] for x in got if x[col] == k) / kept, w, abs_tol=1e-6), (col, k)
     drawn = sum(x["n_tokens"] for x in got if x["sampled"]) / total
     assert abs(drawn - 0.2) < 0.03
-    assert mixing.sample(odd).count() == len(ODD) and mixing.sample(none).count() == 0
+    assert all(abs(x["gap"]) < 1e-6 for x in mixing.reached(mixing.sample(table, t), t).collect())
+    assert mixing.sample(odd).count() == len(ODD) and mixing.sample(none).count() == 0 and mixing.reached(mixing.sample(none)).count() == 0
+
+
+@pytest.mark.parametrize("budget, temper", [(0.6, 0.0), (0.95, 0.0), (0.9, 0.9)])
+def test_raking_where_cells_run_out(spark, budget, temper):
+    """A source with a third of all tokens: what it can't give up, and others can't give, shows in the probabilities and gaps."""
+    t = mixing.Targets(source={"hot": 1.0, "a": 1.0, "b": 1.0, "other": 1.0}, lang={"en": 2.0, "de": 1.0, "other": 1.0}, topic={"prose": 8.0, "figures": 1.0}, budget=budget, temper=temper)
+    r = random.Random(10)
+    rows = [(i, " ".join(["word"] * r.randint(5, 20) + ["7"] * r.choice((0, 0, 3))), r.choice(("hot", "hot", "a", "b", "x", None)), r.choice(("en", "en", "en", "de", "fr"))) for i in range(2000)]
+    got = mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), t).collect()
+    want, wish = brute_raking([(x["source"], x["lang"], x["topic"], x["n_tokens"]) for x in got], t)
+    cat = lambda x: tuple(v if v in names else "other" for v, names in zip((x["source"], x["lang"], x["topic"]), t.names(), strict=True))
+    assert all(math.isclose(x["keep_prob"], want[cat(x)], rel_tol=1e-9) for x in got)
+    assert math.isclose(sum(x["n_tokens"] * x["keep_prob"] for x in got), budget * sum(x["n_tokens"] for x in got), rel_tol=1e-6)
+    gaps = {(x["marginal"], x["category"]): x for x in mixing.reached(mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), t), t).collect()}
+    kept = sum(x["n_tokens"] * x["keep_prob"] for x in got)
+    for c, w in wish[0].items():
+        share = sum(x["n_tokens"] * x["keep_prob"] for x in got if cat(x)[0] == c) / kept
+        assert math.isclose(gaps["source", c]["gap"], share - w, abs_tol=1e-9)
+
+
+def test_topics(spark):
+    texts = ["plain words of a text", "a 1 b 2 c", "one | two | three", "stop!! now!! then", "x # y $ z", "licence and copyright notice", "word " * 100 + "5", "", None]
+    rows = mixing.sample(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")}))
+    assert [x["topic"] for x in rows.orderBy("doc_id").collect()] == ["prose", "figures", "listing", "shouting", "symbols", "legal", "prose", "prose", "prose"]
 
 
 def page(n, extra=""):
@@ -596,7 +801,8 @@ def test_main_text(spark, small):
 def test_contracts(spark, small):
     want = {
         "op1_html_wrappers": "page_id bigint, url string, text string, n_chars bigint", "op2_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
-        "op3_gif_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+        "op3_gif_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, "
+        "frames array<struct<left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,transparent:int,histogram:array<int>>>",
         "op5_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
         "op6_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
         "op7_best_fit": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
