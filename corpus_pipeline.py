@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm import best_fit, mixing, quality_rules, secret_scan, simhash_dups
-from quarrystone.llm._shared import table, written
+from quarrystone.llm._shared import checked_broadcast, keep, scratch, table
+from quarrystone.sources.shared import delete
 
-#: Share of the tokens that the mixture keeps; the targets are the operator's.
-MIX = mixing.Targets(budget=0.9)
+_EVEN = {kind: dict.fromkeys(names, 1.0) for kind, names in zip(("source", "lang", "topic"), mixing.Targets().names(), strict=True)}
+#: Nearly all tokens stay, so the targets are the corpus' own shares, tempered: large categories give to small ones.
+MIX = mixing.Targets(source=_EVEN["source"], lang=_EVEN["lang"], topic=_EVEN["topic"], budget=0.9, temper=0.9)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the ids of ``gone``, which are broadcast if they are few; rows with a null id stay."""
-    return docs.join(simhash_dups.checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts give way to a mark; all documents stay."""
-    return secret_scan.redact(docs)
+    return secret_scan.redact(docs, secret_scan.models_for(docs, table(spark, sf_dir, "labels")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's frame; what a stage leaves in the shared folder goes once its result is written there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = keep(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
