@@ -5,8 +5,9 @@ maybe optional or repeated, with repeated groups of several elements and with te
 are constant or vary. It is inferred by aligning pages one after another. Where the
 token streams of wrapper and page differ, a difference of texts makes a slot that varies; one of
 tags is a repetition if what came before comes again, else an optional part that is skipped until both
-streams meet. Wrappers align with wrappers in the same way, so partitions infer their own first and these are
-aligned by host in two steps; no host's pages meet in one task.
+streams meet. A host's distinct pages go to shares of bounded size by a digest of their content and are aligned
+there in the digest's order; wrappers align with wrappers in the same way, by shares in their order, a
+few at a time. So a wrapper depends on what the host's pages hold and on nothing else, and no host's pages meet in one task.
 
 The wrapper gathers from all pages of the host how much text and how much link text each slot
 holds. That, with the meaning of tags and of class names, decides which of its elements is the
@@ -23,13 +24,11 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import checked_broadcast, written
 
 #: Elements whose content is no text, elements without content, elements inside a line.
 #: Those of RAW run to the page's end when unclosed; those of CLOSED are then read as if their tags weren't there.
@@ -53,10 +52,8 @@ MAIN_WORDS = set("article articlebody body-text content entry main maincontent p
 MAX_DEPTH = 120
 #: Distinct pages, and share of the host's, on which a text must be the same to count as template.
 CONSTANT, MOSTLY = 3, 0.5
-#: Copied pages up to so many are broadcast.
-BROADCAST_COPIES = 1_000_000
-#: Hosts that a partition keeps at a time, shares of a host's wrappers that are aligned apart.
-HOSTS_HELD, SHARES = 500, 16
+#: Pages of a host that are aligned together, about, and wrappers of shares.
+PAGES_TOGETHER, SHARES_TOGETHER = 2000, 16
 #: Wrappers up to so many bytes together are broadcast; more are joined with salted pages.
 BROADCAST_BYTES, SALTS = 32 << 20, 32
 
@@ -102,7 +99,8 @@ def _ends(page: str) -> dict[int, int]:
 def parse(page: str) -> list:
     """The tree of a page's block elements; inline elements only join or part text."""
     root = ["body", []]
-    stack, buf, link, linked = [root], [], 0, 0
+    stack, opened = [("body", root)], Counter()  # every open tag, and the node that takes what is in it
+    buf, link, linked = [], 0, 0
 
     def flush():
         nonlocal linked
@@ -110,16 +108,19 @@ def parse(page: str) -> list:
             text = " ".join(html.unescape("".join(buf)).split())
             buf.clear()
             if text:
-                stack[-1][1].append([None, text, min(linked, len(text))])
+                stack[-1][1][1].append([None, text, min(linked, len(text))])
         linked = 0
 
     def close(names, stop):
+        if not any(opened[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
-            tag = stack[i][0].split(" ", 1)[0]
-            if tag in names:
+            if stack[i][0] in names:
+                for tag, _ in stack[i:]:
+                    opened[tag] -= 1
                 del stack[i:]
                 return
-            if tag in stop:
+            if stack[i][0] in stop:
                 return
 
     at = 0
@@ -164,10 +165,14 @@ def parse(page: str) -> list:
             close(CLOSES_OWN[tag], SCOPES - {"div"})
         if tag in VOID:
             continue
-        node = [_signature(tag, attrs or ""), []]
-        stack[-1][1].append(node)
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        node, around = [_signature(tag, attrs or ""), []], stack[-1][1]
+        # below MAX_DEPTH an element's content joins the element around it, unless it is boilerplate by its own name
+        if len(stack) < MAX_DEPTH or (around is stack[MAX_DEPTH - 1][1] and _is_boiler(node[0], True)):
+            around[1].append(node)
+        else:
+            node = around
+        stack.append((tag, node))
+        opened[tag] += 1
     if at < len(page):
         buf.append(page[at:])
     flush()
@@ -432,42 +437,56 @@ def extract(page: str, wrapper: dict | None) -> str:
 # ---- over a table of pages
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, dict] = {}
-    share = TaskContext.get().partitionId() % SHARES
-
-    def leave():
-        return pa.RecordBatch.from_pydict({"host": pa.array(list(held), pa.string()), "share": pa.array([share] * len(held), pa.int32()), "wrapper": pa.array([json.dumps(w) for w in held.values()], pa.string())})
-
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as what is aligned of them: no text, only its length and digest."""
     for b in batches:
-        for host, page, weight in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            held[host] = _together(held.get(host), _page(page or "", weight))
-            if len(held) >= HOSTS_HELD:
-                yield leave()
-                held.clear()
-    if held:
-        yield leave()
-
-
-def _aligned(last: bool):
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        wrapper = None
-        for text in sorted(d["wrapper"]):
-            wrapper = _together(wrapper, _counted(json.loads(text), True))
-        return pd.DataFrame({"host": d["host"][:1], "share": 0, "wrapper": [json.dumps(judge(wrapper) if last else wrapper)]})
+        items = [json.dumps(_page(page or "", 1.0), separators=(",", ":")) for page in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(items, pa.string())], ["host", "share", "place", "wrapper"])
+
+
+def _aligned(pages: bool, last: bool):
+    """Rows sorted by host, share and place, each share's aligned one after another as they come."""
+
+    def leave(host, share, wrapper) -> pa.RecordBatch:
+        text = json.dumps(judge(wrapper) if last else wrapper, separators=(",", ":"))
+        return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([share], pa.int64()), pa.array([text], pa.string())], ["host", "share", "wrapper"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = before = wrapper = None
+        for b in batches:
+            for host, share, place, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != (host, share):
+                    if wrapper is not None:
+                        yield leave(*key, wrapper)
+                    key, before, wrapper = (host, share), None, None
+                if pages and place == before:
+                    continue  # a copy of the page before it
+                one = json.loads(text)
+                wrapper, before = _together(wrapper, one if pages else _counted(one, True)), place
+        if wrapper is not None:
+            yield leave(*key, wrapper)
 
     return run
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, share, wrapper (JSON) from rows of host and html."""
-    kind = "host string, share int, wrapper string"
-    keyed = pages.select("host", "html", F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("digest"))
-    copies = written(keyed.groupBy("host", "digest").agg((1 / F.count("*")).alias("weight")).where("weight < 1"), "copies")
-    weighed = keyed.join(F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies, ["host", "digest"], "left")
-    partial = weighed.select("host", "html", F.coalesce("weight", F.lit(1.0)).alias("weight")).mapInArrow(_partial, kind)
-    shares = partial.groupBy("host", "share").applyInPandas(lambda d: _aligned(False)(d), kind)
-    return shares.groupBy("host").applyInPandas(lambda d: _aligned(True)(d), kind)
+    """host, wrapper (JSON) from rows of host and html."""
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(pages.groupBy("host").agg(F.ceil(F.count("*") / PAGES_TOGETHER).alias("shares")), "hosts")
+    most = counts.agg(F.coalesce(F.max("shares"), F.lit(1))).first()[0]
+    place = F.unhex(F.md5(F.coalesce("html", F.lit(""))))
+    dealt = pages.join(checked_broadcast(counts), "host").select("host", F.pmod(F.xxhash64(place), F.col("shares")).alias("share"), place.alias("place"), "html")
+    row = "host string, share long, wrapper string"
+    level = dealt.mapInArrow(_items, "host string, share long, place binary, wrapper string")
+    first, several = True, int(most)
+    while first or several > 1:  # shares of shares, until each host has one
+        if not first:
+            several = -(-several // SHARES_TOGETHER)
+            made = written(found, "shares")
+            level = made.select("host", F.expr(f"share div {SHARES_TOGETHER}").alias("share"), F.col("share").alias("place"), "wrapper")
+        found = level.repartition(parts, "host", "share").sortWithinPartitions("host", "share", "place").mapInArrow(_aligned(first, several == 1), row)
+        first = False
+    return found.select("host", "wrapper")
 
 
 @lru_cache(maxsize=200)
@@ -475,10 +494,17 @@ def _loaded(text: str) -> dict:
     return json.loads(text)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [extract(page or "", _loaded(w) if w else None) for page, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+def _extract(known):
+    """``known``: the wrappers by host, broadcast to workers, or None where they come with the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_host = known.value if known else None
+        for b in batches:
+            found = [by_host.get(h) for h in b.column(3).to_pylist()] if known else b.column(3).to_pylist()
+            texts = [extract(page or "", _loaded(w) if w else None) for page, w in zip(b.column(2).to_pylist(), found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
 def host_of(url):
@@ -491,15 +517,16 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null and empty html give the empty text. Pages without a host, or with a null url, share the
     empty host's wrapper. Null ids and repeated rows: a row each. Empty table: no rows.
-    Pages are read whole, however long; broken markup is read as far as it goes. Other columns
-    are neither read nor returned.
+    Pages are read whole, however long and deep; broken markup is read as far as it goes. Other columns
+    are neither read nor returned. The result doesn't depend on the order or the partitions of ``pages``.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    found = written(wrappers(rows.select("host", "html")).select("host", "wrapper"), "wrappers")
-    size = found.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
+    found = written(wrappers(rows.select("host", "html")), "wrappers")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
+    kind = "page_id long, url string, text string"
     if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(found), "host", "left")
-    else:
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-        joined = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string")
+        known = pages.sparkSession.sparkContext.broadcast(dict(found.toLocalIterator()))
+        return rows.select("page_id", "url", "html", "host").mapInArrow(_extract(known), kind)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    joined = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(_extract(None), kind)

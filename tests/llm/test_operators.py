@@ -782,6 +782,113 @@ def test_alignment_infers_repeats_and_options():
     assert show(html_wrappers.align(seq("a", "c"), seq("a", "x", "y", "c"))) == "a x? y? c"
 
 
+def accepts(items, nodes):
+    """Whether a wrapper's expression matches a whole sequence of elements, by trying everything."""
+
+    def once(x, i):
+        if x["s"] == "()":
+            at = {i}
+            for k in x["k"]:
+                at = {e for a in at for e in some(k, a)}
+            return at
+        hit = i < len(nodes) and (nodes[i][0] or "#") == x["s"] and (x["s"] == "#" or accepts(x["k"], nodes[i][1]))
+        return {i + 1} if hit else set()
+
+    def some(x, i):
+        found = once(x, i)
+        todo = set(found) if x["r"] else set()
+        while todo:
+            todo = {e for a in todo for e in once(x, a)} - found
+            found |= todo
+        return found | {i} if x["o"] else found
+
+    at = {0}
+    for x in items:
+        at = {e for a in at for e in some(x, a)}
+    return len(nodes) in at
+
+
+def irregular(r, shape, said=lambda: "words"):
+    """Markup of lists, optional and repeated parts, by a shape that a host's pages share."""
+    out = []
+    for kind in shape:
+        if kind == "list":
+            out.append("<ul>" + "".join(f"<li>{said()}</li>" for _ in range(r.randint(0, 4))) + "</ul>")
+        elif kind == "maybe":
+            out.append(f"<blockquote>{said()}</blockquote>" * (r.random() < 0.5))
+        elif kind == "text":
+            out.append("".join(f"<p>{said()}</p>" for _ in range(r.randint(1, 4))))
+        elif kind == "parts":
+            out.append("".join(f"<h2>{said()}</h2><p>{said()}</p>" + "<pre>x</pre>" * (r.random() < 0.3) for _ in range(r.randint(1, 4))))
+        else:
+            out.append("".join(f"<{t}>{said()}</{t}>" for t in r.choices(["p", "h3", "pre", "table"], k=r.randint(0, 5))))
+    return "".join(out)
+
+
+SHAPES = ["list", "maybe", "text", "parts", "any"]
+
+
+def test_wrappers_match_the_pages_they_come_from():
+    r = random.Random(16)
+    for _ in range(200):
+        shape = r.choices(SHAPES, k=r.randint(1, 4))
+        pages = [f"<div>{irregular(r, shape)}</div>{irregular(r, shape)}" for _ in range(r.randint(1, 6))]
+        wrapper = html_wrappers.infer(pages)
+        assert all(accepts(wrapper["k"], html_wrappers.parse(p)[1]) for p in pages)
+        half = len(pages) // 2  # wrappers of wrappers match the pages of both
+        if half:
+            both = html_wrappers._together(html_wrappers.infer(pages[:half]), html_wrappers._counted(html_wrappers.infer(pages[half:]), True))
+            assert all(accepts(both["k"], html_wrappers.parse(p)[1]) for p in pages)
+
+
+def test_texts_depend_on_no_order(spark, monkeypatch):
+    monkeypatch.setattr(html_wrappers, "PAGES_TOGETHER", 5)  # several shares a host, and shares of shares
+    monkeypatch.setattr(html_wrappers, "SHARES_TOGETHER", 2)
+    r, rows = random.Random(17), []
+    for host in range(12):
+        shape = r.choices(SHAPES, k=4)
+        for n in range(r.choice((1, 4, 30))):
+            said = lambda: " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=6))
+            rows.append((len(rows), f"http://h{host}/{n}", f"<div>Site {host}</div><div>{irregular(r, shape, said)}</div><div>Contact us</div>"))
+    rows += [(1000 + i, u, h) for i, u, h in rows[::7]]  # copies
+    results = []
+    for parts in (1, 4, 16):
+        r.shuffle(rows)
+        table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        results.append({x["page_id"]: x["text"] for x in html_wrappers.main_text(table).collect()})
+    assert results[0] == results[1] == results[2] and len(results[0]) == len(rows)
+    monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", 0)  # wrappers too large for a broadcast come with salted rows
+    assert {x["page_id"]: x["text"] for x in html_wrappers.main_text(table).collect()} == results[0]
+
+
+def test_wrappers_decide_where_no_name_tells(spark):
+    """Pages without article elements or telling names: one alone can't tell its frame from its text, a host's wrapper can."""
+    r, rows, want = random.Random(18), [], {}
+    frames = (
+        ("<div><div>Example Site</div><div>Daily news since 1901</div></div><div>", "</div><div>All rights of this site</div>"),
+        ("<table><tr><td>Start</td><td>Archive</td></tr></table><section>", "</section><section><p>About the authors of these pages</p></section>"),
+        ("<div class=x1><p>You are reading Sample Post</p></div><div class=x2>", "</div><div class=x3><p>Printed in no place</p></div>"),
+    )
+    for host, (before, after) in enumerate(frames):
+        for n in range(12):
+            said = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(9)) for _ in range(r.randint(2, 5))]
+            page = before + f"<h2>{said[0]}</h2>" + "".join(f"<p>{x}</p>" for x in said[1:]) + after
+            want[len(rows)] = "\n".join(said)
+            rows.append((len(rows), f"http://h{host}/{n}", f"<html><body>{page}</body></html>"))
+    got = {x["page_id"]: x["text"] for x in html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    alone = {i: html_wrappers.extract(h, None) for i, _, h in rows}
+    assert sum(alone[i] != want[i] for i in want) >= 30  # a page's own tree doesn't give this
+
+
+def test_boilerplate_stays_out_however_deep():
+    for depth in (3, 118, 119, 120, 121, 122, 300):
+        page = "<article>" + "<div>" * depth + "<p>Text</p><nav><div>Menu one</div><p>two</p></nav><p>More</p>" + "</div>" * depth + "<p>End</p></article><footer>F</footer>"
+        assert html_wrappers.extract(page, None) == "Text\nMore\nEnd", depth
+    page = "<div>" * 500 + "<p>In</p>" + "</div>" * 500 + "<div class=sidebar>Side</div><p>Out</p>"
+    assert html_wrappers.extract(page, None) == "In\nOut"
+
+
 def test_main_text(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
 

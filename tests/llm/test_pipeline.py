@@ -37,7 +37,7 @@ def test_stages_and_run(spark, small, tmp_path):
     assert left == {ids[k]: kept[ids[k]] for k in set(roots)} and unique.columns == docs.columns
 
     clean = reread(spark, P.secrets(spark, unique, small), tmp_path / "3")
-    models = secret_scan.default_models(spark)
+    models = secret_scan.models_for(unique, spark.read.parquet(f"{small}/labels.parquet"))
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts == {i: secret_scan.redacted(t, secret_scan.spans_of(t, models), "[SECRET]") for i, t in left.items()}
     assert not any(secret_scan.base_spans(t) for t in texts.values())
