@@ -169,12 +169,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_ids(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids of every document, from the files of a manifest.
 
-    Files are dealt by ranges of their numbers to a task each, or several a task where there are many more files than
+    Files are dealt by their numbers to a task each, or several a task where there are many more files than
     shuffle partitions; each is read frame by frame.
     """
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(manifest.count(), 8 * parts))
-    return manifest.repartitionByRange(tasks, "file").select("path", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return manifest.repartitionById(tasks, "file").select("path", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 #: The patterns of the base kinds, and the least length of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -146,8 +148,9 @@ def identifiers_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     At most WORD_DOCS documents, those of the least hash; words of 2 to 15 letters of the alphabet. No such documents: no rows.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    some = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(good, "_id")
-    texts = some.orderBy(F.xxhash64("_id"), "_id").limit(WORD_DOCS).select("_text")
+    two = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    chosen = two.select("_id").distinct().join(good, "_id").orderBy(F.xxhash64("_id"), "_id").limit(WORD_DOCS)
+    texts = two.join(F.broadcast(chosen), "_id").select("_text")  # WORD_DOCS ids at most
     words = F.filter(F.split("_text", r"[^A-Za-z]+"), lambda w: F.length(w).between(2, 15))
     rows = texts.select(words.alias("w"))
     four = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.slice("w", i * 4 + 1, 4)), lambda p: F.size(p) == 4)
@@ -164,7 +167,7 @@ def default_models(spark: SparkSession) -> CharModels:
 def models_for(docs: DataFrame, labels: DataFrame) -> CharModels:
     """Models from the strings made here and identifiers of the words of documents that ``labels`` calls good."""
     made = docs.sparkSession.createDataFrame(labelled_samples(), "sample string, label int")
-    return train(made.unionByName(identifiers_of(docs, labels)))
+    return train(written(made.unionByName(identifiers_of(docs, labels)), "samples"))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

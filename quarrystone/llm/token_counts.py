@@ -181,7 +181,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     text count as the library takes them by default, as one token each.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # several a task, for even tasks
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts  # the same number for each task
     blocks = two.mapInArrow(_blocks(tokenizer_path, buckets), _ROWS)
-    counted = blocks.repartition("bucket").mapInArrow(_count_once(tokenizer_path), _ROWS)
+    counted = blocks.repartitionById(parts, "bucket").mapInArrow(_count_once(tokenizer_path), _ROWS)
     return counted.groupBy("block").applyInArrow(lambda t: _sums(t), "doc_id long, n_bytes long, n_tokens long")
