@@ -19,7 +19,7 @@ def htm1_titles(a: Archive):
     return a.raw("pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query()
+@query(f"select page_id, replace(replace(replace(replace(nullif({_TITLE}, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') as title from pages")
 def htm1_titles_decoded(a: Archive):
     return a.raw("pages").select("page_id", html_kernels.unescape(html.title(F.col("html"))).alias("title"))
 
@@ -158,7 +158,10 @@ def htm17_absolute_assets(a: Archive):
     return a.raw("pages").select("page_id", html.absolute_assets(_as_stored(), "https://a.test/").alias("page"))
 
 
-@query()
+@query(
+    """select page_id, regexp_replace(replace(html, '<script>', '<script type="application/x-disabled">'), '<a href="(/[^"]*)">', '<a href="' || split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || '\\1" target="_blank" rel="noopener noreferrer external">', 'g') as replay
+    from pages"""
+)
 def htm15_replay(a: Archive):
     maps = F.array().cast("array<struct<key:string,value:string>>")
     return a.raw("pages").select("page_id", html_kernels.replay(F.col("html"), F.col("url"), maps).alias("replay"))
