@@ -145,8 +145,8 @@ MOST_DIFFER = 0.14
 #: One document in so many, and the least of them that a shingle is in to count as common; at most so many count.
 #: They only order shingles; which pairs are found depends on no order.
 COMMON_OF, COMMON_IN, COMMON_MOST = 16, 3, 1_000_000
-#: Documents of a shingle that meet in one place, and pairs that are looked at together.
-MEET_TOGETHER, PAIRS_TOGETHER = 2000, 4_000_000
+#: Documents of a very common shingle that meet in one place, and pairs that are looked at together.
+MEET_TOGETHER, PAIRS_TOGETHER = 500, 4_000_000
 #: Least members of a representative that one task verifies, and representatives that one row of a document names.
 MEMBERS_TOGETHER, GOALS_TOGETHER = 100, 1000
 
@@ -298,8 +298,11 @@ def _among(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
 
 
-def _prefixes(similarity: float, k: int, common: np.ndarray):
-    """A document's first shingles, the common ones ordered last: so many that a similar set shares one of them."""
+def _prefixes(similarity: float, k: int, common: np.ndarray, hot: np.ndarray):
+    """A document's first shingles, the common ones ordered last: so many that a similar set shares one of them.
+
+    ``sizes`` holds the set's size and, in its lower half, how many shingles are left from this one on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,7 +316,7 @@ def _prefixes(similarity: float, k: int, common: np.ndarray):
                 last = _among(hashes, common)
                 first = np.concatenate([hashes[~last], hashes[last]])[: n - math.ceil(similarity * n - 1e-9) + 1]
                 m = len(first)
-                rows.append((first.view(np.int64), np.full(m, key), np.full(m, root), np.full(m, n), n - np.arange(m)))
+                rows.append((first.view(np.int64), np.full(m, key), np.full(m, root), (n << 32) + n - np.arange(m), _among(first, hot)))
                 held += m
                 if held >= 100_000:
                     yield _stacked(rows, _PREFIX)
@@ -324,7 +327,7 @@ def _prefixes(similarity: float, k: int, common: np.ndarray):
     return run
 
 
-_PREFIX, _PAIR = ["shingle", "doc_id", "root", "n", "rest"], ["rep", "doc_id"]
+_PREFIX, _PAIR = ["shingle", "doc_id", "root", "sizes", "hot"], ["rep", "doc_id"]
 
 
 def _stacked(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -334,13 +337,13 @@ def _stacked(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def _meet(similarity: float):
     """Rows sorted by shingle and cell: pairs of documents there that may be similar and aren't connected yet.
 
-    ``rest`` shingles are left from this one on, and no more can be shared if it is the first that is. Within a
+    No more shingles can be shared than are left from this one on, if it is the first that is. Within a
     cell either all documents are compared (side -1), or those of different sides.
     """
 
-    def pairs_of(side, key, root, n, rest) -> Iterator[pa.RecordBatch]:
+    def pairs_of(side, key, root, sizes) -> Iterator[pa.RecordBatch]:
         order = np.argsort(root, kind="stable")
-        side, key, root, n, rest = side[order], key[order], root[order], n[order], rest[order]
+        side, key, root, n, rest = side[order], key[order], root[order], sizes[order] >> 32, sizes[order] & 0xFFFFFFFF
         largest = root[np.argmax(np.searchsorted(root, root, "right") - np.searchsorted(root, root))]  # its members need no comparison with each other
         rows = np.flatnonzero(root != largest)
         step = max(1, PAIRS_TOGETHER // len(key))
@@ -354,11 +357,12 @@ def _meet(similarity: float):
                 yield _stacked([(np.minimum(a, b), np.maximum(a, b))], _PAIR)
 
     def groups(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not len(held[0]):
+        shingle, cell, _, _, root, _ = held
+        if not len(shingle):
             return
-        starts = np.flatnonzero((np.diff(held[0], prepend=held[0][0] - 1) != 0) | (np.diff(held[1], prepend=held[1][0]) != 0))
-        ends = np.append(starts[1:], len(held[0]))
-        for g in np.flatnonzero(np.minimum.reduceat(held[4], starts) != np.maximum.reduceat(held[4], starts)):
+        starts = np.flatnonzero((np.diff(shingle, prepend=shingle[0] - 1) != 0) | (np.diff(cell, prepend=cell[0]) != 0))
+        ends = np.append(starts[1:], len(shingle))
+        for g in np.flatnonzero(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)):
             yield from pairs_of(*(c[starts[g] : ends[g]] for c in held[2:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +385,7 @@ def _meet(similarity: float):
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Rows (shingle, doc_id, root, n, rest) of shingles in which documents of several roots meet, with ``cell`` and ``side``.
+    """Rows (shingle, doc_id, root, sizes) of shingles in which documents of several roots meet, with ``cell`` and ``side``.
 
     A shingle of MEET_TOGETHER rows or fewer is one cell. Of a larger one the most frequent root's rows and all
     others are dealt to blocks, the first to be compared with every block of the others, those with each other; a
@@ -400,25 +404,27 @@ def _cells(rows: DataFrame) -> DataFrame:
     with_top = F.transform(upto(a), lambda i: spot(i * b + here, F.lit(1)))
     each_other = F.transform(upto(b), lambda j: spot(a * b + F.least(here, j) * b + F.greatest(here, j), F.when(here == j, -1).otherwise(here)))
     spots = F.when(F.col("c") <= MEET_TOGETHER, F.array(spot(F.lit(0), F.lit(-1)))).when(F.col("root") == F.col("top"), with_others).otherwise(F.concat(with_top, each_other))
-    return kept.select("shingle", F.explode(spots).alias("s"), "doc_id", "root", "n", "rest").select("shingle", "s.cell", "s.side", "doc_id", "root", "n", "rest")
+    return kept.select("shingle", F.explode(spots).alias("s"), "doc_id", "root", "sizes").select("shingle", "s.cell", "s.side", "doc_id", "root", "sizes")
 
 
 def shared_shingles(two: DataFrame, roots: DataFrame, similarity: float, k: int) -> DataFrame:
     """Pairs (rep, doc_id) not connected yet, among which are all whose sets of shingles are similar.
 
     In any one order of the shingles, two sets of similarity s or more have one in common among the first
-    (1 - s) n + 1 of each. Common shingles come last, so that few documents meet at one. ``roots``
-    (doc_id, root) holds what is connected; a null root leaves a document out.
+    (1 - s) n + 1 of each. Common shingles come last, so that few documents meet at one, and those in which very many
+    may meet are split into cells. ``roots`` (doc_id, root) holds what is connected; a null root leaves a document out.
     """
     spark = two.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sample = two.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_OF)) == 0).select("text").mapInArrow(_all_shingles(k), "shingle long")
-    often = sample.groupBy("shingle").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "shingle").limit(COMMON_MOST)
-    common = np.sort(often.select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64))
+    often = sample.groupBy("shingle").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "shingle").limit(COMMON_MOST).toArrow()
+    found, counts = often["shingle"].to_numpy().astype(np.int64).view(np.uint64), often["count"].to_numpy()
+    common, hot = np.sort(found), np.sort(found[counts >= MEET_TOGETHER // (2 * COMMON_OF)])
     known = two.join(checked_broadcast(roots.withColumn("known", F.lit(True))), "doc_id", "left").where("known is null or root is not null")
-    kind = "shingle long, doc_id long, root long, n long, rest long"
-    rows = written(known.select("doc_id", "text", F.coalesce("root", "doc_id").alias("root")).mapInArrow(_prefixes(similarity, k, common), kind), "prefixes")
-    met = _cells(rows).repartition(parts, "shingle", "cell").sortWithinPartitions("shingle", "cell")
+    kind = "shingle long, doc_id long, root long, sizes long, hot long"
+    rows = written(known.select("doc_id", "text", F.coalesce("root", "doc_id").alias("root")).mapInArrow(_prefixes(similarity, k, common, hot), kind), "prefixes")
+    others = rows.where("hot = 0").select("shingle", F.lit(0).cast("long").alias("cell"), F.lit(-1).cast("long").alias("side"), "doc_id", "root", "sizes")
+    met = others.unionByName(_cells(rows.where("hot = 1").drop("hot"))).repartition(parts, "shingle", "cell").sortWithinPartitions("shingle", "cell")
     return met.mapInArrow(_meet(similarity), "rep long, doc_id long").distinct()
 
 
