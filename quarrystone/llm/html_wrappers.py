@@ -528,5 +528,5 @@ def main_text(pages: DataFrame) -> DataFrame:
         known = pages.sparkSession.sparkContext.broadcast(dict(found.toLocalIterator()))
         return rows.select("page_id", "url", "html", "host").mapInArrow(_extract(known), kind)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    joined = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["host", "salt"], "left")
+    joined = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
     return joined.select("page_id", "url", "html", "wrapper").mapInArrow(_extract(None), kind)
