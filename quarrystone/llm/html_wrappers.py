@@ -190,7 +190,7 @@ def _constant(text: str) -> str:
 def _item(node: list, weight: float = 1.0) -> dict:
     if node[0] is None:
         return {"s": "#", "o": 0, "r": 0, "c": _constant(node[1]), "n": 0, "e": weight, "t": len(node[1]), "a": node[2]}
-    return {"s": node[0], "o": 0, "r": 0, "k": align([], [_item(x, weight) for x in node[1]], False)}
+    return {"s": node[0], "o": 0, "r": 0, "k": [_item(x, weight) for x in node[1]]}
 
 
 def _merged(x: dict, y: dict) -> dict:
@@ -200,8 +200,24 @@ def _merged(x: dict, y: dict) -> dict:
     return out | {"k": align(x["k"], y["k"])}
 
 
+def _inside(x: dict) -> set[str]:
+    """Names of what an element holds, groups' members among them."""
+    return {n for k in x["k"] for n in (_inside(k) if k["s"] == "()" else (k["s"],))}
+
+
+def _alike(a: set[str], b: set[str]) -> bool:
+    """Whether elements of one name may be the same part of a page: they hold something in common, or one is empty."""
+    return not a or not b or not a.isdisjoint(b)
+
+
 def _same(x: dict, y: dict) -> bool:
-    return x["s"] == y["s"] and (x["s"] != "()" or [i["s"] for i in x["k"]] == [i["s"] for i in y["k"]])
+    if x["s"] != y["s"]:
+        return False
+    if x["s"] == "#":
+        return True
+    if x["s"] == "()":
+        return len(x["k"]) == len(y["k"]) and all(map(_same, x["k"], y["k"]))
+    return _alike(_inside(x), _inside(y))
 
 
 def _repeats(out: list[dict], rest: list[dict], at: int) -> int:
@@ -224,7 +240,10 @@ def _repeats(out: list[dict], rest: list[dict], at: int) -> int:
 
 
 def align(a: list[dict], b: list[dict], optional: bool = True) -> list[dict]:
-    """The sequence that both match. ``optional`` False: ``a`` is empty and ``b`` is folded into its repetitions."""
+    """The sequence that both match; only where they differ is anything repeated or optional.
+
+    ``optional`` False: ``a`` is empty and ``b`` is folded into its repetitions.
+    """
     out: list[dict] = []
     i = j = 0
 
@@ -360,7 +379,9 @@ def judge(wrapper: dict, several: bool = True) -> dict:
             t, a = weigh(k, here)
             text, linked = text + t, linked + a
         listed = x["s"].split(" ", 1)[0] in ("ul", "ol", "dl", "table")
-        if linked > (0.9 if here or not listed else 0.5) * (text + linked) and (listed or not here) and any(i["r"] for i in x["k"]):
+        names = [i["s"] for i in x["k"]]
+        several_ = any(i["r"] for i in x["k"]) or len(set(names)) < len(names)
+        if linked > (0.9 if here or not listed else 0.5) * (text + linked) and (listed or not here) and several_:
             x["d"] = 1
         x["w"] = 0 if x["d"] else text
         return x["w"], linked
@@ -405,14 +426,21 @@ def blocks(tree: list, wrapper: dict | None) -> list[str]:
     """The article's blocks in page order, each of the page's elements led by the wrapper's."""
     out: list[str] = []
 
+    def led(child: list, items: list[dict], at: int) -> int | None:
+        """The item that a child follows: the next of its name that holds the like, else any of its name, the next first."""
+        name = child[0] or "#"
+        found = [i for i in (*range(at, len(items)), *range(at)) if items[i]["s"] == name]
+        held = None if child[0] is None else {c[0] or "#" for c in child[1]}
+        return next((i for i in found if held is None or _alike(held, _inside(items[i]))), found[0] if found else None)
+
     def walk(node: list, lead: dict | None, taking: bool, inside: bool) -> None:
         here = inside or node[0].split(" ", 1)[0] in ("article", "main")
         items, at = _flat(lead["k"]) if lead else [], 0
         for child in node[1]:
-            name = child[0] or "#"
-            hit = next((i for i in (*range(at, len(items)), *range(at)) if items[i]["s"] == name), None)
+            hit = led(child, items, at)
             item = None if hit is None else items[hit]
-            at = at if hit is None else hit
+            if item:
+                at = hit if item["r"] else hit + 1
             if child[0] is None:
                 if taking and not (item and item["d"] and _constant(child[1]) == item["c"]):
                     out.append(child[1])
