@@ -142,6 +142,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", t
 WORDS, SIMILARITY, TABLES, TABLE_BITS = 5, 0.8, 4, 32
 #: Candidates of the fingerprints that differ in a larger share of all their bits are left to the shared shingles.
 MOST_DIFFER = 0.14
+#: Bits of the map of a document's shingles by which pairs are sorted out that can't be similar.
+MAP_BITS = 512
 #: One document in so many, and the least of them that a shingle is in to count as common; at most so many count.
 #: They only order shingles; which pairs are found depends on no order.
 COMMON_OF, COMMON_IN, COMMON_MOST = 16, 3, 1_000_000
@@ -156,15 +158,20 @@ def table_bits(documents: int) -> int:
     return min(BITS, max(TABLE_BITS, math.ceil(math.log2(max(2, documents))) + 14))
 
 
-def _sketches(bits: int):
-    """Digest of the word sequence, and TABLES fingerprints of the set of words, cut from long hashes."""
+def _sketches(bits: int, k: int):
+    """Digest of the word sequence, TABLES fingerprints of the set of words, cut from long hashes, and a bitmap of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long_ = TABLES * bits // 8  # bytes of a word's hash that are used
         mask = (1 << bits) - 1
         for b in batches:
-            keys, sigs, sizes = [], [], []
+            keys, sigs, sizes, maps = [], [], [], []
             for text in b.column(1).to_pylist():
+                hashes = _short(_hashes(text, k))
+                marks = np.zeros(MAP_BITS, bool)
+                marks[hashes % MAP_BITS] = True
+                maps.append(np.packbits(marks, bitorder="little").view("<i8").tolist())
+                sizes.append(len(hashes))
                 words = words_of(text or "")
                 distinct = set(words)
                 keys.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
@@ -173,12 +180,26 @@ def _sketches(bits: int):
                 whole = int.from_bytes(np.packbits(2 * ones > len(distinct), bitorder="little").tobytes(), "little")
                 parts = [whole >> t * bits & mask for t in range(TABLES)]
                 sigs.append([p - (1 << 64) if p >> 63 else p for p in parts])
-                sizes.append(len(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "key", "sig", "n_words"])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(sigs, longs), pa.array(sizes, pa.int64()), pa.array(maps, longs)], ["doc_id", "key", "sig", "n", "map"])
 
     return run
 
 
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two arrays of longs differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, x: z + x)
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (rep, doc_id) that can be similar: each bit in which two maps differ takes a shingle that only one document holds, and
+    similar documents have few of those. None that is similar is left out."""
+    of = lambda name, size, bits: sketches.select(F.col("doc_id").alias(name), F.col("n").alias(size), F.col("map").alias(bits))
+    both = pairs.join(of("rep", "m", "a"), "rep").join(of("doc_id", "n", "b"), "doc_id")
+    most = (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + 1e-6
+    return both.where((_differ("a", "b") <= most) & (F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6)).select("rep", "doc_id")
+
+
 def candidates(sketches: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
     """Pairs (rep, doc_id): in each table, a ball's members with its representative, if their fingerprints are near.
 
@@ -187,13 +208,13 @@ def candidates(sketches: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
     """
     parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tables = F.flatten(F.transform("sig", lambda fp, t: F.transform(ball(fp, bits), lambda v: F.xxhash64(t, v))))
-    met = sketches.repartition(parts).select("doc_id", F.explode(tables).alias("variant")).repartition(parts, "variant")
+    known = sketches.where("doc_id is not null")  # said here, as the planner would add it on one side below and spoil the reuse
+    met = known.repartition(parts).select("doc_id", F.explode(tables).alias("variant")).repartition(parts, "variant")
     groups = met.groupBy("variant").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
     pairs = met.join(groups.hint("merge"), "variant").where("rep < doc_id").select("rep", "doc_id").distinct()
     of = lambda name, sig: sketches.select(F.col("doc_id").alias(name), F.col("sig").alias(sig))
     both = pairs.join(of("rep", "a"), "rep").join(of("doc_id", "b"), "doc_id")
-    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, x: z + x)
-    return both.where(differ <= MOST_DIFFER * TABLES * bits).select("rep", "doc_id")
+    return both.where(_differ("a", "b") <= MOST_DIFFER * TABLES * bits).select("rep", "doc_id")
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -440,18 +461,19 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = WOR
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     bits = table_bits(two.count())
-    prints = written(two.mapInArrow(_sketches(bits), "doc_id long, key string, sig array<long>, n_words long"), "sketches")
-    classes = written(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("n_words").alias("n_words")), "classes")
-    pairs = written(candidates(classes.where("n_words > 0").select(F.col("first").alias("doc_id"), "sig"), bits), "pairs")
+    prints = written(two.mapInArrow(_sketches(bits, k), "doc_id long, key string, sig array<long>, n long, map array<long>"), "sketches")
+    classes = written(prints.groupBy("key").agg(F.min_by(F.struct("doc_id", "sig", "n", "map"), "doc_id").alias("r")).select("key", F.col("r.doc_id").alias("first"), "r.sig", "r.n", "r.map"), "classes")
+    sketches = classes.where("n > 0").select(F.col("first").alias("doc_id"), "sig", "n", "map")
+    pairs = written(possible(candidates(sketches.select("doc_id", "sig"), bits), sketches, similarity), "pairs")
     links_ = _verified(two, pairs, similarity, k)
     connected = written(components(links_), "connected")
-    copies = prints.join(classes.select("key", "first"), "key").where("doc_id <> first").select("doc_id", F.lit(None).cast("long").alias("root")).distinct()
+    copies = prints.select("doc_id", "key").join(classes.select("key", "first"), "key").where("doc_id <> first").select("doc_id", F.lit(None).cast("long").alias("root")).distinct()
     roots = written(connected.select(F.col("node").alias("doc_id"), "root").unionByName(copies), "roots")
-    more = written(shared_shingles(two, roots, similarity, k), "more-pairs")
+    more = written(possible(shared_shingles(two, roots, similarity, k), sketches, similarity), "more-pairs")
     again = connected.select(F.col("root").alias("lo"), F.col("node").alias("hi")).where("lo <> hi")  # stars stand for the links known before
     joined = components(again.unionByName(_verified(two, more, similarity, k)))
     of_class = classes.join(joined, classes["first"] == joined["node"], "left").select("key", F.coalesce("root", "first").alias("component_id"))
-    return prints.join(of_class, "key").select("doc_id", "component_id")
+    return prints.select("doc_id", "key").join(of_class, "key").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
