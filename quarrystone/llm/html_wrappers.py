@@ -53,7 +53,7 @@ MAX_DEPTH = 120
 #: Distinct pages, and share of the host's, on which a text must be the same to count as template.
 CONSTANT, MOSTLY = 3, 0.5
 #: Pages of a host that are aligned together, about, and wrappers of shares.
-PAGES_TOGETHER, SHARES_TOGETHER = 2000, 16
+PAGES_TOGETHER, SHARES_TOGETHER = 300, 16
 #: Wrappers up to so many bytes together are broadcast; more are joined with salted pages.
 BROADCAST_BYTES, SALTS = 32 << 20, 32
 
