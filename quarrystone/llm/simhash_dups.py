@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import checked_broadcast, keep, scratch, written
+from ._shared import checked_broadcast, fresh_path, scratch, written
 
 SEED, BITS, RADIUS, SHINGLE = 42, 64, 2, 3
 
@@ -94,7 +94,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Alternating star contraction: each round links every node's larger neighbours, then its
     smaller ones, to the smallest node around; a logarithmic number of rounds, until only stars are left. No node's neighbours are
     collected. Both sides of each join are tables in the shared folder, so that where a node has a large share
-    of all edges, adaptive execution can split its partition. A round's tables go when the next has begun.
+    of all edges, adaptive execution can split its partition. A round's other tables go at its end.
     """
     spark = edges.sparkSession
     edges = written(edges.select("lo", "hi").where("lo <> hi").distinct(), "edges")
@@ -103,7 +103,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("n")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("n")).distinct())
         if ends.groupBy("node").agg(F.sum("n").alias("above"), F.count("*").alias("n")).where("above > 1 or (above = 1 and n > 1)").isEmpty():
             break
-        path = keep(spark, "edges")
+        path = fresh_path(spark, "edges")
         with scratch(spark):
             both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
             around = both.groupBy(F.col("lo").alias("node")).agg(F.min("hi").alias("m"))
@@ -469,7 +469,10 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = WOR
     connected = written(components(links_), "connected")
     copies = prints.select("doc_id", "key").join(classes.select("key", "first"), "key").where("doc_id <> first").select("doc_id", F.lit(None).cast("long").alias("root")).distinct()
     roots = written(connected.select(F.col("node").alias("doc_id"), "root").unionByName(copies), "roots")
-    more = written(possible(shared_shingles(two, roots, similarity, k), sketches, similarity), "more-pairs")
+    path = fresh_path(docs.sparkSession, "more-pairs")
+    with scratch(docs.sparkSession):  # the shingles' tables are the largest, and no longer needed
+        possible(shared_shingles(two, roots, similarity, k), sketches, similarity).write.option("compression", "zstd").parquet(path)
+    more = docs.sparkSession.read.schema("rep long, doc_id long").parquet(path)
     again = connected.select(F.col("root").alias("lo"), F.col("node").alias("hi")).where("lo <> hi")  # stars stand for the links known before
     joined = components(again.unionByName(_verified(two, more, similarity, k)))
     of_class = classes.join(joined, classes["first"] == joined["node"], "left").select("key", F.coalesce("root", "first").alias("component_id"))
