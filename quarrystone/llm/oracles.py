@@ -91,3 +91,14 @@ def mixing_sql(targets: mixing.Targets | None = None) -> str:
     return f"""with recursive {", ".join(ctes)}
 select doc_id, source, lang, topic, n_tokens, round({chance}, 6) as keep_prob, {unit} < {chance} as sampled
 from x cross join k left join r on r.s = x.s and r.l = x.l and r.t = x.t"""
+
+
+def rules_sql(rules: tuple[tuple[str, str, str], ...]) -> str:
+    """Every rule tried on every address; the longest one that fits decides."""
+    listed = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in rules)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    part = lambda i: f"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {i}), '')"
+    return f"""with p as (select row_number() over () as n, page_id, translate({part(1)}, '{upper}', '{lower}') as host, {part(2)} as path from pages),
+fits as (select n, r.host || r.path as rule, verdict from p join (values {listed}) r(host, path, verdict) on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)),
+best as (select n, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from fits group by n)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (n)"""

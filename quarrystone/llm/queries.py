@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, gif_media, hash_tree, html_wrappers, id_files, mixing, oracles, quality_rules, secret_scan, simhash_dups, token_counts
+from . import best_fit, gif_media, hash_tree, html_wrappers, id_files, mixing, oracles, periodic_runs, quality_rules, secret_scan, simhash_dups, token_counts, url_filter, whitening
 from ._shared import table
 
-MAX_TOKENS, SHARDS = 1024, 24
+MAX_TOKENS, SHARDS, COMPONENTS = 1024, 24, 32
 
 
 def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +68,38 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.find(docs.select("doc_id", periodic_runs.with_repetitions(F.col("text"), F.col("doc_id")).alias("text")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    best = periodic_runs.strongest(F.col("runs"))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: Host, path and verdict.
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, url_filter.SCHEMA))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"), COMPONENTS)
+    shares = F.array(*map(F.lit, model.explained[:COMPONENTS])) if model else F.lit(None).cast("array<double>")
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened",
+        F.element_at(shares, F.col("at") + 1).alias("explained"), F.lit(model.error if model else 0.0).alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_wrappers, op2_token_counts, op3_gif_media, op4_mixing, op5_quality_rules, op6_secret_scan, op7_best_fit, op8_simhash, op9_id_files, op10_hash_tree)
+    own = (op1_html_wrappers, op2_token_counts, op3_gif_media, op4_mixing, op5_quality_rules, op6_secret_scan, op7_best_fit, op8_simhash, op9_id_files, op10_hash_tree, op11_lyndon_runs, op12_url_rules, op13_svd_whitening)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": oracles.mixing_sql(), "op5_quality_rules": oracles.quality_sql()}
+    return {"op4_mixing": oracles.mixing_sql(), "op5_quality_rules": oracles.quality_sql(), "op12_url_rules": oracles.rules_sql(RULES)}
