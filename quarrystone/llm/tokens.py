@@ -79,11 +79,13 @@ class PieceTokenizer:
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings."""
-        if _OUTSIDE.search(text):
+        lower = text.lower() if self.lowers else text
+        # some capitals have their small letter in another block
+        if _OUTSIDE.search(text) or (self.lowers and _OUTSIDE.search(lower)):
             if self.lowers:
                 text = self.library.normalizer.normalize_str(text)
             return ["".join(map(_BYTES_OF.__getitem__, x)).encode("latin-1").decode() for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        return self._cut(text.lower() if self.lowers else text)
+        return self._cut(lower)
 
     def spans(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at special strings, which the library takes as single ids by default."""
