@@ -47,9 +47,15 @@ BOILER_WORDS = set(
     promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored
     subscribe subscription tags toolbar toc widget complementary contentinfo""".split()
 )
+#: Words beside those of boilerplate that only tell of an element's place, form or number.
+FORM_WORDS = set(
+    """area article bar block body bottom box btn button buttons card container content div entry featured group head heading holder icon icons inline inner item items
+    left link links list main module outer page panel photo post posts right row section site slot small stories story thread title top unit user users wrap wrapper""".split()
+)
 HEAD_WORDS = set("header masthead topbar".split())
 MAIN_WORDS = set("article articlebody body-text content entry main maincontent post postbody story".split())
-MAX_DEPTH = 120
+#: Elements nested deeper than the first join the one around them, unless their names tell what they are; those join it beyond the second.
+MAX_DEPTH, NAMED_DEPTH = 120, 160
 #: Distinct pages, and share of the host's, on which a text must be the same to count as template.
 CONSTANT, MOSTLY = 3, 0.5
 #: Pages of a host that are aligned together, about, and wrappers of shares.
@@ -99,7 +105,7 @@ def _ends(page: str) -> dict[int, int]:
 def parse(page: str) -> list:
     """The tree of a page's block elements; inline elements only join or part text."""
     root = ["body", []]
-    stack, opened = [("body", root)], Counter()  # every open tag, and the node that takes what is in it
+    stack, opened = [("body", root, 1)], Counter()  # every open tag, the node that takes what is in it, and how deep that lies
     buf, link, linked = [], 0, 0
 
     def flush():
@@ -116,7 +122,7 @@ def parse(page: str) -> list:
             return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
-                for tag, _ in stack[i:]:
+                for tag, *_ in stack[i:]:
                     opened[tag] -= 1
                 del stack[i:]
                 return
@@ -165,13 +171,12 @@ def parse(page: str) -> list:
             close(CLOSES_OWN[tag], SCOPES - {"div"})
         if tag in VOID:
             continue
-        node, around = [_signature(tag, attrs or ""), []], stack[-1][1]
-        # below MAX_DEPTH an element's content joins the element around it, unless it is boilerplate by its own name
-        if len(stack) < MAX_DEPTH or (around is stack[MAX_DEPTH - 1][1] and _is_boiler(node[0], True)):
+        node, (_, around, depth) = [_signature(tag, attrs or ""), []], stack[-1]
+        if depth < MAX_DEPTH or (depth < NAMED_DEPTH and (_is_boiler(node[0], True) or _main_kind(node[0]))):
             around[1].append(node)
+            stack.append((tag, node, depth + 1))
         else:
-            node = around
-        stack.append((tag, node))
+            stack.append((tag, around, depth))
         opened[tag] += 1
     if at < len(page):
         buf.append(page[at:])
@@ -334,10 +339,27 @@ def _is_boiler(signature: str, inside: bool) -> bool:
     tag, *names = signature.split(" ")
     if tag in ("article", "main"):  # these are boilerplate only by a whole name
         return bool(BOILER_WORDS & {n.lower() for n in names})
-    words = _words(signature)
-    if tag in BOILER_TAGS or words & BOILER_WORDS:
+    if tag in BOILER_TAGS:
         return True
-    return not inside and (tag == "header" or bool(words & HEAD_WORDS))
+    if inside:  # in an article a name must say nothing else
+        return any(_tells_boiler(n) for n in names)
+    words = _words(signature)
+    return tag == "header" or bool(words & (BOILER_WORDS | HEAD_WORDS))
+
+
+@lru_cache(maxsize=20_000)
+def _tells_boiler(name: str) -> bool:
+    """Whether a name is made of words for boilerplate, beside such that only tell of place and form."""
+    words = {w.lower() for w in _WORD.findall(name)}
+    return bool(words & BOILER_WORDS) and words <= BOILER_WORDS | FORM_WORDS and not words & STATES
+
+
+def _main_kind(signature: str) -> str | None:
+    """What names an element as the article, the strongest first: ``article``, ``main`` or ``words``; None if nothing does."""
+    tag, words = signature.split(" ", 1)[0], _words(signature) | set(signature.lower().split()[1:])
+    if tag == "article" or "articlebody" in words:
+        return "article"
+    return "main" if tag == "main" or "main" in words else "words" if words & MAIN_WORDS else None
 
 
 def _flat(items: list[dict]) -> list[dict]:
@@ -393,8 +415,7 @@ def judge(wrapper: dict, several: bool = True) -> dict:
     def search(x: dict, within: frozenset = frozenset()) -> None:
         if x["s"] == "#" or x["d"] or not x["w"]:
             return
-        tag, words = x["s"].split(" ", 1)[0], _words(x["s"]) | set(x["s"].lower().split()[1:])
-        kind = "article" if tag == "article" or "articlebody" in words else "main" if tag == "main" or (x is not wrapper and "main" in words) else "words" if words & MAIN_WORDS else None
+        kind = None if x is wrapper else _main_kind(x["s"])
         if kind and kind not in within:
             found[kind].append(x)
         if kind != "article":

@@ -925,3 +925,25 @@ def test_contracts(spark, small):
     texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     assert sizes == {i: (len(t) + 8, zlib.crc32(t)) for i, t in texts.items()}
     assert np.uint64(1) == 1
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_every_character_of_the_fast_blocks_gives_the_library_ids(path):
+    own, lib = PieceTokenizer(path), Tokenizer.from_file(path)
+    chars = [chr(i) for i in [*range(0x600), *range(0x2000, 0x2100), *range(0x3000, 0x3110), 0x4E00, 0x9FA5, 0xAC00, 0xD7A3]]
+    for text in ["AZƏRBAYCAN", *(f"ab{c}cd {c} {c}X1{c} Q{c}" for c in chars)]:
+        assert own.encode(text) == ids_of(lib, text).tobytes(), repr(text)
+
+
+@pytest.mark.parametrize("depth", [3, 117, 119, 130, 300, 5000])
+def test_articles_however_deep(depth):
+    page = "<div>" * depth + "<p>beside</p><article><aside>not this</aside><p>Words of the article are here.</p><p>And more of them there.</p></article><div>after</div>" + "</div>" * depth
+    for wrapper in (None, html_wrappers.judge(html_wrappers.infer([page]))):
+        assert html_wrappers.extract(page, wrapper) == "Words of the article are here.\nAnd more of them there."
+
+
+def test_names_that_say_something_else_stay_in_articles():
+    kept = ("social-history", "form-of-government", "article-search-terms", "notice-period", "bannerman-family", "tags-and-labels-explained")
+    gone = ("share", "share-buttons", "post-comments", "newsletter-signup", "related-posts-list", "adBox", "cookie-notice", "comments-area")
+    page = "<article><p>First paragraph of it all.</p>" + "".join(f'<div class="{n}"><p>Text in {n} is long.</p></div>' for n in (*kept, *gone)) + "</article>"
+    assert html_wrappers.extract(page, None) == "\n".join(["First paragraph of it all.", *(f"Text in {n} is long." for n in kept)])
