@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import escape_html
+
 #: Markers of client-side applications, and of pages that ask for scripts.
 APP_MARKERS = ("__nuxt", "__next", "data-reactroot", "ng-version", "data-v-app", 'type="module"', "type='module'")
 NOSCRIPT_MARKERS = ("enable javascript", "javascript is required", "you need to enable javascript", "please enable javascript")
@@ -141,26 +143,102 @@ def has_relation(rel: Column, relations: tuple[str, ...] = ASSET_RELATIONS) -> C
 
 def absolute_assets(page: Column, origin: str) -> Column:
     """Root-relative addresses of stored assets made absolute."""
-    return F.regexp_replace(page, r"""(["'(=])(/snapshots/[A-Za-z0-9_-]+/asset/)""", "$1" + origin.rstrip("/") + "$2")
+    return F.regexp_replace(page, r"""(?m)(^|["'(=\s])(/snapshots/[A-Za-z0-9_-]+/asset/[A-Za-z0-9._~-]+)""", "$1" + origin.rstrip("/") + "$2")
+
+
+#: What an anchor, its reference, and an attribute are.
+ANCHOR = r"(?is)<a\b[^>]*>"
+_HREF = r"""(?is)^(.*?(?<![\w-])href\s*=\s*)(["'])(.*?)\2(.*)$"""
+DISABLED_SCRIPT = "application/x-disabled"
+
+
+def _attribute(name: str) -> str:
+    return rf"(?<![\w-]){name}\s*="
+
+
+def anchors(page: Column) -> Column:
+    """The start tags of anchors in order."""
+    return F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(0))
+
+
+def anchor_href(tag: Column) -> Column:
+    """The quoted reference of a start tag as it is written; empty if there is none."""
+    return F.regexp_extract(tag, _HREF, 3)
+
+
+def _with_href(tag: Column, value: Column) -> Column:
+    at = lambda i: F.regexp_extract(tag, _HREF, i)
+    return F.concat(at(1), at(2), value, at(2), at(4))
+
+
+def _with_attribute(tag: Column, name: str, value: str) -> Column:
+    """The first quoted attribute of that name gets the value; a tag without one gets it at its end."""
+    changed = F.regexp_replace(tag, rf"""(?is)^(.*?)(?<![\w-]){name}\s*=\s*(["']).*?\2(.*)$""", f'$1{name}="{value}"$3')
+    return F.when(tag.rlike("(?i)" + _attribute(name)), changed).otherwise(F.concat(F.substring(tag, F.lit(1), F.length(tag) - 1), F.lit(f' {name}="{value}">')))
+
+
+def led_anchor(tag: Column, raw: Column, target: Column, copy: Column) -> Column:
+    """An anchor that leads to ``copy`` if there is one, else out of the archive to ``target``; scripts and data (no target) lead nowhere, and without ``raw`` nothing changes."""
+    outside = _with_attribute(_with_attribute(_with_href(tag, escape_html(target)), "target", "_blank"), "rel", "noopener noreferrer external")
+    return F.when(raw.isNull(), tag).when(target.isNull(), _with_href(tag, F.lit("#"))).when(copy.isNotNull(), _with_href(tag, escape_html(copy))).when(target.rlike("^https?://"), outside).otherwise(tag)
 
 
-#: What a replayed page may load: its own copies, nothing by scripts, nothing sent.
+def with_anchors(page: Column, tags: Column) -> Column:
+    """A page with its anchors' start tags replaced, one for one; null ``tags`` change nothing."""
+    around = F.split(page, ANCHOR, -1)
+    whole = F.array_join(F.zip_with(around, F.concat(tags, F.array(F.lit(""))), lambda text, tag: F.concat(text, tag)), "")
+    return F.when(tags.isNull(), page).otherwise(whole)
+
+
+def disabled_forms(page: Column) -> Column:
+    """Forms that send nothing: their action leads nowhere, and they are inert."""
+    out = F.regexp_replace(page, r"""(?is)(<form\b[^>]*?)(?<![\w-])action\s*=\s*(["'])[^>]*?\2""", '$1action="about:blank"')
+    out = F.regexp_replace(out, rf"(?is)(<form\b(?![^>]*{_attribute('action')})[^>]*)>", '$1 action="about:blank">')
+    return F.regexp_replace(out, r"(?is)(<form\b(?![^>]*(?<![\w-])inert(?:\s|=|>))[^>]*)>", "$1 inert>")
+
+
+def disabled_scripts(page: Column) -> Column:
+    """Scripts of a type that no browser runs."""
+    out = F.regexp_replace(page, rf"""(?is)(<script\b(?![^>]*{DISABLED_SCRIPT})[^>]*?)(?<![\w-])type\s*=\s*(["'])[^>]*?\2""", f'$1type="{DISABLED_SCRIPT}"')
+    return F.regexp_replace(out, rf"(?is)(<script\b(?![^>]*{_attribute('type')})[^>]*)>", f'$1 type="{DISABLED_SCRIPT}">')
+
+
+#: What a replayed page may load: its own copies, nothing by scripts, nothing sent.
 REPLAY_RULES = {
     "default-src": "'self' data: blob:", "img-src": "'self' data: blob:", "style-src": "'self' 'unsafe-inline' data: blob:", "script-src": "'none'", "font-src": "'self' data: blob:",
     "media-src": "'self' data: blob:", "connect-src": "'none'", "form-action": "'none'", "frame-src": "'self'",
 }
+#: Frames of a tracker, and a page's own content rules.
+_TRACKER = r"""(?is)<iframe\b[^>]*\bsrc\s*=\s*(["'])[^"']*googletagmanager\.com[^"']*\1[^>]*>.*?</iframe>"""
+_OWN_RULES = r"""(?i)<meta[^>]+http-equiv=["']?content-security-policy["']?[^>]*>"""
 
 
-def replay_document(page: Column, base: Column) -> Column:
-    """A page without tracker frames and its own content rules, with one base address and the rules of a replay.
+def without_trackers(page: Column) -> Column:
+    return F.regexp_replace(page, _TRACKER, "")
 
-    Layout repairs for single themes are left out.
+
+def _in_head(page: Column, inserted: Column) -> Column:
+    """Behind the first start tag of a head, else in front."""
+    at = F.length(F.regexp_extract(page, r"(?is)^(.*?<head\b[^>]*>)", 1))
+    return F.concat(F.substring(page, F.lit(1), at), inserted, F.substring(page, at + 1, F.length(page)))
+
+
+def replay_rules(page: Column, base: Column, repairs: str = "") -> Column:
+    """A page under the content rules of a replay instead of its own, with ``base`` in the first base element or in a new one.
+
+    ``repairs`` is markup that goes with the rules, such as styles that show what scripts would have shown.
     """
-    rules = "; ".join(f"{k} {v}" for k, v in REPLAY_RULES.items()) + ";"
-    out = F.regexp_replace(page, r"""(?is)<iframe\b[^>]*\bsrc\s*=\s*["'][^"']*googletagmanager\.com[^"']*["'][^>]*>.*?</iframe>""", "")
-    out = F.regexp_replace(out, r"""(?i)<meta[^>]+http-equiv=["']?content-security-policy["']?[^>]*>""", "")
-    out = F.regexp_replace(out, r"(?is)<base\b[^>]*>", "")
-    safe = F.replace(F.replace(base, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
-    head = F.concat(F.lit('<base href="'), safe, F.lit(f'"><meta http-equiv="Content-Security-Policy" content="{rules}">'))
-    at = F.length(F.regexp_extract(out, r"(?is)^(.*?<head\b[^>]*>)", 1))  # 0 where there is no head
-    return F.concat(F.substring(out, F.lit(1), at), head, F.substring(out, at + 1, F.length(out)))
+    rules = F.lit('<meta http-equiv="Content-Security-Policy" content="' + "; ".join(f"{k} {v}" for k, v in REPLAY_RULES.items()) + ';">')
+    tag = F.concat(F.lit('<base href="'), escape_html(base), F.lit('">'))
+    out = F.regexp_replace(page, _OWN_RULES, "")
+    at = F.regexp_extract(out, r"(?is)^(.*?)<base\b[^>]*>", 0)
+    before = F.regexp_extract(out, r"(?is)^(.*?)<base\b[^>]*>", 1)
+    based = F.concat(before, tag, F.substring(out, F.length(at) + 1, F.length(out)))
+    told = F.when(F.lower(out).contains("content-security-policy"), F.lit(repairs)).otherwise(F.concat(rules, F.lit(repairs)))
+    fresh = _in_head(out, F.concat(tag, rules, F.lit(repairs)))
+    return F.when(~F.lower(out).contains("<base"), fresh).otherwise(_in_head(F.when(at == "", out).otherwise(based), told))
+
+
+def replay_document(page: Column, base: Column) -> Column:
+    """A page without tracker frames, with its base and the rules of a replay; its links stay as they are (``operators.replay`` leads them)."""
+    return replay_rules(without_trackers(page), base)

@@ -10,7 +10,7 @@ import html
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -21,7 +21,6 @@ _ATTR = re.compile(r"""\s*([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _CSS_URL = re.compile(r"""url\(\s*(["']?)(.*?)\1\s*\)""", re.I | re.S)
 _CSS_IMPORT = re.compile(r"""@import\s+(["'])(.*?)\1""", re.I | re.S)
 _KEEP = ("data:", "#", "mailto:", "tel:")
-DISABLED_SCRIPT = "application/x-disabled"
 LAZY = ("data-src", "data-lazy-src", "data-original")
 
 
@@ -81,7 +80,7 @@ def promote_lazy(page: str) -> str:
     """Images whose source is missing or a placeholder get the lazy one."""
 
     def change(tag: Tag) -> None:
-        lazy = next((v for a in LAZY if (v := tag.get(a))), None)
+        lazy = next((html.unescape(v) for k, v in tag.attrs if v and k.lower() in LAZY), None)  # the first in the tag
         have = tag.get("src")
         if lazy and (have is None or have.strip().lower().startswith("data:image")):
             tag.set("src", lazy)
@@ -111,43 +110,6 @@ def css(text: str, base: str, put: Callable[[str], str]) -> str:
     return _CSS_URL.sub(one, text)
 
 
-def navigation(page: str, url: str, origin: str, pages: dict[str, str], key: Callable[[str], str]) -> str:
-    """Links to stored pages lead to their copies, others leave the archive in a new tab; forms and scripts are off."""
-
-    def change(tag: Tag) -> None:
-        name = tag.name.lower()
-        if name == "form":
-            tag.set("action", "about:blank")
-            if tag.get("inert") is None:
-                tag.set("inert", None)
-        elif name == "script":
-            if tag.get("type") != DISABLED_SCRIPT:
-                tag.set("type", DISABLED_SCRIPT)
-        else:
-            raw = (tag.get("href") or "").strip()
-            if not raw or raw.startswith(("#", "mailto:", "tel:")):
-                return
-            if raw.lower().startswith(("javascript:", "data:")):
-                tag.set("href", "#")
-                return
-            target = urljoin(url, raw)
-            parts = urlsplit(target)
-            stored = pages.get(key(target))
-            if stored and origin:
-                tag.set("href", f"{origin.rstrip('/')}/snapshots/{stored}/content" + (f"#{parts.fragment}" if parts.fragment else ""))
-            elif parts.scheme in ("http", "https"):
-                tag.set("href", target)
-                tag.set("target", "_blank")
-                tag.set("rel", "noopener noreferrer external")
-
-    return each_tag(page, {"a", "form", "script"}, change)
-
-
-def link_key(url: str) -> str:
-    p = urlsplit(url)
-    return f"{p.scheme.lower()}://{p.netloc.lower()}{p.path or '/'}" + (f"?{p.query}" if p.query else "")
-
-
 @F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
@@ -162,10 +124,3 @@ def links(pages: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def lazy_sources(pages: pd.Series) -> pd.Series:
     return pages.map(promote_lazy, na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def replay(pages: pd.Series, urls: pd.Series, page_maps: pd.Series) -> pd.Series:
-    """Navigation of stored pages; the map of link keys to snapshots is a column."""
-    known = [{} if m is None else {e["key"]: e["value"] for e in m} for m in page_maps]
-    return pd.Series([None if p is None else navigation(p, u or "", "", m, link_key) for p, u, m in zip(pages, urls, known, strict=True)])

@@ -1,9 +1,8 @@
-"""Reference resolution, address blocks and robots rules by the standard library, as Arrow-batched UDFs."""
+"""Address blocks and robots rules by the standard library, as Arrow-batched UDFs."""
 
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import urljoin
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -11,12 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 
-@F.pandas_udf(StringType())
-def join(base: pd.Series, href: pd.Series) -> pd.Series:
-    """Any reference against its base."""
-    return pd.Series([None if b is None or h is None else urljoin(b, h.strip()) for b, h in zip(base, href, strict=True)])
-
-
 def address_verdict(address: str, private_allowed: bool = False) -> str:
     """``blocked``, ``private`` (blocked unless allowed) or ``allowed`` for a resolved address."""
     try:

@@ -1,4 +1,4 @@
-"""URL functions as built-in expressions; full reference resolution is in ``url_kernels``.
+"""URL functions as built-in expressions.
 
 An address is cut by one pattern into scheme, authority, path, query and fragment, as RFC 3986
 does, so nothing raises on odd input. Queries are read as forms write them: ``+`` and percent
@@ -40,6 +40,10 @@ def query(url: Column) -> Column:
     return part(url, 4)
 
 
+def fragment(url: Column) -> Column:
+    return part(url, 5)
+
+
 def hostname(url: Column) -> Column:
     """Lower-case host without user information and port."""
     return F.lower(F.regexp_extract(netloc(url), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
@@ -96,18 +100,40 @@ def followed(href: Column) -> Column:
     return ~F.btrim(href).rlike("^(?:" + "|".join(SKIPPED_PREFIXES) + ")")
 
 
-def join_simple(base: Column, href: Column) -> Column:
-    """References that are absolute, protocol-relative, root-relative, queries or fragments; null for
-    others, which need ``url_kernels.join``."""
-    h = F.btrim(href)
-    site = F.concat(part(base, 1), F.lit("://"), netloc(base))
-    return (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(part(base, 1), F.lit(":"), h))
-        .when(h.startswith("/") & ~h.rlike(r"/\.\.?(?:/|$|[?#])"), F.concat(site, h))
-        .when(h.startswith("?"), F.concat(site, path(base), h))
-        .when(h == "", base)
-    )
+_REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_BLANK = " \t\n\r\x0b\f\x1c\x1d\x1e\x1f"
+#: Schemes whose addresses have relative references.
+HIERARCHICAL = ("http", "https", "ftp", "file")
+
+
+def _without_dots(p: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved, one segment after another; a ``..`` too many is dropped."""
+    step = lambda kept, s: F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.array_append(kept, s))
+    kept = F.aggregate(F.split(p, "/", -1), F.array().cast("array<string>"), step)
+    closed = F.when(p.rlike(r"(?:^|/)\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(p.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(closed, "/")).otherwise(p)
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """A reference against its base, as RFC 3986 resolves it; null if either is.
+
+    White space around it goes, and line ends in it. An empty one gives the base, one with another scheme or on a base without
+    hierarchy stays as it is, and the base's own scheme before a relative path is ignored. Slashes between merged paths become one; empty
+    queries and fragments go.
+    """
+    given = F.btrim(ref, F.lit(_BLANK))
+    h = F.regexp_replace(given, "[\t\r\n]", "")
+    s, n, p, q, f = (F.regexp_extract(h, _REFERENCE, i) for i in range(1, 6))
+    bs, bn, bp, bq = (F.regexp_extract(base, _REFERENCE, i) for i in range(1, 5))
+    folder = F.regexp_extract(bp, "(?s)^(.*/)[^/]*$", 1)
+    merged = F.when(p.startswith("/"), p).otherwise(F.regexp_replace(F.concat(folder, p), "/{2,}", "/"))
+    inner = F.when(p == "", bp).otherwise(_without_dots(merged))
+    rooted = lambda x: F.when((x == "") | x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x))
+    mark = lambda sign, x: F.when(x == "", F.lit("")).otherwise(F.concat(F.lit(sign), x))
+    own = F.concat(F.lower(F.when(s == "", bs).otherwise(s)), F.lit("://"), n, rooted(p), mark("?", q), mark("#", f))
+    there = F.concat(F.lower(bs), F.lit("://"), bn, rooted(F.when((inner == "") & (p != ""), "/").otherwise(inner)), mark("?", F.when((p == "") & (q == ""), bq).otherwise(q)), mark("#", f))
+    apart = ((s != "") & (F.lower(s) != F.lower(bs))) | ~F.lower(bs).isin(*HIERARCHICAL)
+    return F.when(base.isNull() | h.isNull(), F.lit(None)).when(h == "", base).when(apart, given).when(n != "", own).otherwise(there)
 
 
 def site_name(url: Column) -> Column:

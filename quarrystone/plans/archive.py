@@ -152,7 +152,7 @@ def int1_orphaned_assets(a: Archive):
 def link_edges(a: Archive):
     """src, pos, dst: links of pages to page-like addresses of the same host."""
     rows = a.raw("pages").select(F.col("page_id").alias("page"), urls.canonical_url(F.col("url"), "preserve").alias("src"), "url", F.posexplode(html.hrefs(F.col("html"))).alias("pos", "href"))
-    found = rows.where(urls.followed(F.col("href"))).withColumn("target", urls.join_simple(F.col("url"), F.col("href")))
+    found = rows.where(urls.followed(F.col("href"))).withColumn("target", urls.resolve(F.col("url"), F.col("href")))
     inside = found.where((urls.host_key(F.col("target")) == urls.host_key(F.col("url"))) & urls.looks_like_page(F.col("target")))
     return inside.select("src", "pos", urls.canonical_url(F.col("target"), "preserve").alias("dst"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import html, html_kernels, text
 from ..operators import secrets
 from ..sources.tables import Archive
-from .archive import link_edges
 from .registry import query
 
 _TITLE = r"left(trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '[\s\x{00A0}]+', ' ', 'g')), 160)"
@@ -45,11 +44,6 @@ def htm4_links_parsed(a: Archive):
     return a.raw("pages").select("page_id", F.posexplode(html_kernels.links(F.col("html"))).alias("pos", "href"))
 
 
-@query()
-def htm5_internal_links(a: Archive):
-    return link_edges(a)
-
-
 @query(
     r"""select page_id, (length(html) - length(replace(lower(html), '<script', '<scrip')))::bigint as scripts, (length(html) - length(replace(lower(html), '<form', '<for')))::bigint as forms,
     len(regexp_extract_all(html, '(?i)<(?:iframe|frame)\b'))::bigint as frames, len(regexp_extract_all(html, '(?i)<a\b'))::bigint as anchors from pages"""
@@ -153,23 +147,22 @@ def htm13_engines(a: Archive):
     return rows.select("id", html.render_reason(F.col("page")).alias("reason"), html.engine(F.col("page"), F.col("content_type"), F.col("kind") == "wayback").alias("engine"))
 
 
-@query("select page_id, replace(html, '<a href=\"/', '<a href=\"https://a.test/snapshots/s1/asset/') as page from pages")
+@query(
+    """select page_id, replace(regexp_replace(html, '<a href="/([A-Za-z0-9._~-])', '<a href="https://a.test/snapshots/s1/asset/\\1', 'g'), '<a href="/', '<a href="/snapshots/s1/asset/') as page from pages"""
+)
 def htm17_absolute_assets(a: Archive):
     return a.raw("pages").select("page_id", html.absolute_assets(_as_stored(), "https://a.test/").alias("page"))
 
 
-@query(
-    """select page_id, regexp_replace(replace(html, '<script>', '<script type="application/x-disabled">'), '<a href="(/[^"]*)">', '<a href="' || split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || '\\1" target="_blank" rel="noopener noreferrer external">', 'g') as replay
-    from pages"""
-)
-def htm15_replay(a: Archive):
-    maps = F.array().cast("array<struct<key:string,value:string>>")
-    return a.raw("pages").select("page_id", html_kernels.replay(F.col("html"), F.col("url"), maps).alias("replay"))
+#: English pages name the original first, others the lazy source.
+_FIRST = "if(starts_with(html, '<!DOCTYPE html><html lang=\"en\"'), '/o', '')"
 
 
-@query(f"""select page_id, replace(regexp_replace(html, '{_LINK}', '<img src="\\1" data-src="\\1"', 'g'), '<b>', '<b><br>') as html from pages""")
+@query(f"""select page_id, replace(regexp_replace(html, '{_LINK}', '<img src="' || {_FIRST} || '\\1" ' || if({_FIRST} = '', 'data-src="\\1" data-original="/o\\1"', 'data-original="/o\\1" data-src="\\1"'), 'g'), '<b>', '<b><br>') as html from pages""")
 def htm8_lazy_images(a: Archive):
-    holder = F.regexp_replace("html", _LINK, '<img src="data:image/gif;base64,R0" data-src="$1"')
+    german = F.regexp_replace("html", _LINK, '<img src="data:image/gif;base64,R0" data-src="$1" data-original="/o$1"')
+    english = F.regexp_replace("html", _LINK, '<img src="data:image/gif;base64,R0" data-original="/o$1" data-src="$1"')
+    holder = F.when(_lang() == "en", english).otherwise(german)
     return a.raw("pages").select("page_id", html_kernels.lazy_sources(F.replace(holder, F.lit("<b>"), F.lit("<b><br>"))).alias("html"))
 
 
@@ -192,15 +185,6 @@ def str7_image_types(a: Archive):
     return a.raw("documents").select("doc_id", text.image_type(F.concat(F.unhex(head), F.col("text").cast("binary"))).alias("kind"))
 
 
-@query(
-    """select page_id, left(html, p + 5) || '<base href="' || replace(url, '&', '&amp;') || '"><meta http-equiv="Content-Security-Policy" content="RULES">' || substr(html, p + 6) as page
-    from (select page_id, url, html, instr(html, '<head>') as p from pages)""".replace("RULES", ("; ".join(f"{k} {v}" for k, v in html.REPLAY_RULES.items()) + ";").replace("'", "''"))
-)
-def htm16_replay_documents(a: Archive):
-    trackers = F.lit('<iframe src="https://www.googletagmanager.com/ns.html?id=1"></iframe><base href="/old/"><meta http-equiv="Content-Security-Policy" content="x">')
-    return a.raw("pages").select("page_id", html.replay_document(F.concat(F.col("html"), trackers), F.col("url")).alias("page"))
-
-
 @query(f"""select page_id, array_to_string(list_transform(list_filter(list_transform(l, lambda x: trim(replace(x, ',', ' '))), lambda x: x <> ''), lambda x: 'https://a.test' || split_part(x, ' ', 1) || ' 2x'), ', ') as rewritten from {_FACTS}""")
 def htm9_srcsets(a: Archive):
     @F.pandas_udf("string")

@@ -269,10 +269,26 @@ def url15_patterns(a: Archive):
     return a.sites.select("id", urls.split_patterns(F.concat(F.lit(" /a"), F.col("id").cast("string"), F.lit(" ,\n\n/b\n,"))).alias("patterns"))
 
 
-@query("select page_id, 'https://' || split_part(split_part(url, '://', 2), '/', 1) || '/x/' || page_id as target from pages where starts_with(url, 'https')")
+#: Each link of a page as a reference of another kind, by its place, from the page's folder or the one above it.
+_SITE, _PATH = "regexp_extract(url, '^[^/]*//[^/]*', 0)", "regexp_extract(url, '^[^/]*//[^/]*([^?#]*)', 1)"
+_KINDS = f"""case pos % 10 when 0 then {_SITE} || h when 1 then {_SITE} || regexp_replace(folder, '[^/]*/$', '') || substr(h, 2) when 2 then {_SITE} || folder || substr(h, 2) when 3 then {_SITE} || {_PATH} || '?q=' || substr(h, 2)
+    when 4 then url when 5 then split_part(url, ':', 1) || '://other.test' || h when 6 then split_part(url, '#', 1) || '#' || substr(h, 2) when 7 then {_SITE} || folder || substr(h, 2) || '/' when 8 then 'mailto:' || substr(h, 2) else 'ftp://files.test' || h end"""
+
+
+@query(
+    f"""select page_id, pos, {_KINDS} as target from (select page_id, url, regexp_extract({_PATH}, '^(.*/)', 1) as folder, unnest(l) as h, (generate_subscripts(l, 1) - 1)::int as pos
+    from (select page_id, url, list_concat(l, list_reverse(l)) as l from (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) as l from pages)))"""
+)
 def url6_joined(a: Archive):
-    rows = a.raw("pages").where(F.col("url").startswith("https"))
-    return rows.select("page_id", urls.join_simple(F.col("url"), F.concat(F.lit("/x/"), F.col("page_id").cast("string"))).alias("target"))
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    rows = a.raw("pages").select("page_id", "url", links.alias("links")).select("page_id", "url", F.posexplode(F.concat("links", F.reverse("links"))).alias("pos", "h"))
+    rest, kind = F.substring("h", F.lit(2), F.length("h")), F.col("pos") % 10
+    ref = (
+        F.when(kind == 0, F.col("h")).when(kind == 1, F.concat(F.lit(".."), F.col("h"))).when(kind == 2, F.concat(F.lit("./"), rest)).when(kind == 3, F.concat(F.lit("?q="), rest)).when(kind == 4, F.lit(" "))
+        .when(kind == 5, F.concat(F.lit("//other.test"), F.col("h"))).when(kind == 6, F.concat(F.lit("#"), rest)).when(kind == 7, F.concat(F.lit("a/../b/.././/"), rest, F.lit("/x/..")))
+        .when(kind == 8, F.concat(F.lit("mailto:"), rest)).otherwise(F.concat(F.lit("ftp://files.test"), F.col("h")))
+    )
+    return rows.select("page_id", "pos", urls.resolve(F.col("url"), ref).alias("target"))
 
 
 _SEGMENT = "string_split(split_part(split_part(url, '#', 1), '?', 1), '/')[-1]"
