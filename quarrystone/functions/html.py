@@ -112,6 +112,17 @@ def resources(page: Column) -> Column:
     return F.filter(every, lambda r: (r["url"] != "") & ~r["url"].rlike("^(?:data:|#|mailto:|tel:)"))
 
 
+def css_references(style: Column) -> Column:
+    """What a stylesheet loads: quoted imports first, then ``url()``, each in order; no data and nothing that is stored already."""
+    imports = F.regexp_extract_all(style, F.lit(r"""(?is)@import\s+(["'])(.*?)\1[^;]*;"""), F.lit(2))
+    urls = F.transform(F.regexp_extract_all(style, F.lit(r"(?i)url\(\s*([^)]+?)\s*\)"), F.lit(1)), lambda u: F.btrim(F.btrim(u), F.lit("\"'")))
+    return F.concat(imports, F.filter(urls, lambda u: (u != "") & ~u.rlike("^(?:data:|#|mailto:|tel:|/snapshots/)")))
+
+
+def css_url_count(style: Column) -> Column:
+    return F.regexp_count(style, F.lit(r"(?i)url\("))
+
+
 def local_references(page: Column) -> Column:
     """Ids of stored assets that a page refers to."""
     return F.array_distinct(F.regexp_extract_all(page, F.lit(r"(?i)/snapshots/[A-Za-z0-9_-]+/asset/([A-Za-z0-9._~-]+)"), F.lit(1)))

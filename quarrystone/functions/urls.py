@@ -7,6 +7,8 @@ escapes are decoded before names are compared, and encoded again afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,12 +102,34 @@ def followed(href: Column) -> Column:
     return ~F.btrim(href).rlike("^(?:" + "|".join(SKIPPED_PREFIXES) + ")")
 
 
-_REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _BLANK = " \t\n\r\x0b\f\x1c\x1d\x1e\x1f"
 #: Schemes whose addresses have relative references.
 HIERARCHICAL = ("http", "https", "ftp", "file")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _parsed(url: Column) -> Column:
+    """Scheme, authority, path, query and fragment as a struct of s, n, p, q and f; cut at single characters, which is cheaper than by patterns."""
+    rest = lambda x, n: F.substring(x, n, F.length(x))
+
+    def hierarchy(x: Column, a: Column, b: Column, s: Column, r: Column) -> Column:
+        n = F.when(r.startswith("//"), F.substring_index(rest(r, F.lit(3)), "/", 1)).otherwise("")
+        last = lambda n: F.struct(
+            s.alias("s"), n.alias("n"), F.when(r.startswith("//"), rest(r, F.length(n) + 3)).otherwise(r).alias("p"), rest(a, F.length(b) + 2).alias("q"), rest(x, F.length(a) + 2).alias("f")
+        )
+        return bound(n, last)
+
+    def cut(x: Column, a: Column, b: Column) -> Column:
+        s = F.when(b.contains(":"), F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).otherwise("")
+        return bound(s, lambda s: bound(F.when(s == "", b).otherwise(rest(b, F.length(s) + 2)), lambda r: hierarchy(x, a, b, s, r)))
+
+    return bound(url, lambda x: bound(F.substring_index(x, "#", 1), lambda a: bound(F.substring_index(a, "?", 1), lambda b: cut(x, a, b))))
+
+
 def _without_dots(p: Column) -> Column:
     """A path with its ``.`` and ``..`` segments resolved, one segment after another; a ``..`` too many is dropped."""
     step = lambda kept, s: F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.array_append(kept, s))
@@ -121,19 +145,23 @@ def resolve(base: Column, ref: Column) -> Column:
     hierarchy stays as it is, and the base's own scheme before a relative path is ignored. Slashes between merged paths become one; empty
     queries and fragments go.
     """
-    given = F.btrim(ref, F.lit(_BLANK))
-    h = F.regexp_replace(given, "[\t\r\n]", "")
-    s, n, p, q, f = (F.regexp_extract(h, _REFERENCE, i) for i in range(1, 6))
-    bs, bn, bp, bq = (F.regexp_extract(base, _REFERENCE, i) for i in range(1, 5))
-    folder = F.regexp_extract(bp, "(?s)^(.*/)[^/]*$", 1)
-    merged = F.when(p.startswith("/"), p).otherwise(F.regexp_replace(F.concat(folder, p), "/{2,}", "/"))
-    inner = F.when(p == "", bp).otherwise(_without_dots(merged))
     rooted = lambda x: F.when((x == "") | x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x))
     mark = lambda sign, x: F.when(x == "", F.lit("")).otherwise(F.concat(F.lit(sign), x))
-    own = F.concat(F.lower(F.when(s == "", bs).otherwise(s)), F.lit("://"), n, rooted(p), mark("?", q), mark("#", f))
-    there = F.concat(F.lower(bs), F.lit("://"), bn, rooted(F.when((inner == "") & (p != ""), "/").otherwise(inner)), mark("?", F.when((p == "") & (q == ""), bq).otherwise(q)), mark("#", f))
-    apart = ((s != "") & (F.lower(s) != F.lower(bs))) | ~F.lower(bs).isin(*HIERARCHICAL)
-    return F.when(base.isNull() | h.isNull(), F.lit(None)).when(h == "", base).when(apart, given).when(n != "", own).otherwise(there)
+
+    def against(v: Column) -> Column:
+        s, n, p, q, f = (v["r"][k] for k in "snpqf")
+        b = v["b"]
+        joined = bound(F.when(p.startswith("/"), p).otherwise(F.regexp_replace(F.concat(F.regexp_extract(b["p"], "(?s)^(.*/)[^/]*$", 1), p), "/{2,}", "/")), _without_dots)
+        there = F.when(p == "", rooted(b["p"])).otherwise(bound(joined, lambda x: F.when(x == "", "/").otherwise(rooted(x))))
+        own = F.concat(F.lower(F.when(s == "", b["s"]).otherwise(s)), F.lit("://"), n, rooted(p), mark("?", q), mark("#", f))
+        inside = F.concat(F.lower(b["s"]), F.lit("://"), b["n"], there, mark("?", F.when((p == "") & (q == ""), b["q"]).otherwise(q)), mark("#", f))
+        apart = ((s != "") & (F.lower(s) != F.lower(b["s"]))) | ~F.lower(b["s"]).isin(*HIERARCHICAL)
+        return F.when(v["given"] == "", v["base"]).when(apart, v["given"]).when(n != "", own).otherwise(inside)
+
+    given = F.btrim(ref, F.lit(_BLANK))
+    plain = lambda v: F.struct(v["base"], v["given"], _parsed(v["base"]).alias("b"), _parsed(F.translate(v["given"], "\t\r\n", "")).alias("r"))
+    found = bound(bound(F.struct(base.alias("base"), given.alias("given")), plain), against)
+    return F.when(base.isNotNull() & ref.isNotNull(), found)
 
 
 def site_name(url: Column) -> Column:
@@ -267,6 +295,29 @@ def archive_capture_url(timestamp: Column, url: Column) -> Column:
     return F.concat(F.lit("https://web.archive.org/web/"), timestamp, F.lit("id_/"), url)
 
 
+def replay_reference(base: Column, raw: Column) -> Column:
+    """What a stored page's reference stands for: a stored copy's own path, an archive's capture of it if the page is one, else ``resolve``."""
+
+    def meant(v: Column) -> Column:
+        raw, base, host, p = v["raw"], v["base"], v["host"], v["path"]
+        behind = F.when(v["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), v["query"]))
+        stamp, inside, original = v["stamp"], v["stamp"] != "", v["original"]
+        web, archive = scheme(raw).isin("http", "https"), host == "web.archive.org"
+        doubled = lambda s: p.contains(f"/{s}:/") & ~p.contains(f"/{s}://")
+        return (
+            F.when(p.startswith("/snapshots/"), F.concat(p, behind))
+            .when(archive & doubled("http"), F.regexp_replace(raw, "/http:/", "/http://")).when(archive & doubled("https"), F.regexp_replace(raw, "/https:/", "/https://"))
+            .when(web & archive & ~p.startswith("/web/") & inside, archive_capture_url(stamp, F.concat(original, p, behind))).when(web & ~archive & inside, archive_capture_url(stamp, raw))
+            .when(web, raw).when(inside & raw.startswith("/"), archive_capture_url(stamp, F.concat(original, raw))).otherwise(resolve(base, raw))
+        )
+
+    at = lambda i: F.regexp_extract(base, r"^[a-z]+://web\.archive\.org/web/(\d+)(?:[a-z_]+)?/(https?://[^/?#]*)", i)
+    told = F.coalesce(raw.contains("/snapshots/") | raw.contains("web.archive.org") | base.contains("web.archive.org"), F.lit(False))
+    parts = F.struct(base.alias("base"), raw.alias("raw"), netloc(raw).alias("host"), path(raw).alias("path"), query(raw).alias("query"), at(1).alias("stamp"), at(2).alias("original"))
+    plainly = F.when(raw.rlike("(?i)^https?:"), raw).otherwise(resolve(base, raw))
+    return F.when(told, bound(parts, meant)).otherwise(plainly)
+
+
 def archive_history_url(url: Column) -> Column:
     return F.concat(F.lit("https://web.archive.org/web/*/"), normalize_url(url))
 
