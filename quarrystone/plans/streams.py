@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import html, urls
 from ..sources.tables import Archive
 from ..streaming import activity as S
+from ..streaming import runs
 from .registry import SQL, query
 
 
@@ -40,3 +42,30 @@ def str_sessions(a: Archive):
 def str_sliding_counts(a: Archive):
     t = F.unix_micros(F.col("created_at").cast("timestamp"))
     return a.activity.select("id", F.count("*").over(Window.partitionBy("actor_id").orderBy(t).rangeBetween(-900_000_000, 0)).alias("n"))
+
+
+@query("")
+def str_limiter_resumed(a: Archive):
+    events = a.activity.select("id", "actor_id", "created_at").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(F.unix_micros("created_at"), [0.3, 0.6])).first()[0] or [0, 0]
+    part = F.when(F.unix_micros("created_at") < cuts[0], 0).when(F.unix_micros("created_at") < cuts[1], 1).otherwise(2)
+    found = runs.resumed([events.where(part == i) for i in range(3)], lambda s: S.limited_stream(s, "actor_id", 3, 86_400), "actor_id")
+    return found.select(F.col("key").cast("long").alias("actor_id"), "id", "allowed")
+
+
+SQL["str_limiter_resumed"] = SQL["win8_rate_limiter"]
+
+_FOUND = """select lower(split_part(split_part(url, '://', 2), '/', 1)) as job, page_id * 1000 + generate_subscripts(l, 1) - 1 as seq, split_part(url, '://', 1) || '://' || lower(split_part(split_part(url, '://', 2), '/', 1)) || regexp_replace(unnest(l), '#.*$', '') as url
+    from (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) as l from pages)"""
+
+
+@query(f"select job, url, rank from (select job, url, row_number() over (partition by job order by min(seq)) as rank from ({_FOUND}) group by job, url) where rank <= 12")
+def str_frontier_resumed(a: Archive):
+    """Links as they are found page by page; a third of the pages arrives at a time."""
+    pages = a.raw("pages").select("page_id", "url", F.posexplode(html.hrefs(F.col("html"))).alias("pos", "href"))
+    target = urls.canonical_url(urls.resolve(F.col("url"), F.col("href")), "preserve")
+    links = pages.select(F.lower(urls.netloc(F.col("url"))).alias("job_id"), (F.col("page_id") * 1000 + F.col("pos")).alias("seq"), target.alias("url"), "page_id")
+    cuts = a.raw("pages").agg(F.percentile_approx("page_id", [0.3, 0.6])).first()[0] or [0, 0]
+    part = F.when(F.col("page_id") < cuts[0], 0).when(F.col("page_id") < cuts[1], 1).otherwise(2)
+    found = runs.resumed([links.where(part == i).drop("page_id") for i in range(3)], lambda s: S.frontier_stream(s, 12), "job_id")
+    return found.select("job", "url", "rank")
