@@ -77,6 +77,12 @@ def digest_hex(wire: Column) -> Column:
     return F.when(body != "", F.lower(F.hex(F.unbase64(F.concat(body, F.lit("="))))))
 
 
+def json_text(c: Column) -> Column:
+    """A text as JSON."""
+    whole = F.to_json(F.struct(c.alias("v")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
 def canonical_json(**fields: Column) -> Column:
     """Compact JSON with its keys in order."""
     return F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": "false"})
