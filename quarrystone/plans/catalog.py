@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, files, integrity, jobs, localise, pages, replay, storage, streams, upkeep, urls  # noqa: F401  they register their queries
+from . import archive, files, integrity, jobs, localise, pages, preservation, replay, storage, streams, upkeep, urls  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
