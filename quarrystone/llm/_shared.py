@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from ..sources.shared import delete, fresh_folder, own_folder
 
 #: Bytes that a broadcast may have, by the measure of ``checked_broadcast``.
 BROADCAST_BYTES = 16 << 20
-_scopes: list[list[str]] = []
+#: The paths of each ``scratch`` around, for each thread apart, as two queries may run side by side.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in this application's part of the shared folder that nothing else uses."""
     path = fresh_folder(spark, label)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     return path
 
 
@@ -43,22 +45,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what ``written`` and ``fresh_path`` left within it; frames of these can't be read after."""
-    _scopes.append([])
+    mine: list[str] = []
+    before = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in mine:
             delete(spark, path)
 
 
 def keep(spark: SparkSession, label: str) -> str:
     """A fresh path that outlives the innermost ``scratch``."""
-    inner = _scopes.pop() if _scopes else None
+    before = _scopes.set(_scopes.get()[:-1])
     try:
         return fresh_path(spark, label)
     finally:
-        if inner is not None:
-            _scopes.append(inner)
+        _scopes.reset(before)
 
 
 def checked_broadcast(df: DataFrame, width=None) -> DataFrame:

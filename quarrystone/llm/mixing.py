@@ -145,6 +145,19 @@ def sample(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_i
     return joined.select("doc_id", "source", "lang", "topic", "n_tokens", "keep_prob", (unit(F.col("doc_id"), targets.seed) < F.col("keep_prob")).alias("sampled"))
 
 
+def keep(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``sample`` takes, with all their columns; rows with a null id, which no sample can name, stay.
+
+    One pass weighs the cells, the other draws each row where it lies, so no text is shuffled.
+    """
+    targets = targets or Targets()
+    four = [F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).alias("text")]
+    cells = written(weighed(docs.select(*four), targets).groupBy("cell").agg(F.sum("n_tokens").alias("tokens")), "cells")
+    chances = written(probabilities(cells, targets), "chances")
+    rows = weighed(docs.select(F.struct(*docs.columns).alias("row"), *four), targets).join(F.broadcast(chances), "cell")
+    return rows.where(F.col("doc_id").isNull() | (unit(F.col("doc_id"), targets.seed) < F.col("keep_prob"))).select("row.*")
+
+
 def reached(drawn: DataFrame, targets: Targets | None = None) -> DataFrame:
     """marginal, category, observed, target, expected, gap: shares of the tokens in the corpus, as wished for and as the sample is
     expected to hold them, from what ``sample`` gives; a row for each category that has tokens."""

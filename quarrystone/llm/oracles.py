@@ -12,7 +12,7 @@ def _lists(values) -> str:
 
 
 def quality_sql() -> str:
-    """Features by unnesting words and windows; cutoffs rule after rule."""
+    """Features by unnesting words and windows; each vector of cutoffs on each labelled document."""
     q, ws = quality_rules, r"[\x20\x09-\x0D]"
     strata = ", ".join(f"'{s}'" for s in q.STRATA)
     ctes = [
@@ -31,27 +31,24 @@ def quality_sql() -> str:
               n_symbols / greatest(n_words, 1) as symbols_per_word, n_dup_lines / greatest(lines, 1) as dup_line_share,
               n_repeat_words / greatest(n_words, 1) as repeat_share, word_chars / greatest(n_words, 1) as chars_per_word from f)""",
         """lab as (select doc_id, min(quality) = 1 as good from labels where quality in (0, 1) group by doc_id)""",
-        """h0 as (select g.*, good, true as leftover from g join lab using (doc_id) where not base_failed)""",
+        """h0 as (select g.*, good from g join lab using (doc_id) where not base_failed)""",
     ]
-    log1, odds = math.log1p(-q.SHARE), math.log(q.SHARE) - math.log1p(-q.SHARE)
-    for i, (rule, cutoffs) in enumerate(q.RULES.items()):
-        grid = ", ".join(f"({j}, {c}::double)" for j, c in enumerate(cutoffs))
-        ctes += [
-            f"""c{i} as (select stratum, "at", cutoff, count(*) filter (good) as n, count(*) filter (good and {rule} > cutoff) as wrong,
-                  count(*) filter (not good and leftover and {rule} > cutoff) as rght from h{i}, (values {grid}) v("at", cutoff) group by all)""",
-            f"""p{i} as (select *, case when wrong > n * {q.SHARE} then 1.0 else (select sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * {odds} + n * {log1}))
-                  from range(0, wrong + 1) t(k)) end <= {q.LEVEL} as ok from c{i} where n > 0 or wrong = 0)""",
-            f"""e{i} as (select stratum, min("at") filter (not ok) as stop from p{i} group by stratum)""",
-            f"""t{i} as (select stratum, arg_max(cutoff, rght * 1000 - "at") as cutoff from p{i} join e{i} using (stratum)
-                  where (stop is null or "at" < stop) and rght > 0 group by stratum)""",
-            f"""h{i + 1} as (select h{i}.* replace (leftover and not coalesce({rule} > t{i}.cutoff, false) as leftover) from h{i} left join t{i} using (stratum))""",
-        ]
+    log1, odds = math.log1p(-q.RISK), math.log(q.RISK) - math.log1p(-q.RISK)
     rules = list(q.RULES)
-    joins = " ".join(f"left join t{i} on t{i}.stratum = g.stratum" for i in range(len(rules)))
-    over = " or ".join(f"coalesce({r} > t{i}.cutoff, false)" for i, r in enumerate(rules))
+    steps = ", ".join(f"({j}, {', '.join(f'{v[r]}::double' for r in rules)})" for j, v in enumerate(q.vectors()))
+    over = " or ".join(f"{r} > c_{r}" for r in rules)
+    ctes += [
+        f"""v as (select * from (values {steps}) v("at", {", ".join(f"c_{r}" for r in rules)}))""",
+        f"""c as (select stratum, "at", count(*) filter (good) as n, count(*) filter (good and ({over})) as wrong, count(*) filter (not good and ({over})) as rght from h0, v group by all)""",
+        f"""p as (select *, case when wrong > n * {q.RISK} then 1.0 else (select sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * {odds} + n * {log1}))
+              from range(0, wrong + 1) t(k)) end <= {q.LEVEL} as ok from c)""",
+        """e as (select stratum, min("at") filter (not ok) as stop from p group by stratum)""",
+        """b as (select stratum, arg_max("at", rght * 1000 - "at") as "at" from p join e using (stratum) where (stop is null or "at" < stop) and rght > 0 group by stratum)""",
+        f"""t as (select stratum, {", ".join(f"c_{r}" for r in rules)} from b join v using ("at"))""",
+    ]
     return f"""with {", ".join(ctes)}
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({over}) as kept
-from g {joins}"""
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce({over}, false) as kept
+from g left join t on t.stratum = g.stratum"""
 
 
 def mixing_sql(targets: mixing.Targets | None = None) -> str:

@@ -1,16 +1,14 @@
 """Quality rules whose cutoffs come from labelled documents with a bounded risk.
 
-Each rule is a score, higher is worse, with a fixed grid of cutoffs. For a stratum, a rule and a
-cutoff, the labelled good documents say how many would be rejected wrongly. The cutoff is
-valid if the exact binomial tail P(Bin(n, SHARE) <= wrong) is at most the error level: then the
-share of good documents that it rejects is at most SHARE, with confidence. The rules share RISK, so what
-all of them together reject of a stratum's good documents is at most RISK. Cutoffs of a rule are
-tested from the loosest on and end at the first that fails, which needs no correction; over
-rules and strata the level is divided (Bonferroni), so all guarantees hold together with
-probability 1 - ERROR. Of the valid cutoffs the one that rejects the most bad documents that earlier
-rules left is taken, the loosest of several; a rule that rejects none has no cutoff.
-
-Only built-in functions; what comes to the driver is at most a cutoff for each stratum and rule.
+Each rule is a score, higher is worse, with a grid of cutoffs. One fixed sequence of vectors, a cutoff for each rule, leads from the
+loosest to the tightest, one rule a step at a time in turn; what a vector rejects, all later ones reject too. For a stratum and a
+vector, the labelled good documents say how many all rules together would reject wrongly. The vector is valid if the exact
+binomial tail P(Bin(n, RISK) <= wrong) is at most the error level: then the share of good documents that its rules reject together is at most RISK,
+with confidence. Vectors are tested from the loosest on, and the test ends at the first that fails, which needs no correction;
+over strata the level is divided (Bonferroni), so all guarantees hold together with probability 1 - ERROR. Of the valid vectors the one that rejects the
+most bad documents is taken, the loosest of several; a stratum in which none rejects any has no cutoffs.
+
+Only built-in functions; what comes to the driver is at most a vector for each stratum.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import checked_broadcast, written
 
 #: What separates words, and the characters that count as symbols.
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "[#*$%&|<>]"
@@ -30,15 +28,27 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 RISK, ERROR = 0.02, 0.1
 #: Languages that are strata of their own; all others share one.
 STRATA = ("de", "en", "es", "fr")
-#: Rules in the order in which they apply, with their cutoffs from the loosest on.
+#: Rules in the order in which they become tighter, with their cutoffs from the loosest on.
 RULES = {
     "symbols_per_word": (2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.1),
     "dup_line_share": (0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2),
     "repeat_share": (0.45, 0.4, 0.35, 0.3, 0.25, 0.2),
     "chars_per_word": (24.0, 18.0, 14.0, 12.0, 10.0),
 }
-#: A rule's part of the risk, and the error level of a rule's tests in a stratum.
-SHARE, LEVEL = RISK / len(RULES), ERROR / (len(RULES) * (len(STRATA) + 1))
+#: The error level of the tests in a stratum.
+LEVEL = ERROR / (len(STRATA) + 1)
+
+
+def vectors() -> list[dict[str, float]]:
+    """The sequence of cutoffs, a rule a step tighter at a time."""
+    at = dict.fromkeys(RULES, 0)
+    out = [{rule: grid[0] for rule, grid in RULES.items()}]
+    while any(at[rule] < len(grid) - 1 for rule, grid in RULES.items()):
+        for rule, grid in RULES.items():
+            if at[rule] < len(grid) - 1:
+                at[rule] += 1
+                out.append({r: RULES[r][i] for r, i in at.items()})
+    return out
 
 
 _MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_lines", "_text", "_words", "_rows", "_windows", "_sorted")
@@ -107,7 +117,7 @@ def stratum(lang: Column) -> Column:
     return F.when(lang.isin(*STRATA), lang).otherwise(F.lit("other"))
 
 
-def tail(n: Column, k: Column, risk: float = SHARE) -> Column:
+def tail(n: Column, k: Column, risk: float = RISK) -> Column:
     """P(Bin(n, risk) <= k), exact, summed in logarithms; 1 where k exceeds the mean."""
     first = n * F.lit(math.log1p(-risk))
     odds = math.log(risk) - math.log1p(-risk)
@@ -124,26 +134,20 @@ def tail(n: Column, k: Column, risk: float = SHARE) -> Column:
 
 def choose_cutoffs(labelled: DataFrame) -> dict[str, dict[str, float]]:
     """rule -> stratum -> cutoff, from rows with the features, ``stratum`` and ``good`` (boolean)."""
-    left = F.lit(True)
-    chosen: dict[str, dict[str, float]] = {}
-    for rule, score in scores().items():
-        cutoffs = RULES[rule]
-        rows = labelled.where("not base_failed").select("stratum", "good", score.alias("score"), left.alias("left"))
-        # how many of the cutoffs, from the loosest on, a row lets pass: one aggregate serves the grid
-        passed = rows.select("stratum", "good", "left", F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: F.col("score") <= c)).alias("passed"))
-        counts = passed.groupBy("stratum").agg(
-            F.count_if("good").alias("n"),
-            *(F.count_if(F.col("good") & (F.col("passed") <= i)).alias(f"wrong{i}") for i in range(len(cutoffs))),
-            *(F.count_if(~F.col("good") & F.col("left") & (F.col("passed") <= i)).alias(f"right{i}") for i in range(len(cutoffs))),
-        )
-        grid = counts.select("stratum", "n", F.posexplode(F.array(*(F.struct(F.lit(c).alias("cutoff"), F.col(f"wrong{i}").alias("wrong"), F.col(f"right{i}").alias("right")) for i, c in enumerate(cutoffs)))).alias("at", "x"))
-        tested = grid.select("stratum", "at", "x.cutoff", "x.right", (tail(F.col("n"), F.col("x.wrong")) <= LEVEL).alias("ok"))
-        ends = tested.groupBy("stratum").agg(F.min(F.when(~F.col("ok"), F.col("at"))).alias("end"))
-        valid = tested.join(ends, "stratum").where("(end is null or at < end) and right > 0")
-        best = valid.groupBy("stratum").agg(F.max(F.struct(F.col("right"), -F.col("at"), F.col("cutoff"))).alias("b"))
-        chosen[rule] = {r["stratum"]: r["cutoff"] for r in best.select("stratum", "b.cutoff").collect()}
-        left = left & ~_over(rule, score, chosen[rule])
-    return chosen
+    steps = vectors()
+    # the first vector that rejects a row: for each rule as many vectors let it pass as have a cutoff that isn't below its score
+    passing = lambda rule, score: F.size(F.filter(F.array(*(F.lit(v[rule]) for v in steps)), lambda c: score <= c))
+    first = F.least(*(passing(rule, score) for rule, score in scores().items()))
+    rows = labelled.where("not base_failed").select("stratum", "good", first.alias("first"))
+    counts = rows.groupBy("stratum").agg(
+        F.count_if("good").alias("n"), *(F.count_if(F.col("good") & (F.col("first") <= i)).alias(f"wrong{i}") for i in range(len(steps))), *(F.count_if(~F.col("good") & (F.col("first") <= i)).alias(f"right{i}") for i in range(len(steps)))
+    )
+    grid = counts.select("stratum", "n", F.posexplode(F.array(*(F.struct(F.col(f"wrong{i}").alias("wrong"), F.col(f"right{i}").alias("right")) for i in range(len(steps))))).alias("at", "x"))
+    tested = grid.select("stratum", "at", "x.right", (tail(F.col("n"), F.col("x.wrong")) <= LEVEL).alias("ok"))
+    ends = tested.groupBy("stratum").agg(F.min(F.when(~F.col("ok"), F.col("at"))).alias("end"))
+    valid = tested.join(ends, "stratum").where("(end is null or at < end) and right > 0")
+    best = valid.groupBy("stratum").agg(F.max(F.struct(F.col("right"), -F.col("at"), F.col("at"))).alias("b")).select("stratum", "b.at").collect()
+    return {rule: {r["stratum"]: steps[r["at"]][rule] for r in best} for rule in RULES}
 
 
 def _over(rule: str, score: Column, cutoffs: dict[str, float]) -> Column:
@@ -153,6 +157,19 @@ def _over(rule: str, score: Column, cutoffs: dict[str, float]) -> Column:
     return out
 
 
+def _labels(labels: DataFrame) -> DataFrame:
+    """doc_id, good; a document labelled twice is bad if any label says so."""
+    return labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
+
+
+def _rejected(cutoffs: dict[str, dict[str, float]]) -> Column:
+    by_rule = scores()
+    out = F.lit(False)
+    for rule, found in cutoffs.items():
+        out = out | _over(rule, by_rule[rule], found)
+    return out
+
+
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the text, with the features, ``base_failed``, ``stratum`` and ``kept``; all rows stay.
 
@@ -165,10 +182,18 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     judged = written(features(two).withColumn("stratum", stratum(F.col("lang"))), "quality")
-    good = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    cutoffs = choose_cutoffs(written(judged.join(good, "doc_id"), "labelled"))
-    by_rule = scores()
-    rejected = F.lit(False)
-    for rule, found in cutoffs.items():
-        rejected = rejected | _over(rule, by_rule[rule], found)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_lines")
+    cutoffs = choose_cutoffs(written(judged.join(_labels(labels), "doc_id"), "labelled"))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~_rejected(cutoffs)).drop("_lines")
+
+
+def keep(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Cutoffs come from labelled documents alone, which are few; each row is then judged where it lies, so no text is shuffled. Rows with a null id go by the base rules only.
+    """
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    marked = named.join(checked_broadcast(_labels(labels)), "doc_id")
+    cutoffs = choose_cutoffs(written(features(marked).withColumn("stratum", stratum(F.col("lang"))), "labelled"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    judged = features(whole).withColumn("stratum", stratum(F.col("lang")))
+    return judged.where(~F.col("base_failed") & (F.col("id").isNull() | ~_rejected(cutoffs))).select("row.*")

@@ -68,3 +68,27 @@ def test_stages_on_odd_and_empty_tables(spark, small, tmp_path):
             assert docs.columns == rows.columns
         assert P.STAGES[-1][1](spark, docs, small).count() >= 0
     assert mixing.sample(rows).where("sampled is null").count() == 0
+
+
+def test_quality_stage_with_cutoffs(spark, tmp_path):
+    """Enough labels for cutoffs: the stage keeps what ``judge`` keeps, and rejects more than the base rules do."""
+    import random
+
+    from quarrystone.llm import quality_rules
+
+    r = random.Random(9)
+    rows = []
+    for i in range(1600):
+        bad = i % 3 == 0
+        words = [f"w{r.randrange(900)}" for _ in range(80)] + (["#" * r.choice((60, 400))] if bad and r.random() < 0.6 else [])
+        rows.append((i if i % 100 else None, " ".join(words), r.choice(("en", "de", None)), "s", bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string, bad boolean")
+    docs.selectExpr("doc_id", "if(bad, 0, 1) as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    left = P.quality(spark, docs, str(tmp_path))
+    judged = quality_rules.judge(docs, labels)
+    assert left.columns == docs.columns
+    want = {x["doc_id"] for x in judged.where("kept and doc_id is not null").collect()}
+    assert {x["doc_id"] for x in left.where("doc_id is not null").collect()} == want
+    assert left.where("doc_id is null").count() == 16 and 50 < judged.where("not kept and not base_failed").count() and judged.where("base_failed").count() == 0
+    assert left.where("not bad").count() >= 0.98 * docs.where("not bad").count()

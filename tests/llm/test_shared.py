@@ -28,3 +28,24 @@ def test_broadcasts_are_measured(spark, monkeypatch):
     assert "strategy=broadcast" in plan()
     monkeypatch.setattr(_shared, "BROADCAST_BYTES", 999)
     assert "strategy=broadcast" not in plan()
+
+
+def test_scopes_of_two_threads_are_apart(spark):
+    import threading
+
+    inside, go_on = threading.Event(), threading.Event()
+    kept = []
+
+    def other():
+        kept.append(_shared.written(spark.range(3), "other"))
+        inside.set()
+        go_on.wait(60)
+
+    t = threading.Thread(target=other)
+    with _shared.scratch(spark):
+        t.start()
+        inside.wait(60)
+        mine = _shared.written(spark.range(2), "mine").inputFiles()
+    go_on.set()
+    t.join()
+    assert kept[0].count() == 3 and not os.path.exists(mine[0].removeprefix("file://"))
