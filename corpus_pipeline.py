@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm import best_fit, mixing, quality_rules, secret_scan, simhash_dups
-from quarrystone.llm._shared import checked_broadcast, keep, scratch, table
+from quarrystone.llm._shared import keep, scratch, table
 from quarrystone.sources.shared import delete
 
 _EVEN = {kind: dict.fromkeys(names, 1.0) for kind, names in zip(("source", "lang", "topic"), mixing.Targets().names(), strict=True)}
@@ -22,19 +22,9 @@ _EVEN = {kind: dict.fromkeys(names, 1.0) for kind, names in zip(("source", "lang
 MIX = mixing.Targets(source=_EVEN["source"], lang=_EVEN["lang"], topic=_EVEN["topic"], budget=0.9, temper=0.9)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``gone``, which are broadcast if they are few; rows with a null id stay."""
-    return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; rows with a null id go by the base rules alone."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    named = _without(docs, judged.where("not kept and doc_id is not null").select("doc_id").distinct())
-    if judged.where("doc_id is null").isEmpty():
-        return named
-    unnamed = quality_rules.features(docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), "text"))
-    return named.where("doc_id is not null").unionByName(unnamed.where("not base_failed").select("row.*"))
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with the weights of the targets; rows with a null id, which no sample can name, stay."""
-    drawn = mixing.sample(docs, MIX)
-    return _without(docs, drawn.where("not sampled and doc_id is not null").select("doc_id").distinct())
+    return mixing.keep(docs, MIX)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
