@@ -152,30 +152,37 @@ def with_base(manifest: DataFrame) -> DataFrame:
     return inside.join(starts, "_block").withColumn("base", F.col("_start") + F.col("_at")).drop("_block", "_start", "_at")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            reader, start = Reader(path), base
-            for lo in range(0, len(reader), 2000):
-                rows = []
-                for i in range(lo, min(lo + 2000, len(reader))):
-                    ids = reader.ids(i)
-                    rows.append((reader.doc_id(i), start, ids))
-                    start += len(ids) // 4
-                ids = pa.array([r[2] for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) // 4 for r in rows], pa.int64()), pa.array([zlib.crc32(r[2]) for r in rows], pa.int64()), ids], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
-
-def read_ids(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids of every document, from the files of a manifest.
+def _read(with_ids: bool):
+    """Paths and bases to a row a document; without ids, only what is made of them goes back to Spark."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                reader, start = Reader(path), base
+                for lo in range(0, len(reader), 2000):
+                    rows = []
+                    for i in range(lo, min(lo + 2000, len(reader))):
+                        ids = reader.ids(i)
+                        rows.append((reader.doc_id(i), start, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else [])))
+                        start += len(ids) // 4
+                    kinds = [pa.int64()] * 4 + [pa.binary()] * with_ids
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of every document, from the files of a manifest.
 
     Files are dealt by their numbers to a task each, or several a task where there are many more files than
     shuffle partitions; each is read frame by frame.
     """
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(manifest.count(), 8 * parts))
-    return manifest.repartitionById(tasks, "file").select("path", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return manifest.repartitionById(tasks, "file").select("path", "base").mapInArrow(_read(with_ids), kind)
 
 
-def write_and_read(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    return read_ids(write_ids(docs, tokenizer_path, fresh_path(docs.sparkSession, "ids")))
+def write_and_read(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataFrame:
+    return read_ids(write_ids(docs, tokenizer_path, fresh_path(docs.sparkSession, "ids")), with_ids)

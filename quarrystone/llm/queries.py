@@ -56,7 +56,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return id_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return id_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
