@@ -196,4 +196,6 @@ def keep(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     cutoffs = choose_cutoffs(written(features(marked).withColumn("stratum", stratum(F.col("lang"))), "labelled"))
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     judged = features(whole).withColumn("stratum", stratum(F.col("lang")))
-    return judged.where(~F.col("base_failed") & (F.col("id").isNull() | ~_rejected(cutoffs))).select("row.*")
+    kept = ~F.col("base_failed") & (F.col("id").isNull() | ~_rejected(cutoffs))
+    # a generator stands between: as a filter's condition, the features would be worked out again wherever it names them
+    return judged.select("row", F.explode(F.array(kept)).alias("kept")).where("kept").select("row.*")
