@@ -37,6 +37,7 @@ def crawl(edges: DataFrame, starts: DataFrame, max_depth: int, max_pages: int, f
     depth; failed pages lead nowhere; the cap counts a job's frontier rows. Jobs are ranked apart, and the windows'
     cuts at the cap run in every task before rows meet, so neither one job nor all of them are ever sorted in one place.
     """
+    edges = checkpointed(edges.select("src", "pos", "dst"))  # every level joins them
     order = lambda c: Window.partitionBy("job").orderBy(c)
     firsts = starts.groupBy("job", "url").agg(F.min("pos").alias("pos")).withColumn("rank", F.row_number().over(order("pos"))).where(F.col("rank") <= max_pages)
     known = checkpointed(firsts.select("job", "rank", "url", F.lit(0).alias("depth")))

@@ -43,12 +43,12 @@ def sea1_archive_search(a: Archive):
 @query(
     f"""select kind, id, site_id, label, excerpt, row_number() over (order by t desc, id) as rank from (select 'content' as kind, p.id, p.site_id, p.source_url as label, p.created_at as t,
       if(greatest(p0 - 90, 1) > 1, '…', '') || trim(substr(v, greatest(p0 - 90, 1), least(p0 + 98, length(v) + 1) - greatest(p0 - 90, 1))) || if(least(p0 + 98, length(v) + 1) <= length(v), '…', '') as excerpt
-      from (select *, instr(lower(v), 'hetheand') as p0 from (select *, if(regexp_matches(lower(content_type), 'text|json|xml'), {_VISIBLE}, '') as v from (select * from snapshots order by created_at desc, id limit 500))) p
+      from (select *, instr(lower(v), 'therhean') as p0 from (select *, if(regexp_matches(lower(content_type), 'text|json|xml'), {_VISIBLE}, '') as v from (select * from snapshots order by created_at desc, id limit 500))) p
       join sites s on s.id = p.site_id where s.visibility = 'public' and p0 > 0) order by t desc, id limit 100""",
     ("sites", "snapshots"),
 )
 def sea1_guest_content_search(a: Archive):
-    return search.search(a.sites, a.snapshots, None, "hetheand")
+    return search.search(a.sites, a.snapshots, None, "therhean")
 
 
 _KEY = r"lower(regexp_extract(source_url, '^([^:/?#]+):', 1)) || '://' || lower(regexp_extract(source_url, '^[^:/?#]+://([^/?#]*)', 1)) || if(regexp_extract(source_url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) = '', '/', regexp_extract(source_url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)) || coalesce(nullif(regexp_extract(source_url, '(\?[^#]+)', 1), ''), '')"

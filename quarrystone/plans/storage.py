@@ -146,9 +146,9 @@ def int3_valid_manifests(a: Archive):
     return rows.select("run_id", F.size("pages").cast("long").alias("n_pages"), F.size("resources").cast("long").alias("n_resources"), objects.valid_manifest(F.col("pages"), F.col("resources")).alias("valid"))
 
 
-@query("select snapshot_id, (id % 40)::bigint as id, count(*) as n from assets group by all having count(*) > 1", ("assets",))
+@query("select snapshot_id, (id % 5)::bigint as id, count(*) as n from assets group by all having count(*) > 1", ("assets",))
 def agg24_duplicate_ids(a: Archive):
-    return objects.duplicate_ids(a.assets.select("snapshot_id", (F.col("id") % 40).alias("id")))
+    return objects.duplicate_ids(a.assets.select("snapshot_id", (F.col("id") % 5).alias("id")))
 
 
 @query("select id, status, captured + if(id % 10 = 0, 100, 0) as captured from jobs where id % 9 <> 0 or id % 10 = 0", ("jobs",))
@@ -158,9 +158,9 @@ def snk2_upsert(a: Archive):
     return dml.upsert(rows.where("id % 9 <> 0"), new, ["id"])
 
 
-@query("select url, min(id) as id from attempts where url not in (select url from attempts where id % 1000 = 1) group by url", ("attempts",))
+@query("select url, min(id) as id from attempts where url not in (select url from attempts where status = 'failed' and job_id < 20) group by url", ("attempts",))
 def snk3_insert_ignore(a: Archive):
-    return dml.insert_ignore(a.attempts.where("id % 1000 = 1").select("url"), a.attempts.select("url", "id"), ["url"], "id")
+    return dml.insert_ignore(a.attempts.where("status = 'failed' and job_id < 20").select("url"), a.attempts.select("url", "id"), ["url"], "id")
 
 
 @query("select action, count(*) as n from (select case when id % 10 = 0 then 'insert' when id % 9 = 0 then 'delete' when id % 7 = 0 then 'update' end as action from jobs) where action is not null group by action", ("jobs",))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.objects import inventory_diff, unsafe_path
+from .shared import checkpointed
 from .stores import file_system
 
 
@@ -150,7 +151,12 @@ _ARCHIVE = "struct<format:string,snapshots:array<struct<id:string,source_url:str
 
 
 def verify(members: DataFrame) -> DataFrame:
-    """package, problem: unsafe members, differences from the manifest, references without a payload."""
+    """package, problem: unsafe members, differences from the manifest, references without a payload.
+
+    Packages are read once: paths, sizes, digests and the two members that are read further are written; other bodies stay behind.
+    """
+    told = F.when(F.col("path").isin("manifest.json", "archive.json"), F.col("body")).alias("body")
+    members = checkpointed(members.select("package", "path", "bytes", "digest", "safe", told))
     listed = members.where("path = 'manifest.json'").select("package", F.from_json(F.col("body").cast("string"), _MANIFEST).alias("m"))
     expected = listed.select("package", F.explode("m.files").alias("f")).select(F.concat_ws("\n", "package", "f.path").alias("path"), "f.bytes", F.col("f.sha256").alias("digest"))
     actual = members.where("path <> 'manifest.json'").select(F.concat_ws("\n", "package", "path").alias("path"), "bytes", "digest")
