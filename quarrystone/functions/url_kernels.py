@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 
+#: Protocol assignments: releases of the standard library differ in which of them they call global, here none is.
+_ASSIGNED = ipaddress.ip_network("192.0.0.0/24")
+
+
 def address_verdict(address: str, private_allowed: bool = False) -> str:
     """``blocked``, ``private`` (blocked unless allowed) or ``allowed`` for a resolved address."""
     try:
@@ -19,7 +23,7 @@ def address_verdict(address: str, private_allowed: bool = False) -> str:
     ip = getattr(ip, "ipv4_mapped", None) or ip
     if ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified:
         return "blocked"
-    return "allowed" if ip.is_global or private_allowed else "private"
+    return "allowed" if (ip.is_global and ip not in _ASSIGNED) or private_allowed else "private"
 
 
 def outbound_verdict(private_allowed: bool = False):

@@ -146,3 +146,8 @@ def test_rewriting():
     assert html_kernels.promote_lazy("<img data-original='o.png' data-src=s.png>") == '<img data-original="o.png" data-src="s.png" src="o.png">'
     assert html_kernels.css("a{background:url( 'x.png' )}@import \"y.css\";b{background:url(data:x)}", "https://a.test/c/", str.upper) == 'a{background:url("HTTPS://A.TEST/C/X.PNG")}@import "HTTPS://A.TEST/C/Y.CSS";b{background:url(data:x)}'
     assert html_kernels.srcset("a.png 1x, b.png 2x", "https://a.test/", str.upper) == "HTTPS://A.TEST/A.PNG 1x, HTTPS://A.TEST/B.PNG 2x"
+
+
+def test_assigned_addresses_are_private_in_every_release():
+    verdicts = [url_kernels.address_verdict(a) for a in ("192.0.0.9", "::ffff:192.0.0.10", "192.0.0.170", "191.255.255.255", "192.0.1.0")]
+    assert verdicts == ["private", "private", "private", "allowed", "allowed"]
