@@ -151,3 +151,10 @@ def test_rewriting():
 def test_assigned_addresses_are_private_in_every_release():
     verdicts = [url_kernels.address_verdict(a) for a in ("192.0.0.9", "::ffff:192.0.0.10", "192.0.0.170", "191.255.255.255", "192.0.1.0")]
     assert verdicts == ["private", "private", "private", "allowed", "allowed"]
+
+
+def test_titles_keep_what_a_cut_leaves_of_a_reference(spark):
+    decode = lambda t: one(spark, html_kernels.unescape_cut(html.title(F.col("t"))), t=t)
+    assert decode("<title>" + "x" * 155 + "&amp;&amp;</title>") == "x" * 155 + "&"
+    assert decode("<title>" + "x" * 156 + "&amp;</title>") == "x" * 156 + "&amp" and decode("<title></title>") is None
+    assert decode("<title>&lt;a&gt; &quot;b&quot; &amp;lt; &#233;&#xE9; &eacute; &amp &none; &notit;</title>") == '<a> "b" &lt; éé é &amp &none; &notit;'
