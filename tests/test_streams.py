@@ -50,3 +50,13 @@ def test_frontier_over_runs_keeps_its_cap(spark):
     rows = spark.createDataFrame([("a", 1, "u1"), ("a", 2, "u2"), ("a", 3, "u1"), ("b", 4, "u9"), ("a", 5, "u3"), ("a", 6, "u4"), ("b", 7, "u9")], "job_id string, seq long, url string")
     got = runs.resumed([rows.where("seq < 3"), rows.where("seq between 3 and 4"), rows.where("seq > 4")], lambda s: activity.frontier_stream(s, 3), "job_id")
     assert sorted(map(tuple, got.collect())) == [("a", 1, "u1"), ("a", 2, "u2"), ("a", 3, "u3"), ("b", 1, "u9")]
+
+
+def test_order_holds_across_a_key_s_arrow_batches(spark):
+    seq = F.col("id") * 7919 % 30_000
+    rows = spark.range(30_000).select(F.lit("a").alias("job_id"), seq.alias("seq"), F.concat(F.lit("u"), (seq / 2).cast("int").cast("string")).alias("url")).repartition(3)
+    got = runs.resumed([rows.where("seq < 25000"), rows.where("seq >= 25000")], lambda s: activity.frontier_stream(s, 5), "job_id", files=1)
+    assert sorted(map(tuple, got.collect())) == [("a", i + 1, f"u{i}") for i in range(5)]
+    events = rows.select(F.lit(1).alias("who"), F.col("seq").alias("id"), F.timestamp_seconds("seq").alias("created_at"))
+    limited = runs.resumed([events], lambda s: activity.limited_stream(s, "who", 4, 60), "who", files=1)
+    assert sorted(map(tuple, limited.collect())) == sorted(("1", i, i % 60 < 4) for i in range(30_000))
