@@ -97,3 +97,11 @@ def test_other_schemas(spark):
     assert [tuple(f) for f in rows.limit(1).select(schema.faults({"type": "object", "properties": {"a": {"enum": ["x"]}}}, F.lit('{"a":"y","b":1}'))).first()[0]] == [("$.a", "enum")]
     with pytest.raises(ValueError):
         schema.faults({"oneOf": []}, F.col("t"))
+
+
+def test_a_tampered_signature_is_another_one(spark):
+    from quarrystone.plans.integrity import _tampered
+
+    made = [f'{{"algorithm":"Ed25519","signature":"{s}"}}' for s in ("AAbc", "ABbc", "BBbc", "-_bc")]
+    got = [r[0] for r in spark.createDataFrame([(m,) for m in made], "e string").select(_tampered(F.col("e"), F.lit("6"))).collect()]
+    assert all(g != m and len(g) == len(m) for g, m in zip(got, made, strict=True))
