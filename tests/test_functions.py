@@ -158,3 +158,9 @@ def test_titles_keep_what_a_cut_leaves_of_a_reference(spark):
     assert decode("<title>" + "x" * 155 + "&amp;&amp;</title>") == "x" * 155 + "&"
     assert decode("<title>" + "x" * 156 + "&amp;</title>") == "x" * 156 + "&amp" and decode("<title></title>") is None
     assert decode("<title>&lt;a&gt; &quot;b&quot; &amp;lt; &#233;&#xE9; &eacute; &amp &none; &notit;</title>") == '<a> "b" &lt; éé é &amp &none; &notit;'
+
+
+def test_assets_of_any_name_become_absolute(spark):
+    page = '<a href="/snapshots/s1/asset/êtes"> url(/snapshots/s1/asset/a1) /snapshots/s1/asset/%C3%A9 x/snapshots/s1/asset/b'
+    want = '<a href="https://a.test/snapshots/s1/asset/êtes"> url(https://a.test/snapshots/s1/asset/a1) https://a.test/snapshots/s1/asset/%C3%A9 x/snapshots/s1/asset/b'
+    assert one(spark, html.absolute_assets(F.col("t"), "https://a.test/"), t=page) == want
