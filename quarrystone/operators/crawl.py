@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..sources.shared import checkpointed
+from .joins import dealt
 
 
 def seeds(jobs: DataFrame, failed: DataFrame, max_pages: int, mode: str, include: list[str], exclude: list[str]) -> DataFrame:
@@ -21,13 +22,17 @@ def seeds(jobs: DataFrame, failed: DataFrame, max_pages: int, mode: str, include
     its start address, else its site's. Addresses are made canonical and must be pages of the site's host that
     the policy admits; a job that none is left for gets one row with a problem.
     """
-    once = failed.groupBy("retried", "url").agg(F.min("pos").alias("pos"))
-    first = once.withColumn("n", F.row_number().over(Window.partitionBy("retried").orderBy("pos"))).where(F.col("n") <= max_pages)
-    known = jobs.join(first.select("retried", F.col("url").alias("again")), "retried", "left")
-    begin = known.withColumn("url", urls.canonical_url(F.coalesce("again", "start_url", "site_url"), mode))
+    address = lambda *urls_: urls.canonical_url(F.coalesce(*urls_), mode)
     ok = (urls.host_key(F.col("url")) == urls.host_key(F.col("site_url"))) & urls.looks_like_page(F.col("url")) & urls.matches_policy(F.col("url"), include, exclude)
-    kept = begin.where(ok).select("job_id", "url").distinct()
-    return jobs.select("job_id").join(kept, "job_id", "left").withColumn("problem", F.when(F.col("url").isNull(), "no starting address is permitted"))
+    told = lambda rows: rows.select("job_id", "url", F.when(F.col("url").isNull(), "no starting address is permitted").alias("problem"))
+    # jobs that retry nothing share one null key, so they stay where they are
+    plain = jobs.where("retried is null").withColumn("url", address("start_url", "site_url")).withColumn("url", F.when(ok, F.col("url")))
+    retries = jobs.where("retried is not null")
+    once = dealt(failed, "retried").join(retries.select("retried"), "retried", "left_semi").groupBy("retried", "url").agg(F.min("pos").alias("pos"))
+    first = once.withColumn("n", F.row_number().over(Window.partitionBy("retried").orderBy("pos"))).where(F.col("n") <= max_pages)
+    known = retries.join(first.select("retried", F.col("url").alias("again")), "retried", "left").withColumn("url", address("again", "start_url", "site_url"))
+    kept = known.groupBy("job_id").agg(F.collect_set(F.when(ok, F.col("url"))).alias("urls"))
+    return told(plain).unionByName(told(kept.select("job_id", F.explode_outer("urls").alias("url"))))
 
 
 def crawl(edges: DataFrame, starts: DataFrame, max_depth: int, max_pages: int, failed: DataFrame | None = None) -> DataFrame:

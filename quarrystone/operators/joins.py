@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 #: Tasks that the rows of one key are dealt to.
 SALTS = 16
 
+#: Rows of a task where rows are dealt by their number.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, *keys: str, each: int = TASK_ROWS) -> DataFrame:
+    """``rows`` dealt by ``keys`` to so many tasks that a task gets about ``each``, however many rows there are; what they are joined with by these keys follows."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // each)), *keys)
+
 
 def lookup(rows: DataFrame, known: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
     """``rows`` with the columns of ``known``, whose keys are unique; rows without a match keep nulls.

@@ -239,3 +239,23 @@ def test_stored_objects_are_put_once(spark, tmp_path):
     assert files.put_objects(rows, str(tmp_path)).count() == 2 and files.put_objects(rows, f"file:{tmp_path}").count() == 2
     found = files.object_store(files.inventory(spark, str(tmp_path), contents=True)).collect()
     assert sorted(bytes(r["body"]) for r in found) == [b"one", b"two"] and all(r["problem"] is None for r in found)
+
+
+def test_jobs_without_a_retry_are_not_joined_in_one_place(spark):
+    """Those that retry nothing share a null key: no join may meet it."""
+    from quarrystone.operators import crawl, jobs, joins
+
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 1000 == 1, F.col("id") - 1).when(F.col("id") % 1000 == 2, F.col("id") - 1).when(F.col("id") % 1000 == 3, F.lit(-5)).alias("retry_of"))
+    kinds = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["id"]: (r["root"], r["generation"]) for r in jobs.retry_lineage(rows).where("id < 5").collect()}
+        assert got == {0: (0, 0), 1: (0, 1), 2: (0, 2), 3: (3, 0), 4: (4, 0)} and jobs.retry_lineage(rows).count() == 60_000
+        asked = rows.select(F.col("id").alias("job_id"), F.col("retry_of").alias("retried"), F.lit(None).cast("string").alias("start_url"), F.lit("https://a.test/").alias("site_url"))
+        failed = rows.where("id < 2000").select(F.col("id").alias("retried"), F.lit("https://a.test/x").alias("url"), F.col("id").alias("pos"))
+        found = crawl.seeds(asked, failed, 2, "drop", [], [])
+        assert "isnull(CASE" in found._jdf.queryExecution().optimizedPlan().toString()  # rows of the null key go another way
+        assert found.count() == 60_000 and found.where("url = 'https://a.test/x'").count() == 4
+        assert joins.dealt(rows, "id", each=6000).rdd.getNumPartitions() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kinds)
