@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
 from ..sources.shared import checkpointed
+from .joins import dealt
 
 #: Bounds of page sizes and of the alert threshold.
 PAGE_MOST, RECENT_MOST, ATTEMPTS_MOST, STREAK_LEAST, STREAK_MOST = 200, 500, 1000, 2, 20
@@ -140,15 +141,19 @@ def retry_seeds(jobs: DataFrame, attempts: DataFrame, most: int = 500) -> DataFr
 def retry_lineage(jobs: DataFrame, most: int = 16) -> DataFrame:
     """id, root, generation: each job's first ancestor by retries, at most ``most`` levels."""
     link = jobs.select("id", "retry_of")
-    level = checkpointed(link.select("id", F.col("retry_of").alias("up"), F.lit(0).alias("generation"), F.col("id").alias("root")))
+    # jobs that lead no further are done; they would all share one null key
+    done = [link.where("retry_of is null").select("id", F.col("id").alias("root"), F.lit(0).alias("generation"))]
+    level = link.where("retry_of is not null").select("id", F.col("retry_of").alias("up"), F.lit(0).alias("generation"), F.col("id").alias("root"))
     for _ in range(most):
-        open_ = level.where("up is not null")
-        if open_.isEmpty():
-            break
-        up = link.select(F.col("id").alias("root2"), F.col("retry_of").alias("next"))
+        up = dealt(link, "id").select(F.col("id").alias("root2"), F.col("retry_of").alias("next"))
         joined = level.join(up, level["up"] == up["root2"], "left")
-        level = checkpointed(joined.select("id", F.when(F.col("root2").isNotNull(), F.col("next")).alias("up"), (F.col("generation") + F.when(F.col("root2").isNotNull(), 1).otherwise(0)).alias("generation"), F.coalesce("root2", "root").alias("root")))
-    return level.select("id", "root", "generation")
+        found = F.col("root2").isNotNull()
+        level = checkpointed(joined.select("id", F.when(found, F.col("next")).alias("up"), (F.col("generation") + found.cast("int")).alias("generation"), F.coalesce("root2", "root").alias("root")))
+        done.append(level.where("up is null").select("id", "root", "generation"))
+        level = level.where("up is not null")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, [*done, level.select("id", "root", "generation")])
 
 
 def latest_success(attempts: DataFrame) -> DataFrame:
