@@ -165,7 +165,7 @@ def src14_multipart_forms(a: Archive):
         F.concat(line("--b'1--x"), line("Content-Disposition: attachment; name=z"), line(""), line("no form data")), field('name="source"', F.col("source")), F.when(F.col("lang") == "fr", "").otherwise("--b'1--x--\r\nepilogue"),
     )
     kind = F.when(F.col("lang") == "es", "multipart/form-data").otherwise("Multipart/Form-Data; charset=x; boundary=\"b'1--x\"")
-    rows = a.raw("documents").select("doc_id", forms.multipart(kind, body.cast("binary")).alias("f"))
+    rows = forms.with_fields(a.raw("documents").select("doc_id", kind.alias("content_type"), body.cast("binary").alias("body")), name="f")
     of = lambda name: F.get(F.filter("f", lambda x: x["name"] == name), F.lit(0))
     problem = F.get(F.filter("f", lambda x: x["problem"].isNotNull()), F.lit(0))["problem"]
     return rows.select("doc_id", of("source")["value"].alias("source"), of("text")["value"].alias("text"), of("file")["filename"].alias("filename"), F.sha2(of("file")["body"], 256).alias("file_digest"), problem.alias("problem"))

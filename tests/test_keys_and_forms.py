@@ -108,3 +108,14 @@ def test_multipart_forms(spark):
     many = b"".join(b"--a b\r\nContent-Disposition: form-data; name=n%d\r\n\r\n%d\r\n" % (i % 150, i) for i in range(160)) + b"--a b--"
     found = forms.fields_of(FORM, many)
     assert len(found) == forms.MOST and found[3]["value"] == "153" and found[50]["value"] == "50"
+
+
+def test_forms_are_answered_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    from quarrystone.functions import forms
+
+    body = F.concat(F.lit('--b\r\nContent-Disposition: form-data; name="n"\r\n\r\n'), F.col("id").cast("string"), F.lit("\r\n--b--")).cast("binary")
+    rows = spark.range(0, 200, 1, 1).select("id", F.lit("multipart/form-data; boundary=b").alias("content_type"), F.when(F.col("id") != 7, body).alias("body"))
+    found = forms.with_fields(rows)
+    assert {r["id"]: r["fields"] and r["fields"][0]["value"] for r in found.collect()} == {i: None if i == 7 else str(i) for i in range(200)} and found.columns == ["id", "fields"]
