@@ -23,6 +23,8 @@ from .stores import file_system
 
 #: Compressed bytes of a file, about.
 FILE_BYTES = 1 << 30
+#: Bytes of bodies that a task writes, and of records that it reads back, about.
+TASK_BYTES = 128 << 20
 _PLACE = "key string, date string, seq bigint, file string, offset bigint, bytes bigint"
 _RECORD = "key string, date string, seq bigint, url string, kind string, status int, content_type string, body binary, problem string"
 
@@ -64,12 +66,15 @@ def _write(folder: str, about: str, most: int):
 def write(pages: DataFrame, assets: DataFrame, folder: str, about: dict, shards: int, most: int = FILE_BYTES) -> DataFrame:
     """Writes the records of pages and assets (seq, url, date, status, content_type, body) and returns their index, which is a table at ``folder``/index.
 
-    An address's assets are kept once for each content. ``key`` is the address without fragment, scheme and host in small letters.
+    An address's assets are kept once for each content. ``key`` is the address without fragment, scheme and host in small letters. ``shards`` tasks
+    write, or as many as there are TASK_BYTES of bodies, if these are more.
     """
+    size = pages.select("body").unionByName(assets.select("body")).agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    shards = max(shards, -(-size // TASK_BYTES))
     named = pages.select("seq", "url", "date").unionByName(assets.select("seq", "url", "date"))
     keys = named.select("seq", replay_link_key(F.col("url")).alias("key"), "date")
     rows = warc_records(pages, assets).join(keys, "seq").select("key", "date", "seq", "record")
-    salt = F.pmod(F.xxhash64("key", "seq"), F.lit(8))  # one address may have very many captures
+    salt = F.pmod(F.xxhash64("key", "seq"), F.lit(max(8, shards)))  # one address may have very many captures
     dealt = rows.repartition(shards, "key", salt).sortWithinPartitions("key", "date", "seq")
     dealt.mapInArrow(_write(folder, json.dumps(about, sort_keys=True), most), _PLACE).write.parquet(f"{folder}/index")
     return read_index(pages.sparkSession, folder)
@@ -132,7 +137,8 @@ def _seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(places: DataFrame) -> DataFrame:
     """The records at some rows of an index, each read by itself; ``problem`` says what is wrong with one, and is null for those that are whole."""
     cols = ["key", "date", "seq", "file", "offset", "bytes"]
-    return places.select(*cols).repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_seek, _RECORD)
+    piece = F.floor(F.col("offset") / TASK_BYTES)  # a large file is read by several tasks
+    return places.select(*cols).repartition("file", piece).sortWithinPartitions("file", "offset").mapInArrow(_seek, _RECORD)
 
 
 def captures_at(index: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -100,3 +100,16 @@ def test_damaged_records(spark, tmp_path):
     assert warc.parsed(warc_record("response", "u", "d", "t", b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nx"))["problem"] == "no whole response"
     index = spark.createDataFrame([("k", "d", 1, f"{tmp_path}/none.warc.gz", 0, 5)], "key string, date string, seq long, file string, offset long, bytes long")
     assert warc.read_records(index).first()["problem"] == "no file" and warc.read_records(index.where("false")).count() == 0
+
+
+def test_shards_grow_with_the_bodies(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quarrystone.sources import warc
+
+    monkeypatch.setattr(warc, "TASK_BYTES", 100)
+    row = lambda kind: spark.range(40).select("id", F.concat(F.lit(f"https://a.test/{kind}"), F.col("id").cast("string")).alias("url"))
+    full = lambda rows, first: rows.select((F.col("id") + first).alias("seq"), "url", F.lit("2024-01-01T00:00:00Z").alias("date"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.repeat("url", F.lit(5)).alias("body"))
+    index = warc.write(full(row("p"), 0), full(row("q"), 1000).where("false"), f"{tmp_path}/w", {}, 2)
+    assert index.select("file").distinct().count() > 2 and index.count() == 40
+    assert warc.read_records(index).where("problem is null").count() == 40
