@@ -20,6 +20,8 @@ from .joins import lookup
 
 #: Fixed value: resources stored for a page at most.
 MOST = 120
+#: Stylesheets of a round that are sent to all tasks; more are joined by a shuffle.
+FEW = 100_000
 _ASSET = "struct<url:string,final_url:string,stage:string,depth:int,css:boolean,urls:int>"
 _KNOWN = "array<struct<url:string,deps:array<struct<url:string,final_url:string,css:boolean,urls:int>>>>"
 _STATE = f"struct<assets:array<{_ASSET}>,done:array<string>,pick:struct<urls:int,at:int,url:string,depth:int>,over:boolean>"
@@ -45,7 +47,7 @@ def stylesheet_graph(resources: DataFrame) -> DataFrame:
     """url, deps: what each stylesheet of ``resources`` (url, final_url, content_type, body) loads of them, in order."""
     styles = resources.where(F.lower("content_type").contains("text/css"))
     refs = styles.select(F.col("url").alias("style"), F.coalesce("final_url", "url").alias("base"), F.posexplode(html.css_references(F.col("body"))).alias("pos", "raw"))
-    met = lookup(_addressed(refs).select("style", "pos", "url"), had(resources), ["url"]).where("css is not null")
+    met = lookup(_addressed(refs).select("style", "pos", "url"), had(resources), ["url"], 2).where("css is not null")
     by_style = met.groupBy("style").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "final_url", "css", "urls"))).alias("deps"))
     return by_style.select(F.col("style").alias("url"), F.transform("deps", lambda d: F.struct(d["url"], d["final_url"], d["css"], d["urls"])).alias("deps"))
 
@@ -89,7 +91,7 @@ def localised(pages: DataFrame, resources: DataFrame, most: int = MOST) -> DataF
     ``resources`` (url, final_url, content_type, body) is what can be had, each url once; what isn't there takes no place. ``depth`` is 0
     for what the page names, else one more than its stylesheet's. Pages that name nothing give no row.
     """
-    refs = lookup(page_references(pages), had(resources), ["url"]).where("css is not null")
+    refs = lookup(page_references(pages), had(resources), ["url"], 1).where("css is not null")
     by_page = refs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "final_url", "css", "urls", "stage"))).alias("found"))
     first = _added(F.array().cast(f"array<{_ASSET}>"), F.col("found"), lambda r: r["stage"], F.lit(0), most)
     graph = checkpointed(stylesheet_graph(resources))
@@ -103,7 +105,10 @@ def localised(pages: DataFrame, resources: DataFrame, most: int = MOST) -> DataF
             break
         met = F.filter("s.assets", lambda a: a["css"] & ~F.exists("known", lambda k: k["url"] == a["url"]))
         needed = active.select("id", F.explode(F.transform(met, lambda a: a["url"])).alias("url"))
-        got = lookup(needed, graph, ["url"]).groupBy("id").agg(F.collect_list(F.struct("url", F.coalesce("deps", F.array().cast("array<struct<url:string,final_url:string,css:boolean,urls:int>>")).alias("deps"))).alias("got"))
+        needed = checkpointed(needed)
+        asked = needed.select("url").distinct()
+        asked = F.broadcast(asked) if asked.count() <= FEW else asked  # then the graph stays where it is
+        got = lookup(needed, graph.join(asked, "url", "left_semi"), ["url"], 1).groupBy("id").agg(F.collect_list(F.struct("url", F.coalesce("deps", F.array().cast("array<struct<url:string,final_url:string,css:boolean,urls:int>>")).alias("deps"))).alias("got"))
         more = active.join(got, "id").select("id", "s", F.concat("known", F.col("got").cast(_KNOWN)).alias("known"))
         state = checkpointed(more.select("id", _gone_on(F.col("s.assets"), F.col("s.done"), F.col("known"), most).alias("s"), "known"))
     every = finished[0]
